@@ -1,0 +1 @@
+"""operators of the text and search engine."""

@@ -1,0 +1 @@
+"""plans of the text and search engine."""

@@ -1,0 +1 @@
+"""sources of the text and search engine."""

@@ -1,0 +1 @@
+"""streaming of the text and search engine."""
