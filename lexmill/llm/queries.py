@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import bpe, quality, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_tokeniser_fertility": quality.query,
+    "op3_warc_capture_index": warc.query,
+    "op5_backtracking_bpe": bpe.query,
     "op10_simhash_deletion_variants": simhash.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_warc_capture_index": warc.ORACLE_SQL,
+}
