@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, quality, simhash, warc
+from . import bpe, decontaminate, language, pii, quality, simhash, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_spaced_seeds": decontaminate.query,
     "op2_tokeniser_fertility": quality.query,
     "op3_warc_capture_index": warc.query,
+    "op4_word_crf": language.query,
     "op5_backtracking_bpe": bpe.query,
+    "op8_bootstrapped_contexts": pii.query,
+    "op9_block_max_neighbours": toxicity.query,
     "op10_simhash_deletion_variants": simhash.query,
 }
 
