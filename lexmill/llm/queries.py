@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, language, pii, quality, simhash, toxicity, warc
+from . import bpe, decontaminate, language, phrases, pii, quality, simhash, suffixes, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_spaced_seeds": decontaminate.query,
@@ -14,6 +14,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc_capture_index": warc.query,
     "op4_word_crf": language.query,
     "op5_backtracking_bpe": bpe.query,
+    "op6_phrase_automata": phrases.query,
+    "op7_suffix_array_levels": suffixes.query,
     "op8_bootstrapped_contexts": pii.query,
     "op9_block_max_neighbours": toxicity.query,
     "op10_simhash_deletion_variants": simhash.query,
