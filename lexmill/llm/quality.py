@@ -12,17 +12,18 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
 from functools import cache
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_RE, mapped, table
+from .common import WORD_RE, table
 
 VOCABULARY = "piece_bpe_32k.model"
 REMEMBERED = 200_000
@@ -67,6 +68,10 @@ def _model(path: str):
     return model, np.array([model.is_byte(i) for i in range(model.get_piece_size())])
 
 
+def vocabulary() -> str:
+    return public_tokenizers.path(VOCABULARY)
+
+
 def repeated_words(words: list[str]) -> int:
     """Words in 3-word windows that are found twice or more, first ones included."""
     n = len(words) - 2
@@ -86,15 +91,18 @@ def repeated_words(words: list[str]) -> int:
     return int(covered.sum())
 
 
-def measures(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """The counts and tokeniser figures of every whole text, one row for each input row; null texts count as empty."""
-    where = path or public_tokenizers.path(VOCABULARY)
+FIGURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, script string, n_tokens long, chars_per_token double, byte_share double, token_entropy double"
+
 
-    def rows(each: Iterator[dict]) -> Iterator[tuple]:
-        model, is_byte = _model(where)
+def figures(path: str) -> Callable[[Column], Column]:
+    """A function of a text column: a struct of its counts and tokeniser figures; null texts count as empty."""
+
+    @F.pandas_udf(f"struct<{', '.join(x.replace(' ', ':') for x in FIGURES.split(', '))}>")
+    def measured(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        model, is_byte = _model(path)
         memo: dict[str, list[int]] = {}
-        for r in each:
-            text = r["text"] or ""
+
+        def one(text: str) -> tuple:
             words = WORD_RE.findall(text)
             lines = Counter(x for x in text.split("\n") if x.strip(" \t\n\r\x0b\x0c"))
             chars = sum(map(len, words))
@@ -102,18 +110,29 @@ def measures(docs: DataFrame, path: str | None = None) -> DataFrame:
                 memo.clear()
             new = list({w for w in words if w not in memo})
             if new:
-                memo |= zip(new, model.encode(new, num_threads=1), strict=True)
+                memo.update(zip(new, model.encode(new, num_threads=1), strict=True))
             ids = np.fromiter(chain.from_iterable(map(memo.__getitem__, words)), np.int32)
             n, share, entropy = len(ids), 0.0, 0.0
             if n:
                 counts = np.unique(ids, return_counts=True)[1] / n
                 share, entropy = float(is_byte[ids].mean()), float(abs(-(counts * np.log2(counts)).sum()))
-            yield (
-                r["doc_id"], len(words), chars, len(text) - len(text.translate(_SYMBOLS)), sum(lines.values()) - len(lines), repeated_words(words),
-                script_of(text), n, chars / n if n else 0.0, share, entropy,
-            )
+            return len(words), chars, len(text) - len(text.translate(_SYMBOLS)), sum(lines.values()) - len(lines), repeated_words(words), script_of(text), n, chars / n if n else 0.0, share, entropy
+
+        names = [x.split()[0] for x in FIGURES.split(", ")]
+        for texts in batches:
+            yield pd.DataFrame([one(t or "") for t in texts], columns=names)
 
-    return mapped(docs.select("doc_id", "text"), "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, script string, n_tokens long, chars_per_token double, byte_share double, token_entropy double", rows)
+    return measured
+
+
+def verdict(m: Column, bands: Mapping[str, Band] = BANDS) -> tuple[Column, Column]:
+    """(base_failed, kept) of a struct of figures."""
+    failed = (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
+    inside = F.lit(False)
+    for name, b in bands.items():
+        full = F.log2(F.least(F.greatest(m["n_tokens"], F.lit(2)), F.lit(256)))
+        inside |= (m["script"] == name) & m["chars_per_token"].between(b.least_chars, b.most_chars) & (m["byte_share"] <= b.most_bytes) & (m["token_entropy"] >= b.least_entropy * full)
+    return failed, ~failed & inside
 
 
 def judged(docs: DataFrame, bands: Mapping[str, Band] = BANDS, path: str | None = None) -> DataFrame:
@@ -125,13 +144,9 @@ def judged(docs: DataFrame, bands: Mapping[str, Band] = BANDS, path: str | None
     the base rules. Repeated rows are judged each; an empty table gives no
     rows; columns other than doc_id and text are not read.
     """
-    m = measures(docs, path)
-    inside = F.lit(False)
-    for name, b in bands.items():
-        full = F.log2(F.least(F.greatest("n_tokens", F.lit(2)), F.lit(256)))
-        inside |= (F.col("script") == name) & F.col("chars_per_token").between(b.least_chars, b.most_chars) & (F.col("byte_share") <= b.most_bytes) & (F.col("token_entropy") >= b.least_entropy * full)
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return m.withColumn("base_failed", failed).withColumn("kept", ~failed & inside)
+    m = docs.select("doc_id", figures(path or vocabulary())("text").alias("m"))
+    failed, kept = verdict(F.col("m"), bands)
+    return m.select("doc_id", "m.*", failed.alias("base_failed"), kept.alias("kept"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,6 +154,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, bands: Mapping[str, Band] = BANDS, path: str | None = None) -> DataFrame:
-    """The documents that judged() keeps, with their own columns; every row is judged by its own text."""
-    good = judged(docs.select("doc_id", "text"), bands, path).where("kept").select("doc_id", F.lit(True).alias("_kept")).distinct()
-    return docs.join(good, docs["doc_id"].eqNullSafe(good["doc_id"]), "left_semi")
+    """The rows whose own text judged() keeps, all columns unchanged; nothing is shuffled."""
+    measured = docs.select(F.struct(*docs.columns).alias("row"), figures(path or vocabulary())(docs["text"]).alias("m"))
+    return measured.where(verdict(F.col("m"), bands)[1]).select("row.*")
