@@ -119,13 +119,13 @@ def hopped(scores: DataFrame, links: DataFrame, hops: int, weight: float, seeds:
 
     The next seeds are the best of those just reached.
     """
-    now = scores.select("query_id", "doc_id", "score")
-    front = best(now, seeds).select("query_id", "doc_id", "score")
+    own = scores.select("query_id", "doc_id", "score")
+    now, front = own, best(own, seeds).select("query_id", "doc_id", "score")
     for _ in range(hops):
         gained = front.join(links.select("doc_id", "to"), "doc_id").where("to <> doc_id").groupBy("query_id", F.col("to").alias("doc_id")).agg(F.max("score").alias("gain"))
-        reached = gained.join(now, ["query_id", "doc_id"], "left").select("query_id", "doc_id", (F.coalesce("score", F.lit(0.0)) + weight * F.col("gain")).alias("score"))
+        reached = gained.join(own, ["query_id", "doc_id"], "left").select("query_id", "doc_id", (F.coalesce("score", F.lit(0.0)) + weight * F.col("gain")).alias("score"))
         now = merged_best([now, reached])
-        front = best(reached, seeds).select("query_id", "doc_id", "score")
+        front = best(now.join(gained.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi"), seeds).select("query_id", "doc_id", "score")
     return now
 
 
