@@ -14,22 +14,20 @@ keys adaptive execution splits.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import saved, table
 
-#: Fixed masks of one span: ones are the hashed positions. No two share more than half of their ones under any shift.
+#: Fixed masks of one span: ones are the hashed positions.
 MASKS = ("1111001011", "1101011101", "1011110111")
 SPAN = 10
 #: Tokens on the window's side that follows the hit, and before it.
 AFTER, BEFORE = 18, 6
 #: Least share of equal tokens in the window, and least equal tokens (or all of a shorter item).
 LEAST_SHARE, LEAST_EQUAL = 0.75, 9
-#: Seeds that may be broadcast: about 300 bytes each.
-MOST_BROADCAST = 200_000
+#: Seeds that may be broadcast: about 300 bytes each. Token places in a block.
+MOST_BROADCAST, BLOCK = 200_000, 512
 
 
 def tokens(text: Column) -> Column:
@@ -41,33 +39,55 @@ def _hashed(text: Column) -> Column:
     return F.transform(tokens(text), lambda w: F.xxhash64(w))
 
 
-def _places(df: DataFrame, *carried: str) -> DataFrame:
-    """A row for each token place where a mask fits, with a hash for each mask; needs the array column h."""
-    n = F.size("h")
-    at = df.where(n >= SPAN).select(*carried, "h", F.explode(F.sequence(F.lit(0), n - SPAN)).alias("at"))
-    keys = [F.xxhash64(F.lit(i), *[F.get("h", F.col("at") + k) for k, bit in enumerate(mask) if bit == "1"]) for i, mask in enumerate(MASKS)]
-    return at.select(*carried, "h", "at", F.explode(F.array(*keys)).alias("key"))
+def _places(df: DataFrame, carried: str) -> DataFrame:
+    """carried, b, p, key: a row for each token place and mask that fits, p being the place in block b; needs the array column h.
+
+    A block holds BLOCK places with the tokens around them, so however long a
+    text is, no row carries more than that.
+    """
+    fits = F.size("h") - SPAN + 1
+
+    def block(i: Column) -> Column:
+        lead = F.least(i, F.lit(BEFORE))
+        return F.struct(lead.alias("lead"), F.least(F.lit(BLOCK), fits - i).alias("n"), F.slice("h", i - lead + 1, lead + BLOCK + AFTER).alias("b"))
+
+    # no filter on the size: it would move below and cut every text twice
+    starts = F.when(fits > 0, F.sequence(F.lit(0), fits - 1, F.lit(BLOCK))).otherwise(F.array().cast("array<int>"))
+    blocks = df.select(carried, F.explode(F.transform(starts, block)).alias("x"))
+    at = blocks.select(carried, "x.*").select(carried, "b", F.explode(F.sequence(F.col("lead"), F.col("lead") + F.col("n") - 1)).alias("p"))
+    keys = [F.xxhash64(F.lit(i), *[F.get("b", F.col("p") + k) for k, bit in enumerate(mask) if bit == "1"]) for i, mask in enumerate(MASKS)]
+    return at.select(carried, "b", "p", F.explode(F.array(*keys)).alias("key"))
+
+
+def _near(places: DataFrame) -> DataFrame:
+    """before and around in place of the block: the hashes of up to BEFORE tokens before a place and AFTER from it on."""
+    before = F.least(F.col("p"), F.lit(BEFORE))
+    return places.withColumns({"before": before, "around": F.slice("b", F.col("p") - before + 1, before + AFTER)}).drop("b", "p")
 
 
 def seeds(benchmark: DataFrame) -> DataFrame:
-    """key, item_id, before, around: the hashes of an item's tokens near each of its places; equal seeds of one item count once."""
-    items = benchmark.select("item_id", _hashed(F.col("text")).alias("h"))
-    near = F.slice("h", F.greatest(F.col("at") - BEFORE, F.lit(0)) + 1, F.least(F.col("at"), F.lit(BEFORE)) + AFTER)
-    return _places(items, "item_id").select("key", "item_id", F.least(F.col("at"), F.lit(BEFORE)).alias("before"), near.alias("around")).distinct()
+    """key, item_id, before, around of every place of every item; equal seeds of one item count once."""
+    return _near(_places(benchmark.select("item_id", _hashed(F.col("text")).alias("h")), "item_id")).distinct()
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, key: Column, bound: int = MOST_BROADCAST) -> DataFrame:
-    """_key, item_id, share, n_equal, n_hits: verified overlaps, best window first kept, of each document key and item."""
-    small = saved(seeds(benchmark))
-    if small.limit(bound + 1).count() <= bound:
-        small = F.broadcast(small)
+    """_key, item_id, share, n_equal, n_hits: verified overlaps of each document key and item, with the figures of the best window."""
+    small = saved(seeds(benchmark)).select("key", "item_id", F.col("before").alias("lead"), F.col("around").alias("item"))
     places = _places(docs.select(key.alias("_key"), _hashed(F.col("text")).alias("h")), "_key")
-    own = places.select("_key", "at", "key", "h").join(small, "key")
-    equal = reduce(lambda a, b: a + b, [F.when(F.get("h", F.col("at") - F.col("before") + k) == F.get("around", F.lit(k)), 1).otherwise(0) for k in range(BEFORE + AFTER)])
-    # a place before the document's start is never equal: get() gives null for a negative index
-    seen = own.select("_key", "item_id", "at", equal.alias("n_equal"), F.size("around").alias("n"))
-    good = seen.where((F.col("n_equal") >= LEAST_SHARE * F.col("n")) & (F.col("n_equal") >= LEAST_EQUAL))
-    return good.groupBy("_key", "item_id").agg(F.max(F.col("n_equal") / F.col("n")).alias("share"), F.max("n_equal").alias("n_equal"), F.count("*").alias("n_hits"))
+    if small.limit(bound + 1).count() <= bound:
+        own = _near(places.join(F.broadcast(small), "key"))  # a block is looked into for hits only
+    else:
+        own = _near(places).join(small, "key")  # blocks are not shuffled
+    # laid side by side at the hit; what is missing where the document begins or ends is unequal
+    cut = F.col("lead") - F.col("before")
+    theirs = F.slice("item", F.greatest(cut, F.lit(0)) + 1, F.size("item"))
+    ours = F.slice("around", F.greatest(-cut, F.lit(0)) + 1, F.size("around"))
+    equal = F.size(F.filter(F.zip_with(ours, theirs, lambda x, y: x == y), lambda x: x))
+    seen = own.select("_key", "item_id", equal.alias("n_equal"), F.size("item").alias("n"))
+    good = (F.col("n_equal") >= LEAST_SHARE * F.col("n")) & (F.col("n_equal") >= LEAST_EQUAL)
+    # judged inside the aggregate: a filter would move into the join and take its probing loop out of generated code
+    found = seen.groupBy("_key", "item_id").agg(F.max(F.when(good, F.col("n_equal") / F.col("n"))).alias("share"), F.max(F.when(good, F.col("n_equal"))).alias("n_equal"), F.count_if(good).alias("n_hits"))
+    return found.where("n_hits > 0")
 
 
 def _by_id() -> Column:
