@@ -12,3 +12,10 @@ MOST_BROADCAST = 100_000
 def small(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
     """df, marked for broadcast where a count finds it under the bound; else as it is, for a shuffled join."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df computed once for several uses: checkpointed where a checkpoint folder is set, else persisted."""
+    if df.sparkSession.sparkContext.getCheckpointDir():
+        return df.checkpoint()
+    return df.persist()

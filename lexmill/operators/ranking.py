@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.text import terms
-from .common import small
+from .common import settled, small
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 #: Digits to which scores are compared.
@@ -119,12 +119,12 @@ def hopped(scores: DataFrame, links: DataFrame, hops: int, weight: float, seeds:
 
     The next seeds are the best of those just reached.
     """
-    own = scores.select("query_id", "doc_id", "score")
+    own = settled(scores.select("query_id", "doc_id", "score"))
     now, front = own, best(own, seeds).select("query_id", "doc_id", "score")
     for _ in range(hops):
         gained = front.join(links.select("doc_id", "to"), "doc_id").where("to <> doc_id").groupBy("query_id", F.col("to").alias("doc_id")).agg(F.max("score").alias("gain"))
         reached = gained.join(own, ["query_id", "doc_id"], "left").select("query_id", "doc_id", (F.coalesce("score", F.lit(0.0)) + weight * F.col("gain")).alias("score"))
-        now = merged_best([now, reached])
+        now = settled(merged_best([now, reached]))
         front = best(now.join(gained.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi"), seeds).select("query_id", "doc_id", "score")
     return now
 

@@ -18,6 +18,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions.text import terms
 from . import catalogue, chunking, ranking, vectors
+from .common import settled
 
 CANDIDATES, WORD_WEIGHT, MAX_HOPS = 50, 0.2, 2
 _SPELLING = re.compile(r"(words|meaning|fused)(?::([^+]+(?:\+\d+)?))?(?:\+hop(\d+)x((?:(?!\+rerank:).)+))?(?:\+rerank:([a-z0-9][a-z0-9.-]*)@(\d+))?")
@@ -81,7 +82,7 @@ def scores(corpus: Corpus, queries: DataFrame, variant: Variant, count: int = CA
     """query_id, doc_id, score before any judge. queries: query_id, text, and embedding unless the side is words."""
     words = meaning = None
     if variant.side != "meaning":
-        words = ranking.best(ranking.bm25(corpus.docs, queries), count).select("query_id", "doc_id", "score")
+        words = settled(ranking.best(ranking.bm25(corpus.docs, queries), count).select("query_id", "doc_id", "score"))
     if variant.side != "words":
         if corpus.vectors is None:
             raise ValueError("meaning needs vectors")
@@ -125,7 +126,7 @@ def find(corpus: Corpus, queries: DataFrame, variant: Variant, limit: int, priva
             ranked = each.withColumn("rank", F.row_number().over(order))
             own = ranking.best(out, 1 << 30)
             out = ranking.merged_reciprocal([own, ranked])
-    rows = ranking.best(out, 1 << 30).join(corpus.docs.select("doc_id"), "doc_id", "left_semi")
+    rows = settled(ranking.best(out, 1 << 30).join(corpus.docs.select("doc_id"), "doc_id", "left_semi"))
     if variant.judge:
         judge = (judges or {})[variant.judge]
         first = rows.where(F.col("rank") <= variant.top).select("query_id", "doc_id")

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions import text as T
 from ..operators import catalogue, chunking, links
+from ..operators.search import index_pass as one_pass
 from ..sources import readers
 from .registry import query, table
 
@@ -135,3 +136,15 @@ def consecutive_headers(spark: SparkSession, d: str) -> DataFrame:
     by = W.partitionBy("lang").orderBy("doc_id")
     docs = table(spark, d, "documents").select("doc_id", "lang", "source")
     return docs.withColumn("ordinal", F.row_number().over(by)).withColumn("before", F.lag("source").over(by)).where(~F.col("before").eqNullSafe(F.col("source"))).select("doc_id", "ordinal", F.col("source").alias("header"))
+
+
+@query("""WITH held AS (SELECT doc_id, n_chars FROM documents WHERE lang <> 'fr'), listing AS (SELECT doc_id, CASE WHEN lang = 'es' THEN n_chars + 1 ELSE n_chars END AS n_chars FROM documents WHERE source <> 'src3')
+SELECT CASE WHEN h.doc_id IS NULL THEN 'added' WHEN l.doc_id IS NULL THEN 'vanished' WHEN l.n_chars = h.n_chars THEN 'unchanged' ELSE 'changed' END AS outcome, count(*) AS n FROM listing l FULL JOIN held h USING (doc_id) GROUP BY ALL""")
+def index_pass(spark: SparkSession, d: str) -> DataFrame:
+    """The report of a pass over a listing without one source, where the texts of one language have grown and one language is new."""
+    docs = table(spark, d, "documents").select("doc_id", "lang", "source", F.col("n_chars").alias("size"), F.sha2("text", 256).alias("sha256"), "text")
+    name = catalogue.recipe("lines", 256, 40)
+    held = docs.where("lang <> 'fr'").select("doc_id", "size", "sha256", F.lit(name).alias("recipe"))
+    chunks = chunking.chunked(docs.where("lang <> 'fr'"))
+    listing = docs.where("source <> 'src3'").withColumn("size", F.when(F.col("lang") == "es", F.col("size") + 1).otherwise(F.col("size")))
+    return one_pass(listing.select("doc_id", "size", "sha256", "text"), held, chunks, name)[2]

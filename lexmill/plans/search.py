@@ -9,9 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.stemming import stems_of
 from ..functions.text import terms
 from ..operators import evaluation, ranking, vectors
-from ..operators.common import small
+from ..operators import search as searching
+from ..operators.common import settled, small
 from .registry import query, table
 
 TERM = r"[\p{L}\p{N}]+"
@@ -115,7 +117,7 @@ def _meaning(spark: SparkSession, d: str) -> DataFrame:
 
 def _fused(spark: SparkSession, d: str) -> DataFrame:
     """Top words and top meaning together, with the cosine of every word hit."""
-    words = ranking.best(_words(spark, d), DEPTH).select("query_id", "doc_id", "score")
+    words = settled(ranking.best(_words(spark, d), DEPTH).select("query_id", "doc_id", "score"))
     v = _vectors(spark, d)
     q = v.join(_questions(spark, d), F.col("vec_id") == F.col("query_id")).select("query_id", F.col("embedding").alias("qv"))
     hit = words.join(v.withColumnRenamed("vec_id", "doc_id"), "doc_id").join(small(q), "query_id").select("query_id", "doc_id", F.round(vectors.dot(F.col("qv"), F.col("embedding")), vectors.DIGITS).alias("score"))
@@ -173,7 +175,7 @@ judged AS (SELECT w.*, CASE WHEN rank <= 10 THEN len(list_filter({WORDS}, lambda
 SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY rank > 10, CASE WHEN rank <= 10 THEN -judged END, rank) AS new_rank, rank, score, CAST(judged AS DOUBLE) AS judged FROM judged""")
 def reranked(spark: SparkSession, d: str) -> DataFrame:
     """The first ten by a toy judge: how often a passage says `the`."""
-    words = ranking.best(_words(spark, d), 20)
+    words = settled(ranking.best(_words(spark, d), 20))
     judge = words.where("rank <= 10").select("query_id", "doc_id").join(table(spark, d, "documents"), "doc_id").select("query_id", "doc_id", F.size(F.filter(terms(F.col("text")), lambda t: t == "the")).cast("double").alias("judged"))
     return ranking.reranked(words, judge, 10)
 
@@ -221,3 +223,54 @@ def reminders(spark: SparkSession, d: str) -> DataFrame:
     n = said.join(small(asked), "term").where("query_id <> conv_id").groupBy("query_id", "conv_id", "turn").agg(F.count("*").alias("n"))
     order = W.partitionBy("query_id").orderBy(F.desc("n"), F.desc("conv_id"), F.desc("turn"))
     return n.withColumn("r", F.row_number().over(order)).where("r <= 3").drop("r")
+
+
+@query()
+def stems(spark: SparkSession, d: str) -> DataFrame:
+    """Each distinct term with its stem."""
+    return stems_of(table(spark, d, "documents").select(F.explode(terms(F.col("text"))).alias("term")))
+
+
+@query()
+def search_variant(spark: SparkSession, d: str) -> DataFrame:
+    """Fused search with one link hop and a toy judge, private sources left out."""
+    from pyspark.sql.window import Window as W
+
+    docs = table(spark, d, "documents")
+    links = docs.select("doc_id", F.lead("doc_id").over(W.partitionBy("source").orderBy("doc_id")).alias("to")).where("to is not null")
+    vecs = _vectors(spark, d).join(docs, F.col("vec_id") == F.col("doc_id"), "left_semi")
+    corpus = searching.Corpus(docs.select("doc_id", "text"), vecs, links, docs.where("source = 'src0'").select("doc_id"))
+    asked = _vectors(spark, d).join(_questions(spark, d), F.col("vec_id") == F.col("query_id")).select("query_id", "text", "embedding")
+    judge = lambda rows: rows.select("query_id", "doc_id", F.size(F.array_intersect(terms(F.col("text")), terms(F.col("body")))).cast("double").alias("judged"))
+    return searching.find(corpus, asked, searching.Variant.parse("fused+hop1x0.3+rerank:shared-terms@10"), LIMIT, private=False, judges={"shared-terms": judge})
+
+
+@query()
+def recall_search(spark: SparkSession, d: str) -> DataFrame:
+    """Past turns for the first turn of every 50th conversation."""
+    m = table(spark, d, "conversations")
+    turns = m.where("turn > 0").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), F.col("conv_id").alias("at"), "text")
+    asked = m.where("turn = 0 and conv_id % 50 = 0").select(F.col("conv_id").alias("query_id"), "text")
+    return searching.recall(turns, asked, 5)
+
+
+@query(f"""WITH q AS (SELECT DISTINCT query_id, term FROM (SELECT item_id AS query_id, unnest({WORDS}) AS term FROM benchmark)), sizes AS (SELECT query_id, count(*) AS size FROM q GROUP BY ALL),
+d AS (SELECT DISTINCT doc_id, term FROM (SELECT doc_id, unnest({WORDS}) AS term FROM documents)), m AS (SELECT query_id, doc_id, count(*) AS n FROM q JOIN d USING (term) GROUP BY ALL)
+SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM m JOIN sizes USING (query_id) WHERE n = size)""")
+def forget_about(spark: SparkSession, d: str) -> DataFrame:
+    """The documents that are left after forgetting all that hold every word of a benchmark item."""
+    return searching.forget(table(spark, d, "documents").select("doc_id", "text"), _questions(spark, d)).select("doc_id")
+
+
+@query()
+def bootstrap_delta(spark: SparkSession, d: str) -> DataFrame:
+    """Resampled differences of reciprocal rank between fused and word search."""
+    one = (F.lit(None).cast("int").alias("page"), F.lit(1).alias("start"), F.lit(1).alias("end"))
+    gold = ranking.phrase(table(spark, d, "documents"), _questions(spark, d)).select("query_id", F.col("doc_id").alias("gold_id"), F.col("doc_id").cast("string").alias("path"), *one)
+
+    def reciprocal(found: DataFrame, name: str) -> DataFrame:
+        ranked = found.select("query_id", "rank", F.col("doc_id").cast("string").alias("path"), *one)
+        return evaluation.rank_scores(evaluation.hits(ranked, gold), gold).select("query_id", F.col("reciprocal_rank").alias(name))
+
+    a, b = reciprocal(ranking.best(_fused(spark, d), LIMIT), "a"), reciprocal(ranking.best(_words(spark, d), LIMIT), "b")
+    return evaluation.bootstrap(a.join(b, "query_id"), 2000)
