@@ -8,10 +8,12 @@ and the full distance is verified.
 
 A bucket of equal variants may hold a third of the table, so its pairs are
 never written out. First every member is compared with the bucket's smallest
-fingerprint, and what links is joined into partial components. Then buckets
-whose members are in one component are done, and in the others the members
-outside the bucket's largest component are compared with the rest, so no pair
-inside one component is looked at again. No link between components is lost.
+fingerprint, and what links is joined into partial components. Buckets whose
+members are in one component are done. Large ones among the others are
+compared with further leads, picked by a hash, for some rounds. Last, in every
+bucket that still has several components, the members outside its largest
+component are compared with the rest, so no pair inside one component is
+looked at again. No link between components is lost.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ from .common import mapped, saved, table
 from .graph import components
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
+#: Rounds of further leads at most, and the members of a bucket from which they are worth it.
+ROUNDS, LARGE = 6, 8
 _STEP = 1 << 15
 
 
@@ -90,21 +94,45 @@ def linked(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     lead = F.min("fp").over(W.partitionBy("key"))
     stars = index.withColumn("lead", lead).where((F.col("lead") != F.col("fp")) & _near(F.col("lead"), F.col("fp"), distance)).select(F.col("fp").alias("u"), F.col("lead").alias("v"))
     partial = nodes.join(components(stars).withColumnRenamed("u", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
-    sized = saved(partial.join(partial.groupBy("root").agg(F.count("*").alias("size")), "root").select("fp", "root", "size"))
-    bucket = W.partitionBy("key")
-    mixed = saved(
-        sized.select("fp", "root", "size", F.explode(_keys(F.col("fp"), distance)).alias("key"))
-        .withColumn("largest", F.max(F.struct("size", "root")).over(bucket)["root"])
-        .withColumn("other", F.min("root").over(bucket) != F.max("root").over(bucket))
-        .where("other")
-        .select("key", "fp", "root", (F.col("root") != F.col("largest")).alias("minor"))
-    )
+    sized = _sized(partial)
+    mixed = saved(_mixed(sized, distance))
+    merges, large = None, mixed.where(F.col("n") >= LARGE).select("key", "fp", "root")
+    for turn in range(ROUNDS):
+        led = large.withColumn("lead", F.min(F.struct(F.xxhash64("fp", F.lit(turn)), "fp", "root")).over(W.partitionBy("key")))
+        links = led.where((F.col("root") != F.col("lead.root")) & _near(F.col("fp"), F.col("lead.fp"), distance)).select(F.col("root").alias("u"), F.col("lead.root").alias("v"))
+        moves = saved(components(links).select(F.col("u").alias("root"), F.col("root").alias("top")).where("root <> top"))
+        if not moves.take(1):
+            break
+        merges = moves if merges is None else _after(merges, moves)
+        large = saved(large.join(moves, "root", "left").select("key", "fp", F.coalesce("top", "root").alias("root")))
+    if merges is not None:
+        sized = _sized(sized.select("fp", "root").join(merges, "root", "left").select("fp", F.coalesce("top", "root").alias("root")))
+        mixed = saved(_mixed(sized, distance))
     a, b = mixed.where("minor").alias("a"), mixed.alias("b")
     across = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.root") != F.col("b.root")) & _near(F.col("a.fp"), F.col("b.fp"), distance)).select(F.col("a.root").alias("u"), F.col("b.root").alias("v"))
     joined = components(across).select(F.col("u").alias("root"), F.col("root").alias("top"))
     return sized.select("fp", "root").join(joined, "root", "left").select("fp", F.coalesce("top", "root").alias("root"))
 
 
+def _sized(roots: DataFrame) -> DataFrame:
+    """fp, root, size: size is the number of fingerprints of the root."""
+    return saved(roots.join(roots.groupBy("root").agg(F.count("*").alias("size")), "root").select("fp", "root", "size"))
+
+
+def _mixed(sized: DataFrame, distance: int) -> DataFrame:
+    """key, fp, root, n, minor of the buckets that hold several components; minor members are not of the bucket's largest."""
+    bucket = W.partitionBy("key")
+    index = sized.select("fp", "root", "size", F.explode(_keys(F.col("fp"), distance)).alias("key"))
+    seen = index.withColumn("n", F.count("*").over(bucket)).withColumn("low", F.min("root").over(bucket)).withColumn("high", F.max("root").over(bucket)).withColumn("top", F.max(F.struct("size", "root")).over(bucket)["root"])
+    return seen.where("low <> high").select("key", "fp", "root", "n", (F.col("root") != F.col("top")).alias("minor"))
+
+
+def _after(first: DataFrame, then: DataFrame) -> DataFrame:
+    """(root, top) of two mappings, one after the other."""
+    through = first.join(then.select(F.col("root").alias("top"), F.col("top").alias("last")), "top", "left").select("root", F.coalesce("last", "top").alias("top"))
+    return saved(through.unionByName(then.join(first.select("root"), "root", "left_anti")))
+
+
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE, k: int = SHINGLE) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable, itself included).
 
