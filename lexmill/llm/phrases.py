@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .repeats import Windows, covered, cut_words, removed, word_tokens
 
-#: Words in a window and in a k-gram; segments in a shard.
-WIDTH, GRAM, PER_SHARD = 35, 6, 4000
+#: Words in a window and in a k-gram; segments in a shard, and of one anchor in a shard at most.
+WIDTH, GRAM, PER_SHARD, MOST = 35, 6, 4000, 4096
 
 
 def confirmed(segments: list[tuple[int, tuple[int, ...]]], width: int) -> set[tuple[int, ...]]:
@@ -59,7 +59,7 @@ def _kept(text: bytes, spans: list[tuple[int, int]]) -> tuple[int, int, str]:
     return len(words), len(words) - len(keep), hashlib.sha256(b" ".join(keep)).hexdigest()
 
 
-def without_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+def without_repeats(docs: DataFrame, width: int = WIDTH, most: int = MOST) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256: one row for each input row.
 
     Words covered by a window that also starts elsewhere, in any row, are
@@ -68,7 +68,7 @@ def without_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     empty table gives no rows.
     """
     windows = Windows(width, min(GRAM, width), word_tokens)
-    spans = covered(docs, windows, cut_words, lambda segments: locate(segments, width), PER_SHARD)
+    spans = covered(docs, windows, cut_words, lambda segments: locate(segments, width), PER_SHARD, most)
     arrow = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
     return removed(docs, spans, _kept, "doc_id long, n_words long, n_removed long, kept_sha256 string", arrow)
 

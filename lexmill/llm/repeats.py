@@ -10,15 +10,17 @@ segments enter a shard once, with their number, so a passage that a third of
 all documents share is one entry. What the method finds for a segment then
 holds for every place where it stands.
 
-An anchor may stand in unboundedly many distinct segments (a common phrase
-among different words). Its windows are told apart by their own digests
-instead, counted with partial sums, so no task gets the group.
+A common phrase among different words would be the anchor of very many
+distinct segments. So the commonest k-grams are counted first and come last in
+the order: they are the anchor of windows that hold nothing else. If an anchor
+still has more segments than a shard takes, its windows are told apart by their
+own digests instead, counted with partial sums, so no task gets the group.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +29,8 @@ from pyspark.sql import functions as F
 
 from .common import partitions, saved
 
-#: Distinct segments of one anchor that go to a shard; tokens that are hashed at once; bits for a place among them.
-MOST_SEGMENTS, FLUSH, PLACE = 256, 1 << 21, 30
+#: Bytes of text that are hashed at once; bits for a place among their tokens; common k-grams that come last, at most.
+FLUSH, PLACE, COMMON = 1 << 21, 30, 10_000
 _NO_ID = -(1 << 63)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -82,11 +84,43 @@ def word_tokens(texts: list[bytes]) -> Tokens:
 
 @dataclass(frozen=True)
 class Windows:
-    """How texts are cut: width tokens a window, k tokens a k-gram."""
+    """How texts are cut: width tokens a window, k tokens a k-gram; `common` k-gram hashes come last."""
 
     width: int
     k: int
     tokens: Callable[[list[bytes]], Tokens]
+    common: tuple[int, ...] = ()
+
+    def order(self, grams: np.ndarray) -> np.ndarray:
+        """k-gram hashes as they are compared: the common ones above all others."""
+        out = grams >> np.uint64(1)
+        if self.common:
+            known = np.array(self.common, np.int64).view(np.uint64)
+            low = np.uint64((1 << 20) - 1)
+            seen = np.zeros(1 << 20, bool)
+            seen[(known & low).astype(np.int64)] = True
+            at = np.nonzero(seen[(grams & low).astype(np.int64)])[0]
+            out[at[np.isin(grams[at], known)]] |= np.uint64(1 << 63)
+        return out
+
+    def frequent(self, texts: list[bytes], least: int = 4) -> tuple[np.ndarray, np.ndarray]:
+        """(hash, places) of the k-grams found `least` times or more in these texts, among those small enough to become anchors.
+
+        A k-gram above the lowest 12 / (k-grams in a window) of all hashes is a window's smallest once in 160,000 times.
+        """
+        t = self.tokens(texts).values
+        if len(t) < self.k:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        grams = self.grams(t)[0]
+        part = min(1.0, 12 / (self.width - self.k + 1))
+        found, n = np.unique(grams[grams <= np.uint64(int(part * ((1 << 64) - 1025)))], return_counts=True)
+        return found[n >= least].view(np.int64), n[n >= least]
+
+    def grams(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """k-gram hashes, and the running sums they come from."""
+        up, down = _Powers.of(len(values) + 1)
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values * up[: len(values)])))
+        return _mix((sums[self.k :] - sums[: -self.k]) * down[: len(values) - self.k + 1]), sums
 
     def runs(self, texts: list[bytes]) -> tuple[np.ndarray, ...]:
         """(text, at, n, anchor, segment) of every run of windows with one anchor."""
@@ -97,11 +131,10 @@ class Windows:
             return none, none, none, none, none
         if size >= 1 << PLACE:
             raise ValueError("a text has too many tokens")
-        up, down = _Powers.of(size + 1)
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(t.values * up[:size])))
-        grams = _mix((sums[self.k :] - sums[: -self.k]) * down[: size - self.k + 1])
+        grams, sums = self.grams(t.values)
+        down = _Powers.of(size + 1)[1]
         place = np.uint64((1 << PLACE) - 1)
-        least = (grams & ~place) | np.arange(len(grams), dtype=np.uint64)
+        least = (self.order(grams) & ~place) | np.arange(len(grams), dtype=np.uint64)
         reach, wide = 1, self.width - self.k + 1
         while 2 * reach <= wide:
             least = np.minimum(least[:-reach], least[reach:])
@@ -255,8 +288,35 @@ def _by_digest(segments: DataFrame, windows: Windows) -> DataFrame:
     return found.select("anchor", "segment", "lo", F.transform("lo", lambda x: x + windows.width).alias("hi"))
 
 
-def covered(docs: DataFrame, windows: Windows, cut: Callable, method: Method, per_shard: int) -> DataFrame:
-    """d, h, spans array<struct<lo,hi>>: for each document the token ranges of windows that also start elsewhere; spans may overlap."""
+def common_grams(docs: DataFrame, windows: Windows, most: int) -> tuple[int, ...]:
+    """The commonest k-grams among those found in more than `most` places; COMMON at most, so they may go to every task.
+
+    They change which task does what, never what is found.
+    """
+    schema = pa.schema([("gram", pa.int64()), ("n", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, size = [], 0
+        for b in batches:
+            for text in b.column(0).to_pylist():
+                texts.append(text.encode())
+                size += len(texts[-1])
+                if size >= FLUSH:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in windows.frequent(texts)], schema=schema)
+                    texts, size = [], 0
+        if texts:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in windows.frequent(texts)], schema=schema)
+
+    counted = docs.where("text is not null").select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return tuple(sorted(r["gram"] for r in counted.where(F.col("n") > most).orderBy(F.desc("n"), "gram").limit(COMMON).collect()))
+
+
+def covered(docs: DataFrame, windows: Windows, cut: Callable, method: Method, per_shard: int, most: int) -> DataFrame:
+    """d, h, spans array<struct<lo,hi>>: for each document the token ranges of windows that also start elsewhere; spans may overlap.
+
+    A shard gets about per_shard segments; an anchor with more than `most` distinct ones is told apart by digests.
+    """
+    windows = replace(windows, common=common_grams(docs, windows, most))
     runs = saved(marks(docs, windows))
     flat = runs.select("d", "h", F.explode("runs").alias("r")).select("d", "h", "r.*")
     often = flat.groupBy("anchor").agg(F.count("*").alias("places")).where("places > 1").select("anchor")
@@ -265,7 +325,7 @@ def covered(docs: DataFrame, windows: Windows, cut: Callable, method: Method, pe
     first = live.groupBy("anchor", "segment").agg(F.count("*").alias("number"), F.min(F.struct("d", "h", "at", "n")).alias("at"))
     distinct = saved(first.select("anchor", "segment", "number", "at.*"))
     kinds = distinct.groupBy("anchor").agg(F.count("*").alias("kinds"))
-    parts = distinct.join(kinds, "anchor").where("kinds > 1 or number > 1").withColumn("hot", F.col("kinds") > MOST_SEGMENTS).drop("kinds")
+    parts = distinct.join(kinds, "anchor").where("kinds > 1 or number > 1").withColumn("hot", F.col("kinds") > most).drop("kinds")
     segments = saved(_sliced(parts, docs, cut, windows.width))
     found = _in_shards(segments.where("not hot"), method, windows.width, per_shard).unionByName(_by_digest(segments.where("hot"), windows))
     found = saved(found.where(F.size("lo") > 0))

@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .repeats import Windows, byte_tokens, covered, cut_bytes, removed
 
-#: Bytes in a window and in a k-gram; segments in a shard and in a batch.
-WIDTH, GRAM, PER_SHARD, BATCH = 400, 32, 1024, 128
+#: Bytes in a window and in a k-gram; segments in a shard, of one anchor in a shard at most, and in a batch.
+WIDTH, GRAM, PER_SHARD, MOST, BATCH = 400, 32, 1024, 1024, 128
 
 
 class Family:
@@ -91,7 +91,7 @@ def _kept(text: bytes, spans: list[tuple[int, int]]) -> tuple[int, int, int, str
     return len(text), len(text) - len(left), len(spans), hashlib.sha256(left).hexdigest()
 
 
-def without_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+def without_repeats(docs: DataFrame, width: int = WIDTH, most: int = MOST) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256: one row for each input row.
 
     Bytes covered by a string of `width` bytes that also starts elsewhere, in
@@ -100,7 +100,7 @@ def without_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     read; an empty table gives no rows.
     """
     windows = Windows(width, min(GRAM, width), byte_tokens)
-    spans = covered(docs, windows, cut_bytes, lambda segments: matches(segments, width), PER_SHARD)
+    spans = covered(docs, windows, cut_bytes, lambda segments: matches(segments, width), PER_SHARD, most)
     arrow = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
     return removed(docs, spans, _kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", arrow)
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 from collections import Counter
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -47,16 +48,15 @@ def texts(seed=1, n=60):
 
 @pytest.mark.parametrize("most", [256, 1])
 @pytest.mark.parametrize("words", [True, False])
-def test_equal_to_brute_force(spark, words, most, monkeypatch):
-    monkeypatch.setattr(repeats, "MOST_SEGMENTS", most)
+def test_equal_to_brute_force(spark, words, most):
     rows = texts()
     docs = spark.createDataFrame([(i, t, "k") for i, t in enumerate(rows)], "doc_id long, text string, anchor string")
     want = brute(rows, 35 if words else 400, words)
     if words:
-        got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in phrases.without_repeats(docs).collect()}
+        got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in phrases.without_repeats(docs, most=most).collect()}
         want = [(a, b, d) for a, b, _, d in want]
     else:
-        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.without_repeats(docs).collect()}
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.without_repeats(docs, most=most).collect()}
     assert [got[i] for i in range(len(rows))] == want
 
 
@@ -68,6 +68,19 @@ def test_edges(spark, fn):
     assert len(rows) == 4 and [r.n_removed == r[1] for r in rows] == [True] * 4
 
 
+def test_common_grams_come_last():
+    windows = repeats.Windows(35, 6, repeats.word_tokens)
+    line = " ".join(f"common{i}" for i in range(20))
+    rng = random.Random(3)
+    docs = [(" ".join(f"x{rng.random()}" for _ in range(40)) + " " + line + " " + " ".join(f"y{rng.random()}" for _ in range(40))).encode() for _ in range(200)]
+    common = tuple(windows.frequent(docs)[0].tolist())
+    assert max(Counter(windows.runs(docs)[3].tolist()).values()) > 50
+    again = replace(windows, common=common)
+    assert common and max(Counter(again.runs(docs)[3].tolist()).values()) == 1
+    text, at, n, _, _ = again.runs(docs)
+    assert sum(n) == sum(len(d.split()) - 34 for d in docs)
+
+
 def test_family_levels_and_matches():
     rng = np.random.default_rng(4)
     segments = [(1, 20, rng.integers(0, 2, 29).astype(np.uint8).tobytes()) for _ in range(70)]
