@@ -1,34 +1,42 @@
 """Toxicity scores from the nearest labelled examples by exact TF-IDF cosine.
 
 Examples are a bounded, hash-ordered sample of the rows whose labels may be
-learnt from. Their terms are those that go with the label (chi-square over the
-sample); document frequencies are counted over all documents. The examples'
-unit vectors are kept in an inverted index whose postings lie in blocks of
-example numbers, each with the largest weight of the block. A search visits
-blocks by falling upper bound and stops where no block can reach the k-th best
-cosine any more, so its neighbours are those of a full scan, ties going to the
-lower example number. Neighbours vote with their cosine as weight; an isotonic
-curve, fitted to the examples' leave-one-out votes, turns votes into
-probabilities. The neighbours are returned as evidence.
+learnt from. Every term of an example is a term of the vectors, none is left
+out; document frequencies are counted over all documents. A text's other words
+stand in no example, so they enter no product and no norm. The examples' unit
+vectors are kept in an inverted index whose postings lie in blocks of example
+numbers, each with the largest weight of the block. The commonest terms stand in
+nearly every block, where a largest weight says little: their share of the
+cosines is a matrix product. The k-th best share is a lower bound of the k-th
+best cosine, and only blocks whose best share with the largest weights of the
+other terms reaches it are looked into. So the neighbours are those of a full
+scan, ties going to the lower example number. Neighbours vote with their cosine as weight; an isotonic curve,
+fitted to the examples' leave-one-out votes, turns votes into probabilities.
+The neighbours are returned as evidence.
 """
 
 from __future__ import annotations
 
-import heapq
+import pickle
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
+from itertools import islice
 from math import log
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, learns, mapped, table
+from .common import held_out, learns, mapped, saved, table
 
-#: Examples at most; terms at most; least chi-square of a term; neighbours; examples in a block.
-EXAMPLES, TERMS, LEAST_CHI2, NEIGHBOURS, BLOCK = 8192, 256, 15.0, 15, 64
+#: Examples at most; neighbours; examples in a block.
+EXAMPLES, NEIGHBOURS, BLOCK = 8192, 15, 64
+#: Share of the examples from which a term is common; texts searched together.
+COMMON, TOGETHER = 1 / 16, 64
 #: Weight of the base rate among the votes.
 PRIOR_WEIGHT = 0.5
 THRESHOLD = 0.3
@@ -39,66 +47,118 @@ def terms_of(text: str | None) -> list[str]:
     return _TERM.findall((text or "").lower())
 
 
+def _ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... of count[0] numbers, then those of the next."""
+    ends = np.cumsum(count)
+    return np.repeat(start - ends + count, count) + np.arange(ends[-1] if len(ends) else 0)
+
+
 @dataclass
 class Index:
-    """Block-max inverted index of unit vectors over few terms."""
+    """Block-max inverted index of unit vectors.
 
-    idf: dict[str, float]
+    Postings (term, example, count, weight) are sorted by term and example. An
+    entry is the run of one term's postings in one block: where it begins, its
+    block and its largest weight; entries of a term are contiguous too.
+    """
+
+    number: dict[str, int]
+    idf: list[float]
     ids: list[int]
     labels: np.ndarray
-    postings: dict[str, dict[int, tuple[np.ndarray, np.ndarray]]]
-    most: dict[str, np.ndarray]
-    blocks: int
+    term: np.ndarray
+    example: np.ndarray
+    count: np.ndarray
+
+    def __post_init__(self) -> None:
+        raw = (1 + np.log(self.count)) * np.array(self.idf, float)[self.term]
+        norm = np.sqrt(np.bincount(self.example, raw * raw, len(self.ids)))
+        self.weight = raw / norm[self.example]
+        self.blocks = -(-len(self.ids) // BLOCK)
+        block = self.example // BLOCK
+        starts = np.nonzero(np.diff(self.term.astype(np.int64) * (self.blocks + 1) + block, prepend=-1))[0]
+        self.begin, self.block = np.append(starts, len(self.term)), block[starts]
+        self.most = np.maximum.reduceat(self.weight, starts) if len(starts) else self.weight
+        self.entries = np.searchsorted(self.term[starts], np.arange(len(self.number) + 1))
+        often = np.nonzero(np.bincount(self.term, minlength=len(self.number)) > COMMON * len(self.ids))[0]
+        self.row = np.full(len(self.number), -1)
+        self.row[often] = np.arange(len(often))
+        self.common = np.zeros((len(often), self.blocks * BLOCK))
+        own = self.row[self.term] >= 0
+        self.common[self.row[self.term[own]], self.example[own]] = self.weight[own]
+
+    def __reduce__(self) -> tuple:
+        """What is sent to the tasks: counts, packed; weights and entries are made again there."""
+        size = np.bincount(self.term, minlength=len(self.number))
+        return _unpacked, (zlib.compress(pickle.dumps((list(self.number), self.idf, self.ids, self.labels, size.astype(np.uint32), self.example.astype(np.uint32), self.count.astype(np.uint32))), 1),)
 
     def vector(self, counts: dict[str, int]) -> dict[str, float]:
-        raw = {t: (1 + log(n)) * self.idf[t] for t, n in counts.items() if t in self.idf}
+        raw = {t: (1 + log(n)) * self.idf[i] for t, n in counts.items() if (i := self.number.get(t)) is not None}
         norm = sum(w * w for w in raw.values()) ** 0.5
         return {t: w / norm for t, w in raw.items()} if norm else {}
 
     @classmethod
-    def build(cls, idf: dict[str, float], examples: list[tuple[int, int, dict[str, int]]]) -> Index:
-        """examples: (doc_id, label, term counts), numbered in their order."""
-        out = cls(idf, [e[0] for e in examples], np.array([e[1] for e in examples], float), {}, {}, -(-len(examples) // BLOCK))
-        lists: dict[str, dict[int, list[tuple[int, float]]]] = {}
-        for i, (_, _, counts) in enumerate(examples):
-            for t, w in out.vector(counts).items():
-                lists.setdefault(t, {}).setdefault(i // BLOCK, []).append((i % BLOCK, w))
-        for t, by in lists.items():
-            out.postings[t] = {b: (np.array([x[0] for x in xs]), np.array([x[1] for x in xs])) for b, xs in by.items()}
-            out.most[t] = np.zeros(out.blocks)
-            for b, (_, w) in out.postings[t].items():
-                out.most[t][b] = w.max()
-        return out
+    def build(cls, number: dict[str, int], idf: list[float], examples: list[tuple[int, int, np.ndarray, np.ndarray]]) -> Index:
+        """examples: (doc_id, label, term numbers, their counts), numbered in their order."""
+        none = np.zeros(0, np.int64)
+        term, count = np.concatenate([none, *(e[2] for e in examples)]), np.concatenate([none, *(e[3] for e in examples)])
+        example = np.repeat(np.arange(len(examples)), np.array([len(e[2]) for e in examples], int))
+        order = np.lexsort((example, term))
+        return cls(number, idf, [e[0] for e in examples], np.array([e[1] for e in examples], float), term[order].astype(np.int32), example[order].astype(np.int32), count[order].astype(np.int32))
 
     def nearest(self, query: dict[str, float], k: int = NEIGHBOURS, without: int = -1) -> list[tuple[float, int]]:
         """(cosine, example) of the k largest positive cosines, largest first, ties by example number."""
-        known = [(t, w) for t, w in query.items() if t in self.postings]
-        if not known:
+        return self.nearest_all([query], k, [without])[0]
+
+    def nearest_all(self, queries: list[dict[str, float]], k: int = NEIGHBOURS, without: list[int] | None = None) -> list[list[tuple[float, int]]]:
+        """`nearest` of each query."""
+        many = np.zeros((len(queries), len(self.common)))
+        rest = []
+        for j, query in enumerate(queries):
+            known = [(i, w) for t, w in query.items() if (i := self.number.get(t)) is not None]
+            terms, weights = np.array([i for i, _ in known], np.int64), np.array([w for _, w in known])
+            row = self.row[terms]
+            many[j, row[row >= 0]] = weights[row >= 0]
+            rest.append((terms[row < 0], weights[row < 0]))
+        shares = many @ self.common
+        return [self._best(share, *r, k, x) for share, r, x in zip(shares, rest, without or [-1] * len(queries), strict=True)]
+
+    def _best(self, share: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int, without: int) -> list[tuple[float, int]]:
+        """The k best from the examples' shares by common terms and a query's other terms."""
+        if not self.blocks:
             return []
-        bound = sum(w * self.most[t] for t, w in known)
-        best: list[tuple[float, int]] = []  # a heap of (cosine, -example)
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or (len(best) == k and bound[b] < best[0][0] - 1e-12):
-                break
-            scores = np.zeros(BLOCK)
-            for t, w in known:
-                if (found := self.postings[t].get(int(b))) is not None:
-                    scores[found[0]] += w * found[1]
-            for i in np.nonzero(scores > 0)[0]:
-                item = (round(float(scores[i]), 9), -(int(b) * BLOCK + int(i)))
-                if -item[1] == without:
-                    continue
-                if len(best) < k:
-                    heapq.heappush(best, item)
-                elif item > best[0]:
-                    heapq.heapreplace(best, item)
-        return [(s, -i) for s, i in sorted(best, reverse=True)]
+        if without >= 0:
+            share[without] = -9.0  # below all, whatever its other terms add
+        n = self.entries[terms + 1] - self.entries[terms]
+        entry, w = _ranges(self.entries[terms], n), np.repeat(weights, n)
+        block = self.block[entry]
+        bound = share.reshape(self.blocks, BLOCK).max(1) + np.bincount(block, w * self.most[entry], self.blocks)
+        least = np.partition(share, len(share) - k)[len(share) - k] if len(share) > k else 0.0
+        # cosines are rounded to nine digits, so a block less than that below the k-th may still tie
+        visit = (bound > 0) & (bound >= least - 1e-9)
+        own = visit[block]
+        e = entry[own]
+        n = self.begin[e + 1] - self.begin[e]
+        posting = _ranges(self.begin[e], n)
+        scores = share + np.bincount(self.example[posting], np.repeat(w[own], n) * self.weight[posting], len(share))
+        found = np.nonzero((scores > 5e-10) & (scores >= least - 1e-9) & np.repeat(visit, BLOCK))[0]
+        cosine = np.round(scores[found], 9)
+        if len(found) > k:
+            keep = cosine >= np.partition(cosine, len(cosine) - k)[len(cosine) - k]
+            cosine, found = cosine[keep], found[keep]
+        best = np.lexsort((found, -cosine))[:k]
+        return list(zip(cosine[best].tolist(), found[best].tolist(), strict=True))
 
     def vote(self, near: list[tuple[float, int]], base: float) -> float:
         weight = sum(s for s, _ in near)
         return (sum(s * self.labels[i] for s, i in near) + PRIOR_WEIGHT * base) / (weight + PRIOR_WEIGHT)
 
 
+def _unpacked(state: bytes) -> Index:
+    terms, idf, ids, labels, size, example, count = pickle.loads(zlib.decompress(state))
+    return Index({t: i for i, t in enumerate(terms)}, idf, ids, labels, np.repeat(np.arange(len(size), dtype=np.int32), size), example.astype(np.int32), count.astype(np.int32))
+
+
 def isotonic(votes: list[float], labels: list[float]) -> tuple[list[float], list[float]]:
     """Pool-adjacent-violators: (largest vote, rate) of each pool, both rising."""
     by: dict[float, list[float]] = {}
@@ -139,47 +199,60 @@ def examples_of(docs: DataFrame, labels: DataFrame, bound: int = EXAMPLES) -> Da
 
 def fit(docs: DataFrame, labels: DataFrame, bound: int = EXAMPLES) -> Model:
     """Learns terms, vectors and the curve from the examples; document frequencies come from all of `docs`."""
+    spark = docs.sparkSession
+    sample = saved(examples_of(docs, labels, bound))
 
     def words(each: Iterator[dict]) -> Iterator[tuple]:
-        both: dict[str, list[int]] = {}
-        for r in each:
-            for t in set(terms_of(r["text"])) | {""}:  # "" counts the examples
-                x = both.setdefault(t, [0, 0])
-                x[0] += 1
-                x[1] += r["toxic"]
-        for t, (n, hits) in both.items():
-            yield t, n, hits
-
-    sample = examples_of(docs, labels, bound)
-    counted = mapped(sample, "term string, n long, hits long", words).groupBy("term").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
-    total = counted.where("term = ''").first()
-    if total is None:
-        return Model(Index.build({}, []), 0.0, [], [])
-    n, hits = total["n"], total["hits"]
-    # observed against expected in the 2 x 2 table of term and label
-    chi2 = F.expr(f"{n} * pow(hits * double({n} - {hits} - (n - hits)) - (n - hits) * double({hits} - hits), 2) / (double(n) * double({n} - n) * {hits} * {n - hits})")
-    chosen = [r["term"] for r in counted.where(f"term <> '' and n >= 3 and n < {n}").withColumn("chi2", chi2).where(f"chi2 >= {LEAST_CHI2}").orderBy(F.desc("chi2"), "term").limit(TERMS).collect()]
-    known = frozenset(chosen)
+        for t in {t for r in each for t in terms_of(r["text"])}:
+            yield (t,)
+
+    number = {t: i for i, t in enumerate(sorted(mapped(sample.select("text"), "term string", words).distinct().toArrow()["term"].to_pylist()))}
+    # the terms of at most `bound` examples
+    shared = spark.sparkContext.broadcast(number)
 
     def frequencies(each: Iterator[dict]) -> Iterator[tuple]:
+        known = shared.value
         df: Counter = Counter()
+        n = 0
         for r in each:
-            df[""] += 1
-            df.update(known.intersection(terms_of(r["text"])))
-        yield from df.items()
+            n += 1
+            df.update(known.keys() & set(terms_of(r["text"])))
+        yield -1, n
+        for t, m in df.items():
+            yield known[t], m
 
-    df = dict(mapped(docs.select("text"), "term string, n long", frequencies).groupBy("term").agg(F.sum("n").alias("n")).collect())
-    idf = {t: log((1 + df[""]) / (1 + df.get(t, 0))) + 1 for t in sorted(known)}
+    counted = mapped(docs.select("text"), "term int, n long", frequencies).groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    df = dict(zip(counted["term"].to_pylist(), counted["n"].to_pylist(), strict=True))
+    total = df.get(-1, 0)
+    idf = [log((1 + total) / (1 + df.get(i, 0))) + 1 for i in range(len(number))]
 
     def vectors(each: Iterator[dict]) -> Iterator[tuple]:
+        known = shared.value
         for r in each:
-            yield r["doc_id"], r["toxic"], dict(Counter(t for t in terms_of(r["text"]) if t in known))
-
-    rows = sorted(tuple(r) for r in mapped(sample, "doc_id long, toxic int, counts map<string,int>", vectors).collect())
-    index = Index.build(idf, rows)
-    base = hits / n
-    votes = [round(index.vote(index.nearest(index.vector(c), without=i), base), 9) for i, (_, _, c) in enumerate(rows)]
-    return Model(index, base, *isotonic(votes, [float(r[1]) for r in rows]))
+            counts = Counter(terms_of(r["text"]))
+            yield r["doc_id"], r["toxic"], [known[t] for t in counts], list(counts.values())
+
+    got = mapped(sample, "doc_id long, toxic int, terms array<int>, counts array<int>", vectors).toArrow().sort_by("doc_id")
+    ids, toxic = got["doc_id"].to_pylist(), got["toxic"].to_pylist()
+    if not ids:
+        return Model(Index.build({}, [], []), 0.0, [], [])
+    shared.destroy()
+    rows = [(i, y, t.values.to_numpy().astype(np.int64), c.values.to_numpy()) for i, y, t, c in zip(ids, toxic, got["terms"], got["counts"], strict=True)]
+    index = Index.build(number, idf, rows)
+    base = sum(toxic) / len(toxic)
+    place = {d: i for i, d in enumerate(ids)}
+    sent = spark.sparkContext.broadcast((index, place))
+
+    def voted(each: Iterator[dict]) -> Iterator[tuple]:
+        index, place = sent.value
+        while some := list(islice(each, TOGETHER)):
+            vectors = [index.vector(Counter(terms_of(r["text"]))) for r in some]
+            for r, near in zip(some, index.nearest_all(vectors, without=[place[r["doc_id"]] for r in some]), strict=True):
+                yield r["doc_id"], round(index.vote(near, base), 9)
+
+    votes = mapped(sample.select("doc_id", "text"), "doc_id long, vote double", voted).toArrow().sort_by("doc_id")["vote"].to_pylist()
+    sent.destroy()
+    return Model(index, base, *isotonic(votes, [float(y) for y in toxic]))
 
 
 def scored(docs: DataFrame, model: Model, k: int = NEIGHBOURS) -> DataFrame:
@@ -189,20 +262,20 @@ def scored(docs: DataFrame, model: Model, k: int = NEIGHBOURS) -> DataFrame:
     Rows are one to one with the input's; columns other than doc_id and text
     are not read.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by EXAMPLES and TERMS
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by EXAMPLES
 
     def rows(each: Iterator[dict]) -> Iterator[tuple]:
         m = shared.value
-        memo: dict[tuple, tuple] = {}
-        known = frozenset(m.index.idf)
-        for r in each:
-            key = tuple(sorted(Counter(t for t in terms_of(r["text"]) if t in known).items()))
-            if (got := memo.get(key)) is None:
-                if len(memo) > 100_000:
-                    memo.clear()
-                near = m.index.nearest(m.index.vector(dict(key)), k)
-                got = memo[key] = (m.score(near), [m.index.ids[i] for _, i in near])
-            yield r["doc_id"], *got
+        memo: dict[bytes, tuple] = {}
+        while some := list(islice(each, TOGETHER)):
+            keys = [blake2b((r["text"] or "").encode("utf-8", "surrogatepass"), digest_size=16).digest() for r in some]
+            if len(memo) > 20_000:
+                memo.clear()
+            new = {key: r["text"] for key, r in zip(keys, some, strict=True) if key not in memo}
+            found = m.index.nearest_all([m.index.vector(Counter(terms_of(x))) for x in new.values()], k)
+            memo.update((key, (m.score(near), [m.index.ids[i] for _, i in near])) for key, near in zip(new, found, strict=True))
+            for key, r in zip(keys, some, strict=True):
+                yield r["doc_id"], *memo[key]
 
     return mapped(docs.select("doc_id", "text"), "doc_id long, score double, evidence array<long>", rows)
 

@@ -167,6 +167,34 @@ def test_toxicity_neighbours_are_exact_and_learn(spark):
     assert {r.score for r in toxicity.scored(docs, empty).collect()} == {0.0}
 
 
+def test_toxicity_vectors_hold_every_term_of_the_examples(spark):
+    from collections import Counter
+    from math import log
+
+    rng = random.Random(3)
+    vocab = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(900)]
+    rows = [(i, _prose(rng, rng.choice([5, 40]), vocab) + (" villain" if i == 4 else "")) for i in range(300)]
+    docs = spark.createDataFrame([*rows, (900, "villain unseenword")], "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(i, int(i % 7 == 0)) for i, _ in rows], "doc_id long, toxic int"))
+    counts = {i: Counter(t.split()) for i, t in rows}
+    ids = [i for i, _ in rows if not _held(i)]
+    df = Counter(t for c in counts.values() for t in c) + Counter(["villain", "unseenword"])
+    vocabulary = {t for i in ids for t in counts[i]}
+    assert set(model.index.number) == vocabulary and len(vocabulary) > 256 and not _held(4)
+
+    def unit(c):
+        v = {t: (1 + log(n)) * (log(302 / (1 + df[t])) + 1) for t, n in c.items() if t in vocabulary}
+        norm = sum(w * w for w in v.values()) ** 0.5
+        return {t: w / norm for t, w in v.items()}
+
+    vectors = {i: unit(c) for i, c in counts.items()}
+    got = {r.doc_id: r.evidence for r in toxicity.scored(docs, model).collect()}
+    for i, v in vectors.items():
+        cosine = [(-round(sum(w * vectors[d].get(t, 0) for t, w in v.items()), 9), d) for d in ids]
+        assert got[i] == [d for c, d in sorted(cosine)[: toxicity.NEIGHBOURS] if c < 0]
+    assert got[900] == [4]
+
+
 def test_isotonic():
     votes, rates = toxicity.isotonic([0.1, 0.2, 0.3, 0.4], [0, 1, 0, 1])
     assert rates == sorted(rates) and rates[0] == 0 and rates[-1] == 1
