@@ -2,10 +2,11 @@
 
 A mask is a fixed pattern of token positions: ones are hashed, zeros ignored.
 Every place of every benchmark item and of every document is hashed under each
-mask; equal hashes are hits, also where the ignored tokens differ. Around a hit
-the two texts are laid side by side and the equal tokens of a window are
-counted, so a passage with some substituted words is still found and a chance
-hit is not.
+mask; equal hashes are hits, also where the ignored tokens differ. At a hit
+the document is laid beside the whole item, hits of one such diagonal once, and
+a stretch anywhere on it is looked for whose tokens are mostly equal. So a part
+of an item, or a passage with some substituted words, is still found and a
+chance hit is not.
 
 The hashed items are broadcast only after their rows have been counted and
 found under a bound; beyond it the hits come from a shuffled join, whose hot
@@ -22,11 +23,11 @@ from .common import saved, table
 #: Fixed masks of one span: ones are the hashed positions.
 MASKS = ("1111001011", "1101011101", "1011110111")
 SPAN = 10
-#: Tokens on the window's side that follows the hit, and before it.
-AFTER, BEFORE = 18, 6
-#: Least share of equal tokens in the window, and least equal tokens (or all of a shorter item).
+#: Least share of equal tokens in a stretch, and least equal tokens.
 LEAST_SHARE, LEAST_EQUAL = 0.75, 9
-#: Seeds that may be broadcast: about 300 bytes each. Token places in a block.
+#: Least aligned tokens in a stretch (or all of a shorter item). One of twice that or more can be halved, and a half has the share too, so lengths below suffice.
+LEAST_STRETCH = 13
+#: Seeds that may be broadcast. Token places in a block, more where an item is longer.
 MOST_BROADCAST, BLOCK = 200_000, 512
 
 
@@ -39,54 +40,79 @@ def _hashed(text: Column) -> Column:
     return F.transform(tokens(text), lambda w: F.xxhash64(w))
 
 
-def _places(df: DataFrame, carried: str) -> DataFrame:
-    """carried, b, p, key: a row for each token place and mask that fits, p being the place in block b; needs the array column h.
+def _blocks(df: DataFrame, carried: str, room: int) -> DataFrame:
+    """carried, first, lead, n, b: blocks of n token places, the places from `lead` on in b, with up to `room` tokens on both sides; b begins at token `first`. Needs the array column h.
 
-    A block holds BLOCK places with the tokens around them, so however long a
-    text is, no row carries more than that.
+    A block has max(BLOCK, room) places, so however long a text is, no row
+    carries more than three times that.
     """
     fits = F.size("h") - SPAN + 1
+    places = max(BLOCK, room)
 
     def block(i: Column) -> Column:
-        lead = F.least(i, F.lit(BEFORE))
-        return F.struct(lead.alias("lead"), F.least(F.lit(BLOCK), fits - i).alias("n"), F.slice("h", i - lead + 1, lead + BLOCK + AFTER).alias("b"))
+        lead = F.least(i, F.lit(room))
+        return F.struct((i - lead).alias("first"), lead.alias("lead"), F.least(F.lit(places), fits - i).alias("n"), F.slice("h", i - lead + 1, lead + places + max(room, SPAN)).alias("b"))
 
     # no filter on the size: it would move below and cut every text twice
-    starts = F.when(fits > 0, F.sequence(F.lit(0), fits - 1, F.lit(BLOCK))).otherwise(F.array().cast("array<int>"))
-    blocks = df.select(carried, F.explode(F.transform(starts, block)).alias("x"))
-    at = blocks.select(carried, "x.*").select(carried, "b", F.explode(F.sequence(F.col("lead"), F.col("lead") + F.col("n") - 1)).alias("p"))
+    starts = F.when(fits > 0, F.sequence(F.lit(0), fits - 1, F.lit(places))).otherwise(F.array().cast("array<int>"))
+    return df.select(carried, F.explode(F.transform(starts, block)).alias("x")).select(carried, "x.*")
+
+
+def _places(blocks: DataFrame, *carried: str) -> DataFrame:
+    """carried, p, key: a row for each token place and mask that fits, p being the place in block b."""
+    at = blocks.select(*carried, "b", F.explode(F.sequence(F.col("lead"), F.col("lead") + F.col("n") - 1)).alias("p"))
     keys = [F.xxhash64(F.lit(i), *[F.get("b", F.col("p") + k) for k, bit in enumerate(mask) if bit == "1"]) for i, mask in enumerate(MASKS)]
-    return at.select(carried, "b", "p", F.explode(F.array(*keys)).alias("key"))
+    return at.select(*carried, "b", "p", F.explode(F.array(*keys)).alias("key"))
+
+
+def seeds(items: DataFrame) -> DataFrame:
+    """key, item, q of every place q of every item (item, h)."""
+    return _places(_blocks(items, "item", 0), "item", "first").select("key", "item", (F.col("first") + F.col("p")).alias("q")).distinct()
+
+
+def _beside(own: DataFrame) -> Column:
+    """A 1 for each token of item h that equals the one beside it in b, else 0, where h[q] is beside b[p]."""
+    start = F.col("p") - F.col("q")
+    ours = F.slice("b", F.greatest(start, F.lit(0)) + 1, F.size("h") + F.least(start, F.lit(0)))
+    theirs = F.slice("h", F.greatest(-start, F.lit(0)) + 1, F.size("h"))
+    equal = F.array_join(F.zip_with(ours, theirs, lambda x, y: F.when(x == y, "1").otherwise("0")), "")
+    # what is missing where the document begins or ends is unequal
+    return F.lpad(equal, F.size("h"), F.lit("0"))
+
 
+def _stretches(bits: Column, least: Column) -> Column:
+    """(share, n_equal) of every stretch of bits that is good."""
 
-def _near(places: DataFrame) -> DataFrame:
-    """before and around in place of the block: the hashes of up to BEFORE tokens before a place and AFTER from it on."""
-    before = F.least(F.col("p"), F.lit(BEFORE))
-    return places.withColumns({"before": before, "around": F.slice("b", F.col("p") - before + 1, before + AFTER)}).drop("b", "p")
+    def measured(i: Column, n: Column) -> Column:
+        equal = F.length(F.replace(F.substring(bits, i, n), F.lit("0"), F.lit("")))
+        return F.struct((equal / n).alias("share"), equal.alias("n_equal"))
 
+    def of(n: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.length(bits) - n + 1), lambda i: measured(i, n))
 
-def seeds(benchmark: DataFrame) -> DataFrame:
-    """key, item_id, before, around of every place of every item; equal seeds of one item count once."""
-    return _near(_places(benchmark.select("item_id", _hashed(F.col("text")).alias("h")), "item_id")).distinct()
+    lengths = F.sequence(least, F.least(2 * least - 1, F.length(bits)))
+    every = F.when(F.length(bits) >= least, F.flatten(F.transform(lengths, of)))
+    return F.filter(every, lambda x: (x["share"] >= LEAST_SHARE) & (x["n_equal"] >= LEAST_EQUAL))
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, key: Column, bound: int = MOST_BROADCAST) -> DataFrame:
-    """_key, item_id, share, n_equal, n_hits: verified overlaps of each document key and item, with the figures of the best window."""
-    small = saved(seeds(benchmark)).select("key", "item_id", F.col("before").alias("lead"), F.col("around").alias("item"))
-    places = _places(docs.select(key.alias("_key"), _hashed(F.col("text")).alias("h")), "_key")
+    """_key, item_id, share, n_equal, n_hits: verified overlaps of each document key and item, with the largest share and number of equal tokens of a good stretch."""
+    items = saved(benchmark.select("item_id", _hashed(F.col("text")).alias("h")).distinct().withColumn("item", F.monotonically_increasing_id()))
+    room = items.agg(F.max(F.size("h"))).first()[0] or 0
+    small = saved(seeds(items))
+    blocks = _blocks(docs.select(key.alias("_key"), _hashed(F.col("text")).alias("h")), "_key", room)
     if small.limit(bound + 1).count() <= bound:
-        own = _near(places.join(F.broadcast(small), "key"))  # a block is looked into for hits only
+        # no more tokens in items that have a seed than about that bound
+        seeded = items.join(small.select("item").distinct(), "item", "left_semi")
+        own = _places(blocks, "_key").join(F.broadcast(small), "key").join(F.broadcast(seeded), "item")
     else:
-        own = _near(places).join(small, "key")  # blocks are not shuffled
-    # laid side by side at the hit; what is missing where the document begins or ends is unequal
-    cut = F.col("lead") - F.col("before")
-    theirs = F.slice("item", F.greatest(cut, F.lit(0)) + 1, F.size("item"))
-    ours = F.slice("around", F.greatest(-cut, F.lit(0)) + 1, F.size("around"))
-    equal = F.size(F.filter(F.zip_with(ours, theirs, lambda x, y: x == y), lambda x: x))
-    seen = own.select("_key", "item_id", equal.alias("n_equal"), F.size("item").alias("n"))
-    good = (F.col("n_equal") >= LEAST_SHARE * F.col("n")) & (F.col("n_equal") >= LEAST_EQUAL)
-    # judged inside the aggregate: a filter would move into the join and take its probing loop out of generated code
-    found = seen.groupBy("_key", "item_id").agg(F.max(F.when(good, F.col("n_equal") / F.col("n"))).alias("share"), F.max(F.when(good, F.col("n_equal"))).alias("n_equal"), F.count_if(good).alias("n_hits"))
+        kept = saved(blocks.withColumn("block", F.monotonically_increasing_id()))
+        found = _places(kept, "block").drop("b").join(small, "key").select("block", "item", "p", "q")  # blocks are not shuffled with every place
+        own = found.join(kept.select("block", "_key", "b"), "block").join(items, "item")
+    diagonals = own.select("_key", "item", "item_id", F.size("h").alias("n"), _beside(own).alias("bits")).groupBy("_key", "item", "item_id", "n", "bits").agg(F.count("*").alias("n_hits"))
+    # judged inside the aggregate: a filter would move below the merging of hits and be evaluated for each of them
+    good = _stretches(F.col("bits"), F.least(F.col("n"), F.lit(LEAST_STRETCH)))
+    found = diagonals.groupBy("_key", "item_id").agg(F.max(F.array_max(good["share"])).alias("share"), F.max(F.array_max(good["n_equal"])).alias("n_equal"), F.sum(F.when(F.size(good) > 0, F.col("n_hits"))).alias("n_hits"))
     return found.where("n_hits > 0")
 
 

@@ -39,6 +39,31 @@ def test_decontamination_finds_substituted_passages_and_leaves_clean_documents(s
     assert decontaminate.overlaps(docs.limit(0), bench).collect() == []
 
 
+@pytest.mark.parametrize("bound", [decontaminate.MOST_BROADCAST, 1])
+def test_decontamination_finds_parts_of_items(spark, bound):
+    rng = random.Random(5)
+    vocab = [f"word{i}" for i in range(3000)]
+    items = [(i, _prose(rng, n, vocab)) for i, n in enumerate([38, 38, 38, 11, 1400])]
+    words = [t.split() for _, t in items]
+    around = lambda x: " ".join([_prose(rng, 30, vocab), *x, _prose(rng, 30, vocab)])
+    docs, want = [], set()
+    for at in range(26):  # every quote of 13 tokens
+        docs.append((at, around(words[0][at : at + 13])))
+        want.add((at, 0))
+    for at in range(0, 19, 3):  # 20 tokens, three of them changed
+        quote = words[1][at : at + 20]
+        for k in (3, 16, 18):
+            quote[k] = "changed"
+        docs.append((100 + at, around(quote)))
+        want.add((100 + at, 1))
+    docs += [(200, around(words[2][5:14])), (201, around(words[3])), (202, " ".join(words[2][20:33])), (203, around(words[4][1300:1320])), (205, " ".join(words[2][20:32]) + " " + _prose(rng, 30, vocab)), (204, _prose(rng, 2000, vocab) + " " + " ".join(words[4][700:720]))]
+    want |= {(201, 3), (202, 2), (205, 2), (203, 4), (204, 4)}
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    got = decontaminate.hits(docs, spark.createDataFrame(items, "item_id long, text string"), docs["doc_id"], bound=bound).collect()
+    assert {(r._key, r.item_id) for r in got} == want
+    assert all(0.75 <= r.share <= 1 and 9 <= r.n_equal <= 25 for r in got)
+
+
 def _base(text):
     words = WORD.findall(text or "")
     lines = [x for x in (text or "").split("\n") if WORD.search(x)]
