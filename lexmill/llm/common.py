@@ -6,6 +6,8 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,23 +24,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; one of our own where that is unset and Spark runs in one process."""
     found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(found)
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         found = spark.sparkContext.getCheckpointDir()
     return found
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """The rows as a table in the shared folder; lineage ends there."""
+#: Tables written by each scratch() that is open, innermost last.
+_open: list[list[str]] = []
+
+
+def saved(df: DataFrame, outlives: bool = False) -> DataFrame:
+    """The rows as a table in the shared folder; lineage ends there. It goes when the innermost scratch() ends, or the one around that if it `outlives` it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/lexmill-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if len(_open) > outlives:
+        _open[-1 - outlives].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables saved inside once it ends; nothing lazy that reads them may be returned."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in map(spark._jvm.org.apache.hadoop.fs.Path, _open.pop()):
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -60,22 +80,19 @@ def mapped(df: DataFrame, schema: str, rows: Callable[[Iterator[dict]], Iterator
 
     arrow = to_arrow_schema(fields)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def each() -> Iterator[dict]:
-            for b in batches:
-                cols = [b.column(i) for i in range(b.num_columns)]
-                keys = b.schema.names
-                for i in range(b.num_rows):
-                    yield {k: c[i].as_py() for k, c in zip(keys, cols, strict=True)}
+    def batch(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), arrow.types, strict=True)], schema=arrow)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        each = chain.from_iterable(b.to_pylist() for b in batches)
         out: list[tuple] = []
-        for row in rows(each()):
+        for row in rows(each):
             out.append(row)
             if len(out) >= size:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), arrow.types, strict=True)], schema=arrow)
+                yield batch(out)
                 out = []
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), arrow.types, strict=True)], schema=arrow)
+            yield batch(out)
 
     assert len(names) == len(arrow.names)
     return df.mapInArrow(run, fields)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import saved, scratch
 
 
 def _mins(both: DataFrame) -> DataFrame:
@@ -31,11 +31,11 @@ def components(edges: DataFrame) -> DataFrame:
     links and nulls are ignored; no links give no rows. Each round writes its
     links to the shared folder and compares a digest of them with the last.
     """
-    now = saved(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    last = None
-    while True:
-        digest = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if digest == last or digest[0] == 0:
-            return now.select("u", F.col("v").alias("root")).union(now.select(F.col("v").alias("u"), F.col("v").alias("root"))).groupBy("u").agg(F.min("root").alias("root"))
-        last = digest
-        now = saved(_small(_large(now)).where("u <> v").distinct())
+    with scratch(edges.sparkSession):
+        now = saved(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        last = None
+        while (digest := now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()) != last and digest[0]:
+            last = digest
+            now = saved(_small(_large(now)).where("u <> v").distinct())
+        both = now.select("u", F.col("v").alias("root")).union(now.select(F.col("v").alias("u"), F.col("v").alias("root")))
+        return saved(both.groupBy("u").agg(F.min("root").alias("root")), outlives=True)

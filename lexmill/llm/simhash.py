@@ -7,13 +7,14 @@ itself struck out (a one-wildcard variant); equal variants are the candidates,
 and the full distance is verified.
 
 A bucket of equal variants may hold a third of the table, so its pairs are
-never written out. First every member is compared with the bucket's smallest
-fingerprint, and what links is joined into partial components. Buckets whose
-members are in one component are done. Large ones among the others are
-compared with further leads, picked by a hash, for some rounds. Last, in every
-bucket that still has several components, the members outside its largest
-component are compared with the rest, so no pair inside one component is
-looked at again. No link between components is lost.
+never written out. Each bucket names a few leads; every member is compared with
+those, and what links makes partial components of fingerprints. Buckets whose
+members are in one component are done. In each of the others the members
+outside its largest component are compared with the rest, so no pair inside one
+component is looked at again, and no link between components is lost.
+
+Buckets are counted and joined, never held by one task: the small side of each
+join on a variant is a written table, so adaptive execution can split a hot one.
 """
 
 from __future__ import annotations
@@ -26,14 +27,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window as W
 
-from .common import mapped, saved, table
+from .common import mapped, saved, scratch, table
 from .graph import components
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
-#: Rounds of further leads at most, and the members of a bucket from which they are worth it.
-ROUNDS, LARGE = 6, 8
+#: Fingerprints of a bucket with which all others of it are compared first.
+LEADS = 4
 _STEP = 1 << 15
 
 
@@ -89,48 +89,38 @@ def _near(a: Column, b: Column, distance: int) -> Column:
 def linked(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """(fp, root): the smallest fingerprint reachable over links of at most `distance` differing bits, for every distinct fp of `fps`."""
     assert 0 <= distance <= 10, "a segment of few bits makes no index"
-    nodes = saved(fps.where("fp is not null").select("fp").distinct())
-    index = nodes.select("fp", F.explode(_keys(F.col("fp"), distance)).alias("key"))
-    lead = F.min("fp").over(W.partitionBy("key"))
-    stars = index.withColumn("lead", lead).where((F.col("lead") != F.col("fp")) & _near(F.col("lead"), F.col("fp"), distance)).select(F.col("fp").alias("u"), F.col("lead").alias("v"))
-    partial = nodes.join(components(stars).withColumnRenamed("u", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
-    sized = _sized(partial)
-    mixed = saved(_mixed(sized, distance))
-    merges, large = None, mixed.where(F.col("n") >= LARGE).select("key", "fp", "root")
-    for turn in range(ROUNDS):
-        led = large.withColumn("lead", F.min(F.struct(F.xxhash64("fp", F.lit(turn)), "fp", "root")).over(W.partitionBy("key")))
-        links = led.where((F.col("root") != F.col("lead.root")) & _near(F.col("fp"), F.col("lead.fp"), distance)).select(F.col("root").alias("u"), F.col("lead.root").alias("v"))
-        moves = saved(components(links).select(F.col("u").alias("root"), F.col("root").alias("top")).where("root <> top"))
-        if not moves.take(1):
-            break
-        merges = moves if merges is None else _after(merges, moves)
-        large = saved(large.join(moves, "root", "left").select("key", "fp", F.coalesce("top", "root").alias("root")))
-    if merges is not None:
-        sized = _sized(sized.select("fp", "root").join(merges, "root", "left").select("fp", F.coalesce("top", "root").alias("root")))
-        mixed = saved(_mixed(sized, distance))
-    a, b = mixed.where("minor").alias("a"), mixed.alias("b")
-    across = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.root") != F.col("b.root")) & _near(F.col("a.fp"), F.col("b.fp"), distance)).select(F.col("a.root").alias("u"), F.col("b.root").alias("v"))
-    joined = components(across).select(F.col("u").alias("root"), F.col("root").alias("top"))
-    return sized.select("fp", "root").join(joined, "root", "left").select("fp", F.coalesce("top", "root").alias("root"))
-
-
-def _sized(roots: DataFrame) -> DataFrame:
-    """fp, root, size: size is the number of fingerprints of the root."""
-    return saved(roots.join(roots.groupBy("root").agg(F.count("*").alias("size")), "root").select("fp", "root", "size"))
-
-
-def _mixed(sized: DataFrame, distance: int) -> DataFrame:
-    """key, fp, root, n, minor of the buckets that hold several components; minor members are not of the bucket's largest."""
-    bucket = W.partitionBy("key")
-    index = sized.select("fp", "root", "size", F.explode(_keys(F.col("fp"), distance)).alias("key"))
-    seen = index.withColumn("n", F.count("*").over(bucket)).withColumn("low", F.min("root").over(bucket)).withColumn("high", F.max("root").over(bucket)).withColumn("top", F.max(F.struct("size", "root")).over(bucket)["root"])
-    return seen.where("low <> high").select("key", "fp", "root", "n", (F.col("root") != F.col("top")).alias("minor"))
-
-
-def _after(first: DataFrame, then: DataFrame) -> DataFrame:
-    """(root, top) of two mappings, one after the other."""
-    through = first.join(then.select(F.col("root").alias("top"), F.col("top").alias("last")), "top", "left").select("root", F.coalesce("last", "top").alias("top"))
-    return saved(through.unionByName(then.join(first.select("root"), "root", "left_anti")))
+    with scratch(fps.sparkSession):
+        nodes = saved(fps.where("fp is not null").select("fp").distinct())
+        keyed = nodes.select("fp", F.explode(_keys(F.col("fp"), distance)).alias("key"))
+        shared = saved(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
+        index = saved(keyed.join(shared, "key").select("key", "fp"))
+        roots = saved(_joined(nodes.withColumn("root", F.col("fp")), _to_leads(index, distance)))
+        return saved(_joined(roots, _across(index, roots, distance)), outlives=True)
+
+
+def _to_leads(index: DataFrame, distance: int) -> DataFrame:
+    """(u, v): each fingerprint with the smallest near one of each bucket's leads."""
+    drawn = [F.min("fp"), *[F.min(F.struct(F.xxhash64("fp", F.lit(i)), "fp"))["fp"] for i in range(1, LEADS)]]
+    leads = saved(index.groupBy("key").agg(F.array(*drawn).alias("leads")))
+    near = F.array_min(F.filter("leads", lambda x: (x < F.col("fp")) & _near(x, F.col("fp"), distance)))
+    return index.join(leads, "key").select(F.col("fp").alias("u"), near.alias("v")).where("v is not null")
+
+
+def _across(index: DataFrame, roots: DataFrame, distance: int) -> DataFrame:
+    """(u, v): the roots of components that a bucket holds two near members of."""
+    rooted = saved(index.join(roots, "fp").select("key", "fp", "root"))
+    inside = rooted.groupBy("key", "root").agg(F.count("*").alias("n"))
+    # the largest component of each bucket that has several
+    mixed = saved(inside.groupBy("key").agg(F.count("*").alias("kinds"), F.max(F.struct("n", "root"))["root"].alias("top")).where("kinds > 1").select("key", "top"))
+    minor = saved(rooted.join(mixed, "key").where("root <> top").select("key", "fp", "root"))
+    a, b = minor.alias("a"), rooted.alias("b")
+    return a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.root") != F.col("b.root")) & _near(F.col("a.fp"), F.col("b.fp"), distance)).select(F.col("a.root").alias("u"), F.col("b.root").alias("v"))
+
+
+def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """fp, root after the roots that `links` (u, v) name have been put together."""
+    tops = components(links).select(F.col("u").alias("root"), F.col("root").alias("top"))
+    return roots.join(tops, "root", "left").select("fp", F.coalesce("top", "root").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE, k: int = SHINGLE) -> DataFrame:
@@ -154,10 +144,21 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """The documents that are their component's smallest doc_id; rows of one repeated doc_id stay one, rows without an id stay."""
-    kept = near_duplicates(docs, distance).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    one = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    """One row of each component, all columns unchanged: that with the smallest doc_id, then the smallest digest of its text.
+
+    Rows without an id come after all others, and are deduplicated like them.
+    Rows that agree in id and text are one document; of their other columns
+    the smallest values by row are kept (map columns: any row's).
+    """
+    who = [F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")]
+    prints = saved(mapped(docs.select("doc_id", "text", *who), "none boolean, id long, h long, fp long", lambda each: ((r["none"], r["id"], r["h"], fingerprint(r["text"])) for r in each)))
+    roots = linked(prints, distance)
+    kept = saved(prints.join(roots, "fp").groupBy("root").agg(F.min(F.struct("none", "id", "h")).alias("w")).select("w.*"))
+    row = F.struct(*[docs[c] for c in docs.columns])
+    ordered = all(not isinstance(f.dataType, (T.MapType, T.VariantType)) for f in docs.schema)
+    own = docs.select(*who, row.alias("row")).join(kept, ["none", "id", "h"], "left_semi")
+    one = own.groupBy("none", "id", "h").agg((F.min("row") if ordered else F.first("row")).alias("row"))
+    return one.select("row.*")
 
 
 RESULT = T.StructType().add("doc_id", "long").add("fingerprint", "string").add("component_id", "long")
