@@ -7,49 +7,71 @@ tokens are a segment. Only anchors that are found twice or more matter; their
 distinct segments are dealt to shards by anchor, and a method of the caller's
 (automata, suffix arrays) decides inside a shard which windows repeat. Equal
 segments enter a shard once, with their number, so a passage that a third of
-all documents share is one entry. What the method finds for a segment then
-holds for every place where it stands.
+all documents share is one entry; segments are equal if two independent 64-bit
+digests of them are. What the method finds for a segment then holds for every
+place where it stands.
 
 A common phrase among different words would be the anchor of very many
 distinct segments. So the commonest k-grams are counted first and come last in
 the order: they are the anchor of windows that hold nothing else. If an anchor
-still has more segments than a shard takes, its windows are told apart by their
-own digests instead, counted with partial sums, so no task gets the group.
+still has more segments than a shard takes, they are split, exactly: a window
+that has the anchor at one of `size` neighbouring places holds the tokens that
+all such windows have in common (their core), so equal windows have equal cores
+and the anchor, band and core together are a finer anchor. Bands get narrower
+until a group is small; at a band of one place the core is the window itself.
+The same method decides about the pieces.
 """
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, saved
+from .common import partitions, saved, scratch
 
 #: Bytes of text that are hashed at once; bits for a place among their tokens; common k-grams that come last, at most.
 FLUSH, PLACE, COMMON = 1 << 21, 30, 10_000
 _NO_ID = -(1 << 63)
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_BASE, _OTHER = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 _BYTE = np.random.default_rng(2024).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
 class _Powers:
-    """Powers of the base and of its inverse modulo 2**64, grown when needed."""
+    """Powers of a base and of its inverse modulo 2**64, grown when needed."""
 
-    up = down = np.ones(1, np.uint64)
+    def __init__(self, base: int):
+        self.bases = np.uint64(base), np.uint64(pow(base, -1, 1 << 64))
+        self.held = (np.ones(1, np.uint64),) * 2
 
-    @classmethod
-    def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n:
+    def of(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.held[0]) < n:
             size = max(n, 1 << 16)
-            cls.up, cls.down = (np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(size, x, np.uint64)))) for x in (_BASE, _INVERSE))
-        return cls.up, cls.down
+            self.held = tuple(np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(size, x, np.uint64)))) for x in self.bases)
+        return self.held
+
+
+_FIRST, _SECOND = _Powers(_BASE), _Powers(_OTHER)
+
+
+def _sums(values: np.ndarray, powers: _Powers = _FIRST) -> np.ndarray:
+    """Running sums of values times powers, from 0; differences times a power of the inverse are digests of ranges."""
+    return np.concatenate((np.zeros(1, np.uint64), np.cumsum(values * powers.of(len(values) + 1)[0][: len(values)])))
+
+
+def window_digests(values: np.ndarray, width: int) -> np.ndarray:
+    """A digest of every `width` consecutive values."""
+    n = len(values) - width + 1
+    sums = _sums(values)
+    return _mix((sums[width:] - sums[:n]) * _FIRST.of(len(values) + 1)[1][:n])
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -76,8 +98,7 @@ def word_tokens(texts: list[bytes]) -> Tokens:
     blank = _SPACE[flat]
     starts = np.nonzero(blank[:-1] & ~blank[1:])[0] + 1
     ends = np.nonzero(~blank[:-1] & blank[1:])[0] + 1
-    up, down = _Powers.of(len(flat) + 1)
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[flat] * up[: len(flat)])))
+    sums, down = _sums(_BYTE[flat]), _FIRST.of(len(flat) + 1)[1]
     places = np.cumsum([1, *[len(t) + 1 for t in texts]])
     return Tokens(_mix((sums[ends] - sums[starts]) * down[starts]), np.searchsorted(starts, places))
 
@@ -118,21 +139,20 @@ class Windows:
 
     def grams(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """k-gram hashes, and the running sums they come from."""
-        up, down = _Powers.of(len(values) + 1)
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values * up[: len(values)])))
+        sums, down = _sums(values), _FIRST.of(len(values) + 1)[1]
         return _mix((sums[self.k :] - sums[: -self.k]) * down[: len(values) - self.k + 1]), sums
 
     def runs(self, texts: list[bytes]) -> tuple[np.ndarray, ...]:
-        """(text, at, n, anchor, segment) of every run of windows with one anchor."""
+        """(text, at, n, rel, anchor, segment, check) of every run of windows with one anchor, which begins `rel` tokens after `at`."""
         t = self.tokens(texts)
         size = len(t.values)
         none = np.zeros(0, np.int64)
         if size < self.width:
-            return none, none, none, none, none
+            return (none,) * 7
         if size >= 1 << PLACE:
             raise ValueError("a text has too many tokens")
         grams, sums = self.grams(t.values)
-        down = _Powers.of(size + 1)[1]
+        down = _FIRST.of(size + 1)[1]
         place = np.uint64((1 << PLACE) - 1)
         least = (self.order(grams) & ~place) | np.arange(len(grams), dtype=np.uint64)
         reach, wide = 1, self.width - self.k + 1
@@ -153,17 +173,12 @@ class Windows:
         last[:-1] &= ~inside[1:] | (anchor[1:] != anchor[:-1])
         at = np.nonzero(first)[0]
         n = np.nonzero(last)[0] - at + 1
-        segment = _mix((sums[at + n + self.width - 1] - sums[at]) * down[at] + n.astype(np.uint64))
+        end = at + n + self.width - 1
+        segment = _mix((sums[end] - sums[at]) * down[at] + n.astype(np.uint64))
+        other = _sums(t.values, _SECOND)
+        check = _mix((other[end] - other[at]) * _SECOND.of(size + 1)[1][at])
         text = np.searchsorted(t.bounds, at, side="right") - 1
-        return text, at - t.bounds[text], n, grams[anchor[at]].view(np.int64), segment.view(np.int64)
-
-    def digests(self, text: bytes) -> np.ndarray:
-        """A digest of every window of one text."""
-        t = self.tokens([text]).values
-        up, down = _Powers.of(len(t) + 1)
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(t * up[: len(t)])))
-        n = len(t) - self.width + 1
-        return _mix((sums[self.width :] - sums[:n]) * down[:n] + np.uint64(1)).view(np.int64)
+        return text, at - t.bounds[text], n, anchor[at] - at, grams[anchor[at]].view(np.int64), segment.view(np.int64), check.view(np.int64)
 
 
 def doc_key() -> tuple[Column, Column]:
@@ -171,17 +186,19 @@ def doc_key() -> tuple[Column, Column]:
     return F.coalesce(F.col("doc_id"), F.lit(_NO_ID)).alias("d"), F.xxhash64("text").alias("h")
 
 
-_RUN = pa.struct([("anchor", pa.int64()), ("segment", pa.int64()), ("at", pa.int32()), ("n", pa.int32())])
+#: What names a distinct segment.
+KEY = ["anchor", "segment", "check"]
+_RUN = pa.struct([("anchor", pa.int64()), ("segment", pa.int64()), ("check", pa.int64()), ("at", pa.int32()), ("n", pa.int32()), ("rel", pa.int32())])
 
 
 def marks(docs: DataFrame, windows: Windows) -> DataFrame:
-    """d, h, anchor, segment, at, n: the runs of every whole text."""
+    """d, h, runs (anchor, segment, check, at, n, rel) of every whole text that has a window."""
     schema = pa.schema([("d", pa.int64()), ("h", pa.int64()), ("runs", pa.list_(_RUN))])
 
     def out(d: list, h: list, texts: list[bytes]) -> pa.RecordBatch:
-        text, at, n, anchor, segment = windows.runs(texts)
+        text, at, n, rel, anchor, segment, check = windows.runs(texts)
         offsets = np.searchsorted(text, np.arange(len(texts) + 1)).astype(np.int32)
-        flat = pa.StructArray.from_arrays([pa.array(anchor), pa.array(segment), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))], fields=list(_RUN))
+        flat = pa.StructArray.from_arrays([pa.array(x.astype(t.to_pandas_dtype())) for x, t in zip((anchor, segment, check, at, n, rel), [f.type for f in _RUN], strict=True)], fields=list(_RUN))
         return pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(h, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), flat)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,26 +217,47 @@ def marks(docs: DataFrame, windows: Windows) -> DataFrame:
         if texts:
             yield out(d, h, texts)
 
-    made = docs.where("text is not null").select(*doc_key(), "text").mapInArrow(run, "d long, h long, runs array<struct<anchor:long,segment:long,at:int,n:int>>")
+    made = docs.where("text is not null").select(*doc_key(), "text").mapInArrow(run, "d long, h long, runs array<struct<anchor:long,segment:long,check:long,at:int,n:int,rel:int>>")
     return made.where(F.size("runs") > 0)
 
 
-def _sliced(parts: DataFrame, docs: DataFrame, cut: Callable[[bytes], Callable[[int, int], bytes]], width: int) -> DataFrame:
-    """anchor, segment, number, n, tokens: the bytes of each distinct segment, cut out of the document that it is read from."""
-    schema = pa.schema([("anchor", pa.int64()), ("segment", pa.int64()), ("number", pa.int64()), ("n", pa.int32()), ("hot", pa.bool_()), ("tokens", pa.binary())])
+#: Bytes of segments that a task gathers before it passes them on.
+_OUT = 1 << 22
+_SEGMENT = "anchor long, segment long, check long, number long, n int, rel int, kinds long, tokens binary"
+_SEGMENT_ARROW = pa.schema([(x, pa.int64()) for x in (*KEY, "number")] + [("n", pa.int32()), ("rel", pa.int32()), ("kinds", pa.int64()), ("tokens", pa.binary())])
+Cut = Callable[[bytes], Callable[[int, int], bytes]]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _batched(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Batches of rows whose last column is bytes, of about _OUT of those."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[-1])
+        if size >= _OUT:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), schema.types, strict=True)], schema=schema)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), schema.types, strict=True)], schema=schema)
+
+
+def _sliced(parts: DataFrame, docs: DataFrame, cut: Cut, width: int) -> DataFrame:
+    """Segments with their tokens, cut out of the document that each is read from; a repeated row of it may give them again."""
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        last = None
         for b in batches:
             for row in b.to_pylist():
+                if (row["d"], row["h"]) == last:
+                    continue
+                last = row["d"], row["h"]
                 piece = cut(row["text"].encode())
-                rows = [(p["anchor"], p["segment"], p["number"], p["n"], p["hot"], piece(p["at"], p["at"] + p["n"] + width - 1)) for p in row["parts"]]
-                for i in range(0, len(rows), 4096):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 4096], strict=True), schema.types, strict=True)], schema=schema)
+                for p in row["parts"]:
+                    yield p["anchor"], p["segment"], p["check"], p["number"], p["n"], p["rel"], p["kinds"], piece(p["at"], p["at"] + p["n"] + width - 1)
 
-    by_doc = parts.groupBy("d", "h").agg(F.collect_list(F.struct("anchor", "segment", "number", "at", "n", "hot")).alias("parts"))
-    texts = docs.where("text is not null").select(*doc_key(), "text").join(by_doc, ["d", "h"]).select("text", "parts")
-    # one document of each (d, h) would do; a repeated row gives its segments again, and they are made distinct
-    return texts.mapInArrow(run, "anchor long, segment long, number long, n int, hot boolean, tokens binary").dropDuplicates(["anchor", "segment"])
+    by_doc = parts.groupBy("d", "h").agg(F.collect_list(F.struct(*KEY, "number", "at", "n", "rel", "kinds")).alias("parts"))
+    texts = docs.where("text is not null").select(*doc_key(), "text").join(by_doc, ["d", "h"]).select("d", "h", "text", "parts")
+    return texts.mapInArrow(lambda batches: _batched(pieces(batches), _SEGMENT_ARROW), _SEGMENT)
 
 
 def cut_bytes(text: bytes) -> Callable[[int, int], bytes]:
@@ -244,48 +282,73 @@ def _spans(repeated: np.ndarray, width: int) -> tuple[list[int], list[int]]:
     return at[np.concatenate(([0], gap + 1))].tolist(), (at[np.concatenate((gap, [len(at) - 1]))] + width).tolist()
 
 
-_COVER = "anchor long, segment long, lo array<int>, hi array<int>"
-_COVER_ARROW = pa.schema([("anchor", pa.int64()), ("segment", pa.int64()), ("lo", pa.list_(pa.int32())), ("hi", pa.list_(pa.int32()))])
+_COVER = "anchor long, segment long, check long, lo array<int>, hi array<int>"
+_COVER_ARROW = pa.schema([(x, pa.int64()) for x in KEY] + [("lo", pa.list_(pa.int32())), ("hi", pa.list_(pa.int32()))])
 
 
 def _in_shards(segments: DataFrame, method: Method, width: int, per_shard: int) -> DataFrame:
-    """anchor, segment, lo, hi: what the method finds, shard by shard; a task holds one shard at a time."""
+    """KEY, lo, hi: what the method finds, shard by shard; a task holds one shard at a time."""
     shards = max(partitions(segments.sparkSession), -(-segments.count() // per_shard))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(rows: list[dict]) -> pa.RecordBatch:
             found = [_spans(x, width) for x in method([(r["number"], r["n"], r["tokens"]) for r in rows])]
-            cols = ([r["anchor"] for r in rows], [r["segment"] for r in rows], [x[0] for x in found], [x[1] for x in found])
+            cols = (*[[r[k] for r in rows] for k in KEY], [x[0] for x in found], [x[1] for x in found])
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _COVER_ARROW.types, strict=True)], schema=_COVER_ARROW)
 
         held: list[dict] = []
         for b in batches:
             for r in b.to_pylist():
-                if held and held[0]["shard"] != r["shard"]:
+                if held and held[-1]["shard"] != r["shard"]:
                     yield done(held)
                     held = []
-                held.append(r)
+                if not held or any(held[-1][k] != r[k] for k in KEY):  # a segment that was cut twice is one
+                    held.append(r)
         if held:
             yield done(held)
 
-    dealt = segments.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).repartition("shard").sortWithinPartitions("shard", "anchor")
-    return dealt.select("shard", "anchor", "segment", "number", "n", "tokens").mapInArrow(run, _COVER)
+    dealt = segments.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).repartition("shard").sortWithinPartitions("shard", *KEY)
+    return dealt.select("shard", *KEY, "number", "n", "tokens").mapInArrow(run, _COVER).where(F.size("lo") > 0)
 
 
-def _by_digest(segments: DataFrame, windows: Windows) -> DataFrame:
-    """anchor, segment, lo, hi for anchors with very many segments: windows are counted by their digests."""
-    schema = pa.schema([("anchor", pa.int64()), ("segment", pa.int64()), ("number", pa.int64()), ("digests", pa.list_(pa.int64()))])
+def _number(data: bytes, size: int) -> tuple[int, ...]:
+    """64-bit numbers from a digest of data."""
+    return struct.unpack(f"<{size}q", blake2b(data, digest_size=8 * size).digest())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = b.to_pydict()
-            yield pa.RecordBatch.from_arrays([pa.array(x["anchor"], pa.int64()), pa.array(x["segment"], pa.int64()), pa.array(x["number"], pa.int64()), pa.array([windows.digests(t) for t in x["tokens"]], pa.list_(pa.int64()))], schema=schema)
 
-    each = segments.select("anchor", "segment", "number", "tokens").mapInArrow(run, "anchor long, segment long, number long, digests array<long>")
-    flat = saved(each.select("anchor", "segment", "number", F.posexplode("digests").alias("at", "digest")))
-    often = flat.groupBy("anchor", "digest").agg(F.sum("number").alias("all")).where("all > 1").select("anchor", "digest")
-    found = flat.join(often, ["anchor", "digest"]).groupBy("anchor", "segment").agg(F.sort_array(F.collect_set("at")).alias("lo"))
-    return found.select("anchor", "segment", "lo", F.transform("lo", lambda x: x + windows.width).alias("hi"))
+def _pieces(segments: DataFrame, cut: Cut, width: int, size: int) -> DataFrame:
+    """Each segment cut to bands of `size` places of its anchor: of (its KEY), first (its window that the piece begins with), and the piece as a segment."""
+    schema = pa.schema([pa.field("of", pa.struct([(k, pa.int64()) for k in KEY])), ("first", pa.int32()), *[f for f in _SEGMENT_ARROW if f.name != "kinds"]])
+
+    def cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for b in batches:
+            for r in b.to_pylist():
+                piece, of, n, rel = cut(r["tokens"]), {k: r[k] for k in KEY}, r["n"], r["rel"]
+                for band in range((rel - n + 1) // size, rel // size + 1):
+                    first, last = max(0, rel - band * size - size + 1), min(n - 1, rel - band * size)
+                    core, tokens = piece(rel - band * size, rel - band * size - size + 1 + width), piece(first, last + width)
+                    anchor = _number(struct.pack("<3q", r["anchor"], band, size) + core, 1)
+                    yield of, first, *anchor, *_number(struct.pack("<q", last - first) + tokens, 2), r["number"], last - first + 1, rel - first, tokens
+
+    shape = "of struct<anchor:long,segment:long,check:long>, first int, " + _SEGMENT.replace("kinds long, ", "")
+    return segments.mapInArrow(lambda batches: _batched(cuts(batches), schema), shape)
+
+
+def _repeated(segments: DataFrame, method: Method, windows: Windows, cut: Cut, per_shard: int, most: int, sizes: tuple[int, ...]) -> DataFrame:
+    """KEY, lo, hi of the segments with repeated windows; anchors of more than `most` are split by bands of the given sizes in turn."""
+    few = _in_shards(segments.where(F.col("kinds") <= most) if sizes else segments, method, windows.width, per_shard)
+    many = segments.where(F.col("kinds") > most)
+    if not sizes or not many.take(1):
+        return few
+    pieces = saved(_pieces(many.dropDuplicates(KEY), cut, windows.width, sizes[0]))
+    distinct = saved(pieces.groupBy(*KEY).agg(F.sum("number").alias("number"), *[F.first(x).alias(x) for x in ("n", "rel", "tokens")]))
+    kinds = saved(distinct.groupBy("anchor").agg(F.count("*").alias("kinds"), F.max("number").alias("n_most")).where("kinds > 1 or n_most > 1").select("anchor", "kinds"))
+    again = saved(distinct.join(kinds, "anchor").select(*[x.split()[0] for x in _SEGMENT.split(", ")]))
+    found = saved(_repeated(again, method, windows, cut, per_shard, most, sizes[1:]))
+    spans = pieces.select("of", "first", *KEY).join(found, KEY).select("of.*", F.transform(F.arrays_zip("lo", "hi"), lambda s: F.struct((s["lo"] + F.col("first")).alias("lo"), (s["hi"] + F.col("first")).alias("hi"))).alias("s"))
+    # a segment has as many windows as an anchor has places, so its spans are few
+    whole = spans.groupBy(*KEY).agg(F.sort_array(F.flatten(F.collect_list("s"))).alias("s"))
+    return few.unionByName(whole.select(*KEY, F.col("s.lo").alias("lo"), F.col("s.hi").alias("hi")))
 
 
 def common_grams(docs: DataFrame, windows: Windows, most: int) -> tuple[int, ...]:
@@ -311,26 +374,27 @@ def common_grams(docs: DataFrame, windows: Windows, most: int) -> tuple[int, ...
     return tuple(sorted(r["gram"] for r in counted.where(F.col("n") > most).orderBy(F.desc("n"), "gram").limit(COMMON).collect()))
 
 
-def covered(docs: DataFrame, windows: Windows, cut: Callable, method: Method, per_shard: int, most: int) -> DataFrame:
+def covered(docs: DataFrame, windows: Windows, cut: Cut, method: Method, per_shard: int, most: int, sizes: tuple[int, ...]) -> DataFrame:
     """d, h, spans array<struct<lo,hi>>: for each document the token ranges of windows that also start elsewhere; spans may overlap.
 
-    A shard gets about per_shard segments; an anchor with more than `most` distinct ones is told apart by digests.
+    A shard gets about per_shard segments; an anchor with more than `most`
+    distinct ones is split by bands of `sizes` places, which fall to 1.
     """
-    windows = replace(windows, common=common_grams(docs, windows, most))
-    runs = saved(marks(docs, windows))
-    flat = runs.select("d", "h", F.explode("runs").alias("r")).select("d", "h", "r.*")
-    often = flat.groupBy("anchor").agg(F.count("*").alias("places")).where("places > 1").select("anchor")
-    live = saved(flat.join(often, "anchor"))
-    # a packed place orders first by document, so one row names the segment's first place
-    first = live.groupBy("anchor", "segment").agg(F.count("*").alias("number"), F.min(F.struct("d", "h", "at", "n")).alias("at"))
-    distinct = saved(first.select("anchor", "segment", "number", "at.*"))
-    kinds = distinct.groupBy("anchor").agg(F.count("*").alias("kinds"))
-    parts = distinct.join(kinds, "anchor").where("kinds > 1 or number > 1").withColumn("hot", F.col("kinds") > most).drop("kinds")
-    segments = saved(_sliced(parts, docs, cut, windows.width))
-    found = _in_shards(segments.where("not hot"), method, windows.width, per_shard).unionByName(_by_digest(segments.where("hot"), windows))
-    found = saved(found.where(F.size("lo") > 0))
-    own = live.join(found, ["anchor", "segment"]).select("d", "h", F.explode(F.arrays_zip("lo", "hi")).alias("s"), "at")
-    return own.groupBy("d", "h").agg(F.collect_set(F.struct((F.col("s.lo") + F.col("at")).alias("lo"), (F.col("s.hi") + F.col("at")).alias("hi"))).alias("spans"))
+    with scratch(docs.sparkSession):
+        windows = replace(windows, common=common_grams(docs, windows, most))
+        runs = saved(marks(docs, windows))
+        flat = runs.select("d", "h", F.explode("runs").alias("r")).select("d", "h", "r.*")
+        # written tables as the small sides of joins, so that adaptive execution can split a hot anchor
+        often = saved(flat.groupBy("anchor").agg(F.count("*").alias("places")).where("places > 1").select("anchor"))
+        live = saved(flat.join(often, "anchor"))
+        first = live.groupBy(*KEY).agg(F.count("*").alias("number"), F.min(F.struct("d", "h", "at", "n", "rel")).alias("at"))
+        distinct = saved(first.select(*KEY, "number", "at.*"))
+        kinds = saved(distinct.groupBy("anchor").agg(F.count("*").alias("kinds"), F.max("number").alias("n_most")).where("kinds > 1 or n_most > 1").select("anchor", "kinds"))
+        segments = saved(_sliced(distinct.join(kinds, "anchor"), docs, cut, windows.width))
+        found = saved(_repeated(segments, method, windows, cut, per_shard, most, sizes))
+        own = live.join(found, KEY).select("d", "h", F.explode(F.arrays_zip("lo", "hi")).alias("s"), "at")
+        spans = own.groupBy("d", "h").agg(F.collect_set(F.struct((F.col("s.lo") + F.col("at")).alias("lo"), (F.col("s.hi") + F.col("at")).alias("hi"))).alias("spans"))
+        return saved(spans, outlives=True)
 
 
 def removed(docs: DataFrame, spans: DataFrame, run: Callable[[bytes, list[tuple[int, int]]], tuple], schema: str, arrow: pa.Schema) -> DataFrame:

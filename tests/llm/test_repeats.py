@@ -74,10 +74,10 @@ def test_common_grams_come_last():
     rng = random.Random(3)
     docs = [(" ".join(f"x{rng.random()}" for _ in range(40)) + " " + line + " " + " ".join(f"y{rng.random()}" for _ in range(40))).encode() for _ in range(200)]
     common = tuple(windows.frequent(docs)[0].tolist())
-    assert max(Counter(windows.runs(docs)[3].tolist()).values()) > 50
+    assert max(Counter(windows.runs(docs)[4].tolist()).values()) > 50
     again = replace(windows, common=common)
-    assert common and max(Counter(again.runs(docs)[3].tolist()).values()) == 1
-    text, at, n, _, _ = again.runs(docs)
+    assert common and max(Counter(again.runs(docs)[4].tolist()).values()) == 1
+    text, at, n, *_ = again.runs(docs)
     assert sum(n) == sum(len(d.split()) - 34 for d in docs)
 
 
@@ -87,7 +87,18 @@ def test_family_levels_and_matches():
     got = list(suffixes.matches(segments, 10, 8))
     seen = Counter(s[2][i : i + 10] for s in segments for i in range(20))
     assert [g.tolist() for g in got] == [[seen[s[2][i : i + 10]] > 1 for i in range(20)] for s in segments]
-    family = suffixes.Family(10)
-    for s in segments:
-        family.add(s[2], np.arange(20))
-    assert len(family.levels) <= 7 and sum(n for n, _, _ in family.levels) == 70
+    text = b"".join(s[2] for s in segments)
+    family = suffixes.Family(text, 10)
+    for i in range(70):
+        family.add(np.arange(29 * i, 29 * i + 20))
+    assert len(family.levels) <= 7 and sum(n for n, _ in family.levels) == 70
+    for _, level in family.levels:  # integer arrays in the order of the suffixes
+        assert level.dtype == np.int32 and (found := [text[i : i + 10] for i in level]) == sorted(found)
+
+
+def test_recurring_passages_are_located():
+    """A passage recurs by two segments or by one that stands in several places."""
+    words = b" ".join(b"w%d" % i for i in range(40))
+    other = b" ".join(b"x%d" % i for i in range(40))
+    assert [x.tolist() for x in phrases.locate([(1, 6, words), (1, 6, other), (3, 6, b" ".join(b"y%d" % i for i in range(40)))])] == [[False] * 6, [False] * 6, [True] * 6]
+    assert [x.tolist() for x in phrases.locate([(1, 6, words), (1, 6, words.replace(b"w39", b"z"))])] == [[True] * 5 + [False]] * 2
