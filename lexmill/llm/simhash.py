@@ -7,11 +7,12 @@ itself struck out (a one-wildcard variant); equal variants are the candidates,
 and the full distance is verified.
 
 A bucket of equal variants may hold a third of the table, so its pairs are
-never written out. Each bucket names a few leads; every member is compared with
-those, and what links makes partial components of fingerprints. Buckets whose
-members are in one component are done. In each of the others the members
-outside its largest component are compared with the rest, so no pair inside one
-component is looked at again, and no link between components is lost.
+never written out. A bucket of two is a pair already when it has been counted.
+Each larger one names a few leads, with which all members are compared; where
+those leave one member at most, that is every pair. What links makes partial
+components. In each of the other buckets the members outside its largest
+component are then compared with the rest, so no pair inside one component is
+looked at again, and no link between components is lost.
 
 Buckets are counted and joined, never held by one task: the small side of each
 join on a variant is a written table, so adaptive execution can split a hot one.
@@ -28,12 +29,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mapped, saved, scratch, table
+from .common import mapped, partitions, saved, scratch, table
 from .graph import components
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
-#: Fingerprints of a bucket with which all others of it are compared first.
-LEADS = 4
+#: Fingerprints drawn from a bucket, besides its smallest and largest, to be compared with all others of it; buckets of three or more that may be broadcast.
+DRAWN, MOST_BROADCAST = 3, 200_000
 _STEP = 1 << 15
 
 
@@ -89,26 +90,37 @@ def _near(a: Column, b: Column, distance: int) -> Column:
 def linked(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """(fp, root): the smallest fingerprint reachable over links of at most `distance` differing bits, for every distinct fp of `fps`."""
     assert 0 <= distance <= 10, "a segment of few bits makes no index"
-    with scratch(fps.sparkSession):
+    spark = fps.sparkSession
+    with scratch(spark):
         nodes = saved(fps.where("fp is not null").select("fp").distinct())
-        keyed = nodes.select("fp", F.explode(_keys(F.col("fp"), distance)).alias("key"))
-        shared = saved(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
-        index = saved(keyed.join(shared, "key").select("key", "fp"))
-        roots = saved(_joined(nodes.withColumn("root", F.col("fp")), _to_leads(index, distance)))
-        return saved(_joined(roots, _across(index, roots, distance)), outlives=True)
-
-
-def _to_leads(index: DataFrame, distance: int) -> DataFrame:
-    """(u, v): each fingerprint with the smallest near one of each bucket's leads."""
-    drawn = [F.min("fp"), *[F.min(F.struct(F.xxhash64("fp", F.lit(i)), "fp"))["fp"] for i in range(1, LEADS)]]
-    leads = saved(index.groupBy("key").agg(F.array(*drawn).alias("leads")))
-    near = F.array_min(F.filter("leads", lambda x: (x < F.col("fp")) & _near(x, F.col("fp"), distance)))
-    return index.join(leads, "key").select(F.col("fp").alias("u"), near.alias("v")).where("v is not null")
-
-
-def _across(index: DataFrame, roots: DataFrame, distance: int) -> DataFrame:
-    """(u, v): the roots of components that a bucket holds two near members of."""
-    rooted = saved(index.join(roots, "fp").select("key", "fp", "root"))
+        keyed = nodes.repartition(partitions(spark), "fp").select("fp", F.explode(_keys(F.col("fp"), distance)).alias("key"))
+        buckets = saved(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("low"), F.max("fp").alias("high")).where("n > 1"))
+        pairs = buckets.where((F.col("n") == 2) & _near(F.col("low"), F.col("high"), distance)).select(F.col("low").alias("u"), F.col("high").alias("v"))
+        large = saved(buckets.where("n > 2").select("key"))
+        index = saved(keyed.join(F.broadcast(large) if large.count() <= MOST_BROADCAST else large, "key").select("key", "fp"))
+        leads = saved(_leads(index))
+        roots = saved(_joined(nodes.withColumn("root", F.col("fp")), pairs.unionByName(_to_leads(index, leads, distance))))
+        # a lead for all members but one: every pair has been compared
+        open_ = leads.where(F.col("n") > F.size("leads") + 1).select("key")
+        rooted = saved(index.join(open_, "key").join(roots, "fp").select("key", "fp", "root"))
+        return saved(_joined(roots, _across(rooted, distance)), outlives=True)
+
+
+def _leads(index: DataFrame) -> DataFrame:
+    """key, n (its members), leads (some distinct ones of them)."""
+    drawn = [F.min("fp"), F.max("fp"), *[F.min(F.struct(F.xxhash64("fp", F.lit(i)), "fp"))["fp"] for i in range(DRAWN)]]
+    return index.groupBy("key").agg(F.count("*").alias("n"), F.array_distinct(F.array(*drawn)).alias("leads"))
+
+
+def _to_leads(index: DataFrame, leads: DataFrame, distance: int) -> DataFrame:
+    """(u, v): each fingerprint with the near leads of its bucket; with the smallest of them where the bucket has other pairs left."""
+    near = F.filter("leads", lambda x: (x != F.col("fp")) & _near(x, F.col("fp"), distance))
+    each = F.when(F.col("n") > F.size("leads") + 1, F.slice(F.sort_array(near), 1, 1)).otherwise(near)
+    return index.join(leads, "key").select(F.col("fp").alias("u"), F.explode(each).alias("v")).distinct()
+
+
+def _across(rooted: DataFrame, distance: int) -> DataFrame:
+    """(u, v): the roots of components of which a bucket (key, fp, root) holds two near members."""
     inside = rooted.groupBy("key", "root").agg(F.count("*").alias("n"))
     # the largest component of each bucket that has several
     mixed = saved(inside.groupBy("key").agg(F.count("*").alias("kinds"), F.max(F.struct("n", "root"))["root"].alias("top")).where("kinds > 1").select("key", "top"))
