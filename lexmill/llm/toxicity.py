@@ -10,9 +10,13 @@ nearly every block, where a largest weight says little: their share of the
 cosines is a matrix product. The k-th best share is a lower bound of the k-th
 best cosine, and only blocks whose best share with the largest weights of the
 other terms reaches it are looked into. So the neighbours are those of a full
-scan, ties going to the lower example number. Neighbours vote with their cosine as weight; an isotonic curve,
-fitted to the examples' leave-one-out votes, turns votes into probabilities.
-The neighbours are returned as evidence.
+scan, ties going to the lower example number.
+
+Neighbours vote with a power of their cosine as weight, in neighbourhoods of
+several sizes: few near ones know copies and rare words, many know the words
+that labelled texts have in common. A logistic curve, fitted to the examples'
+leave-one-out votes, turns the votes into a probability. The nearest neighbours
+are returned as evidence.
 """
 
 from __future__ import annotations
@@ -28,19 +32,23 @@ from itertools import islice
 from math import log
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, learns, mapped, saved, table
+from .common import held_out, learns, mapped, partitions, saved, scratch, table
 
-#: Examples at most; neighbours; examples in a block.
+#: Examples at most; neighbours that are evidence; examples in a block.
 EXAMPLES, NEIGHBOURS, BLOCK = 8192, 15, 64
-#: Share of the examples from which a term is common; texts searched together.
-COMMON, TOGETHER = 1 / 16, 64
-#: Weight of the base rate among the votes.
-PRIOR_WEIGHT = 0.5
+#: Neighbourhoods that vote, and powers of the cosine that weigh the votes.
+SIZES, POWERS = (7, 31, 127, 511), (1, 3)
+#: Share of the examples from which a term is common; texts searched together; texts whose neighbours a task remembers.
+COMMON, TOGETHER, REMEMBERED = 1 / 16, 64, 20_000
+#: Weight of the base rate among the votes; pull of the curve towards flat.
+PRIOR_WEIGHT, RIDGE = 1e-3, 0.1
 THRESHOLD = 0.3
 _TERM = re.compile(r"[^\W\d_]+")
+Vector = tuple[np.ndarray, np.ndarray]
 
 
 def terms_of(text: str | None) -> list[str]:
@@ -71,9 +79,10 @@ class Index:
     count: np.ndarray
 
     def __post_init__(self) -> None:
-        raw = (1 + np.log(self.count)) * np.array(self.idf, float)[self.term]
+        self.idf = np.array(self.idf, float)
+        raw = (1 + np.log(self.count)) * self.idf[self.term]
         norm = np.sqrt(np.bincount(self.example, raw * raw, len(self.ids)))
-        self.weight = raw / norm[self.example]
+        self.weight = raw / np.where(norm > 0, norm, 1)[self.example]
         self.blocks = -(-len(self.ids) // BLOCK)
         block = self.example // BLOCK
         starts = np.nonzero(np.diff(self.term.astype(np.int64) * (self.blocks + 1) + block, prepend=-1))[0]
@@ -90,12 +99,16 @@ class Index:
     def __reduce__(self) -> tuple:
         """What is sent to the tasks: counts, packed; weights and entries are made again there."""
         size = np.bincount(self.term, minlength=len(self.number))
-        return _unpacked, (zlib.compress(pickle.dumps((list(self.number), self.idf, self.ids, self.labels, size.astype(np.uint32), self.example.astype(np.uint32), self.count.astype(np.uint32))), 1),)
+        return _unpacked, (zlib.compress(pickle.dumps((list(self.number), self.idf.tolist(), self.ids, self.labels, size.astype(np.uint32), self.example.astype(np.uint32), self.count.astype(np.uint32))), 1),)
+
+    def vector(self, terms: np.ndarray, counts: np.ndarray) -> Vector:
+        """Term numbers and the weights of a unit vector."""
+        raw = (1 + np.log(counts)) * self.idf[terms]
+        norm = np.sqrt(raw @ raw)
+        return terms, raw / norm if norm else raw
 
-    def vector(self, counts: dict[str, int]) -> dict[str, float]:
-        raw = {t: (1 + log(n)) * self.idf[i] for t, n in counts.items() if (i := self.number.get(t)) is not None}
-        norm = sum(w * w for w in raw.values()) ** 0.5
-        return {t: w / norm for t, w in raw.items()} if norm else {}
+    def vector_of(self, text: str | None) -> Vector:
+        return self.vector(*_known(text, self.number))
 
     @classmethod
     def build(cls, number: dict[str, int], idf: list[float], examples: list[tuple[int, int, np.ndarray, np.ndarray]]) -> Index:
@@ -106,27 +119,21 @@ class Index:
         order = np.lexsort((example, term))
         return cls(number, idf, [e[0] for e in examples], np.array([e[1] for e in examples], float), term[order].astype(np.int32), example[order].astype(np.int32), count[order].astype(np.int32))
 
-    def nearest(self, query: dict[str, float], k: int = NEIGHBOURS, without: int = -1) -> list[tuple[float, int]]:
-        """(cosine, example) of the k largest positive cosines, largest first, ties by example number."""
-        return self.nearest_all([query], k, [without])[0]
-
-    def nearest_all(self, queries: list[dict[str, float]], k: int = NEIGHBOURS, without: list[int] | None = None) -> list[list[tuple[float, int]]]:
-        """`nearest` of each query."""
+    def nearest(self, queries: list[Vector], k: int = NEIGHBOURS, without: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(cosines, examples) of each query's k largest positive cosines, largest first, ties by example number."""
         many = np.zeros((len(queries), len(self.common)))
         rest = []
-        for j, query in enumerate(queries):
-            known = [(i, w) for t, w in query.items() if (i := self.number.get(t)) is not None]
-            terms, weights = np.array([i for i, _ in known], np.int64), np.array([w for _, w in known])
+        for j, (terms, weights) in enumerate(queries):
             row = self.row[terms]
             many[j, row[row >= 0]] = weights[row >= 0]
             rest.append((terms[row < 0], weights[row < 0]))
         shares = many @ self.common
         return [self._best(share, *r, k, x) for share, r, x in zip(shares, rest, without or [-1] * len(queries), strict=True)]
 
-    def _best(self, share: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int, without: int) -> list[tuple[float, int]]:
+    def _best(self, share: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int, without: int) -> tuple[np.ndarray, np.ndarray]:
         """The k best from the examples' shares by common terms and a query's other terms."""
         if not self.blocks:
-            return []
+            return np.zeros(0), np.zeros(0, np.int64)
         if without >= 0:
             share[without] = -9.0  # below all, whatever its other terms add
         n = self.entries[terms + 1] - self.entries[terms]
@@ -147,11 +154,20 @@ class Index:
             keep = cosine >= np.partition(cosine, len(cosine) - k)[len(cosine) - k]
             cosine, found = cosine[keep], found[keep]
         best = np.lexsort((found, -cosine))[:k]
-        return list(zip(cosine[best].tolist(), found[best].tolist(), strict=True))
-
-    def vote(self, near: list[tuple[float, int]], base: float) -> float:
-        weight = sum(s for s, _ in near)
-        return (sum(s * self.labels[i] for s, i in near) + PRIOR_WEIGHT * base) / (weight + PRIOR_WEIGHT)
+        return cosine[best], found[best]
+
+    def votes(self, near: tuple[np.ndarray, np.ndarray], base: float) -> list[float]:
+        """Log odds of the weighted votes of each neighbourhood; without neighbours those of the base rate."""
+        out = []
+        for power in POWERS:
+            weight = near[0] ** power
+            all_, for_ = np.cumsum(weight), np.cumsum(weight * self.labels[near[1]])
+            for size in SIZES:
+                n = min(size, len(weight))
+                rate = ((for_[n - 1] if n else 0.0) + PRIOR_WEIGHT * base) / ((all_[n - 1] if n else 0.0) + PRIOR_WEIGHT)
+                rate = min(max(rate, 1e-4), 1 - 1e-4)
+                out.append(log(rate / (1 - rate)))
+        return out
 
 
 def _unpacked(state: bytes) -> Index:
@@ -159,128 +175,150 @@ def _unpacked(state: bytes) -> Index:
     return Index({t: i for i, t in enumerate(terms)}, idf, ids, labels, np.repeat(np.arange(len(size), dtype=np.int32), size), example.astype(np.int32), count.astype(np.int32))
 
 
-def isotonic(votes: list[float], labels: list[float]) -> tuple[list[float], list[float]]:
-    """Pool-adjacent-violators: (largest vote, rate) of each pool, both rising."""
-    by: dict[float, list[float]] = {}
-    for v, y in zip(votes, labels, strict=True):
-        x = by.setdefault(v, [0.0, 0])
-        x[0] += y
-        x[1] += 1
-    out: list[list[float]] = []
-    for v, (hits, n) in sorted(by.items()):
-        out.append([v, hits, n])
-        while len(out) > 1 and out[-2][1] / out[-2][2] >= out[-1][1] / out[-1][2]:
-            last, hits, n = out.pop()
-            out[-1] = [last, out[-1][1] + hits, out[-1][2] + n]
-    return [p[0] for p in out], [p[1] / p[2] for p in out]
+def _known(text: str | None, number: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers, rising, and counts of the terms of a text that have a number."""
+    counts = Counter(terms_of(text))
+    found = [(i, n) for t, n in counts.items() if (i := number.get(t)) is not None]
+    pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
+    return pairs[:, 0], pairs[:, 1]
+
+
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE) -> np.ndarray:
+    """Weights of the columns of x and, last, a constant, by Newton steps."""
+    x = np.c_[x, np.ones(len(x))]
+    w = np.zeros(x.shape[1])
+    for _ in range(40):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (y - p) - ridge * w)
+        w += step
+        if np.abs(step).max() < 1e-10:
+            break
+    return w
 
 
 @dataclass
 class Model:
     index: Index
     base: float
-    votes: list[float]
-    rates: list[float]
+    weights: np.ndarray
 
-    def score(self, near: list[tuple[float, int]]) -> float:
-        if not self.votes:
+    def score(self, near: tuple[np.ndarray, np.ndarray]) -> float:
+        if not len(self.weights):
             return self.base
-        k = int(np.searchsorted(self.votes, round(self.index.vote(near, self.base), 9) - 1e-12))
-        return float(self.rates[min(k, len(self.rates) - 1)])
+        z = float(np.dot(self.weights[:-1], self.index.votes(near, self.base)) + self.weights[-1])
+        return round(float(1 / (1 + np.exp(-np.clip(z, -30, 30)))), 9)
 
 
 def examples_of(docs: DataFrame, labels: DataFrame, bound: int = EXAMPLES) -> DataFrame:
-    """(doc_id, text, toxic) of at most `bound` labelled documents, the first by a hash of their id; several labels of one document count as their maximum."""
+    """(doc_id, text, toxic) of at most `bound` labelled documents, the first by a hash of their id.
+
+    Several labels of one document count as their maximum, of several texts
+    under one id the smallest is taken.
+    """
     ids = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & learns(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     # the sample has at most `bound` rows, so it may be broadcast
     few = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
-    return docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").dropDuplicates(["doc_id"])
+    return docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, bound: int = EXAMPLES) -> Model:
-    """Learns terms, vectors and the curve from the examples; document frequencies come from all of `docs`."""
-    spark = docs.sparkSession
-    sample = saved(examples_of(docs, labels, bound))
+_VECTOR = "doc_id long, terms array<int>, counts array<int>"
 
-    def words(each: Iterator[dict]) -> Iterator[tuple]:
-        for t in {t for r in each for t in terms_of(r["text"])}:
-            yield (t,)
 
-    number = {t: i for i, t in enumerate(sorted(mapped(sample.select("text"), "term string", words).distinct().toArrow()["term"].to_pylist()))}
-    # the terms of at most `bound` examples
-    shared = spark.sparkContext.broadcast(number)
+def vectors_of(docs: DataFrame, number: dict[str, int]) -> DataFrame:
+    """doc_id, terms, counts: the numbers and counts of each whole text's known terms, one row for each input row."""
+    shared = docs.sparkSession.sparkContext.broadcast(number)  # terms of the examples, which are bounded
 
-    def frequencies(each: Iterator[dict]) -> Iterator[tuple]:
-        known = shared.value
-        df: Counter = Counter()
-        n = 0
-        for r in each:
-            n += 1
-            df.update(known.keys() & set(terms_of(r["text"])))
-        yield -1, n
-        for t, m in df.items():
-            yield known[t], m
-
-    counted = mapped(docs.select("text"), "term int, n long", frequencies).groupBy("term").agg(F.sum("n").alias("n")).toArrow()
-    df = dict(zip(counted["term"].to_pylist(), counted["n"].to_pylist(), strict=True))
-    total = df.get(-1, 0)
-    idf = [log((1 + total) / (1 + df.get(i, 0))) + 1 for i in range(len(number))]
-
-    def vectors(each: Iterator[dict]) -> Iterator[tuple]:
+    def rows(each: Iterator[dict]) -> Iterator[tuple]:
         known = shared.value
         for r in each:
-            counts = Counter(terms_of(r["text"]))
-            yield r["doc_id"], r["toxic"], [known[t] for t in counts], list(counts.values())
-
-    got = mapped(sample, "doc_id long, toxic int, terms array<int>, counts array<int>", vectors).toArrow().sort_by("doc_id")
-    ids, toxic = got["doc_id"].to_pylist(), got["toxic"].to_pylist()
-    if not ids:
-        return Model(Index.build({}, [], []), 0.0, [], [])
-    shared.destroy()
-    rows = [(i, y, t.values.to_numpy().astype(np.int64), c.values.to_numpy()) for i, y, t, c in zip(ids, toxic, got["terms"], got["counts"], strict=True)]
-    index = Index.build(number, idf, rows)
-    base = sum(toxic) / len(toxic)
-    place = {d: i for i, d in enumerate(ids)}
-    sent = spark.sparkContext.broadcast((index, place))
-
-    def voted(each: Iterator[dict]) -> Iterator[tuple]:
-        index, place = sent.value
-        while some := list(islice(each, TOGETHER)):
-            vectors = [index.vector(Counter(terms_of(r["text"]))) for r in some]
-            for r, near in zip(some, index.nearest_all(vectors, without=[place[r["doc_id"]] for r in some]), strict=True):
-                yield r["doc_id"], round(index.vote(near, base), 9)
+            yield r["doc_id"], *_known(r["text"], known)
+
+    return mapped(docs.select("doc_id", "text"), _VECTOR, rows)
+
 
-    votes = mapped(sample.select("doc_id", "text"), "doc_id long, vote double", voted).toArrow().sort_by("doc_id")["vote"].to_pylist()
-    sent.destroy()
-    return Model(index, base, *isotonic(votes, [float(y) for y in toxic]))
+def frequencies(vectors: DataFrame, size: int) -> tuple[np.ndarray, int]:
+    """In how many rows each of `size` terms stands, and the number of rows."""
+    schema = pa.schema([("term", pa.int32()), ("n", pa.int64())])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, rows = np.zeros(size, np.int64), 0
+        for b in batches:
+            n += np.bincount(b.column(0).flatten().to_numpy(zero_copy_only=False), minlength=size)
+            rows += b.num_rows
+        term = np.nonzero(n)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(term, -1).astype(np.int32)), pa.array(np.append(n[term], rows))], schema=schema)
 
-def scored(docs: DataFrame, model: Model, k: int = NEIGHBOURS) -> DataFrame:
-    """doc_id, score, evidence (doc_ids of the neighbours, nearest first) of every whole text.
+    # a row for each term of the examples at most comes to the driver
+    counted = vectors.select("terms").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    out, term, n = np.zeros(size + 1, np.int64), counted["term"].to_numpy(), counted["n"].to_numpy()
+    out[term] = n
+    return out[:size], int(out[-1])
 
-    Null and empty texts have no neighbours and get the rate of such examples.
-    Rows are one to one with the input's; columns other than doc_id and text
-    are not read.
+
+def fit(docs: DataFrame, labels: DataFrame, bound: int = EXAMPLES) -> tuple[Model, DataFrame]:
+    """A model learnt from the examples, with document frequencies of all of `docs`, and vectors_of(docs) as a table."""
+    spark = docs.sparkSession
+    with scratch(spark):
+        sample = saved(examples_of(docs, labels, bound))
+
+        def words(each: Iterator[dict]) -> Iterator[tuple]:
+            for t in {t for r in each for t in terms_of(r["text"])}:
+                yield (t,)
+
+        number = {t: i for i, t in enumerate(sorted(mapped(sample.select("text"), "term string", words).distinct().toArrow()["term"].to_pylist()))}
+        vectors = saved(vectors_of(docs, number), outlives=True)
+        df, total = frequencies(vectors, len(number))
+        got = vectors_of(sample, number).join(sample.select("doc_id", "toxic"), "doc_id").toArrow().sort_by("doc_id")
+        ids, toxic = got["doc_id"].to_pylist(), got["toxic"].to_pylist()
+        if not ids:
+            return Model(Index.build({}, [], []), 0.0, np.zeros(0)), vectors
+        idf = np.log((1 + total) / (1 + df)).tolist()
+        flat = [(np.array(t, np.int64), np.array(c, np.int64)) for t, c in zip(got["terms"].to_pylist(), got["counts"].to_pylist(), strict=True)]
+        index = Index.build(number, idf, [(i, y, *v) for i, y, v in zip(ids, toxic, flat, strict=True)])
+        base = sum(toxic) / len(toxic)
+        sent = spark.sparkContext.broadcast((index, {d: i for i, d in enumerate(ids)}))
+
+        def voted(each: Iterator[dict]) -> Iterator[tuple]:
+            index, place = sent.value
+            while some := list(islice(each, TOGETHER)):
+                found = index.nearest([index.vector_of(r["text"]) for r in some], max(SIZES), [place[r["doc_id"]] for r in some])
+                for r, near in zip(some, found, strict=True):
+                    yield r["doc_id"], index.votes(near, base)
+
+        votes = mapped(sample.select("doc_id", "text").repartition(partitions(spark)), "doc_id long, votes array<double>", voted).toArrow().sort_by("doc_id")["votes"].to_pylist()
+        sent.destroy()
+        return Model(index, base, logistic(np.array(votes), np.array(toxic, float))), vectors
+
+
+def scored(vectors: DataFrame, model: Model, k: int = NEIGHBOURS) -> DataFrame:
+    """doc_id, score, evidence (doc_ids of the k nearest examples, nearest first) of every row of vectors_of().
+
+    Null and empty texts have no neighbours and get the score of the base rate.
+    Rows are one to one with the input's.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by EXAMPLES
+    shared = vectors.sparkSession.sparkContext.broadcast(model)  # bounded by EXAMPLES
 
     def rows(each: Iterator[dict]) -> Iterator[tuple]:
         m = shared.value
         memo: dict[bytes, tuple] = {}
         while some := list(islice(each, TOGETHER)):
-            keys = [blake2b((r["text"] or "").encode("utf-8", "surrogatepass"), digest_size=16).digest() for r in some]
-            if len(memo) > 20_000:
+            pairs = [(np.array(r["terms"], np.int64), np.array(r["counts"], np.int64)) for r in some]
+            keys = [hash_of(*p) for p in pairs]
+            if len(memo) > REMEMBERED:
                 memo.clear()
-            new = {key: r["text"] for key, r in zip(keys, some, strict=True) if key not in memo}
-            found = m.index.nearest_all([m.index.vector(Counter(terms_of(x))) for x in new.values()], k)
-            memo.update((key, (m.score(near), [m.index.ids[i] for _, i in near])) for key, near in zip(new, found, strict=True))
+            new = {key: p for key, p in zip(keys, pairs, strict=True) if key not in memo}
+            found = m.index.nearest([m.index.vector(*p) for p in new.values()], max(k, *SIZES))
+            memo.update((key, (m.score(near), [m.index.ids[i] for i in near[1][:k]])) for key, near in zip(new, found, strict=True))
             for key, r in zip(keys, some, strict=True):
                 yield r["doc_id"], *memo[key]
 
-    return mapped(docs.select("doc_id", "text"), "doc_id long, score double, evidence array<long>", rows)
+    return mapped(vectors.select("doc_id", "terms", "counts"), "doc_id long, score double, evidence array<long>", rows)
+
+
+def hash_of(terms: np.ndarray, counts: np.ndarray) -> bytes:
+    return blake2b(terms.tobytes() + counts.tobytes(), digest_size=16).digest()
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    model = fit(docs, table(spark, sf_dir, "labels"))
-    return scored(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "evidence")
+    model, vectors = fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored(vectors, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "evidence")

@@ -1,10 +1,12 @@
 """Decontamination, quality, WARC, language, BPE and toxicity on fixtures and against brute force."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 
 from lexmill.llm import bpe, decontaminate, language, quality, toxicity, warc
@@ -178,18 +180,45 @@ def test_toxicity_neighbours_are_exact_and_learn(spark):
         rows.append((i, " ".join(words)))
         labels.append((i, int(toxic)))
     docs = spark.createDataFrame([*rows, (900, None), (901, "")], "doc_id long, text string")
-    model = toxicity.fit(docs, spark.createDataFrame([*labels, (0, None), (None, 1)], "doc_id long, toxic int"))
-    got = {r.doc_id: r for r in toxicity.scored(docs, model).collect()}
+    model, found = toxicity.fit(docs, spark.createDataFrame([*labels, (0, None), (None, 1)], "doc_id long, toxic int"))
+    got = {r.doc_id: r for r in toxicity.scored(found, model).collect()}
     held = [i for i in range(400) if _held(i)]
     right = sum((got[i].score >= toxicity.THRESHOLD) == (i % 5 == 0) for i in held)
     assert right >= 0.97 * len(held) and 0 <= got[900].score <= 1 and got[901].score == got[900].score
     ix = model.index
-    vectors = {i: ix.vector({t: toxicity.terms_of(rows[i][1]).count(t) for t in set(toxicity.terms_of(rows[i][1]))}) for i in range(400)}
+    vectors = {i: ix.vector_of(rows[i][1]) for i in range(400)}
+    by_term = {i: dict(zip(*map(np.ndarray.tolist, v), strict=True)) for i, v in vectors.items()}
     for q in range(0, 400, 37):
-        cosine = [(round(sum(w * vectors[d].get(t, 0) for t, w in vectors[q].items()), 9), -k) for k, d in enumerate(ix.ids)]
-        assert [-k for c, k in sorted(cosine, reverse=True)[:5] if c > 0] == [k for _, k in ix.nearest(vectors[q], 5)]
-    empty = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))
-    assert {r.score for r in toxicity.scored(docs, empty).collect()} == {0.0}
+        cosine = [(round(sum(w * by_term[d].get(t, 0) for t, w in by_term[q].items()), 9), -k) for k, d in enumerate(ix.ids)]
+        want = [-k for c, k in sorted(cosine, reverse=True) if c > 0]
+        near = ix.nearest([vectors[q]], 5)[0]
+        assert near[1].tolist() == want[:5]
+        # scores from a full scan's neighbours
+        votes = []
+        cosines = sorted(((c, k) for c, k in cosine if c > 0), reverse=True)
+        for power in toxicity.POWERS:
+            for size in toxicity.SIZES:
+                w = [(c**power, ix.labels[-k]) for c, k in cosines[:size]]
+                rate = (sum(a * y for a, y in w) + toxicity.PRIOR_WEIGHT * model.base) / (sum(a for a, _ in w) + toxicity.PRIOR_WEIGHT)
+                rate = min(max(rate, 1e-4), 1 - 1e-4)
+                votes.append(math.log(rate / (1 - rate)))
+        z = sum(a * b for a, b in zip(model.weights, [*votes, 1.0], strict=True))
+        assert abs(got[q].score - 1 / (1 + math.exp(-z))) < 1e-6
+    empty, found = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))
+    assert {r.score for r in toxicity.scored(found, empty).collect()} == {0.0}
+
+
+@pytest.mark.parametrize("n", [0, 6])
+def test_toxicity_edges(spark, n):
+    """Empty tables, clashing names, several texts and labels of one id, and a very long text."""
+    rows = [(1, "good day", 1.0, True), (1, "bad day", 1.0, True), (1, "bad day", 1.0, True), (None, "bad", 0.5, None), (3, "idiot " * 200_000, None, False), (4, None, None, None)][:n]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score double, held_out boolean")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (3, 0)], "doc_id long, toxic int")
+    model, found = toxicity.fit(docs, labels)
+    assert sorted((r.doc_id or 0) for r in toxicity.scored(found, model).collect()) == sorted((r[0] or 0) for r in rows)
+    if n:
+        taken = {r.doc_id: (r.text, r.toxic) for r in toxicity.examples_of(docs, labels).collect()}
+        assert taken.get(1, ("bad day", 1)) == ("bad day", 1)
 
 
 def test_toxicity_vectors_hold_every_term_of_the_examples(spark):
@@ -200,7 +229,7 @@ def test_toxicity_vectors_hold_every_term_of_the_examples(spark):
     vocab = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(900)]
     rows = [(i, _prose(rng, rng.choice([5, 40]), vocab) + (" villain" if i == 4 else "")) for i in range(300)]
     docs = spark.createDataFrame([*rows, (900, "villain unseenword")], "doc_id long, text string")
-    model = toxicity.fit(docs, spark.createDataFrame([(i, int(i % 7 == 0)) for i, _ in rows], "doc_id long, toxic int"))
+    model, found = toxicity.fit(docs, spark.createDataFrame([(i, int(i % 7 == 0)) for i, _ in rows], "doc_id long, toxic int"))
     counts = {i: Counter(t.split()) for i, t in rows}
     ids = [i for i, _ in rows if not _held(i)]
     df = Counter(t for c in counts.values() for t in c) + Counter(["villain", "unseenword"])
@@ -208,21 +237,24 @@ def test_toxicity_vectors_hold_every_term_of_the_examples(spark):
     assert set(model.index.number) == vocabulary and len(vocabulary) > 256 and not _held(4)
 
     def unit(c):
-        v = {t: (1 + log(n)) * (log(302 / (1 + df[t])) + 1) for t, n in c.items() if t in vocabulary}
+        v = {t: (1 + log(n)) * log(302 / (1 + df[t])) for t, n in c.items() if t in vocabulary}
         norm = sum(w * w for w in v.values()) ** 0.5
         return {t: w / norm for t, w in v.items()}
 
     vectors = {i: unit(c) for i, c in counts.items()}
-    got = {r.doc_id: r.evidence for r in toxicity.scored(docs, model).collect()}
+    got = {r.doc_id: r.evidence for r in toxicity.scored(found, model).collect()}
     for i, v in vectors.items():
         cosine = [(-round(sum(w * vectors[d].get(t, 0) for t, w in v.items()), 9), d) for d in ids]
         assert got[i] == [d for c, d in sorted(cosine)[: toxicity.NEIGHBOURS] if c < 0]
     assert got[900] == [4]
 
 
-def test_isotonic():
-    votes, rates = toxicity.isotonic([0.1, 0.2, 0.3, 0.4], [0, 1, 0, 1])
-    assert rates == sorted(rates) and rates[0] == 0 and rates[-1] == 1
+def test_logistic():
+    x = np.array([[0.0], [1.0], [2.0], [3.0]] * 10)
+    y = np.array([0, 0, 1, 1] * 9 + [0, 1, 0, 1], float)
+    w = toxicity.logistic(x, y, 1e-6)
+    p = 1 / (1 + np.exp(-(x[:, 0] * w[0] + w[1])))
+    assert w[0] > 0 and abs((y - p).sum()) < 1e-4 and abs(((y - p) * x[:, 0]).sum()) < 1e-4
 
 
 @pytest.mark.parametrize("n", [0, 1, 5])
