@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from .common import held_out, learns, mapped, partitions, saved, scratch, table
 
 #: Examples at most; neighbours that are evidence; examples in a block.
-EXAMPLES, NEIGHBOURS, BLOCK = 8192, 15, 64
+EXAMPLES, NEIGHBOURS, BLOCK = 8192, 15, 256
 #: Neighbourhoods that vote, and powers of the cosine that weigh the votes.
 SIZES, POWERS = (7, 31, 127, 511), (1, 3)
 #: Share of the examples from which a term is common; texts searched together; texts whose neighbours a task remembers.
