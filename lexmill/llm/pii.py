@@ -9,6 +9,10 @@ own score; an instance's score is the chance that one of its patterns is right.
 Patterns that stay confident and have support from several instances mark the
 identifiers that the rules miss.
 
+A fifth kind, secret, has no base rule: its seeds are hexadecimal strings of 32
+digits or more, as keys and digests are written, and what is found of it counts
+as added by the method.
+
 Places in a text are code points; an end is exclusive.
 """
 
@@ -22,6 +26,9 @@ from pyspark.sql import functions as F
 from .common import saved, table
 
 KINDS = ("email", "ip", "card", "phone")
+#: The kinds and, after them, the one that only the method finds.
+NAMES = (*KINDS, "secret")
+_SECRET, _IS_SECRET = len(KINDS), "^[0-9A-Fa-f]{32,}$"
 #: Turns of scoring; least confidence and least support of a pattern that marks identifiers.
 ROUNDS, LEAST_CONFIDENCE, LEAST_SUPPORT = 3, 0.8, 5
 #: Numbers that are summed in one step when places are counted.
@@ -35,7 +42,8 @@ _CARD = r"[0-9](?:[\x20-]?[0-9])++"
 _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: An identifier-like token: it holds a digit or @; groups of digits that follow belong to it.
 _TOKEN = r"""(?<![^\s,;"'<>|=])(?=[^\s,;"'<>|=]*[0-9@])[^\s,;"'<>|=]++(?: [().+-]*+[0-9][0-9().+-]*+)*+"""
-_SEEN = 80
+#: Words of context that are kept on each side.
+_SEEN = 4
 
 
 def _let(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -64,7 +72,7 @@ def found(text: Column, pattern: str) -> Column:
         return F.zip_with(
             ends,
             F.transform(p["values"], lambda v, i: F.struct(v.alias("v"), F.get(p["gaps"], i).alias("l"), F.get(p["gaps"], i + 1).alias("r"))),
-            lambda e, x: F.struct((e - F.length(x["v"])).alias("start"), e.alias("end"), x["v"].alias("value"), F.right(x["l"], F.lit(_SEEN)).alias("left"), F.left(x["r"], F.lit(_SEEN)).alias("right")),
+            lambda e, x: F.struct((e - F.length(x["v"])).alias("start"), e.alias("end"), x["v"].alias("value"), F.substring_index(F.translate(x["l"], "\t\n\r", "   "), " ", -_SEEN).alias("left"), F.substring_index(F.translate(x["r"], "\t\n\r", "   "), " ", _SEEN).alias("right")),
         )
 
     return _let(pair, placed)
@@ -114,12 +122,14 @@ def base_spans(text: Column) -> Column:
 def _fits(value: Column) -> Column:
     """Kinds that a token's shape allows."""
     n, letters = F.length(_digits(value)), F.length(F.regexp_replace(value, r"[^\p{L}]", ""))
-    tests = (value.contains("@"), value.rlike(r"[.:][0-9A-Fa-f]*[.:]"), n.between(12, 19) & (letters == 0), n.between(7, 15) & (letters == 0))
+    mixed = (n > 0) & (letters > 0) & (F.length(value) >= 8) & ~value.contains("@") & ~value.contains(".")
+    tests = (value.contains("@"), value.rlike(r"[.:][0-9A-Fa-f]*[.:]"), n.between(12, 19) & (letters == 0), n.between(7, 15) & (letters == 0), mixed)
     return F.filter(F.array(*[F.when(t, F.lit(k)) for k, t in enumerate(tests)]), lambda k: k.isNotNull())
 
 
 def _patterns(left: Column, right: Column) -> Column:
     """Lexical patterns: the two words before, the word before, and the words on both sides."""
+    left = F.regexp_replace(left, r"""["'<(\[]+$""", "")
     two = F.regexp_extract(left, r"(\S+\s+\S+)\s*$", 1)
     one, after = F.regexp_extract(left, r"(\S+)\s*$", 1), F.regexp_extract(right, r"^\s*(\S+)", 1)
     made = F.array(F.when(two != "", F.concat(F.lit("2 "), two)), F.when(one != "", F.concat(F.lit("1 "), one)), F.when((one != "") & (after != ""), F.concat(F.lit("b "), one, F.lit(" "), after)))
@@ -138,7 +148,7 @@ def _tokens(text: Column, base: Column) -> Column:
             end = m["start"] + F.length(c)
             start = end - F.length(own)
             over = F.filter(base, lambda b: (b["start"] < end) & (start < b["end"]))
-            kind = F.get(F.transform(over, lambda b: b["kind"]), F.lit(0))
+            kind = F.coalesce(F.get(F.transform(over, lambda b: b["kind"]), F.lit(0)), F.when(own.rlike(_IS_SECRET), F.lit(_SECRET)))
             return F.struct(start.alias("start"), end.alias("end"), F.lower(own).alias("value"), kind.alias("kind"), _fits(own).alias("fits"), _patterns(m["left"], m["right"]).alias("patterns"))
 
         return _let(core, trimmed)
@@ -187,13 +197,15 @@ def extracted(docs: DataFrame) -> DataFrame:
     strong = score_patterns(seen).where((F.col("support") >= LEAST_SUPPORT) & (F.col("confidence") >= LEAST_CONFIDENCE))
     open_ = seen.where("kind is null and size(fits) > 0").select("_key", "start", "end", "fits", F.explode("patterns").alias("pattern"))
     best = open_.join(strong, "pattern").where(F.array_contains("fits", F.col("kind"))).groupBy("_key", "start", "end").agg(F.max(F.struct("confidence", (-F.col("kind")).alias("k"))).alias("best"))
-    more = best.groupBy("_key").agg(F.collect_list(F.struct((-F.col("best.k")).cast("int").alias("kind"), "start", "end")).alias("more"))
+    seeded = seen.where(F.col("kind") == _SECRET).select("_key", "start", "end", "kind")
+    added = best.select("_key", "start", "end", (-F.col("best.k")).cast("int").alias("kind")).unionByName(seeded)
+    more = added.groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("kind", "start", "end"))).alias("more"))
     none = F.array().cast("array<struct<kind:int,start:int,end:int>>")
     return rows.select("doc_id", "_key", "base").join(more, "_key", "left").withColumn("more", F.coalesce("more", none))
 
 
 def _written(spans: Column) -> Column:
-    name = lambda k: F.get(F.array(*map(F.lit, KINDS)), k)
+    name = lambda k: F.get(F.array(*map(F.lit, NAMES)), k)
     return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", name(s["kind"]), s["start"], s["end"])))
 
 
@@ -218,20 +230,20 @@ def redacted(docs: DataFrame) -> DataFrame:
     """
     may = F.coalesce(F.col("text").rlike("[0-9@]"), F.lit(False))  # no span is without one of these
     marks = extracted(docs.where(may)).select("_key", F.array_sort(F.transform(F.concat("base", "more"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))).alias("_spans")).where(F.size("_spans") > 0).dropDuplicates(["_key"])
+    text, spans = F.col("_row.text"), F.col("_spans")
 
     def put(s: Column, x: Column) -> Column:
-        name = F.get(F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS]), x["kind"])
+        name = F.get(F.array(*[F.lit(f"<{k.upper()}>") for k in NAMES]), x["kind"])
         new = x["start"] >= s["at"]
-        gap = F.when(new, F.concat(F.substring(F.col("text"), s["at"] + 1, x["start"] - s["at"]), name)).otherwise(F.lit(""))
+        gap = F.when(new, F.concat(F.substring(text, s["at"] + 1, x["start"] - s["at"]), name)).otherwise(F.lit(""))
         return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.concat(s["parts"], F.array(gap)).alias("parts"))
 
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
-    text = F.aggregate("_spans", start, put, lambda s: F.concat(F.array_join(s["parts"], ""), F.substring(F.col("text"), s["at"] + 1, F.length("text"))))
-    joined = docs.where(may).withColumn("_key", row_key()).join(marks, "_key", "left")
-    new = joined.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(text))
-    if "n_chars" in docs.columns:
-        new = new.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return new.select(docs.columns).unionByName(docs.where(~may))
+    put_in = F.aggregate(spans, start, put, lambda s: F.concat(F.array_join(s["parts"], ""), F.substring(text, s["at"] + 1, F.length(text))))
+    # the row travels as one column, so no name of its own can clash
+    joined = docs.where(may).select(row_key().alias("_key"), F.struct(*docs.columns).alias("_row")).join(marks, "_key", "left").withColumn("_text", F.when(spans.isNotNull(), put_in))
+    own = [F.coalesce("_text", text).alias(c) if c == "text" else F.coalesce(F.length("_text").cast(docs.schema[c].dataType), F.col("_row")[c]).alias(c) if c == "n_chars" else F.col("_row")[c].alias(c) for c in docs.columns]
+    return joined.select(*own).unionByName(docs.where(~may))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

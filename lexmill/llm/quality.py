@@ -2,10 +2,13 @@
 
 Each text's words are cut by a byte-fallback vocabulary. Three figures come of
 it: characters per token, the share of tokens that are single fallback bytes,
-and the Shannon entropy of the token distribution. Each script has a band for
-each figure; a text outside a band is rejected. The bands are parameters, wide
-enough for ordinary prose of any length: they are held against what a script
-allows, not against the corpus at hand.
+and the Shannon entropy of the token distribution. Each script has fixed bands
+for what its letters allow in any language. Within them, entropy has bands that
+are learnt: it grows with the length of a text, so texts of one script and one
+octave of token counts are compared, and a text is rejected whose modified
+z-score (distance from the median in units of the median absolute deviation)
+is out of bounds. Medians come from counts of rounded figures over all
+documents, so they don't depend on how the table is dealt out.
 """
 
 from __future__ import annotations
@@ -22,8 +25,9 @@ import pandas as pd
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from .common import WORD_RE, table
+from .common import WORD_RE, saved, table
 
 VOCABULARY = "piece_bpe_32k.model"
 REMEMBERED = 200_000
@@ -40,24 +44,46 @@ class Band:
     least_entropy: float
 
 
-#: Rejection bands per script. Latin and Cyrillic words take a token per 1.4 to 6 characters; scripts that the
-#: vocabulary lacks fall back to bytes as a rule, so their byte band is open.
-BANDS: Mapping[str, Band] = {
-    "latin": Band(1.15, 9.0, 0.25, 0.45),
-    "cyrillic": Band(0.9, 9.0, 0.5, 0.4),
-    "other": Band(0.2, 9.0, 1.0, 0.3),
+#: Letters of each script, as ranges of code points, and the bytes that one takes in UTF-8.
+SCRIPTS: Mapping[str, tuple[str, int]] = {
+    "latin": ("A-Za-z\u00aa-\u024f\u1e00-\u1eff", 1),
+    "cyrillic": ("\u0400-\u052f", 2),
+    "greek": ("\u0370-\u03ff\u1f00-\u1fff", 2),
+    "hebrew": ("\u0590-\u05ff", 2),
+    "arabic": ("\u0600-\u06ff\u0750-\u077f", 2),
+    "devanagari": ("\u0900-\u097f", 3),
+    "thai": ("\u0e00-\u0e7f", 3),
+    "kana": ("\u3040-\u30ff", 3),
+    "han": ("\u3400-\u9fff", 3),
+    "hangul": ("\uac00-\ud7af", 3),
 }
-_SCRIPT = {"latin": re.compile("[A-Za-zª-ɏḀ-ỿ]"), "cyrillic": re.compile("[Ѐ-ԯ]")}
-_FAR = re.compile("[^\\W\\d_\u0000-ɏ]")
+#: The vocabulary has words of these scripts, so few of their tokens are bytes.
+KNOWN = {"latin": 0.25, "cyrillic": 0.5}
+
+
+def _band(name: str, width: int) -> Band:
+    """Bytes alone give 1 / width characters a token, word marks a little less; half of that is out of reach for text."""
+    return Band(1.15 if name == "latin" else 0.5 / width, 9.0, KNOWN.get(name, 1.0), 0.45 if name == "latin" else 0.3)
+
+
+#: Fixed bands per script; "other" takes letters of none of them.
+BANDS: Mapping[str, Band] = {name: _band(name, width) for name, (_, width) in SCRIPTS.items()} | {"other": Band(0.1, 9.0, 1.0, 0.3)}
+#: Modified z-scores of entropy beyond which a text is rejected; 3.5 is the usual line. Documents from which a group has a band.
+LEAST_Z, MOST_Z, LEAST_GROUP = -3.5, 7.0, 100
+#: Steps to which entropy is rounded where it is counted.
+STEP = 0.01
+_OF = {name: re.compile(f"[{letters}]") for name, (letters, _) in SCRIPTS.items()}
+_FAR = re.compile("[^\\W\\d_\u0000-\u024f]")
 
 
 def script_of(text: str) -> str:
-    """The script of most of a text's letters: latin, cyrillic or other; latin if it has none."""
+    """The script of most of a text's letters, ties going to the first listed; latin if it has none."""
     far = len(_FAR.findall(text))
     if not far:
         return "latin"
-    latin, cyrillic = (len(p.findall(text)) for p in _SCRIPT.values())
-    return max((latin, "latin"), (cyrillic, "cyrillic"), (far - cyrillic, "other"))[1]
+    counts = {name: len(p.findall(text)) for name, p in _OF.items()}
+    counts["other"] = far - sum(counts.values()) + counts["latin"]
+    return max(counts, key=counts.__getitem__)
 
 
 @cache
@@ -125,28 +151,61 @@ def figures(path: str) -> Callable[[Column], Column]:
     return measured
 
 
-def verdict(m: Column, bands: Mapping[str, Band] = BANDS) -> tuple[Column, Column]:
-    """(base_failed, kept) of a struct of figures."""
-    failed = (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
+def base_failed(m: Column) -> Column:
+    return (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
+
+
+def _octave(m: Column) -> Column:
+    return F.floor(F.log2(F.greatest(m["n_tokens"], F.lit(1)))).cast("int")
+
+
+def _medians(counted: DataFrame, value: str, name: str) -> DataFrame:
+    """script, octave, name: the lower median of `value`, which stands `n` times; counted holds rounded values, so it is small."""
+    by = W.partitionBy("script", "octave")
+    at = counted.withColumn("below", F.sum("n").over(by.orderBy(value).rowsBetween(W.unboundedPreceding, -1))).withColumn("all", F.sum("n").over(by))
+    return at.where(2 * F.coalesce("below", F.lit(0)) < F.col("all")).groupBy("script", "octave").agg(F.max(value).alias(name), F.max("all").alias("all"))
+
+
+def learnt(measured: DataFrame, least: int = LEAST_GROUP) -> DataFrame:
+    """script, octave, low, high: bands of token entropy, from all texts (with a column m of figures) that pass the base rules."""
+    own = measured.where(~base_failed(F.col("m"))).select("m.script", _octave(F.col("m")).alias("octave"), F.round(F.col("m.token_entropy") / STEP).cast("int").alias("e"))
+    counted = saved(own.groupBy("script", "octave", "e").agg(F.count("*").alias("n")))
+    middle = _medians(counted, "e", "median").where(F.col("all") >= least)
+    spread = _medians(counted.join(F.broadcast(middle.select("script", "octave", "median")), ["script", "octave"]).withColumn("off", F.abs(F.col("e") - F.col("median"))), "off", "mad")
+    z = lambda k: (F.col("median") + k * 1.4826 * F.greatest("mad", F.lit(1))) * STEP
+    return middle.join(spread.select("script", "octave", "mad"), ["script", "octave"]).select("script", "octave", z(LEAST_Z).alias("low"), z(MOST_Z).alias("high"))
+
+
+def _inside(m: Column, bands: Mapping[str, Band]) -> Column:
     inside = F.lit(False)
     for name, b in bands.items():
         full = F.log2(F.least(F.greatest(m["n_tokens"], F.lit(2)), F.lit(256)))
         inside |= (m["script"] == name) & m["chars_per_token"].between(b.least_chars, b.most_chars) & (m["byte_share"] <= b.most_bytes) & (m["token_entropy"] >= b.least_entropy * full)
-    return failed, ~failed & inside
+    return inside
+
+
+def _decided(measured: DataFrame, bands: Mapping[str, Band]) -> DataFrame:
+    """measured with base_failed and kept."""
+    m = F.col("m")
+    # a row for each script and power of two at most
+    limits = F.broadcast(saved(learnt(measured)).select(F.struct("script", "octave").alias("_group"), F.struct("low", "high").alias("_limits")))
+    joined = measured.join(limits, F.struct(m["script"].alias("script"), _octave(m).alias("octave")) == F.col("_group"), "left")
+    usual = F.col("_limits").isNull() | m["token_entropy"].between(F.col("_limits.low"), F.col("_limits.high"))
+    return joined.withColumn("base_failed", base_failed(m)).withColumn("kept", ~base_failed(m) & _inside(m, bands) & usual)
 
 
 def judged(docs: DataFrame, bands: Mapping[str, Band] = BANDS, path: str | None = None) -> DataFrame:
-    """measures() with base_failed (under 50 words, or over half of them in repeated windows) and kept.
+    """doc_id, the figures, base_failed (under 50 words, or over half of them in repeated windows) and kept, a row for each row.
 
     kept is false where base_failed is, or where a figure leaves the script's
-    band. Entropy is compared as a share of log2(min(n_tokens, 256)), so that
-    short texts are not rejected for being short. Empty and null texts fail
-    the base rules. Repeated rows are judged each; an empty table gives no
-    rows; columns other than doc_id and text are not read.
+    fixed band, or where entropy leaves the learnt band of its script and octave
+    of token counts. Groups of fewer than LEAST_GROUP documents have fixed
+    bands only. Empty and null texts fail the base rules. Repeated rows are
+    judged, and counted, each; an empty table gives no rows; columns other than
+    doc_id and text are not read.
     """
-    m = docs.select("doc_id", figures(path or vocabulary())("text").alias("m"))
-    failed, kept = verdict(F.col("m"), bands)
-    return m.select("doc_id", "m.*", failed.alias("base_failed"), kept.alias("kept"))
+    m = saved(docs.select("doc_id", figures(path or vocabulary())("text").alias("m")))
+    return _decided(m, bands).select("doc_id", "m.*", "base_failed", "kept")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,6 +213,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, bands: Mapping[str, Band] = BANDS, path: str | None = None) -> DataFrame:
-    """The rows whose own text judged() keeps, all columns unchanged; nothing is shuffled."""
-    measured = docs.select(F.struct(*docs.columns).alias("row"), figures(path or vocabulary())(docs["text"]).alias("m"))
-    return measured.where(verdict(F.col("m"), bands)[1]).select("row.*")
+    """The rows that judged() keeps, all columns unchanged whatever their names; texts are not shuffled."""
+    measured = saved(docs.select(F.struct(*docs.columns).alias("row"), figures(path or vocabulary())(docs["text"]).alias("m")))
+    return _decided(measured, bands).where("kept").select("row.*")

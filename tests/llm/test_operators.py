@@ -257,6 +257,46 @@ def test_logistic():
     assert w[0] > 0 and abs((y - p).sum()) < 1e-4 and abs(((y - p) * x[:, 0]).sum()) < 1e-4
 
 
+def test_quality_learns_entropy_bands(spark):
+    """Texts whose tokens are unlike those of their script and length are rejected, by medians that brute force gives too."""
+    rng = random.Random(6)
+    vocab = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.choice([3, 5, 8]))) for _ in range(800)]
+    rows = [(i, _prose(rng, rng.randrange(58, 66), vocab)) for i in range(300)]
+    junk = [(900 + i, _prose(rng, 60, vocab[20 * i : 20 * i + 14])) for i in range(3)]
+    docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows + junk], "doc_id long, text string, m string, script int")
+    got = {r.doc_id: r for r in quality.judged(docs).collect()}
+    groups = {}
+    for r in got.values():
+        if not r.base_failed:
+            groups.setdefault((r.script, int(math.log2(r.n_tokens))), []).append(round(r.token_entropy / quality.STEP))
+    lower = lambda xs: sorted(xs)[(len(xs) - 1) // 2]
+    limits = {}
+    for g, xs in groups.items():
+        if len(xs) >= quality.LEAST_GROUP:
+            mid = lower(xs)
+            mad = 1.4826 * max(1, lower([abs(x - mid) for x in xs]))
+            limits[g] = ((mid + quality.LEAST_Z * mad) * quality.STEP, (mid + quality.MOST_Z * mad) * quality.STEP)
+    assert limits
+    for i, r in got.items():
+        lo, hi = limits.get((r.script, int(math.log2(r.n_tokens))), (-1, 99))
+        assert r.kept == (not r.base_failed and lo <= r.token_entropy <= hi), i
+    assert all(not got[i].base_failed and not got[i].kept for i, _ in junk) and sum(got[i].kept for i, _ in rows) >= 298
+    kept = quality.keep_good(docs)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.kept}
+
+
+@pytest.mark.parametrize("text, script", [("αβγ abc δε", "greek"), ("שלום", "hebrew"), ("こんにちは", "kana"), ("漢字漢字 abc", "han"), ("12 !?", "latin"), ("ქართული", "other"), ("ab вг", "latin")])
+def test_scripts(text, script):
+    assert quality.script_of(text) == script and quality.BANDS[script].most_chars > 1
+
+
+def test_quality_of_a_very_long_text(spark):
+    rng = random.Random(7)
+    vocab = ["".join(rng.choice("etaoinshrdlu") for _ in range(6)) for _ in range(3000)]
+    got = quality.judged(spark.createDataFrame([(1, _prose(rng, 200_000, vocab)), (2, "x" * 300_000)], "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_words, r.base_failed) for r in got} == {1: (200_000, False), 2: (1, True)}
+
+
 @pytest.mark.parametrize("n", [0, 1, 5])
 def test_unused_columns_do_not_clash(spark, n):
     docs = spark.createDataFrame([(i, "a b", "x", "y") for i in range(n)], "doc_id long, text string, row string, m string")

@@ -72,3 +72,55 @@ def test_redaction_merges_overlaps_and_keeps_rows(spark):
 @pytest.mark.parametrize("fn", [pii.spans_of, pii.redacted])
 def test_empty_table(spark, fn):
     assert fn(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_pattern_scores_equal_brute_force(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(400):
+        kind = rng.choice([None, None, 0, 3])
+        rows.append((f"v{i % 150}", kind, [0, 3] if kind is None else [kind], rng.sample([f"p{k}" for k in range(12)], 2)))
+    seen = spark.createDataFrame(rows, "value string, kind int, fits array<int>, patterns array<string>")
+    got = {(r.pattern, r.kind): (round(r.confidence, 9), round(r.support, 9)) for r in pii.score_patterns(seen).collect()}
+
+    edges = {(v, p) for v, _, _, ps in rows for p in ps}
+    seeds = {(v, k): 1.0 for v, k, _, _ in rows if k is not None}
+    may = {(v, k) for v, k, fits, _ in rows for k in (fits if k is None else [k])}
+    size = {p: sum(q == p for _, q in edges) for _, p in edges}
+    scores = dict(seeds)
+    for turn in range(pii.ROUNDS):
+        support = {}
+        for v, p in edges:
+            for k in (0, 3):
+                if (v, k) in scores:
+                    support[p, k] = support.get((p, k), 0) + scores[v, k]
+        patterns = {pk: (s / (size[pk[0]] + 1), s) for pk, s in support.items()}
+        if turn + 1 < pii.ROUNDS:
+            scores = dict(seeds)
+            for v, k in may:
+                miss = 1.0
+                hit = [patterns[p, k][0] for w, p in edges if w == v and (p, k) in patterns and patterns[p, k][1] >= pii.LEAST_SUPPORT and patterns[p, k][0] >= pii.LEAST_CONFIDENCE / 2]
+                for c in hit:
+                    miss *= 1 - c
+                if hit:
+                    scores[v, k] = max(scores.get((v, k), 0), 1 - miss)
+    assert got == {pk: (round(c, 9), round(s, 9)) for pk, (c, s) in patterns.items()}
+
+
+def test_patterns_recover_hidden_identifiers(spark):
+    """Of identifiers in one context some look like seeds; the others are what the patterns must find."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.choice([4, 9, 120])))
+    rows, hidden = [], set()
+    for i in range(80):
+        value = "".join(rng.choice("0123456789abcdef") for _ in range(40)) if i % 2 else "k" + str(i) + "".join(rng.choice("ghijkmnp0123456789") for _ in range(9)) + "7z"
+        text = f'{word()} {word()} token = "{value}" {word()}'
+        if not i % 2:
+            hidden.add((i, f"secret:{text.index(value)}:{text.index(value) + len(value)}"))
+        rows.append((i, text, "k", [1]))
+    rows += [(500 + i, f"{word()} room number {rng.randrange(10**8)}x {word()}", "k", [1]) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _key string, _spans array<int>")
+    got = {(r.doc_id, s) for r in pii.spans_of(docs).collect() for s in r.spans.split(",") if s}
+    assert hidden <= got and all(i < 500 for i, _ in got) and len(got) == 80
+    out = {r.doc_id: r for r in pii.redacted(docs).collect()}
+    assert all('token = "<SECRET>"' in out[i].text and out[i]._key == "k" and out[i]._spans == [1] for i in range(80)) and out[500].text == rows[80][1]
