@@ -97,26 +97,30 @@ def linked(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
         buckets = saved(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("low"), F.max("fp").alias("high")).where("n > 1"))
         pairs = buckets.where((F.col("n") == 2) & _near(F.col("low"), F.col("high"), distance)).select(F.col("low").alias("u"), F.col("high").alias("v"))
         large = saved(buckets.where("n > 2").select("key"))
-        index = saved(keyed.join(F.broadcast(large) if large.count() <= MOST_BROADCAST else large, "key").select("key", "fp"))
-        leads = saved(_leads(index))
-        roots = saved(_joined(nodes.withColumn("root", F.col("fp")), pairs.unionByName(_to_leads(index, leads, distance))))
+        index = saved(keyed.join(F.broadcast(large) if large.count() <= MOST_BROADCAST else large, "key", "left_semi"))
+        led = saved(_led(index))
+        roots = saved(_joined(nodes.withColumn("root", F.col("fp")), pairs.unionByName(_to_leads(led, distance))))
         # a lead for all members but one: every pair has been compared
-        open_ = leads.where(F.col("n") > F.size("leads") + 1).select("key")
-        rooted = saved(index.join(open_, "key").join(roots, "fp").select("key", "fp", "root"))
+        rooted = saved(led.where(_OPEN).join(roots, "fp").select("key", "fp", "root"))
         return saved(_joined(roots, _across(rooted, distance)), outlives=True)
 
 
-def _leads(index: DataFrame) -> DataFrame:
-    """key, n (its members), leads (some distinct ones of them)."""
+def _led(index: DataFrame) -> DataFrame:
+    """key, fp, n (the bucket's members), leads (some distinct ones of them)."""
     drawn = [F.min("fp"), F.max("fp"), *[F.min(F.struct(F.xxhash64("fp", F.lit(i)), "fp"))["fp"] for i in range(DRAWN)]]
-    return index.groupBy("key").agg(F.count("*").alias("n"), F.array_distinct(F.array(*drawn)).alias("leads"))
+    leads = saved(index.groupBy("key").agg(F.count("*").alias("n"), F.array_distinct(F.array(*drawn)).alias("leads")))
+    return index.join(leads, "key").select("key", "fp", "n", "leads")
 
 
-def _to_leads(index: DataFrame, leads: DataFrame, distance: int) -> DataFrame:
+#: Whether a bucket has pairs of which neither is a lead.
+_OPEN = "n > size(leads) + 1"
+
+
+def _to_leads(led: DataFrame, distance: int) -> DataFrame:
     """(u, v): each fingerprint with the near leads of its bucket; with the smallest of them where the bucket has other pairs left."""
     near = F.filter("leads", lambda x: (x != F.col("fp")) & _near(x, F.col("fp"), distance))
-    each = F.when(F.col("n") > F.size("leads") + 1, F.slice(F.sort_array(near), 1, 1)).otherwise(near)
-    return index.join(leads, "key").select(F.col("fp").alias("u"), F.explode(each).alias("v")).distinct()
+    each = F.when(F.expr(_OPEN), F.slice(F.sort_array(near), 1, 1)).otherwise(near)
+    return led.select(F.col("fp").alias("u"), F.explode(each).alias("v")).distinct()
 
 
 def _across(rooted: DataFrame, distance: int) -> DataFrame:
