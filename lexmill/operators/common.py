@@ -15,7 +15,10 @@ def small(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df computed once for several uses: checkpointed where a checkpoint folder is set, else persisted."""
-    if df.sparkSession.sparkContext.getCheckpointDir():
+    """df computed once for several uses: checkpointed in the shared folder, or, where none is set, as when Spark runs in one process, persisted."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() or df.sparkSession.conf.get("spark.checkpoint.dir", None):
+        if not context.getCheckpointDir():
+            context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir"))
         return df.checkpoint()
     return df.persist()

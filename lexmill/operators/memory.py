@@ -48,6 +48,24 @@ def as_of(facts: DataFrame, at: Column) -> DataFrame:
     return facts.where((F.col("since") <= at) & (F.col("until").isNull() | (at < F.col("until"))))
 
 
+def newest_first(facts: DataFrame) -> DataFrame:
+    """facts with their place in their owner's order: since descending, then fact_id descending."""
+    return facts.withColumn("place", F.row_number().over(W.partitionBy("owner").orderBy(F.desc("since"), F.desc("fact_id"))))
+
+
+def with_calls(turns: DataFrame, calls: DataFrame, key: str, position: str) -> DataFrame:
+    """Each turn with `calls`, an array of its calls by position; empty where it made none."""
+    rest = [c for c in calls.columns if c not in (key, position)]
+    nested = calls.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(position, *rest))).alias("calls"))
+    empty = F.array().cast(nested.schema["calls"].dataType)
+    return turns.join(nested, key, "left").withColumn("calls", F.coalesce("calls", empty))
+
+
+def day_range(since: str, until: str, zone: str) -> tuple[Column, Column]:
+    """The time range of whole local days, `until` included: from the start of the first to the start of the day after the last."""
+    return F.to_utc_timestamp(F.to_date(F.lit(since)).cast("timestamp"), zone), F.to_utc_timestamp(F.date_add(F.to_date(F.lit(until)), 1).cast("timestamp"), zone)
+
+
 def cascade(parent: DataFrame, child: DataFrame, key: str) -> DataFrame:
     """The child rows whose parent is still there."""
     return child.join(parent.select(key), key, "left_semi")

@@ -6,64 +6,97 @@ Documents are (doc_id, text), queries (query_id, text). Rankings are
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.text import terms
+from ..functions.stemming import stems_of
+from ..functions.text import folded_terms, terms
 from .common import settled, small
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 #: Digits to which scores are compared.
 DIGITS = 6
+#: Cuts a text to an array of terms.
+Analyser = Callable[[Column], Column]
 
 
-def lengths(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.size(terms(F.col("text"))).alias("len"))
+def query_terms(queries: DataFrame, analyse: Analyser = terms) -> DataFrame:
+    """query_id, term, qtf: a repeated query term counts again."""
+    return queries.select("query_id", F.explode(analyse(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 
 
-def query_terms(queries: DataFrame) -> DataFrame:
-    """query_id, term, qtf: a repeated query term counts again."""
-    return queries.select("query_id", F.explode(terms(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+#: Stands for a document itself among its postings; no term is empty.
+_WHOLE = ""
 
 
-def postings(docs: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
+def postings(docs: DataFrame, vocabulary: DataFrame | None = None, analyse: Analyser = terms) -> DataFrame:
     """doc_id, term, f, len; only terms of `vocabulary` (term) where it is given. Terms are filtered before they are shuffled."""
-    split = docs.select("doc_id", terms(F.col("text")).alias("t"))  # once for each text, not for each term
+    split = docs.select("doc_id", analyse(F.col("text")).alias("t"))  # once for each text, not for each term
     each = split.select("doc_id", F.size("t").alias("len"), F.explode("t").alias("term"))
     if vocabulary is not None:
         each = each.join(small(vocabulary.select("term").distinct()), "term", "left_semi")
     return each.groupBy("doc_id", "term", "len").agg(F.count("*").alias("f"))
 
 
+def indexed(docs: DataFrame, vocabulary: DataFrame | None = None, analyse: Analyser = terms) -> DataFrame:
+    """postings() and, under the empty term, a row for each document, so that one pass over the texts gives counts and lengths too."""
+    marked = vocabulary.select("term").union(vocabulary.sparkSession.createDataFrame([(_WHOLE,)], "term string")) if vocabulary is not None else None
+    return postings(docs, marked, lambda text: F.concat(analyse(text), F.array(F.lit(_WHOLE)))).withColumn("len", F.col("len") - 1)
+
+
+def reindexed(index: DataFrame, changed: DataFrame, removed: DataFrame | None = None, analyse: Analyser = terms) -> DataFrame:
+    """An index after documents were added or replaced (`changed`: doc_id, text) and removed (doc_id); only changed texts are read."""
+    gone = changed.select("doc_id") if removed is None else changed.select("doc_id").union(removed.select("doc_id"))
+    return index.join(small(gone.distinct()), "doc_id", "left_anti").unionByName(indexed(changed, analyse=analyse))
+
+
 def idf(n_docs: Column, n: Column) -> Column:
     raw = F.log((n_docs - n + 0.5) / (n + 0.5))
     return F.when(raw <= 0, F.lit(LEAST_IDF)).otherwise(raw)
 
 
-def bm25(docs: DataFrame, queries: DataFrame, within: DataFrame | None = None) -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, within: DataFrame | None = None, analyse: Analyser = terms) -> DataFrame:
     """query_id, doc_id, score of every document that holds a query term.
 
     Document counts, frequencies and the average length are those of all
     `docs`, also where `within` (doc_id) says which may be found.
     """
-    q = query_terms(queries)
-    tf = postings(docs, q)
-    stats = lengths(docs).agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
-    weights = tf.groupBy("term").agg(F.count("*").alias("n")).crossJoin(F.broadcast(stats))  # one row of totals
+    asked = settled(query_terms(queries, analyse))
+    return bm25_of(settled(indexed(docs, asked, analyse)), asked, within)
+
+
+def bm25_of(index: DataFrame, asked: DataFrame, within: DataFrame | None = None) -> DataFrame:
+    """bm25 of query_terms() over an index that holds at least their terms."""
+    tf = index.where(F.col("term") != _WHOLE)
+    stats = index.where(F.col("term") == _WHOLE).agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
+    weights = tf.groupBy("term").agg(F.count("*").alias("n")).join(F.broadcast(stats))  # one row of totals
     weights = weights.select("term", idf(F.col("n_docs"), F.col("n")).alias("idf"), "avg_len")
     if within is not None:
         tf = tf.join(within.select("doc_id"), "doc_id", "left_semi")
-    weighted = q.join(weights, "term")
+    weighted = asked.join(weights, "term")
     part = F.col("qtf") * F.col("idf") * (F.col("f") * (K1 + 1)) / (F.col("f") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
     return tf.join(small(weighted), "term").groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
 
 
-def best(scores: DataFrame, limit: int, *more: str) -> DataFrame:
-    """The first `limit` of each query: query_id, rank, doc_id, score (rounded)."""
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+def stemmed_bm25(docs: DataFrame, queries: DataFrame, within: DataFrame | None = None) -> DataFrame:
+    """bm25 over stems of folded terms, so that inflected and accented forms match. Each distinct term is stemmed once."""
+    asked = query_terms(queries, folded_terms)
+    wanted = asked.join(stems_of(asked), "term").groupBy("query_id", F.col("stem").alias("term")).agg(F.sum("qtf").alias("qtf"))
+    wanted = settled(wanted)
+    spoken = docs.select(F.explode(folded_terms(F.col("text"))).alias("term"))
+    forms = settled(stems_of(spoken).join(small(wanted.select(F.col("term").alias("stem")).distinct()), "stem", "left_semi"))
+    raw = indexed(docs, forms, folded_terms)
+    named = raw.join(small(forms), "term", "left").withColumn("term", F.coalesce("stem", "term"))
+    return bm25_of(settled(named.groupBy("doc_id", "term", "len").agg(F.sum("f").alias("f"))), wanted, within)
+
+
+def best(scores: DataFrame, limit: int, *more: str, newest: bool = False) -> DataFrame:
+    """The first `limit` of each query: query_id, rank, doc_id, score (rounded); ties go to the smaller doc_id, or to the larger if `newest`."""
+    order = W.partitionBy("query_id").orderBy(F.desc("score"), F.desc("doc_id") if newest else F.asc("doc_id"))
     rounded = scores.withColumn("score", F.round("score", DIGITS))
     return rounded.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("query_id", "rank", "doc_id", "score", *more)
 

@@ -21,6 +21,8 @@ from . import catalogue, chunking, ranking, vectors
 from .common import settled
 
 CANDIDATES, WORD_WEIGHT, MAX_HOPS = 50, 0.2, 2
+#: Weight of words beside meaning where past turns are recalled.
+MEMORY_WEIGHT = 0.1
 _SPELLING = re.compile(r"(words|meaning|fused)(?::([^+]+(?:\+\d+)?))?(?:\+hop(\d+)x((?:(?!\+rerank:).)+))?(?:\+rerank:([a-z0-9][a-z0-9.-]*)@(\d+))?")
 
 
@@ -140,15 +142,23 @@ def find(corpus: Corpus, queries: DataFrame, variant: Variant, limit: int, priva
     return ranking.shown(rows, hidden, limit)
 
 
-def recall(turns: DataFrame, queries: DataFrame, limit: int, since: Column | None = None, until: Column | None = None, at_least: float = 0.0) -> DataFrame:
-    """query_id, rank, doc_id, score of past turns (doc_id, at, text); ties go to the newer, and queries without a word get the newest."""
+def recall(turns: DataFrame, queries: DataFrame, limit: int, since: Column | None = None, until: Column | None = None, at_least: float = 0.0, vectors_of: DataFrame | None = None) -> DataFrame:
+    """query_id, rank, doc_id, score of past turns (doc_id, at, text); queries without a word get the newest.
+
+    By words alone, ties go to the newer. With `vectors_of` (vec_id, embedding)
+    and embeddings of the queries, words count MEMORY_WEIGHT beside the cosine,
+    and ties go to the larger doc_id.
+    """
     inside = turns
     if since is not None:
         inside = inside.where(F.col("at") >= since)
     if until is not None:
         inside = inside.where(F.col("at") < until)
     asked = queries.withColumn("_n", F.size(terms(F.col("text"))))
-    found = ranking.bm25(turns, asked.where("_n > 0"), inside).where(F.col("score") >= at_least).join(inside.select("doc_id", "at"), "doc_id")
+    spoken = asked.where("_n > 0")
+    if vectors_of is not None:
+        return _fused_recall(turns, inside, spoken, vectors_of, limit, at_least)
+    found = ranking.bm25(turns, spoken, inside).where(F.col("score") >= at_least).join(inside.select("doc_id", "at"), "doc_id")
     order = W.partitionBy("query_id").orderBy(F.desc(F.round("score", ranking.DIGITS)), F.desc("at"), F.desc("doc_id"))
     hits = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("query_id", "rank", "doc_id", "score")
     if at_least > 0:
@@ -159,6 +169,16 @@ def recall(turns: DataFrame, queries: DataFrame, limit: int, since: Column | Non
     return hits.unionByName(asked.where("_n = 0").select("query_id").join(F.broadcast(ranked)).select("query_id", "rank", "doc_id", "score"))
 
 
+def _fused_recall(turns: DataFrame, inside: DataFrame, asked: DataFrame, held: DataFrame, limit: int, at_least: float) -> DataFrame:
+    words = settled(ranking.best(ranking.bm25(turns, asked, inside), CANDIDATES).select("query_id", "doc_id", "score"))
+    may = held.join(inside.select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
+    near = vectors.nearest(may, asked, CANDIDATES).select("query_id", F.col("vec_id").alias("doc_id"), F.col("cosine").alias("score"))
+    hit = words.join(may.withColumnRenamed("vec_id", "doc_id"), "doc_id").join(asked.select("query_id", F.col("embedding").alias("_q")), "query_id")
+    similar = ranking.merged_best([near, hit.select("query_id", "doc_id", F.round(vectors.dot(F.col("_q"), F.col("embedding")), vectors.DIGITS).alias("score"))])
+    scored = ranking.fused(similar, words, turns.count(), MEMORY_WEIGHT).where(F.col("score") >= at_least)
+    return ranking.best(scored, limit, newest=True)
+
+
 def forget(rows: DataFrame, words: DataFrame, key: str = "doc_id") -> DataFrame:
     """The rows (doc_id, text) that hold none of the word lists (query_id, text) in full; a list without a word forgets nothing."""
     gone = ranking.match(rows, words, every=True).select(F.col("doc_id").alias(key)).distinct()

@@ -39,13 +39,17 @@ def body_cuts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.length(T.body_cut(F.col("text"))).cast("long").alias("kept"))
 
 
-NAME = r"""(?:api_?key|secret|token|passw(?:or)?d)[\w-]*["'']?[ \t]*[:=][ \t]*"""
-PLACE = r"""NOT (starts_with(lower(v), '<') OR starts_with(lower(v), '${') OR starts_with(lower(v), '{{') OR starts_with(lower(v), '%(') OR contains(lower(v), 'changeme') OR regexp_matches(lower(v), '^[x*.\-_]*$'))"""
+#: Rules that keep documents out, as SQL of their own: key formats, then values set to a name, quoted or bare.
+NAME = r"""(api_?key|secret|token|password|passwd)[a-z0-9_-]*["'']?[ \t]*[:=][ \t]*"""
+PLACE = r"""NOT (v[1] = '<' OR v[1:2] IN ('${', '{{', '%(') OR contains(lower(v), 'changeme') OR trim(lower(v), 'x*.-_') = '')"""
 
 
-@query(rf"""SELECT doc_id FROM documents WHERE regexp_matches(text, '-----BEGIN [A-Z ]*PRIVATE KEY-----|\bAKIA[0-9A-Z]{{16}}\b|\bgh[pousr]_[A-Za-z0-9]{{36,}}|\bsk-[A-Za-z0-9_-]{{20,}}|[a-z][a-z0-9+.-]*://[^\s/:@]+:[^\s/@]+@')
-OR len(list_filter(list_concat(regexp_extract_all(text, '(?i){NAME}(?:"([^"\s]{{16,}})"|''([^''\s]{{16,}})'')', 1), regexp_extract_all(text, '(?i){NAME}(?:"([^"\s]{{16,}})"|''([^''\s]{{16,}})'')', 2)), lambda v: v <> '' AND {PLACE})) > 0
-OR len(list_filter(regexp_extract_all(text, '(?i){NAME}([^\s"''=<>()\[\]{{}},;#]{{16,}})(?:[\s,;#]|$)', 1), lambda v: regexp_matches(v, '[0-9]') AND NOT regexp_matches(v, '^[0-9]+$') AND NOT contains(v, '_') AND NOT contains(v, '.') AND {PLACE})) > 0""")
+@query(rf"""WITH v AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?i){NAME}("[^"\s]{{16,}}"|''[^''\s]{{16,}}'')', 2)) AS raw, true AS quoted FROM documents
+  UNION ALL SELECT doc_id, unnest(regexp_extract_all(text, '(?i){NAME}([^\s"''=<>()\[\]{{}},;#]{{16,}})([\s,;#]|$)', 2)), false FROM documents),
+named AS (SELECT doc_id, quoted, CASE WHEN quoted THEN raw[2:-2] ELSE raw END AS v FROM v)
+SELECT doc_id FROM named WHERE {PLACE} AND (quoted OR (regexp_matches(v, '[0-9]') AND regexp_matches(v, '[^0-9]') AND NOT regexp_matches(v, '[_.]')))
+UNION SELECT doc_id FROM documents WHERE regexp_matches(text, '-----BEGIN [A-Z ]*PRIVATE KEY-----') OR regexp_matches(text, '\bAKIA[0-9A-Z]{{16}}\b') OR regexp_matches(text, '\bgh[pousr]_[A-Za-z0-9]{{36}}')
+  OR regexp_matches(text, '\bsk-[A-Za-z0-9_-]{{20}}') OR regexp_matches(text, '[a-z][a-z0-9+.-]*://[^\s/:@]+:[^\s/@]+@')""")
 def secret_filter(spark: SparkSession, d: str) -> DataFrame:
     """Documents that are held back because they look like they hold a secret."""
     return table(spark, d, "documents").where(T.holds_secret(F.col("text"))).select("doc_id")
@@ -94,9 +98,20 @@ def chunk_cover(spark: SparkSession, d: str) -> DataFrame:
     return chunking.chunked(table(spark, d, "documents"), max_tokens=1 << 30).select("doc_id", body).groupBy("doc_id").agg(F.count_if(F.trim("x", F.lit(" \t\x0b\x0c")) != "").alias("n_lines")).where("n_lines > 0")
 
 
-@query()
+def _visible_sql() -> str:
+    out = r"regexp_replace(coalesce(html, ''), '<!--.*?(-->|\z)', '', 'gs')"
+    for name in ("script", "style", "noscript", "template", "svg"):
+        out = rf"regexp_replace({out}, '<{name}(\s[^>]*)?>.*?(</{name}\s*>|\z)', '', 'gis')"
+    out = rf"regexp_replace({out}, '</?(p|div|br|li|tr|h[1-6]|section|article|header|footer|pre|blockquote|table|ul|ol|title)([\s/][^>]*)?>', chr(10), 'gi')"
+    out = rf"regexp_replace({out}, '<[/!?]?[A-Za-z][^>]*>', '', 'g')"
+    for name, character in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "''"), ("#39", "''"), ("nbsp", " "), ("amp", "&")):
+        out = f"replace({out}, '&{name};', '{character}')"
+    return out
+
+
+@query(rf"""SELECT page_id, array_to_string(list_filter(list_transform(string_split({_visible_sql()}, chr(10)), lambda x: trim(regexp_replace(x, '[\s\v\x{{A0}}]+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS text FROM pages""")
 def visible_text(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "pages").select("page_id", readers.visible_text("html").alias("text"))
+    return table(spark, d, "pages").select("page_id", T.visible(F.col("html")).alias("text"))
 
 
 @query(r"""WITH t AS (SELECT page_id, unnest(regexp_extract_all(html, '<a\s[^>]*href=["'']([^"''#]*)', 1)) AS target FROM pages)

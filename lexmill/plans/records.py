@@ -114,18 +114,28 @@ def _keyed(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select(F.col("user_id").cast("string").alias("key"), "event_id", F.col("ts").cast("timestamp").cast("double").alias("at"), F.col("event_type").alias("kind"))
 
 
-@query()
+EVENTS_OF = """o AS (SELECT CAST(user_id AS VARCHAR) AS key, event_id, epoch(ts) AS at, event_type AS kind, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)"""
+
+
+@query(f"""WITH RECURSIVE {EVENTS_OF}, r AS (SELECT key, event_id, n, NULL::DOUBLE AS older, o.at AS newer, 'granted' AS outcome FROM o WHERE n = 1
+  UNION ALL SELECT o.key, o.event_id, o.n, CASE WHEN r.older + 21600 > o.at THEN r.older ELSE r.newer END, CASE WHEN r.older + 21600 > o.at THEN r.newer ELSE o.at END, CASE WHEN r.older + 21600 > o.at THEN 'refused' ELSE 'granted' END
+  FROM r JOIN o ON o.key = r.key AND o.n = r.n + 1) SELECT key, event_id, outcome FROM r""")
 def rate_limit(spark: SparkSession, d: str) -> DataFrame:
     """At most two events of a user in any six hours."""
     return stateful.folded(_keyed(spark, d), stateful.rate_limit(2, 6 * 3600.0)).select("key", "event_id", "outcome")
 
 
-@query()
+@query(f"""WITH RECURSIVE {EVENTS_OF}, r AS (SELECT key, event_id, n, CASE WHEN kind = 'error' THEN 1 ELSE 0 END AS failed, NULL::DOUBLE AS opened, 'closed' AS outcome FROM o WHERE n = 1
+  UNION ALL SELECT o.key, o.event_id, o.n, CASE WHEN kind = 'error' THEN failed + 1 WHEN opened IS NULL OR o.at - opened >= 86400 THEN 0 ELSE failed END,
+    CASE WHEN kind = 'error' THEN CASE WHEN opened IS NOT NULL OR failed + 1 >= 2 THEN o.at END WHEN o.at - opened >= 86400 THEN NULL ELSE opened END,
+    CASE WHEN o.at - opened >= 86400 THEN 'half-open' WHEN opened IS NULL THEN 'closed' ELSE 'open' END
+  FROM r JOIN o ON o.key = r.key AND o.n = r.n + 1) SELECT key, event_id, outcome FROM r""")
 def circuit_breaker(spark: SparkSession, d: str) -> DataFrame:
     return stateful.folded(_keyed(spark, d), stateful.circuit(2, 86400.0)).select("key", "event_id", "outcome")
 
 
-@query()
+@query("""WITH c AS (SELECT CAST(user_id AS VARCHAR) AS key, event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 2 DAY PRECEDING AND CURRENT ROW) AS n FROM events WHERE event_type = 'error')
+SELECT key, event_id, CASE WHEN n > 3 THEN 'escalated' ELSE (['0.5', '1', '2'])[n] END AS outcome FROM c""")
 def restart_intensity(spark: SparkSession, d: str) -> DataFrame:
     return stateful.folded(_keyed(spark, d).where("kind = 'error'"), stateful.restarts(3, 2 * 86400.0)).select("key", "event_id", "outcome")
 
@@ -206,12 +216,17 @@ def known_rates(spark: SparkSession, d: str) -> DataFrame:
     return both.groupBy("source").agg(F.count("*").alias("n"), F.round(evaluation.known_rate(F.col("toxic")), 6).alias("toxic_rate"))
 
 
-MATHS = r"\b(?:solve|integral|integrate|derivative|differentiate|equations?|probability|matrix|eigen\w*|factori[sz]e|prime|logarithm)\b"
+WORDY = r"\b(why|how\s+(do|does|did|can|could|would|should|to|come)|compare|comparison|difference\s+between|versus|vs|explain|trade-?offs?|pros\s+and\s+cons|debug|optimi[sz]e|analy[sz]e|design)\b"
+CODED = (
+    r"```", r"traceback \(most recent call last\)", r"^\s*def\s+\w+\s*\(", r"^\s*class\s+\w+\s*[:(]", r"^\s*import\s+[\w.]+\s*$", r"^\s*from\s+[\w.]+\s+import\s", r"^\s*function\s+\w+\s*\(",
+    r"^\s*(const|let)\s+\w+\s*=", r"^\s*fn\s+\w+\s*\(", r"^\s*#include\s*<", r"[;{]\s*$",
+)
 
 
-@query(rf"""WITH t AS (SELECT conv_id, turn, text, regexp_matches(regexp_replace(text, '(?i)prime\s+minister', '', 'g'), '(?im){MATHS}') AS maths, len(regexp_extract_all(text, '\S+')) AS words, length(text) - length(replace(text, '?', '')) AS asked FROM conversations WHERE role = 'user'),
-p AS (SELECT conv_id, turn, words, CASE WHEN regexp_matches(text, '(?im){T.CODE}') THEN 2 ELSE 0 END + CASE WHEN maths THEN 2 ELSE 0 END + CASE WHEN regexp_matches(text, '(?im){T.REASONS}') THEN 2 ELSE 0 END + CASE WHEN regexp_matches(text, '(?im){T.DEPTH}') THEN 3 ELSE 0 END
-  + CASE WHEN NOT maths AND regexp_matches(text, '{T.SUM}') THEN 1 ELSE 0 END + CASE WHEN asked >= 2 OR (asked >= 1 AND len(regexp_extract_all(text, '{T.LIST_ITEM}')) >= 2) THEN 1 ELSE 0 END + CASE WHEN words > 80 THEN 1 ELSE 0 END AS p FROM t)
+@query(rf"""WITH t AS (SELECT conv_id, turn, text, regexp_matches(regexp_replace(text, '(?i)prime\s+minister', '', 'g'), '(?i)\b(solve|integral|integrate|derivative|differentiate|equations?|probability|matrix|eigen\w*|factori[sz]e|prime|logarithm)\b') AS maths,
+    len(regexp_extract_all(text, '\S+')) AS words, length(text) - length(replace(text, '?', '')) AS asked FROM conversations WHERE role = 'user'),
+p AS (SELECT conv_id, turn, words, 2 * CAST({" OR ".join(f"regexp_matches(text, '(?im){x}')" for x in CODED)} AS INT) + 2 * CAST(maths AS INT) + 2 * CAST(regexp_matches(text, '(?i){WORDY}') AS INT) + 3 * CAST(regexp_matches(text, '(?i)\b(prove|proof|derive|step\s+by\s+step|in\s+depth|thoroughly)\b') AS INT)
+  + CAST(NOT maths AND regexp_matches(text, '\d\s*[+*/^=×÷]\s*\d') AS INT) + CAST(asked >= 2 OR (asked = 1 AND len(regexp_extract_all(text, '(?m)^\s*(\d+[.)]|[-*])\s+\S')) >= 2) AS INT) + CAST(words > 80 AS INT) AS p FROM t)
 SELECT conv_id, turn, CASE WHEN p >= 3 THEN 'high' WHEN p >= 2 THEN 'medium' WHEN p = 0 AND words <= 8 THEN 'off' ELSE 'low' END AS level,
   CAST(CASE WHEN p >= 3 THEN 1500 WHEN p >= 2 THEN 500 WHEN p = 0 AND words <= 8 THEN NULL ELSE 125 END AS BIGINT) AS token_limit FROM p""")
 def reasoning_level(spark: SparkSession, d: str) -> DataFrame:

@@ -20,6 +20,10 @@ TERM = r"[\p{L}\p{N}]+"
 WORDS = f"regexp_extract_all(lower(coalesce(text, '')), '{TERM}')"
 DEPTH, LIMIT, WEIGHT = 50, 10, 0.2
 
+def bm25_sql(documents: str, benchmark: str) -> str:
+    return BM25.replace("FROM documents", f"FROM {documents}").replace("FROM benchmark", f"FROM {benchmark}")
+
+
 BM25 = f"""
 lens AS (SELECT doc_id, len({WORDS}) AS len FROM documents),
 stats AS (SELECT count(*) AS n_docs, avg(len) AS avg_len FROM lens),
@@ -41,7 +45,7 @@ def _questions(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
-def _words(spark: SparkSession, d: str) -> DataFrame:
+def words(spark: SparkSession, d: str) -> DataFrame:
     return ranking.bm25(table(spark, d, "documents"), _questions(spark, d))
 
 
@@ -53,7 +57,7 @@ def postings_df(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {BM25}, {first('scores', LIMIT)} SELECT * FROM ranked")
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    return ranking.best(_words(spark, d), LIMIT)
+    return ranking.best(words(spark, d), LIMIT)
 
 
 @query(f"WITH {BM25}, kept AS (SELECT * FROM scores WHERE doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en')), {first('kept', LIMIT)} SELECT * FROM ranked")
@@ -117,12 +121,12 @@ def _meaning(spark: SparkSession, d: str) -> DataFrame:
 
 def _fused(spark: SparkSession, d: str) -> DataFrame:
     """Top words and top meaning together, with the cosine of every word hit."""
-    words = settled(ranking.best(_words(spark, d), DEPTH).select("query_id", "doc_id", "score"))
+    top = settled(ranking.best(words(spark, d), DEPTH).select("query_id", "doc_id", "score"))
     v = _vectors(spark, d)
     q = v.join(_questions(spark, d), F.col("vec_id") == F.col("query_id")).select("query_id", F.col("embedding").alias("qv"))
-    hit = words.join(v.withColumnRenamed("vec_id", "doc_id"), "doc_id").join(small(q), "query_id").select("query_id", "doc_id", F.round(vectors.dot(F.col("qv"), F.col("embedding")), vectors.DIGITS).alias("score"))
+    hit = top.join(v.withColumnRenamed("vec_id", "doc_id"), "doc_id").join(small(q), "query_id").select("query_id", "doc_id", F.round(vectors.dot(F.col("qv"), F.col("embedding")), vectors.DIGITS).alias("score"))
     similar = ranking.merged_best([_meaning(spark, d), hit])
-    return ranking.fused(similar, words, table(spark, d, "documents").count(), WEIGHT)
+    return ranking.fused(similar, top, table(spark, d, "documents").count(), WEIGHT)
 
 
 MEANING = """cos_all AS (SELECT b.item_id AS query_id, v.vec_id AS doc_id, round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS score
@@ -146,13 +150,13 @@ merged AS (SELECT query_id, doc_id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM
 @query(f"WITH {RRF}, {first('merged', LIMIT)} SELECT * FROM ranked")
 def rrf_merge(spark: SparkSession, d: str) -> DataFrame:
     meaning = ranking.best(_meaning(spark, d).drop("rank"), 1 << 30)
-    return ranking.best(ranking.merged_reciprocal([ranking.best(_words(spark, d), DEPTH), meaning]), LIMIT)
+    return ranking.best(ranking.merged_reciprocal([ranking.best(words(spark, d), DEPTH), meaning]), LIMIT)
 
 
 @query(f"""WITH {BM25}, {first('scores', DEPTH, 'words')}, {MEANING},
 merged AS (SELECT query_id, doc_id, max(score) AS score FROM (SELECT query_id, doc_id, score FROM words UNION ALL SELECT query_id, doc_id, score FROM meaning) GROUP BY ALL), {first('merged', LIMIT)} SELECT * FROM ranked""")
 def best_merge(spark: SparkSession, d: str) -> DataFrame:
-    return ranking.best(ranking.merged_best([ranking.best(_words(spark, d), DEPTH), _meaning(spark, d)]), LIMIT)
+    return ranking.best(ranking.merged_best([ranking.best(words(spark, d), DEPTH), _meaning(spark, d)]), LIMIT)
 
 
 @query(f"""WITH {BM25}, {first('scores', DEPTH, 'words')},
@@ -167,7 +171,7 @@ def link_hops(spark: SparkSession, d: str) -> DataFrame:
 
     docs = table(spark, d, "documents")
     links = docs.select("doc_id", F.lead("doc_id").over(W.partitionBy("source").orderBy("doc_id")).alias("to")).where("to is not null")
-    return ranking.best(ranking.hopped(ranking.best(_words(spark, d), DEPTH), links, 1, 0.3), LIMIT)
+    return ranking.best(ranking.hopped(ranking.best(words(spark, d), DEPTH), links, 1, 0.3), LIMIT)
 
 
 @query(f"""WITH {BM25}, {first('scores', 20, 'words')},
@@ -175,17 +179,25 @@ judged AS (SELECT w.*, CASE WHEN rank <= 10 THEN len(list_filter({WORDS}, lambda
 SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY rank > 10, CASE WHEN rank <= 10 THEN -judged END, rank) AS new_rank, rank, score, CAST(judged AS DOUBLE) AS judged FROM judged""")
 def reranked(spark: SparkSession, d: str) -> DataFrame:
     """The first ten by a toy judge: how often a passage says `the`."""
-    words = settled(ranking.best(_words(spark, d), 20))
-    judge = words.where("rank <= 10").select("query_id", "doc_id").join(table(spark, d, "documents"), "doc_id").select("query_id", "doc_id", F.size(F.filter(terms(F.col("text")), lambda t: t == "the")).cast("double").alias("judged"))
-    return ranking.reranked(words, judge, 10)
+    top = settled(ranking.best(words(spark, d), 20))
+    judge = top.where("rank <= 10").select("query_id", "doc_id").join(table(spark, d, "documents"), "doc_id").select("query_id", "doc_id", F.size(F.filter(terms(F.col("text")), lambda t: t == "the")).cast("double").alias("judged"))
+    return ranking.reranked(top, judge, 10)
 
 
 @query(f"""WITH {BM25}, {first('scores', DEPTH, 'words')}, m AS (SELECT w.*, coalesce(source IN ('src0', 'src1', 'src2'), false) AS private FROM words w JOIN documents USING (doc_id)),
 c AS (SELECT *, CAST(sum(CASE WHEN private AND rank <= {LIMIT} THEN 1 ELSE 0 END) OVER (PARTITION BY query_id) AS BIGINT) AS withheld FROM m)
 SELECT query_id, place, doc_id, score, withheld FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place FROM c WHERE NOT private) WHERE place <= {LIMIT}""")
 def private_withheld(spark: SparkSession, d: str) -> DataFrame:
-    words = ranking.best(_words(spark, d), DEPTH).join(table(spark, d, "documents").select("doc_id", "source"), "doc_id")
-    return ranking.shown(words, F.coalesce(F.col("source").isin("src0", "src1", "src2"), F.lit(False)), LIMIT)
+    top = ranking.best(words(spark, d), DEPTH).join(table(spark, d, "documents").select("doc_id", "source"), "doc_id")
+    return ranking.shown(top, F.coalesce(F.col("source").isin("src0", "src1", "src2"), F.lit(False)), LIMIT)
+
+
+def measured(spark: SparkSession, d: str, found: DataFrame) -> DataFrame:
+    """evaluation.rank_scores of a ranking of documents; gold are those that hold an item's words as a phrase."""
+    one = (F.lit(None).cast("int").alias("page"), F.lit(1).alias("start"), F.lit(1).alias("end"))
+    gold = ranking.phrase(table(spark, d, "documents"), _questions(spark, d)).select("query_id", F.col("doc_id").alias("gold_id"), F.col("doc_id").cast("string").alias("path"), *one)
+    ranked = found.select("query_id", "rank", F.col("doc_id").cast("string").alias("path"), *one)
+    return evaluation.rank_scores(evaluation.hits(ranked, gold), gold)
 
 
 # gold: documents that hold an item's words as a phrase
@@ -201,11 +213,7 @@ SELECT query_id, golds, round(coalesce(n1, 0) / golds, 6) AS recall_at_1, round(
   round(coalesce(1.0 / f, 0), 6) AS reciprocal_rank, round(coalesce(gain, 0) / list_sum(list_transform(range(1, least(10, golds) + 1), lambda i: 1.0 / log2(i + 1.0))), 6) AS ndcg FROM golds LEFT JOIN per USING (query_id)""")
 def rank_scores(spark: SparkSession, d: str) -> DataFrame:
     """Recall, reciprocal rank and nDCG of word search, a document being one line of its own path."""
-    found = ranking.best(_words(spark, d), LIMIT)
-    one = (F.lit(None).cast("int").alias("page"), F.lit(1).alias("start"), F.lit(1).alias("end"))
-    gold = ranking.phrase(table(spark, d, "documents"), _questions(spark, d)).select("query_id", F.col("doc_id").alias("gold_id"), F.col("doc_id").cast("string").alias("path"), *one)
-    ranked = found.select("query_id", "rank", F.col("doc_id").cast("string").alias("path"), *one)
-    out = evaluation.rank_scores(evaluation.hits(ranked, gold), gold)
+    out = measured(spark, d, ranking.best(words(spark, d), LIMIT))
     return out.select("query_id", "golds", *[F.round(c, 6).alias(c) for c in out.columns[2:]])
 
 
@@ -231,7 +239,15 @@ def stems(spark: SparkSession, d: str) -> DataFrame:
     return stems_of(table(spark, d, "documents").select(F.explode(terms(F.col("text"))).alias("term")))
 
 
-@query()
+@query(f"""WITH {FUSED}, top AS (SELECT query_id, doc_id, round(score, 6) AS score FROM fused),
+placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM top), links AS (SELECT doc_id, lead(doc_id) OVER (PARTITION BY source ORDER BY doc_id) AS "to" FROM documents),
+gained AS (SELECT query_id, "to" AS doc_id, max(score) AS gain FROM placed JOIN links USING (doc_id) WHERE rank <= 5 AND "to" IS NOT NULL GROUP BY ALL),
+merged AS (SELECT query_id, doc_id, max(score) AS score FROM (SELECT query_id, doc_id, score FROM fused UNION ALL SELECT g.query_id, g.doc_id, coalesce(f.score, 0) + 0.3 * gain FROM gained g LEFT JOIN fused f USING (query_id, doc_id)) GROUP BY ALL),
+every AS (SELECT query_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM merged),
+judged AS (SELECT e.*, source = 'src0' AS private, CASE WHEN rank <= 10 THEN len(list_intersect(regexp_extract_all(lower(b.text), '{TERM}'), regexp_extract_all(lower(d.text), '{TERM}'))) END AS judged FROM every e JOIN benchmark b ON b.item_id = e.query_id JOIN documents d USING (doc_id)),
+moved AS (SELECT query_id, doc_id, private, coalesce(judged, score) AS score, row_number() OVER (PARTITION BY query_id ORDER BY rank > 10, CASE WHEN rank <= 10 THEN -judged END, rank) AS rank FROM judged),
+c AS (SELECT *, CAST(sum(CASE WHEN private AND rank <= {LIMIT} THEN 1 ELSE 0 END) OVER (PARTITION BY query_id) AS BIGINT) AS withheld FROM moved)
+SELECT query_id, place, doc_id, score, withheld FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place FROM c WHERE NOT coalesce(private, false)) WHERE place <= {LIMIT}""")
 def search_variant(spark: SparkSession, d: str) -> DataFrame:
     """Fused search with one link hop and a toy judge, private sources left out."""
     from pyspark.sql.window import Window as W
@@ -245,7 +261,10 @@ def search_variant(spark: SparkSession, d: str) -> DataFrame:
     return searching.find(corpus, asked, searching.Variant.parse("fused+hop1x0.3+rerank:shared-terms@10"), LIMIT, private=False, judges={"shared-terms": judge})
 
 
-@query()
+@query(f"""WITH turns AS (SELECT conv_id * 1000 + turn AS doc_id, conv_id AS said_at, text FROM conversations WHERE turn > 0), asked AS (SELECT conv_id AS item_id, text FROM conversations WHERE turn = 0 AND conv_id % 50 = 0), {bm25_sql("turns", "asked")},
+placed AS (SELECT query_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, said_at DESC, doc_id DESC) AS rank FROM scores JOIN turns USING (doc_id)),
+newest AS (SELECT doc_id, row_number() OVER (ORDER BY said_at DESC, doc_id DESC) AS rank FROM turns)
+SELECT query_id, rank, doc_id, score FROM placed WHERE rank <= 5 UNION ALL SELECT item_id, rank, doc_id, 0.0 FROM asked, newest WHERE rank <= 5 AND len({WORDS}) = 0""")
 def recall_search(spark: SparkSession, d: str) -> DataFrame:
     """Past turns for the first turn of every 50th conversation."""
     m = table(spark, d, "conversations")
@@ -272,5 +291,5 @@ def bootstrap_delta(spark: SparkSession, d: str) -> DataFrame:
         ranked = found.select("query_id", "rank", F.col("doc_id").cast("string").alias("path"), *one)
         return evaluation.rank_scores(evaluation.hits(ranked, gold), gold).select("query_id", F.col("reciprocal_rank").alias(name))
 
-    a, b = reciprocal(ranking.best(_fused(spark, d), LIMIT), "a"), reciprocal(ranking.best(_words(spark, d), LIMIT), "b")
+    a, b = reciprocal(ranking.best(_fused(spark, d), LIMIT), "a"), reciprocal(ranking.best(words(spark, d), LIMIT), "b")
     return evaluation.bootstrap(a.join(b, "query_id"), 2000)

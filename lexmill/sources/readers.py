@@ -3,19 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import LINE_END
+from ..functions.text import LINE_END, secret_name
 
 #: Endings of files that are read, with the kind of reader.
 KINDS = {"md": "markdown", "py": "python", "txt": "text", "pdf": "pdf"}
-#: Names, without case, of plain-text files that are kept out unread.
-SECRET_NAMES = r"(?i)(?:secret|credential|password)|\.(?:pem|key|pfx|p12)$|^id_rsa"
 MAX_FILE_BYTES = 2 * 1024**2
 
 
@@ -41,7 +38,7 @@ def folder(spark: SparkSession, root: str, excluded: tuple[str, ...] = ()) -> Da
     data = F.col("content")
     note = (
         F.when(F.col("length") > MAX_FILE_BYTES, "too large")
-        .when((F.col("kind") == "text") & F.col("name").rlike(SECRET_NAMES), "held back: looks like it holds a secret")
+        .when((F.col("kind") == "text") & secret_name(F.col("name")), "held back: looks like it holds a secret")
         .when(F.hex(F.substring(data, 1, 8192)).rlike("^(?:..)*?00"), "binary")
         .when(~F.is_valid_utf8(data.cast("string")), "not UTF-8")
     )
@@ -90,43 +87,6 @@ def pronunciations(spark: SparkSession, path: str) -> DataFrame:
     return bare.select("line", word.alias("word"), F.split(F.split("v", r"\s+", 2)[1], r"\s+").alias("phones")).groupBy("word").agg(F.transform(F.sort_array(F.collect_list(F.struct("line", "phones"))), lambda x: x["phones"]).alias("phones"))
 
 
-class _Visible(HTMLParser):
-    HIDDEN = frozenset({"script", "style", "noscript", "template", "svg"})
-    BLOCKS = frozenset("address article aside blockquote br dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section summary table td th title tr ul".split())
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.parts: list[str] = []
-        self.hidden = 0
-
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        self.hidden += tag in self.HIDDEN
-        if tag in self.BLOCKS:
-            self.parts.append("\n")
-
-    def handle_endtag(self, tag: str) -> None:
-        self.hidden = max(0, self.hidden - (tag in self.HIDDEN))
-        if tag in self.BLOCKS:
-            self.parts.append("\n")
-
-    def handle_data(self, data: str) -> None:
-        if not self.hidden:
-            self.parts.append(data)
-
-
-def visible(html: str | None) -> str:
-    """The text a reader sees, a line for each block, spaces collapsed, no blank lines."""
-    p = _Visible()
-    p.feed(html or "")
-    p.close()
-    return "\n".join(x for x in (" ".join(line.split()) for line in "".join(p.parts).split("\n")) if x)
-
-
-@F.pandas_udf(T.StringType())
-def visible_text(html: pd.Series) -> pd.Series:
-    return html.map(visible)
-
-
 def parsed_documents(files: DataFrame, kind: str, parse) -> DataFrame:
     """path, ordinal, start_line, end_line, header from parse(text) for the files of one kind."""
 

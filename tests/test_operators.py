@@ -199,4 +199,12 @@ def test_readers(spark, tmp_path):
     d = tmp_path / "d.txt"
     d.write_text("# c\nread R IY D\nread(2) R EH D # past\n")
     assert readers.pronunciations(spark, str(d)).first().phones == [["R", "IY", "D"], ["R", "EH", "D"]]
-    assert readers.visible("<p>a&amp;b<script>x</script> c<br>d</p><svg>y</svg>") == "a&b c\nd"
+    pages = {
+        "<p>a&amp;b<script>x</script> c<br>d</p><svg>y</svg>": "a&b c\nd",
+        "x<!-- <p>hidden --> y <TD>z</TD><template>never closed <p>q": "x y z",
+        "1 < 2 &amp;lt; <a href='b>c'>l</a>": "1 < 2 &lt; c'>l",
+        "<header>\n\n<h1>T&nbsp;&nbsp;u</h1></header>  v\tw ": "T u\nv w",
+        None: "",
+    }
+    got = spark.createDataFrame([(k,) for k in pages], "h string").select("h", T.visible(F.col("h")).alias("v")).collect()
+    assert {r.h: r.v for r in got} == pages
