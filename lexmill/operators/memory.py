@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from . import vectors
+from .common import settled
+
 
 def exchanges(messages: DataFrame) -> DataFrame:
     """conv_id, turn, question, answer: each user message with the next message, if that is the assistant's."""
@@ -71,50 +72,67 @@ def cascade(parent: DataFrame, child: DataFrame, key: str) -> DataFrame:
     return child.join(parent.select(key), key, "left_semi")
 
 
-_LEARNT = "owner long, fact_id long, kept boolean, like long, cosine double"
-
-
 def learn(facts: DataFrame, line: float = 0.90, nearest: int = 2) -> DataFrame:
-    """Which facts (owner, fact_id, replaces, embedding) are new, told in order of fact_id within an owner.
+    """Which facts (owner, fact_id, replaces, embedding) are new, told in order of fact_id within an owner: owner, fact_id, kept, like, cosine.
 
     A fact is passed over if one of its `nearest` held facts (ties included,
     the one it replaces left out) has a cosine of `line` or more; `like` names
-    the first such. Order matters, so an owner's facts are folded in one group.
-    """
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        held: list[tuple[int, np.ndarray]] = []
-        out = []
-        for r in rows.sort_values("fact_id").itertuples():
-            v = np.asarray(r.embedding, float)
-            near = [(round(float(v @ x), 6), i) for i, x in held if i != r.replaces]
-            cut = sorted((c for c, _ in near), reverse=True)[: nearest or 1]
-            like = next(((c, i) for c, i in near if cut and c >= cut[-1] and c >= line), None)
-            out.append((r.owner, r.fact_id, like is None, like[1] if like else None, like[0] if like else None))
-            if like is None:
-                held = [(i, x) for i, x in held if i != r.replaces] + [(r.fact_id, v)]
-        return pd.DataFrame(out, columns=["owner", "fact_id", "kept", "like", "cosine"]).astype({"like": "Int64"})
+    the first such. A kept fact ends the one it replaces.
 
-    return facts.groupBy("owner").applyInPandas(fold, _LEARNT)
+    No owner is one group: near pairs come from blocks of an owner's vectors,
+    and then facts are decided in rounds over that sparse table. A fact is
+    passed over once an older near one is known to be held, and kept once all
+    older near ones are known not to be; so there are as many rounds as the
+    longest chain of facts that hang on each other.
+    """
+    own = settled(facts.select("owner", "fact_id", "replaces"))
+    near = settled(vectors.near_pairs(facts, "owner", "fact_id", line).join(own.select("owner", F.col("fact_id").alias("newer"), "replaces"), ["owner", "newer"]).where(~F.col("older").eqNullSafe(F.col("replaces"))).drop("replaces"))
+    ends = own.where("replaces is not null").select("owner", F.col("replaces").alias("older"), F.col("fact_id").alias("ender"))
+    # what a newer fact waits for: each older near one and, where it has one before, its ender
+    waits = settled(near.select("owner", "newer", "older").join(ends, ["owner", "older"], "left").select("owner", "newer", "older", F.when(F.col("ender") < F.col("newer"), F.col("ender")).alias("ender")))
+    decided = settled(own.select("owner", "fact_id").join(waits.select("owner", F.col("newer").alias("fact_id")), ["owner", "fact_id"], "left_anti").withColumn("kept", F.lit(True)))
+    while True:
+        known = decided.select("owner", F.col("fact_id").alias("_id"), F.col("kept").alias("_kept"))
+        open_ = waits.join(decided.select("owner", F.col("fact_id").alias("newer")), ["owner", "newer"], "left_anti")
+        seen = open_.join(known.withColumnsRenamed({"_id": "older", "_kept": "older_kept"}), ["owner", "older"], "left").join(known.withColumnsRenamed({"_id": "ender", "_kept": "ender_kept"}), ["owner", "ender"], "left")
+        ended = F.when(F.col("ender").isNull(), False).otherwise(F.col("ender_kept"))
+        each = seen.groupBy("owner", "newer", "older").agg(F.first("older_kept").alias("held"), F.bool_or(ended).alias("ended"), F.bool_or(F.col("ender").isNotNull() & F.col("ender_kept").isNull()).alias("pending"))
+        holds = F.when(F.col("held").isNull(), None).when(~F.col("held"), False).when(F.col("ended"), False).when(F.col("pending"), None).otherwise(True)
+        verdict = each.groupBy("owner", F.col("newer").alias("fact_id")).agg(F.bool_or(holds).alias("repeated"), F.bool_or(holds.isNull()).alias("unsure"))
+        new = settled(verdict.where("repeated or not unsure").select("owner", "fact_id", (~F.coalesce("repeated", F.lit(False))).alias("kept")))
+        if not new.limit(1).count():
+            break
+        decided = settled(decided.unionByName(new))
+    kept = decided.where("kept").select("owner", "fact_id")
+    over = waits.join(kept.select("owner", F.col("fact_id").alias("ender")), ["owner", "ender"]).select("owner", "newer", "older").distinct()
+    held = near.join(kept.select("owner", F.col("fact_id").alias("older")), ["owner", "older"]).join(over, ["owner", "newer", "older"], "left_anti")
+    ranked = held.withColumn("r", F.rank().over(W.partitionBy("owner", "newer").orderBy(F.desc("cosine")))).where(F.col("r") <= max(nearest, 1))
+    likes = ranked.groupBy("owner", F.col("newer").alias("fact_id")).agg(F.min(F.struct(F.col("older").alias("like"), "cosine")).alias("first"))
+    told = decided.join(likes, ["owner", "fact_id"], "left")
+    passed = lambda c: F.when(~F.col("kept"), F.col("first")[c]).alias(c)
+    return told.select("owner", "fact_id", "kept", passed("like"), passed("cosine"))
 
 
 def merge_repeats(pairs: DataFrame, apart: DataFrame) -> DataFrame:
-    """older, newer, cosine: pairs (owner, one, other, cosine, same) merged greedily, closest first, each fact once in a pass.
+    """owner, older, newer, cosine: pairs (owner, one, other, cosine, same) merged greedily, closest first, each fact once in a pass.
 
     Pairs in `apart` (one, other) were judged different before and are skipped.
+    A pair that comes first for both of its facts is merged whatever the others
+    do, so all such pairs merge in one round, which gives the greedy result.
     """
-    asked = pairs.join(apart.select("one", "other"), ["one", "other"], "left_anti")
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        used: set[int] = set()
-        out = []
-        for r in rows.sort_values(["cosine", "one", "other"], ascending=[False, True, True]).itertuples():
-            if r.same and not {r.one, r.other} & used:
-                used |= {r.one, r.other}
-                out.append((r.owner, min(r.one, r.other), max(r.one, r.other), r.cosine))
-        return pd.DataFrame(out, columns=["owner", "older", "newer", "cosine"])
-
-    return asked.groupBy("owner").applyInPandas(fold, "owner long, older long, newer long, cosine double")
+    left = pairs.where("same").join(apart.select("one", "other"), ["one", "other"], "left_anti")
+    left = settled(left.select("owner", "one", "other", "cosine", F.struct((-F.col("cosine")).alias("far"), "one", "other").alias("turn")))
+    done = None
+    while left.limit(1).count():
+        ends = left.select("owner", F.explode(F.array("one", "other")).alias("fact"), "turn").groupBy("owner", "fact").agg(F.min("turn").alias("turn"))
+        firsts = ends.groupBy("owner", "turn").agg(F.count("*").alias("n")).where((F.col("n") == 2) | (F.col("turn.one") == F.col("turn.other"))).select("owner", "turn")
+        chosen = settled(left.join(firsts, ["owner", "turn"]).select("owner", F.least("one", "other").alias("older"), F.greatest("one", "other").alias("newer"), "cosine"))
+        done = chosen if done is None else settled(done.unionByName(chosen))
+        used = chosen.select("owner", F.explode(F.array("older", "newer")).alias("fact")).distinct()
+        for end in ("one", "other"):
+            left = left.join(used.withColumnRenamed("fact", end), ["owner", end], "left_anti")
+        left = settled(left.select("owner", "one", "other", "cosine", "turn"))
+    return left.select("owner", F.col("one").alias("older"), F.col("other").alias("newer"), "cosine") if done is None else done
 
 
 def to_learn(queue: DataFrame, attempts: DataFrame, most: int = 3) -> DataFrame:

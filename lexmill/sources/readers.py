@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,10 +11,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import LINE_END, secret_name
+from ..operators.chunking import Block
 
 #: Endings of files that are read, with the kind of reader.
 KINDS = {"md": "markdown", "py": "python", "txt": "text", "pdf": "pdf"}
 MAX_FILE_BYTES = 2 * 1024**2
+LINES = re.compile(LINE_END)
+_FENCE = re.compile(r" {0,3}(`{3,}|~{3,})(.*)$")
+_HEADING = re.compile(r"(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$")
 
 
 def folder(spark: SparkSession, root: str, excluded: tuple[str, ...] = ()) -> DataFrame:
@@ -98,22 +103,71 @@ def parsed_documents(files: DataFrame, kind: str, parse) -> DataFrame:
     return files.where((F.col("kind") == kind) & F.col("text").isNotNull()).select("path", "text").mapInPandas(run, "path string, ordinal int, start_line int, end_line int, header string")
 
 
-def sections(text: str) -> Iterator[tuple[int, int, str]]:
-    """Markdown sections (first line, last line, heading trail); fences and front matter hold no headings."""
+def outline(text: str) -> list[Block]:
+    """Sections of a Markdown text as blocks, each a unit, with the trail of headings over it.
+
+    Front matter belongs to no section's headings; a fence of backticks or
+    tildes ends at one as long or longer of the same kind with nothing behind
+    it. A heading with no text under it goes to the section that follows.
+    """
+    starts: list[tuple[int, tuple[str, ...]]] = [(1, ())]
     trail: list[tuple[int, str]] = []
-    fence, start, lines = "", 1, text.split("\n")
-    front = bool(lines) and lines[0].strip() == "---"
+    fence = ""
+    lines = LINES.split(text)
+    closing = next((n for n, x in enumerate(lines[1:], 2) if x.strip() == "---"), 0) if lines[0].strip() == "---" else 0
+    filled = [bool(x.strip()) for x in lines]
     for n, line in enumerate(lines, 1):
-        bare = line.strip()
-        if front:
-            front = n == 1 or bare != "---"
-        elif fence:
-            fence = "" if bare.startswith(fence) and not bare.strip(fence[0]) else fence
-        elif bare[:3] in ("```", "~~~"):
-            fence = bare[:3]
-        elif line.startswith("#") and (level := len(line) - len(line.lstrip("#"))) <= 6 and line[level : level + 1] in (" ", ""):
-            if n > start:
-                yield start, n - 1, " > ".join(h for _, h in trail)
-            start, trail = n, [x for x in trail if x[0] < level] + [(level, line[level:].strip(" #"))]
-    if lines and start <= len(lines):
-        yield start, len(lines), " > ".join(h for _, h in trail)
+        if n <= closing:
+            continue
+        mark = _FENCE.match(line)
+        if fence:
+            if mark and mark[1].startswith(fence) and not mark[2].strip():
+                fence = ""
+        elif mark and not (mark[1][0] == "`" and "`" in mark[2]):
+            fence = mark[1]
+        elif heading := _HEADING.match(line):
+            level = len(heading[1])
+            trail = [x for x in trail if x[0] < level] + [(level, (heading[2] or "").strip())]
+            begin, over = starts[-1]
+            # nothing under the last heading: this section begins with it
+            alone = not any(filled[max(begin, 1) : n - 1]) and (bool(over) or not filled[begin - 1])
+            if alone:
+                starts.pop()
+            starts.append((begin if alone else n, tuple(h for _, h in trail)))
+    ends = [s for s, _ in starts[1:]] + [len(lines) + 1]
+    return [Block(s, e - 1, over, n) for n, ((s, over), e) in enumerate(zip(starts, ends, strict=True)) if s < e]
+
+
+def sections(text: str) -> Iterator[tuple[int, int, str]]:
+    """outline() as (first line, last line, heading trail)."""
+    for b in outline(text):
+        yield b.start, b.end, " > ".join(b.trail)
+
+
+def sessions(spark: SparkSession, folder: str) -> DataFrame:
+    """session, path of the trace files of a folder, oldest name first."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.jsonl").load(folder).select("path")
+    name = F.element_at(F.split("path", "/"), -1)
+    return files.select(F.left(name, F.length(name) - 6).alias("session"), "path").orderBy("session")
+
+
+def strict_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of a JSON-lines file; an error where a line is no object of the schema or a field is missing."""
+    rows = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    whole = F.array(*[F.col(c).isNull() for c in rows.columns])
+    return rows.where(F.when(F.array_contains(whole, True), F.raise_error(F.concat(F.lit("a field is missing: "), F.to_json(F.struct("*")))).cast("boolean")).otherwise(True))
+
+
+def expansions(spark: SparkSession, path: str, questions: DataFrame) -> DataFrame:
+    """id, question, rewrites (array), passage: one row for each question (id, question), whose text it must repeat."""
+    rows = strict_rows(spark, path, "id string, question string, rewrites array<string>, passage string")
+    odd = rows.groupBy("id").agg(F.count("*").alias("n"), F.min("question").alias("said")).join(questions.select("id", "question"), "id", "full_outer").where("n is null or n > 1 or question is null or said <> question")
+    first = odd.limit(1).collect()
+    if first:
+        raise ValueError(f"question {first[0]['id']} has no expansion of its own")
+    return rows
+
+
+def write_rows(rows: DataFrame, path: str) -> None:
+    """JSON lines that appear whole or not at all: Spark's commit renames finished files, and _SUCCESS comes last."""
+    rows.write.mode("overwrite").json(path)

@@ -1,7 +1,9 @@
 """Operators on small fixtures worked out by hand or by plain Python."""
 
+import hashlib
 import json
 import math
+import random
 import sqlite3
 
 import pytest
@@ -10,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as T
-from lexmill.operators import catalogue, chunking, evaluation, links, memory, ranking, usage, vectors
+from lexmill.operators import catalogue, chunking, evaluation, links, memory, ranking, reports, usage, vectors
 from lexmill.sources import readers
 from lexmill.streaming import stateful, windows
 
@@ -208,3 +210,148 @@ def test_readers(spark, tmp_path):
     }
     got = spark.createDataFrame([(k,) for k in pages], "h string").select("h", T.visible(F.col("h")).alias("v")).collect()
     assert {r.h: r.v for r in got} == pages
+
+
+def test_learning_in_rounds_equals_a_fold(spark):
+    """Facts decided in rounds against one fold over each owner's facts in order."""
+    rng = random.Random(5)
+    rows = []
+    for owner in (1, 2):
+        centres = [[rng.gauss(0, 1) for _ in range(4)] for _ in range(4)]
+        for i in range(60):
+            v = [x + rng.gauss(0, 0.35) for x in rng.choice(centres)]
+            size = math.sqrt(sum(x * x for x in v))
+            rows.append((owner, owner * 1000 + i, owner * 1000 + rng.randrange(i) if i and rng.random() < 0.3 else None, [x / size for x in v]))
+
+    def fold(line, nearest):
+        out = {}
+        for owner in (1, 2):
+            held = []
+            for _, i, replaces, v in (r for r in rows if r[0] == owner):
+                near = [(round(sum(a * b for a, b in zip(v, x, strict=True)), 6), j) for j, x in held if j != replaces]
+                cut = sorted((c for c, _ in near), reverse=True)[:nearest]
+                like = next(((j, c) for c, j in near if c >= cut[-1] and c >= line), None)
+                out[i] = (like is None, *(like or (None, None)))
+                if like is None:
+                    held = [(j, x) for j, x in held if j != replaces] + [(i, v)]
+        return out
+
+    facts = spark.createDataFrame(rows, "owner long, fact_id long, replaces long, embedding array<double>")
+    for line, nearest in ((0.9, 2), (0.97, 1)):
+        got = {r.fact_id: (r.kept, r.like, r.cosine) for r in memory.learn(facts, line, nearest).collect()}
+        assert got == fold(line, nearest)
+    pairs = vectors.near_pairs(facts, "owner", "fact_id", 0.9)
+    small = vectors.near_pairs(facts, "owner", "fact_id", 0.9, block=7)
+    assert sorted(pairs.collect()) == sorted(small.collect()) and pairs.count() > 50
+
+
+def test_merging_in_rounds_equals_greedy(spark):
+    rng = random.Random(7)
+    pairs = [(rng.randrange(2), *sorted(rng.sample(range(30), 2)), round(rng.random(), 1), rng.random() < 0.8) for _ in range(120)]
+    pairs = [(o, a + 100 * o, b + 100 * o, c, s) for o, a, b, c, s in {(p[0], p[1], p[2]): p for p in pairs}.values()]
+    want = []
+    for owner in (0, 1):
+        used = set()
+        for o, a, b, c, same in sorted(pairs, key=lambda p: (-p[3], p[1], p[2])):
+            if o == owner and same and not {a, b} & used:
+                used |= {a, b}
+                want.append((o, a, b, c))
+    got = memory.merge_repeats(spark.createDataFrame(pairs, "owner long, one long, other long, cosine double, same boolean"), spark.createDataFrame([], "one long, other long"))
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
+def test_more_queries_than_a_block(spark):
+    rng = random.Random(2)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(3)]) for i in range(90)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    q = v.where("vec_id < 40").withColumnRenamed("vec_id", "query_id")
+    one, several = (sorted(tuple(r) for r in vectors._scored(v, q, None, 0.5, block).collect()) for block in (4096, 16))
+    assert one == several and len(one) > 40
+
+
+def test_stemmed_and_folded_search_equals_sqlite(spark):
+    docs = [(i, t) for i, t in enumerate(["Running dogs run", "the CAFÉ was running", "cafe society runs", "nothing here", "Crème brûlée, crèmes", ""])]
+    db = sqlite3.connect(":memory:")
+    db.execute("create virtual table f using fts5(t, tokenize='porter unicode61 remove_diacritics 2')")
+    db.executemany("insert into f(rowid, t) values (?, ?)", [(i + 1, t) for i, t in docs])
+    for q in ["runs", "cafés creme", "dog nothing"]:
+        want = {r - 1: -s for r, s in db.execute("select rowid, bm25(f) from f where f match ?", [" OR ".join(q.split())])}
+        got = {r.doc_id: r.score for r in ranking.stemmed_bm25(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, q)], "query_id long, text string")).collect()}
+        assert got.keys() == want.keys() and want
+        assert all(math.isclose(got[i], want[i], rel_tol=1e-9) for i in want)
+
+
+def test_index_upkeep_equals_a_new_index(spark):
+    old = spark.createDataFrame([(1, "a b"), (2, "b c c"), (3, "d")], "doc_id long, text string")
+    changed, gone = spark.createDataFrame([(2, "a a"), (4, "e b"), (5, None)], "doc_id long, text string"), spark.createDataFrame([(3,)], "doc_id long")
+    index = ranking.reindexed(ranking.indexed(old), changed, gone)
+    want = ranking.indexed(spark.createDataFrame([(1, "a b"), (2, "a a"), (4, "e b"), (5, None)], "doc_id long, text string"))
+    assert sorted(tuple(r) for r in index.collect()) == sorted(tuple(r) for r in want.collect())
+    asked = ranking.query_terms(spark.createDataFrame([(1, "a b")], "query_id long, text string"))
+    assert {r.doc_id for r in ranking.bm25_of(index, asked).collect()} == {1, 2, 4}
+
+
+def _edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_token_distance_and_error_rates(spark):
+    rng = random.Random(3)
+    rows = [(i % 3, [rng.choice("abcde") * rng.randrange(1, 3) for _ in range(rng.randrange(9))], [rng.choice("abcde") * rng.randrange(1, 3) for _ in range(rng.randrange(9))]) for i in range(60)] + [(0, ["é", "𝒳"], ["é", "𝒳"])]
+    got = {r.g: r for r in reports.error_rates(spark.createDataFrame(rows, "g long, expected array<string>, said array<string>"), ["g"]).collect()}
+    for g in range(3):
+        own = [(a, b) for k, a, b in rows if k == g]
+        assert got[g].edits == sum(_edits(a, b) for a, b in own) and got[g].exact == sum(a == b for a, b in own) / len(own)
+
+
+def test_dates(spark):
+    row = spark.sql("select timestamp'2024-03-30 23:30:00' as at").select(
+        T.next_midnight(F.col("at")).cast("string").alias("midnight"), T.local_stamp(F.col("at"), "Europe/Berlin").alias("local"),
+        *[T.retry_after(F.lit(h), F.lit("2024-03-30 23:30:00").cast("timestamp")).alias(n) for h, n in (("120", "number"), ("Sat, 30 Mar 2024 23:31:00 GMT", "date"), ("Sat, 30 Mar 2024 20:00:00 GMT", "past"), ("soon", "none"))],
+    ).first()
+    assert row.midnight == "2024-03-31 00:00:00" and row.local == "2024-03-31 00:30"
+    assert (row.number, row.date, row.past, row.none) == (120.0, 60.0, 0.0, None)
+
+
+def test_outlines_and_sections():
+    text = "---\ntitle: x\n# no\n---\nintro\n\n# A\n\n## B\nbody\n~~~~\n# no\n~~~\n~~~~\n## C ##\n#hash\n### D"
+    assert list(readers.sections(text)) == [(1, 6, ""), (7, 14, "A > B"), (15, 16, "A > C"), (17, 17, "A > C > D")]
+    lines = text.split("\n")
+    for budget in (1, 4, 9, 100):
+        got = list(chunking.outlined(lines, readers.outline(text), "A", budget, chunking.count_words))
+        covered = [n for a, b, _, _ in got for n in range(a, b + 1) if lines[n - 1].strip()]
+        assert covered == [n for n, x in enumerate(lines, 1) if x.strip()]
+        assert all(lines[a - 1].strip() and lines[b - 1].strip() for a, b, _, _ in got)
+        for a, b, head, cut in got:
+            fits = sum(len(x.split()) for x in lines[a - 1 : b]) + len(head.split()) <= budget
+            assert fits or (cut and a == b)
+    assert chunking.header_of("T", ["T", "U", "V"], 9, chunking.count_words) == "T > U > V" and chunking.header_of("T", ["T", "U", "V"], 3, chunking.count_words) == "T > V" and chunking.header_of("T", [], 0, chunking.count_words) == ""
+
+
+def test_strict_readers(spark, tmp_path):
+    (tmp_path / "s2.jsonl").write_text("{}\n")
+    (tmp_path / "s1.jsonl").write_text("{}\n")
+    assert [r.session for r in readers.sessions(spark, str(tmp_path)).collect()] == ["s1", "s2"]
+    questions = spark.createDataFrame([("1", "why?"), ("2", "how?")], "id string, question string")
+    good = [{"id": i, "question": q, "rewrites": ["r"], "passage": "p"} for i, q in (("1", "why?"), ("2", "how?"))]
+    readers.write_rows(spark.createDataFrame(good, "id string, question string, rewrites array<string>, passage string"), str(tmp_path / "out"))
+    assert readers.expansions(spark, str(tmp_path / "out"), questions).count() == 2
+    for bad in (good[:1], [*good, good[0]], [good[0], good[1] | {"question": "other?"}]):
+        path = tmp_path / "bad"
+        readers.write_rows(spark.createDataFrame(bad, "id string, question string, rewrites array<string>, passage string"), str(path))
+        with pytest.raises(ValueError):
+            readers.expansions(spark, str(path), questions)
+    (tmp_path / "m.json").write_text('{"id": "1", "question": "q", "rewrites": []}\n')
+    with pytest.raises(Exception, match="a field is missing"):
+        readers.strict_rows(spark, str(tmp_path / "m.json"), "id string, question string, rewrites array<string>, passage string").collect()
+
+
+def test_folds_are_fixed(spark):
+    got = {r.w: r.f for r in spark.createDataFrame([("a",), ("b",), (None,)], "w string").select("w", reports.fold_of("w", "k").alias("f")).collect()}
+    want = {w: min(int.from_bytes(hashlib.blake2b(w.encode(), key=b"k", digest_size=8).digest(), "big") % 10, 2) for w in "ab"}
+    assert got == want | {None: None}
