@@ -108,9 +108,9 @@ def nearest_k_with_ties(spark: SparkSession, d: str) -> DataFrame:
     return vectors.nearest(_vectors(spark, d), _chosen(spark, d), 10, others_only=True)
 
 
-@query(f"WITH {COSINES} SELECT query_id, vec_id, cosine FROM cosines WHERE cosine >= 0.8")
+@query(f"WITH {COSINES} SELECT query_id, vec_id, cosine FROM cosines WHERE cosine >= 0.3")
 def close_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return vectors.close_pairs(_vectors(spark, d), _chosen(spark, d), 0.8)
+    return vectors.close_pairs(_vectors(spark, d), _chosen(spark, d), 0.3)
 
 
 def _meaning(spark: SparkSession, d: str) -> DataFrame:
