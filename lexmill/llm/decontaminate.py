@@ -27,6 +27,8 @@ SPAN = 10
 LEAST_SHARE, LEAST_EQUAL = 0.75, 9
 #: Least aligned tokens in a stretch (or all of a shorter item). One of twice that or more can be halved, and a half has the share too, so lengths below suffice.
 LEAST_STRETCH = 13
+#: Items of fewer tokens than a mask, but this many, are looked for word for word.
+LEAST_SHORT = 5
 #: Seeds that may be broadcast. Token places in a block, more where an item is longer.
 MOST_BROADCAST, BLOCK = 200_000, 512
 
@@ -113,7 +115,30 @@ def hits(docs: DataFrame, benchmark: DataFrame, key: Column, bound: int = MOST_B
     # judged inside the aggregate: a filter would move below the merging of hits and be evaluated for each of them
     good = _stretches(F.col("bits"), F.least(F.col("n"), F.lit(LEAST_STRETCH)))
     found = diagonals.groupBy("_key", "item_id").agg(F.max(F.array_max(good["share"])).alias("share"), F.max(F.array_max(good["n_equal"])).alias("n_equal"), F.sum(F.when(F.size(good) > 0, F.col("n_hits"))).alias("n_hits"))
-    return found.where("n_hits > 0")
+    found = found.where("n_hits > 0")
+    short = small_items(items, bound)
+    return found if short is None else found.unionByName(verbatim(docs, short, key))
+
+
+def small_items(items: DataFrame, bound: int) -> DataFrame | None:
+    """item_id, h, n, key of the items that no mask fits and that have LEAST_SHORT tokens or more; None where there are none."""
+    short = items.where(F.size("h").between(LEAST_SHORT, SPAN - 1)).select("item_id", "h", F.size("h").alias("n"), F.xxhash64("h").alias("key"))
+    n = short.limit(bound + 1).count()
+    return None if not n else F.broadcast(short) if n <= bound else short
+
+
+def verbatim(docs: DataFrame, short: DataFrame, key: Column) -> DataFrame:
+    """hits() for short items: places where all their tokens stand side by side."""
+    lengths = [r["n"] for r in short.select("n").distinct().collect()]  # numbers below SPAN
+    h = docs.select(key.alias("_key"), _hashed(F.col("text")).alias("h"))
+
+    def runs(n: int) -> Column:
+        all_ = F.transform(F.sequence(F.lit(1), F.size("h") - n + 1), lambda i: F.slice("h", i, F.lit(n)))
+        return F.when(F.size("h") >= n, all_).otherwise(F.array().cast("array<array<bigint>>"))
+
+    each = h.select("_key", F.explode(F.concat(*map(runs, lengths))).alias("own")).withColumn("key", F.xxhash64("own"))
+    found = each.join(short, "key").where(F.col("own") == F.col("h"))
+    return found.groupBy("_key", "item_id").agg(F.lit(1.0).alias("share"), F.max("n").alias("n_equal"), F.count("*").alias("n_hits"))
 
 
 def _by_id() -> Column:
@@ -124,8 +149,9 @@ def _by_id() -> Column:
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, share, n_equal, n_hits: one row per document id and benchmark item that it holds.
 
-    Null and blank texts, on either side, overlap nothing, nor do items of
-    fewer than SPAN tokens, which no mask fits. Repeated rows of one doc_id
+    Null and blank texts, on either side, overlap nothing. Items of fewer than
+    SPAN tokens, which no mask fits, must be held word for word; those of fewer
+    than LEAST_SHORT are no passages and are not looked for. Repeated rows of one doc_id
     count as one document; all rows without an id come under a null doc_id.
     Columns other than doc_id, text and item_id are not read; empty tables
     give no rows.
@@ -136,8 +162,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def without_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no benchmark item, all columns unchanged; rows without an id are judged by their own text."""
-    bad = hits(docs.select("doc_id", "text"), benchmark, _by_id()).select(F.col("_key").alias("_bad")).distinct()
-    return docs.join(bad, _by_id() == F.col("_bad"), "left_anti")
+    bad = hits(docs.select("doc_id", "text"), benchmark, _by_id()).select("_key").distinct()
+    # the row travels as one column, so no name of its own can clash
+    rows = docs.select(_by_id().alias("_key"), F.struct(*docs.columns).alias("_row"))
+    return rows.join(bad, "_key", "left_anti").select("_row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
