@@ -23,13 +23,13 @@ import zlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
-from urllib.parse import urlsplit
+from urllib.parse import quote, urlsplit
 
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mapped, partitions, saved, shared_dir, table
+from .common import mapped, partitions, saved, scratch, shared_dir, table
 
 #: Payloads shorter than this are never stored as revisits.
 LEAST_REVISIT = 100
@@ -56,11 +56,26 @@ def _fs(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
-def record(page_id: int | None, url: str | None, payload: bytes | None, digest: str, size: int, refers_to: int | None, refers_url: str | None) -> bytes:
-    """One record as a gzip member; payload None makes a revisit."""
-    head = ["WARC/1.1", f"WARC-Type: {'response' if payload is not None else 'revisit'}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", "WARC-Target-URI: " + json.dumps(url), "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Payload-Digest: sha256:{digest}"]
+def _uri(url: str) -> str:
+    """A URL as a header can hold it: spaces, control characters and all beyond ASCII as percent escapes."""
+    return quote(url, safe="".join(map(chr, range(0x21, 0x7F))))
+
+
+def record(page_id: int | None, url: str | None, payload: bytes | None, digest: str, name: str, refers_to: int | None, refers_url: str | None) -> bytes:
+    """One record as a gzip member; payload None makes a revisit. `name` (its file and place) makes the record's id.
+
+    A null URL has no target header. What the index is asked for, the pages' ids
+    and the key of the record that is revisited, stands in X- headers.
+    """
+    head = ["WARC/1.1", f"WARC-Type: {'response' if payload is not None else 'revisit'}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Payload-Digest: sha256:{digest}"]
+    if url is not None:
+        head.append(f"WARC-Target-URI: {_uri(url)}")
+    if page_id is not None:
+        head.append(f"X-Page-Id: {page_id}")
     if payload is None:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>", "WARC-Refers-To-Target-URI: " + json.dumps(refers_url)]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page-Id: {refers_to}", "X-Refers-To-Key: " + json.dumps(url_key(refers_url))]
+        if refers_url is not None:
+            head.append(f"WARC-Refers-To-Target-URI: {_uri(refers_url)}")
     body = payload or b""
     return gzip.compress("\r\n".join([*head, "Content-Type: text/html", f"Content-Length: {len(body)}", "", ""]).encode() + body + b"\r\n\r\n", 1, mtime=0)
 
@@ -73,10 +88,12 @@ def parse(member: bytes) -> tuple[dict[str, str], bytes]:
 
 def marked(pages: DataFrame) -> DataFrame:
     """page_id, url, html, digest, size, first, first_url: of equal payloads of LEAST_REVISIT bytes or more, the smallest page_id."""
-    own = pages.select("page_id", "url", "html", F.sha2(F.coalesce("html", F.lit("")), 256).alias("digest"), F.octet_length(F.coalesce("html", F.lit(""))).cast("long").alias("size"))
+    own = pages.select("page_id", "url", "html", F.coalesce("page_id", F.lit(_NO_ID)).alias("pid"), F.sha2(F.coalesce("html", F.lit("")), 256).alias("digest"), F.octet_length(F.coalesce("html", F.lit(""))).cast("long").alias("size"))
     # repeated payloads only; counted with partial sums, so a very common payload is no hot task
     often = own.where(F.col("size") >= LEAST_REVISIT).groupBy("digest").agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("head"), F.count("*").alias("n")).where("n > 1").select("digest", F.col("head.page_id").alias("first"), F.col("head.url").alias("first_url"))
-    return own.join(often, "digest", "left")
+    # payloads meet their page, not all pages of their digest, so a very common one is no hot task
+    first = saved(own.select("pid", "digest").distinct().join(saved(often), "digest"))
+    return own.join(first, ["pid", "digest"], "left").drop("pid")
 
 
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
@@ -93,7 +110,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
                 name, at = f"{uuid.uuid4().hex}.warc.gz", 0
                 out = fs.open_output_stream(f"{base}/{name}", compression=None)
             again = r["first"] is not None and r["page_id"] != r["first"]
-            member = record(r["page_id"], r["url"], None if again else (r["html"] or "").encode(), r["digest"], r["size"], r["first"], r["first_url"])
+            member = record(r["page_id"], r["url"], None if again else (r["html"] or "").encode(), r["digest"], f"{name}/{at}", r["first"], r["first_url"])
             out.write(member)
             yield url_key(r["url"]), r["page_id"], name, at, len(member)
             at += len(member)
@@ -178,9 +195,9 @@ class Archive:
     def read(self, capture: tuple[str, int, int]) -> tuple[dict[str, str], bytes]:
         return parse(self._range(*capture))
 
-    def _payload(self, url: str, page_id: int) -> tuple[int, str]:
+    def _payload(self, key: str, page_id: int) -> tuple[int, str]:
         """Size and digest of the payload that a revisit names."""
-        for c in self.captures(url_key(json.loads(url)), page_id):
+        for c in self.captures(json.loads(key), page_id):
             fields, body = self.read(c)
             if fields["WARC-Type"] == "response":
                 return len(body), hashlib.sha256(body).hexdigest()
@@ -202,8 +219,8 @@ def read_back(pages: DataFrame, folder: str, shards: list[tuple[str, int, str]])
                 if fields["WARC-Type"] == "response":
                     yield r["page_id"], len(body), hashlib.sha256(body).hexdigest() if body else _EMPTY, "response", None
                 else:
-                    first = int(fields["WARC-Refers-To"][10:-1])
-                    size, digest = archive.payload(fields["WARC-Refers-To-Target-URI"], first)
+                    first = int(fields["X-Refers-To-Page-Id"])
+                    size, digest = archive.payload(fields["X-Refers-To-Key"], first)
                     if f"sha256:{digest}" != fields["WARC-Payload-Digest"]:
                         raise ValueError(f"the payload of page {first} is not the one that was revisited")
                     yield r["page_id"], size, digest, "revisit", first
@@ -213,7 +230,7 @@ def read_back(pages: DataFrame, folder: str, shards: list[tuple[str, int, str]])
     return mapped(sorted_keys, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long", rows)
 
 
-def round_trip(pages: DataFrame) -> DataFrame:
+def round_trip(pages: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:
     """Archives every row of `pages` (page_id, url, html), then looks every page up and reads its record.
 
     Null html is an empty payload, a null URL has the key "". Repeated rows get
@@ -223,9 +240,10 @@ def round_trip(pages: DataFrame) -> DataFrame:
     """
     spark = pages.sparkSession
     folder = f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
-    captures = saved(write_archives(pages.select("page_id", "url", "html"), folder))
-    # one row for each index file, and there are as many as shuffle partitions at most
-    shards = sorted((r.key, r.page_id, r.file) for r in saved(write_index(captures, folder)).collect())
+    with scratch(spark):
+        captures = saved(write_archives(pages.select("page_id", "url", "html"), folder))
+        # one row for each index file, and there are as many as shuffle partitions at most
+        shards = sorted((r.key, r.page_id, r.file) for r in saved(write_index(captures, folder, block_lines)).collect())
     return read_back(pages, folder, shards)
 
 
