@@ -32,10 +32,15 @@ EXAMPLES, SLOTS, SEQUENCES, LENGTH = 300, 1 << 16, 2400, 48
 REMEMBERED, BATCH_WORDS = 400_000, 60_000
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
+#: Letters of a place in the chain at most; longer runs, as in scripts without spaces, take several places and as many votes.
+PLACE = 40
 
 
 def words_of(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
+    found = _WORD.findall((text or "").lower())
+    if len(max(found, key=len, default="")) > PLACE:
+        return [w[i : i + PLACE] for w in found for i in range(0, len(w), PLACE)]
+    return found
 
 
 def has_letter(words: list[str]) -> bool:
@@ -44,9 +49,8 @@ def has_letter(words: list[str]) -> bool:
 
 def features(word: str) -> list[int]:
     """Slots of a word: lexicon, prefixes and suffixes up to 3 letters, 3-grams with borders."""
-    w = word if len(word) <= 40 else word[:20] + word[-20:]
-    marked = f"^{w}$"
-    names = ["=" + w, "<" + w[:1], "<" + w[:2], "<" + w[:3], ">" + w[-1:], ">" + w[-2:], ">" + w[-3:]]
+    marked = f"^{word}$"
+    names = ["=" + word, "<" + word[:1], "<" + word[:2], "<" + word[:3], ">" + word[-1:], ">" + word[-2:], ">" + word[-3:]]
     names += [marked[i : i + 3] for i in range(len(marked) - 2)]
     return [zlib.crc32(x.encode("utf-8", "replace")) % SLOTS for x in names]
 
@@ -168,13 +172,16 @@ def train(examples: list[tuple[str, str]], seed: int = 7) -> Crf:
 
 
 def fit(docs: DataFrame, per_language: int = EXAMPLES) -> Crf:
-    """Trains on at most `per_language` documents of each language, the first by a hash of their id, among those that may be learnt from."""
+    """Trains on at most `per_language` documents of each language, the first by a hash of their id, among those that may be learnt from.
+
+    Of several texts under one id and language the smallest is taken.
+    """
     may = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & learns(F.col("doc_id"))).select("doc_id", "lang")
     nth = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     few = may.withColumn("nth", nth).where(F.col("nth") <= per_language).select("doc_id", "lang")
     # at most per_language rows a language, so it may be broadcast and its texts collected
-    rows = docs.select("doc_id", "lang", "text").join(F.broadcast(few), ["doc_id", "lang"]).dropDuplicates(["doc_id"]).collect()
-    return train([(r["lang"], r["text"]) for r in sorted(rows, key=lambda r: r["doc_id"]) if has_letter(words_of(r["text"]))])
+    rows = docs.select("doc_id", "lang", "text").join(F.broadcast(few.distinct()), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text")).collect()
+    return train([(r["lang"], r["text"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["lang"])) if has_letter(words_of(r["text"]))])
 
 
 def word_labels(texts: list[list[str]], crf: Crf, memo: dict[str, int], table_: list[np.ndarray]) -> np.ndarray:

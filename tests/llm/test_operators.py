@@ -117,6 +117,65 @@ def test_bpe_equals_library(spark):
     assert bpe.digests(docs.limit(0)).collect() == []
 
 
+def _overlaps(doc, item):
+    """Whether some stretch beside a mask's hit is good, straight from the rule."""
+    tokens = lambda t: [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
+    d, b = tokens(doc), tokens(item)
+    if len(b) < decontaminate.SPAN:
+        return len(b) >= decontaminate.LEAST_SHORT and any(d[i : i + len(b)] == b for i in range(len(d)))
+    for p in range(len(d) - decontaminate.SPAN + 1):
+        for q in range(len(b) - decontaminate.SPAN + 1):
+            if any(all(d[p + k] == b[q + k] for k, bit in enumerate(m) if bit == "1") for m in decontaminate.MASKS):
+                same = [0 <= p - q + i < len(d) and d[p - q + i] == b[i] for i in range(len(b))]
+                least = min(len(b), decontaminate.LEAST_STRETCH)
+                for n in range(least, min(2 * least - 1, len(b)) + 1):
+                    for i in range(len(b) - n + 1):
+                        if sum(same[i : i + n]) >= max(decontaminate.LEAST_EQUAL, decontaminate.LEAST_SHARE * n):
+                            return True
+    return False
+
+
+def test_decontamination_equals_brute_force(spark, monkeypatch):
+    """Parts of items with substitutions at the seams of blocks, short items, long texts, a common word, clashing names."""
+    monkeypatch.setattr(decontaminate, "BLOCK", 16)
+    rng = random.Random(12)
+    vocab = [f"v{i}" for i in range(12)]
+    items = [(i, _prose(rng, rng.choice([5, 8, 12, 25]), vocab)) for i in range(14)] + [(50, "v1 v2"), (51, None), (52, "the " * 12)]
+    docs = []
+    for i in range(60):
+        words = _prose(rng, rng.choice([0, 9, 30, 120]), vocab).split()
+        part = rng.choice(items[:14])[1].split()
+        part = part[rng.randrange(3) : len(part) - rng.randrange(3)]
+        if part and rng.random() < 0.5:
+            part[rng.randrange(len(part))] = "other"
+        at = rng.randrange(len(words) + 1)
+        docs.append((i, " ".join(words[:at] + part + words[at:]), "k", "b"))
+    docs += [(70, "the " * 3000, "k", "b"), (71, None, "k", "b")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, _key string, _bad string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = {(i, k) for i, t, _, _ in docs for k, item in items if _overlaps(t, item)}
+    for bound in (200_000, 1):
+        assert {(r._key, r.item_id) for r in decontaminate.hits(frame, bench, frame["doc_id"], bound).collect()} == want
+    assert 10 < len(want) and {r.doc_id for r in decontaminate.without_overlaps(frame, bench).collect()} == {i for i, *_ in docs} - {i for i, _ in want}
+    assert decontaminate.without_overlaps(frame, bench).columns == frame.columns
+
+
+def test_warc_index_of_many_blocks(spark):
+    """Several blocks and files, keys that repeat across a block's end, long payloads, records as others can read them."""
+    rng = random.Random(3)
+    pages = [(i, f"http://h{rng.randrange(9)}.example.org/p?q={rng.randrange(40)} é\n", rng.choice(["", "<p>" + str(i % 7) * 300, "x" * 200_000 if i % 50 == 0 else str(i)])) for i in range(300)]
+    pages += [pages[0]] * 9
+    docs = spark.createDataFrame([(*p, "k", 1) for p in pages], "page_id long, url string, html string, key string, first long")
+    got = sorted((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to if r.refers_to is not None else -1) for r in warc.round_trip(docs, block_lines=4).collect())
+    first = {}
+    for i, _, html in pages:
+        first[html] = min(i, first.get(html, i))
+    want = sorted((i, len(h), hashlib.sha256(h.encode()).hexdigest(), "revisit" if len(h) >= 100 and first[h] != i else "response", first[h] if len(h) >= 100 and first[h] != i else -1) for i, _, h in pages)
+    assert got == want
+    fields, body = warc.parse(warc.record(7, "http://a/ü b\r\nX: y", b"zz", "d", "f/0", None, None))
+    assert body == b"zz" and fields["WARC-Target-URI"] == "http://a/%C3%BC%20b%0D%0AX:%20y" and len({warc.parse(warc.record(7, None, b"", "d", f"f/{at}", None, None))[0]["WARC-Record-ID"] for at in range(3)}) == 3
+
+
 def test_warc_round_trip(spark):
     long = "<p>" + "x" * 200
     pages = [(5, "http://B.example.com/a?x=1", long), (2, "http://a.example.com/", long), (9, None, long), (1, "http://a.example.com/", "short"), (3, "u", "short"), (4, "http://c.org:80/é", None), (6, "http://c.org", ""), (2, "http://a.example.com/", long), (None, "n", long)]
@@ -167,6 +226,16 @@ def test_marginals_equal_enumeration():
     assert np.allclose(language.chain_marginals(e, first, t, s), want / want.sum(1, keepdims=True))
 
 
+def test_language_of_long_runs_and_odd_rows(spark):
+    """Runs of letters longer than a place are cut, not shortened; clashing names and repeated ids do no harm."""
+    assert language.words_of("ab " + "x" * 95) == ["ab", "x" * 40, "x" * 40, "x" * 15]
+    rows = [(i, "aa bb ab " * 30 if i % 2 else "cc dd cd " * 30, "p" if i % 2 else "q", 0.5, True) for i in range(40)] + [(1, "bb aa", "p", None, None), (800, "cdcdcccd" * 4000, None, None, None), (801, "cc dd " * 60_000, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double, held_out boolean")
+    got = language.labelled(docs, language.fit(docs)).collect()
+    assert len(got) == len(rows) and {r.doc_id: r.lang_pred for r in got if r.doc_id >= 800} == {800: "q", 801: "q"}
+    assert {r.n_words for r in got if r.doc_id == 800} == {800}
+
+
 def test_toxicity_neighbours_are_exact_and_learn(spark):
     rng = random.Random(9)
     vocab = [f"w{i}x".replace("0", "o").replace("1", "i") for i in range(60)]
