@@ -176,3 +176,23 @@ def shown(ranking: DataFrame, private: Column, limit: int) -> DataFrame:
     order = by.orderBy("rank")
     return marked.where(~F.col("private")).withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit).select("query_id", "place", "doc_id", "score", "withheld")
 
+
+def surfaced(ranking: DataFrame, confined: Column, limit: int, keep: bool) -> DataFrame:
+    """The first `limit` rows of each query as they may be shown: with `keep`, all of them, `confines` telling those that confine the reader; else those not confined, which then move up."""
+    marked = ranking.withColumn("confines", confined)
+    shown_ = marked if keep else marked.where(~F.col("confines"))
+    order = W.partitionBy("query_id").orderBy("rank")
+    return shown_.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
+
+
+def withheld_after(ranking: DataFrame, confined: Column, limit: int) -> DataFrame:
+    """query_id, shown, withheld: of each query's first `limit` rows, those that may be shown and those that are held back; none move up."""
+    first = ranking.where(F.col("rank") <= limit).withColumn("_held", confined)
+    return first.groupBy("query_id").agg(F.count_if(~F.col("_held")).alias("shown"), F.count_if("_held").alias("withheld"))
+
+
+def reminded(found: DataFrame, floor: float, most: int = 3) -> DataFrame:
+    """query_id, place, doc_id, score: of found turns (query_id, asked_in, said_in, doc_id, rank, score) the first `most` that reach the floor and were said elsewhere."""
+    others = found.where((F.col("score") >= floor) & ~F.col("asked_in").eqNullSafe(F.col("said_in")))
+    order = W.partitionBy("query_id").orderBy("rank")
+    return others.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).select("query_id", "place", "doc_id", "score")

@@ -237,3 +237,36 @@ def recall_fused(spark: SparkSession, d: str) -> DataFrame:
     asked = v.join(table(spark, d, "benchmark"), F.col("vec_id") == F.col("item_id")).select(F.col("item_id").alias("query_id"), "text", "embedding")
     held = v.join(turns, F.col("vec_id") == F.col("doc_id"), "left_semi")
     return search.searching.recall(turns, asked, 10, at_least=0.25, vectors_of=held)
+
+
+@query(f"""WITH {search.BM25}, {search.first('scores', search.DEPTH, 'words')}, m AS (SELECT w.*, source IN ('src0', 'src1', 'src2') AS confined FROM words w JOIN documents USING (doc_id))
+SELECT query_id, place, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place FROM m WHERE NOT confined) WHERE place <= 3""")
+def surfaced_turns(spark: SparkSession, d: str) -> DataFrame:
+    """The first three hits of each question that do not confine the reader."""
+    top = ranking.best(search.words(spark, d), search.DEPTH).join(table(spark, d, "documents").select("doc_id", "source"), "doc_id")
+    return ranking.surfaced(top, F.col("source").isin("src0", "src1", "src2"), 3, keep=False).select("query_id", "place", "doc_id")
+
+
+@query(f"""WITH {search.BM25}, {search.first('scores', search.LIMIT, 'words')} SELECT query_id, count(*) FILTER (source NOT IN ('src0', 'src1', 'src2')) AS shown, count(*) FILTER (source IN ('src0', 'src1', 'src2')) AS withheld FROM words JOIN documents USING (doc_id) GROUP BY ALL""")
+def withheld_counts(spark: SparkSession, d: str) -> DataFrame:
+    top = ranking.best(search.words(spark, d), search.LIMIT).join(table(spark, d, "documents").select("doc_id", "source"), "doc_id")
+    return ranking.withheld_after(top, F.col("source").isin("src0", "src1", "src2"), search.LIMIT)
+
+
+@query(f"""WITH {FUSED_MEMORY}, f AS (SELECT query_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id DESC) AS rank FROM fused WHERE score >= 0.25),
+o AS (SELECT f.*, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place FROM f JOIN documents USING (doc_id) WHERE rank <= 50 AND source IS DISTINCT FROM 'src' || (query_id % 20))
+SELECT query_id, place, doc_id, score FROM o WHERE place <= 3""")
+def reminders_fused(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as turns of the conversation that their source names: what others hold close to a question, by words and meaning, above a floor."""
+    docs = table(spark, d, "documents")
+    v = table(spark, d, "embeddings")
+    asked = v.join(table(spark, d, "benchmark"), F.col("vec_id") == F.col("item_id")).select(F.col("item_id").alias("query_id"), "text", "embedding")
+    turns = docs.select("doc_id", F.col("doc_id").alias("at"), "text")
+    found = search.searching.recall(turns, asked, 50, at_least=0.25, vectors_of=v.join(turns, F.col("vec_id") == F.col("doc_id"), "left_semi"))
+    named = found.join(docs.select("doc_id", F.col("source").alias("said_in")), "doc_id").withColumn("asked_in", F.concat(F.lit("src"), (F.col("query_id") % 20).cast("string")))
+    return ranking.reminded(named, 0.25)
+
+
+@query("SELECT event_id, CAST(json(props) AS VARCHAR) AS props FROM events")
+def canonical_props(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select("event_id", T.canonical_json(F.col("props")).alias("props"))

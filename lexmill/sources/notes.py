@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import codecs
 import json
 import posixpath
 import re
@@ -14,7 +15,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_WIKI = re.compile(r"\[\[([^\[\]|#]+)(?:#([^\[\]|]*))?(?:\|[^\[\]]*)?\]\]")
+from ..operators.chunking import Block
+
+#: In a table cell the bar before a link's label is escaped.
+_WIKI = re.compile(r"\[\[([^\[\]|#\\]+)(?:#([^\[\]|\\]*))?(?:\\?\|[^\[\]]*)?\]\]")
 _INLINE = re.compile(r"(?<!!)\[[^\[\]]*\]\(\s*<?([^()\s<>]+)>?[^()]*\)")
 _CODE = re.compile(r"`[^`\n]*`")
 _SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*:")
@@ -91,6 +95,29 @@ def python_blocks(text: str) -> Iterator[tuple[int, int, str]]:
         yield at, total, ""
 
 
+def python_outline(text: str) -> list[Block]:
+    """Top-level definitions as blocks; a class is a unit of its head and its methods. Lines between definitions are blocks without a name; a file that does not parse is one block."""
+    total = text.count("\n") + 1
+    try:
+        body = ast.parse(text).body
+    except (SyntaxError, ValueError):
+        return [Block(1, total)]
+    defines = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)
+    first = lambda node: min([node.lineno, *[d.lineno for d in node.decorator_list]])
+    out: list[Block] = []
+    at = 1
+    for unit, node in enumerate([n for n in body if isinstance(n, defines)], 1):
+        if first(node) > at:
+            out.append(Block(at, first(node) - 1, (), -unit))
+        inner = [n for n in node.body if isinstance(n, defines)] if isinstance(node, ast.ClassDef) else []
+        starts = [first(node), *[first(n) for n in inner]]
+        trails = [(node.name,), *[(node.name, n.name) for n in inner]]
+        ends = [s - 1 for s in starts[1:]] + [node.end_lineno]
+        out += [Block(s, e, t, unit) for s, e, t in zip(starts, ends, trails, strict=True) if s <= e]
+        at = node.end_lineno + 1
+    return out + [Block(at, total)] * (at <= total)
+
+
 def links(files: DataFrame) -> DataFrame:
     """path, line, kind, target, anchor of the links in files (path, kind, text)."""
 
@@ -103,12 +130,22 @@ def links(files: DataFrame) -> DataFrame:
 
 
 class EventParser:
-    """Server-sent events from text that comes in any pieces; an unfinished tail is dropped, an event over the cap fails."""
+    """Server-sent events (kind, data) from text or UTF-8 bytes that come in any pieces; an unfinished tail is dropped, an event over the cap fails.
+
+    A byte order mark at the start is skipped. last_id is the last id without a
+    NUL that was sent, retry the last whole number of milliseconds, else None.
+    """
 
     def __init__(self, most: int = 8 * 1024**2):
         self.most, self.rest, self.data, self.kind, self.after_cr = most, "", [], None, False
-
-    def feed(self, piece: str) -> Iterator[tuple[str, str]]:
+        self.last_id, self.retry, self.begun = "", None, False
+        self.decoder = codecs.getincrementaldecoder("utf-8")("replace")
+
+    def feed(self, piece: str | bytes) -> Iterator[tuple[str, str]]:
+        if isinstance(piece, bytes):
+            piece = self.decoder.decode(piece)
+        if piece and not self.begun:
+            self.begun, piece = True, piece.removeprefix("\ufeff")
         if self.after_cr and piece.startswith("\n"):
             piece = piece[1:]
         if piece:
@@ -127,6 +164,10 @@ class EventParser:
                 self.data.append(value)
             elif name == "event":
                 self.kind = value
+            elif name == "id" and "\0" not in value:
+                self.last_id = value
+            elif name == "retry" and value.isascii() and value.isdigit():
+                self.retry = int(value)
         if len(self.rest) + sum(map(len, self.data)) > self.most:
             raise ValueError("an event is too large")
 

@@ -112,3 +112,19 @@ def test_answers(spark):
     rows = [("s", i, STREAM[a:b]) for i, (a, b) in enumerate([(0, 30), (30, 31), (31, len(STREAM))])]
     out = notes.answers(spark.createDataFrame(rows, "stream string, at int, piece string")).first()
     assert (out.text, out.finish, out.total_tokens) == ("Hey", "stop", 5)
+
+
+def test_event_bytes_ids_and_retry():
+    stream = "\ufeffid: 7\nretry: 250\ndata: é1\n\nid: a\0b\nretry: soon\ndata: 2\n\ndata: tail".encode()
+    for size in (1, 2, 5, 1000):
+        parser = notes.EventParser()
+        got = [e for i in range(0, len(stream), size) for e in parser.feed(stream[i : i + size])]
+        assert got == [("message", "é1"), ("message", "2")] and (parser.last_id, parser.retry) == ("7", 250)
+
+
+def test_python_outline_and_cell_links():
+    text = "import a\n\n@d\nclass C:\n    x = 1\n\n    def f(self):\n        pass\n\n    @p\n    def g(self): ...\n\ndef h(): ...\n# end"
+    got = [(b.start, b.end, b.trail) for b in notes.python_outline(text)]
+    assert got == [(1, 2, ()), (3, 6, ("C",)), (7, 9, ("C", "f")), (10, 11, ("C", "g")), (12, 12, ()), (13, 13, ("h",)), (14, 14, ())]
+    assert len({b.unit for b in notes.python_outline(text)[1:4]}) == 1 and notes.python_outline("def (") == [notes.Block(1, 1)]
+    assert [x[2:] for x in notes.markdown_links("a.md", "| [[Note\\|label]] | [[Other#part\\|x]] |")] == [("note", None), ("other", "part")]
