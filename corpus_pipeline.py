@@ -12,33 +12,40 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lexmill.llm import bpe, decontaminate, pii, quality, simhash
-from lexmill.llm.common import saved, table
+from lexmill.llm.common import saved, scratch, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the word counts and the tokeniser's bands."""
+    """Documents that pass the word counts and the tokeniser's bands.
+
+    Null, empty and short texts go. Repeated rows are judged, and kept, each.
+    """
     return quality.keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that with the smallest doc_id."""
+    """One document of each group of near copies: that with the smallest doc_id, then the smallest digest of its text.
+
+    Repeated rows are one. Null and empty texts are copies of each other; rows
+    without a doc_id come last in their group.
+    """
     return simhash.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of a benchmark item."""
+    """Documents without a passage of a benchmark item; null and empty texts hold none, and repeated rows are judged alike."""
     return decontaminate.without_overlaps(docs, table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their personal data replaced by its kind."""
+    """Documents with their personal data replaced by its kind, n_chars following; null and empty texts stay as they are, repeated rows change alike."""
     return pii.redacted(docs)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each document."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row; null and empty texts have no token."""
     return bpe.digests(docs)
 
 
@@ -55,7 +62,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows over the whole documents table; an empty table gives none. What the stages wrote on the way is deleted."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = saved(stage(spark, docs, sf_dir))
+    with scratch(spark):
+        for name, stage in STAGES:
+            docs = saved(stage(spark, docs, sf_dir), outlives=name == STAGES[-1][0])
     return docs
