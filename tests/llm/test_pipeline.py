@@ -55,3 +55,19 @@ def test_run_equals_brute_force(spark, tmp_path):
         out = stage(spark, before, str(tmp_path))
         assert out.columns == before.columns, name
         assert stage(spark, before.limit(0), str(tmp_path)).count() == 0
+
+
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    """Extra columns, also those that a stage uses itself, go through unchanged."""
+    rng = random.Random(2)
+    words = [f"{a}{b}" for a in ("re", "un", "over", "out", "in") for b in ("turn", "build", "write", "light", "look", "come", "side", "land")]
+    names = ["_key", "_bad", "_spans", "_row", "_text", "row", "m", "h", "id", "none", "fp", "key", "item", "kept", "_group", "_limits"]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(90)) + f" a{i}@b.org", *[f"{n}{i}" for n in names]) for i in range(6)]
+    rows += [rows[2], (None, None, *["x"] * len(names)), (7, "", *["x"] * len(names))]
+    docs = spark.createDataFrame(rows, ", ".join(["doc_id long", "text string", *[f"{n} string" for n in names]]))
+    spark.createDataFrame([(1, " ".join(words[:20]))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        kept = {(r.doc_id, *r[2:]) for r in out.collect()}
+        assert kept <= {(r[0], *r[2:]) for r in rows} and {(r[0], *r[2:]) for r in rows[:6]} <= kept, name
