@@ -179,12 +179,12 @@ def pattern_scan(spark: SparkSession, d: str) -> DataFrame:
     return x.select(met.alias("rule")).groupBy("rule").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT doc_id, ordinal, header FROM (SELECT doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS ordinal, CASE WHEN lag(source) OVER (PARTITION BY lang ORDER BY doc_id) IS DISTINCT FROM source THEN source END AS header FROM documents) WHERE header IS NOT NULL""")
+@query("""SELECT conv_id, turn, role AS header FROM (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations) WHERE before IS DISTINCT FROM role""")
 def consecutive_headers(spark: SparkSession, d: str) -> DataFrame:
-    """The first document of each run of one source within a language."""
-    by = W.partitionBy("lang").orderBy("doc_id")
-    docs = table(spark, d, "documents").select("doc_id", "lang", "source")
-    return docs.withColumn("ordinal", F.row_number().over(by)).withColumn("before", F.lag("source").over(by)).where(~F.col("before").eqNullSafe(F.col("source"))).select("doc_id", "ordinal", F.col("source").alias("header"))
+    """Where the speaker changes: of neighbouring turns of one role only the first is headed."""
+    by = W.partitionBy("conv_id").orderBy("turn")
+    turns = table(spark, d, "conversations").select("conv_id", "turn", "role", F.lag("role").over(by).alias("before"))
+    return turns.where(~F.col("before").eqNullSafe(F.col("role"))).select("conv_id", "turn", F.col("role").alias("header"))
 
 
 @query("""WITH held AS (SELECT doc_id, n_chars FROM documents WHERE lang <> 'fr'), listing AS (SELECT doc_id, CASE WHEN lang = 'es' THEN n_chars + 1 ELSE n_chars END AS n_chars FROM documents WHERE source <> 'src3')
