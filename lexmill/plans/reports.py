@@ -270,3 +270,18 @@ def reminders_fused(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT event_id, CAST(json(props) AS VARCHAR) AS props FROM events")
 def canonical_props(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", T.canonical_json(F.col("props")).alias("props"))
+
+
+@query("""WITH e AS (SELECT user_id, event_id, event_type AS path, CASE WHEN event_id % 2 = 0 THEN CAST(event_id % 4 AS INT) END AS page, CAST(floor(value) AS INT) AS x, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rank FROM events)
+SELECT g.user_id AS query_id, g.event_id AS gold_id, min(r.rank) AS rank FROM e g JOIN e r ON r.user_id = g.user_id AND r.path = g.path AND r.page IS NOT DISTINCT FROM g.page AND r.rank <= 10 AND r.x <= g.x + 8 AND g.x + 3 <= r.x + 5 WHERE g.event_id % 3 = 0 GROUP BY ALL""")
+def span_hits(spark: SparkSession, d: str) -> DataFrame:
+    """Events as spans of lines of their type: where a user's first ten passages meet the labelled ones."""
+    from pyspark.sql.window import Window as W
+
+    from ..operators import evaluation
+
+    page = F.when(F.col("event_id") % 2 == 0, (F.col("event_id") % 4).cast("int")).alias("page")
+    e = table(spark, d, "events").select(F.col("user_id").alias("query_id"), "event_id", F.col("event_type").alias("path"), page, F.floor("value").cast("int").alias("x"))
+    ranked = e.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("event_id"))).where("rank <= 10").select("query_id", "rank", "path", "page", F.col("x").alias("start"), (F.col("x") + 5).alias("end"))
+    gold = e.where("event_id % 3 = 0").select("query_id", F.col("event_id").alias("gold_id"), "path", "page", (F.col("x") + 3).alias("start"), (F.col("x") + 8).alias("end"))
+    return evaluation.hits(ranked, gold)
