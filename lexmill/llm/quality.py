@@ -31,7 +31,7 @@ from .common import WORD_RE, saved, table
 
 VOCABULARY = "piece_bpe_32k.model"
 REMEMBERED = 200_000
-_SYMBOLS = str.maketrans("", "", "#*$%&|<>")
+_SYMBOLS = "#*$%&|<>"
 
 
 @dataclass(frozen=True)
@@ -105,9 +105,13 @@ def repeated_words(words: list[str]) -> int:
         return 0
     number: dict[str, int] = {}
     ids = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words))
-    # three exact steps of pairing, so no two windows share a number
-    _, pairs = np.unique(ids[:-1] * len(number) + ids[1:], return_inverse=True)
-    _, windows, counts = np.unique(pairs[:-1] * len(number) + ids[2:], return_inverse=True, return_counts=True)
+    # exact numbers of windows: in one step while the cube of the distinct words fits 63 bits, else in two
+    size = len(number)
+    if size < 1 << 20:
+        keys = (ids[:-2] * size + ids[1:-1]) * size + ids[2:]
+    else:
+        keys = np.unique(ids[:-2] * size + ids[1:-1], return_inverse=True)[1] * size + ids[2:]
+    _, windows, counts = np.unique(keys, return_inverse=True, return_counts=True)
     often = counts[windows] > 1
     if not often.any():
         return 0
@@ -142,7 +146,7 @@ def figures(path: str) -> Callable[[Column], Column]:
             if n:
                 counts = np.unique(ids, return_counts=True)[1] / n
                 share, entropy = float(is_byte[ids].mean()), float(abs(-(counts * np.log2(counts)).sum()))
-            return len(words), chars, len(text) - len(text.translate(_SYMBOLS)), sum(lines.values()) - len(lines), repeated_words(words), script_of(text), n, chars / n if n else 0.0, share, entropy
+            return len(words), chars, sum(map(text.count, _SYMBOLS)), sum(lines.values()) - len(lines), repeated_words(words), script_of(text), n, chars / n if n else 0.0, share, entropy
 
         names = [x.split()[0] for x in FIGURES.split(", ")]
         for texts in batches:
