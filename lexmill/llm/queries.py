@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, interactions, language, phrases, pii, quality, simhash, suffixes, toxicity, tries, warc
+from . import bpe, decontaminate, interactions, language, minhash, phrases, pii, quality, simhash, suffixes, toxicity, tries, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_spaced_seeds": decontaminate.query,
@@ -19,12 +19,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bootstrapped_contexts": pii.query,
     "op9_block_max_neighbours": toxicity.query,
     "op10_simhash_deletion_variants": simhash.query,
+    "op11_multi_index_hamming": minhash.query,
     "op12_lcp_cartesian_tree": tries.query,
     "op13_subset_zeta": interactions.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_warc_capture_index": warc.ORACLE_SQL,
+    "op11_multi_index_hamming": minhash.ORACLE_SQL,
     "op12_lcp_cartesian_tree": tries.ORACLE_SQL,
     "op13_subset_zeta": interactions.ORACLE_SQL,
 }
