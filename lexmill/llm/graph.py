@@ -9,8 +9,12 @@ from .common import saved, scratch
 
 
 def _mins(both: DataFrame) -> DataFrame:
-    """Each node with the smallest node among itself and its neighbours (partial sums first, so a hot node is no hot task)."""
-    return both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+    """Each node with the smallest node among itself and its neighbours.
+
+    Sums are made per task first, and the result is a written table, so that
+    adaptive execution can split the links of a hot node where they meet it.
+    """
+    return saved(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")))
 
 
 def _large(edges: DataFrame) -> DataFrame:

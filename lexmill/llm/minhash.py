@@ -12,10 +12,10 @@ two wrong values of four: about once in a million.
 
 Equal sets are one class, whatever their number. A bucket of equal keys may
 hold very many classes, so its pairs are not written out: all are held against
-its smallest, which makes components, and then only classes of different
-components are compared, by sizes and 128 check bits in the join itself.
-What is left is confirmed on the full sets, the likeliest pair of each class
-first; a pair inside one component is not looked at again.
+a few drawn from it, twice, which makes components, and then only classes of
+different components are compared, by sizes and 128 check bits in the join
+itself. What they leave is confirmed on the full sets, the likeliest pair of
+each class first; a pair inside one component is not looked at again.
 """
 
 from __future__ import annotations
@@ -25,7 +25,6 @@ from hashlib import blake2b
 from itertools import accumulate, combinations
 
 import numpy as np
-import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,8 +43,10 @@ DISTANCE = VALUES // CHUNK * (ERRORS + 1) - 1
 #: Functions for the two-bit check values, and how many of their 128 bits may differ: at the line 12.8 do, and more than 40 once in 10 ** 10.
 CHECKED, MOST_BITS = 64, 40
 #: Documents that may be fetched by a broadcast of their keys.
-MOST_BROADCAST = 500_000
+MOST_BROADCAST = 200_000
 _STEP = 1 << 11
+#: Turned bits by which the classes are drawn that all others of a bucket are held against, a first time and a second.
+_DRAWN = ((0, 0x5A5_1B2C_93D7, 0xA3C_E4D1_6E28, 0x3C6_B79A_D514), (0x96F_82E5_4BC9, 0x6B1_D36C_B8A7, 0xC5A_1F87_2D5E, 0xFFF_FFFF_FFFF))
 _RANDOM = np.random.default_rng(20_117)
 _FLIP, _TIMES = (_RANDOM.integers(0, 1 << 63, CHECKED, dtype=np.uint64)[:, None] for _ in range(2))
 _TIMES = _TIMES * np.uint64(2) + np.uint64(1)
@@ -165,6 +166,8 @@ def _rooted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 
 def _linked(docs: DataFrame, pairs: DataFrame, links: DataFrame | None, least: int, k: int) -> DataFrame:
     """Links of `links` and of the saved pairs: the likeliest pair of each v is confirmed first, then those between components that are left."""
+    if not pairs.take(1):
+        return pairs.select("u", "v") if links is None else links
     best = saved(pairs.groupBy("v").agg(F.min(F.struct("far", "u", "ud", "uh", "vd", "vh")).alias("x")).select("x.*", "v"))
     found = confirmed(docs, best, least, k)
     links = saved(found if links is None else links.unionByName(found))
@@ -172,28 +175,42 @@ def _linked(docs: DataFrame, pairs: DataFrame, links: DataFrame | None, least: i
     return saved(links.unionByName(confirmed(docs, left, least, k))) if left.take(1) else links
 
 
+def _to_leads(index: DataFrame, drawn: tuple[int, ...]) -> DataFrame:
+    """(u, v), u < v: each class of a bucket (key, node) with some others, the same for all of the bucket: those that are least after some bits are turned."""
+    leads = saved(index.groupBy("key").agg(F.array_distinct(F.array(*[F.min(F.col("node").bitwiseXOR(F.lit(x))).bitwiseXOR(F.lit(x)) for x in drawn])).alias("leads")))
+    met = index.join(leads, "key").select("node", F.explode("leads").alias("lead")).where("node <> lead")
+    return met.select(F.least("node", "lead").alias("u"), F.greatest("node", "lead").alias("v")).distinct()
+
+
 def linked(docs: DataFrame, classes: DataFrame, least: int = LEAST, k: int = SHINGLE) -> DataFrame:
     """u, root for every class (node, n, sig, c0, c1 and a document d, h of it) that has a link."""
     spark = docs.sparkSession
     keyed = classes.repartition(partitions(spark), "node").select("node", F.explode(keys(F.col("sig"))).alias("key"))
-    buckets = saved(keyed.groupBy("key").agg(F.count("*").alias("members"), F.min("node").alias("low"), F.max("node").alias("high")).where("members > 1"))
-    two = buckets.where("members = 2").select(F.col("low").alias("u"), F.col("high").alias("v"))
-    large = saved(buckets.where("members > 2").select("key", "low"))
-    index = saved(keyed.join(large, "key"))
-    first = index.where("node <> low").select(F.col("low").alias("u"), F.col("node").alias("v"))
-    tried = saved(_close(two.unionByName(first).distinct(), classes, least))
+    buckets = saved(keyed.groupBy("key").agg(F.count("*").alias("members"), F.min("node").alias("u"), F.max("node").alias("v")).where("members > 1"))
+    index = saved(keyed.join(saved(buckets.where("members > 2").select("key")), "key"))
+    tried = saved(_close(buckets.where("members = 2").select("u", "v").unionByName(_to_leads(index, _DRAWN[0])).distinct(), classes, least))
     links = _linked(docs, tried, None, least, k)
-    roots = components(links)
-    more = saved(_close(_across(index, classes, roots, least).join(tried.select("u", "v"), ["u", "v"], "left_anti"), classes, least))
-    return components(_linked(docs, more, links, least, k)) if more.take(1) else roots
+    for drawn in (*_DRAWN[1:], None):
+        roots = components(links)
+        mixed = _mixed(index, roots)
+        met = _rooted(_to_leads(mixed, drawn), roots) if drawn else _across(mixed, classes, least)
+        more = saved(_close(met.join(tried.select("u", "v"), ["u", "v"], "left_anti"), classes, least))
+        links = _linked(docs, more, links, least, k)
+        tried = tried.select("u", "v").unionByName(more.select("u", "v"))
+    return components(links)
+
+
+def _mixed(index: DataFrame, roots: DataFrame) -> DataFrame:
+    """key, node, root, top: the classes of buckets that hold several components, and the component that most of a bucket is in."""
+    rooted = index.join(roots.withColumnRenamed("u", "node"), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    inside = rooted.groupBy("key", "root").agg(F.count("*").alias("n"))
+    several = saved(inside.groupBy("key").agg(F.count("*").alias("kinds"), F.max(F.struct("n", "root"))["root"].alias("top")).where("kinds > 1").select("key", "top"))
+    return saved(rooted.join(several, "key"))
 
 
-def _across(index: DataFrame, classes: DataFrame, roots: DataFrame, least: int) -> DataFrame:
+def _across(mixed: DataFrame, classes: DataFrame, least: int) -> DataFrame:
     """(u, v): classes of one bucket and different components that sizes and check bits allow; of each bucket's largest component none with each other."""
-    rooted = index.join(roots.withColumnRenamed("u", "node"), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    inside = rooted.groupBy("key", "root").agg(F.count("*").alias("n"))
-    mixed = saved(inside.groupBy("key").agg(F.count("*").alias("kinds"), F.max(F.struct("n", "root"))["root"].alias("top")).where("kinds > 1").select("key", "top"))
-    told = saved(rooted.join(mixed, "key").join(classes.select("node", "n", "c0", "c1"), "node"))
+    told = saved(mixed.join(classes.select("node", "n", "c0", "c1"), "node"))
     a, b = told.where("root <> top").alias("a"), told.alias("b")
     # two that are both outside the largest component meet once
     once = (F.col("b.root") == F.col("b.top")) | (F.col("a.node") < F.col("b.node"))

@@ -200,7 +200,7 @@ class Blocks:
         for r in rows.where("key is not null").orderBy("pid", "at").select("pid", "key").collect():
             edges.setdefault(r["pid"], []).append(r["key"])
         pids = sorted(sums)
-        firsts = [-1, *[_shared(edges[a][-1], edges[b][0]) for a, b in zip(pids, pids[1:], strict=False)]]
+        firsts = [-1, *[_shared(edges[a][-1], edges[b][0]) for a, b in zip(pids, pids[1:], strict=False)]][: len(pids)]
         least = [f if sums[p]["least"] is None else min(f, sums[p]["least"]) for f, p in zip(firsts, pids, strict=True)]
         begins = np.cumsum([0, *[sums[p]["n"] for p in pids]]).tolist()
         return Blocks(tuple(pids), tuple(begins[:-1]), tuple(firsts), tuple(least), tuple(sums[p]["conv"] for p in pids), begins[-1])
