@@ -12,17 +12,17 @@ two wrong values of four: about once in a million.
 
 Equal sets are one class, whatever their number. A bucket of equal keys may
 hold very many classes, so its pairs are not written out: all are held against
-a few drawn from it, twice, which makes components, and then only classes of
-different components are compared, by sizes and 128 check bits in the join
-itself. What they leave is confirmed on the full sets, the likeliest pair of
-each class first; a pair inside one component is not looked at again.
+a few drawn from it, by sizes and 128 check bits and then on the full sets, the
+likeliest pair of each class first. That makes components; only classes of
+different components are compared after that, in tiles of bounded size, by
+products of incidence matrices, of which links alone come out.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from hashlib import blake2b
-from itertools import accumulate, combinations
+from itertools import accumulate, combinations, groupby
 
 import numpy as np
 import xxhash
@@ -45,8 +45,10 @@ CHECKED, MOST_BITS = 64, 40
 #: Documents that may be fetched by a broadcast of their keys.
 MOST_BROADCAST = 200_000
 _STEP = 1 << 11
-#: Turned bits by which the classes are drawn that all others of a bucket are held against, a first time and a second.
-_DRAWN = ((0, 0x5A5_1B2C_93D7, 0xA3C_E4D1_6E28, 0x3C6_B79A_D514), (0x96F_82E5_4BC9, 0x6B1_D36C_B8A7, 0xC5A_1F87_2D5E, 0xFFF_FFFF_FFFF))
+#: Turned bits by which the classes are drawn that all others of a bucket are held against.
+_DRAWN = (0, 0x5A5_1B2C_93D7, 0xA3C_E4D1_6E28, 0x3C6_B79A_D514, 0xFFF_FFFF_FFFF)
+#: Classes and shingles in a tile, about; columns of a matrix.
+TILE, TILE_SHINGLES, _COLUMNS = 1024, 400_000, 4096
 _RANDOM = np.random.default_rng(20_117)
 _FLIP, _TIMES = (_RANDOM.integers(0, 1 << 63, CHECKED, dtype=np.uint64)[:, None] for _ in range(2))
 _TIMES = _TIMES * np.uint64(2) + np.uint64(1)
@@ -158,21 +160,16 @@ def confirmed(docs: DataFrame, pairs: DataFrame, least: int = LEAST, k: int = SH
 
 
 def _rooted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """The pairs whose ends are in different components."""
-    a, b = (roots.select(F.col("u").alias(f"_{x}"), F.col("root").alias(f"r{x}")) for x in "uv")
-    met = pairs.join(a, F.col("u") == F.col("_u"), "left").join(b, F.col("v") == F.col("_v"), "left")
-    return met.where(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select(*pairs.columns)
+    """The pairs whose ends are in different components, with their roots ru and rv."""
+    a, b = (roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")) for x in "uv")
+    return pairs.join(a, "u").join(b, "v").where("ru <> rv")
 
 
-def _linked(docs: DataFrame, pairs: DataFrame, links: DataFrame | None, least: int, k: int) -> DataFrame:
-    """Links of `links` and of the saved pairs: the likeliest pair of each v is confirmed first, then those between components that are left."""
-    if not pairs.take(1):
-        return pairs.select("u", "v") if links is None else links
-    best = saved(pairs.groupBy("v").agg(F.min(F.struct("far", "u", "ud", "uh", "vd", "vh")).alias("x")).select("x.*", "v"))
-    found = confirmed(docs, best, least, k)
-    links = saved(found if links is None else links.unionByName(found))
-    left = saved(_rooted(pairs.join(best.select("u", "v"), ["u", "v"], "left_anti"), components(links)))
-    return saved(links.unionByName(confirmed(docs, left, least, k))) if left.take(1) else links
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """roots (node, root) after the components that links (u, v) join have been put together."""
+    between = _rooted(links.select("u", "v"), roots).select(F.col("ru").alias("u"), F.col("rv").alias("v"))
+    tops = components(between).select(F.col("u").alias("root"), F.col("root").alias("top"))
+    return saved(roots.join(tops, "root", "left").select("node", F.coalesce("top", "root").alias("root")))
 
 
 def _to_leads(index: DataFrame, drawn: tuple[int, ...]) -> DataFrame:
@@ -183,39 +180,103 @@ def _to_leads(index: DataFrame, drawn: tuple[int, ...]) -> DataFrame:
 
 
 def linked(docs: DataFrame, classes: DataFrame, least: int = LEAST, k: int = SHINGLE) -> DataFrame:
-    """u, root for every class (node, n, sig, c0, c1 and a document d, h of it) that has a link."""
+    """node, root for every class (node, n, sig, c0, c1 and a document d, h of it).
+
+    The likeliest pair of each class is confirmed first; then, between
+    components only, its others with the classes drawn, and all that are left.
+    """
     spark = docs.sparkSession
     keyed = classes.repartition(partitions(spark), "node").select("node", F.explode(keys(F.col("sig"))).alias("key"))
     buckets = saved(keyed.groupBy("key").agg(F.count("*").alias("members"), F.min("node").alias("u"), F.max("node").alias("v")).where("members > 1"))
     index = saved(keyed.join(saved(buckets.where("members > 2").select("key")), "key"))
-    tried = saved(_close(buckets.where("members = 2").select("u", "v").unionByName(_to_leads(index, _DRAWN[0])).distinct(), classes, least))
-    links = _linked(docs, tried, None, least, k)
-    for drawn in (*_DRAWN[1:], None):
-        roots = components(links)
-        mixed = _mixed(index, roots)
-        met = _rooted(_to_leads(mixed, drawn), roots) if drawn else _across(mixed, classes, least)
-        more = saved(_close(met.join(tried.select("u", "v"), ["u", "v"], "left_anti"), classes, least))
-        links = _linked(docs, more, links, least, k)
-        tried = tried.select("u", "v").unionByName(more.select("u", "v"))
-    return components(links)
+    tried = saved(_close(buckets.where("members = 2").select("u", "v").unionByName(_to_leads(index, _DRAWN)).distinct(), classes, least))
+    best = saved(tried.groupBy("v").agg(F.min(F.struct("far", "u", "ud", "uh", "vd", "vh")).alias("x")).select("x.*", "v"))
+    roots = _merged(classes.select("node", F.col("node").alias("root")), saved(confirmed(docs, best, least, k)))
+    left = saved(_rooted(tried.join(best.select("u", "v"), ["u", "v"], "left_anti"), roots).drop("ru", "rv"))
+    if left.take(1):
+        roots = _merged(roots, saved(confirmed(docs, left, least, k)))
+    mixed = _mixed(index, roots)
+    return _merged(roots, saved(_across(docs, mixed, classes, least, k))) if mixed.take(1) else roots
 
 
 def _mixed(index: DataFrame, roots: DataFrame) -> DataFrame:
     """key, node, root, top: the classes of buckets that hold several components, and the component that most of a bucket is in."""
-    rooted = index.join(roots.withColumnRenamed("u", "node"), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    rooted = index.join(roots, "node").select("key", "node", "root")
     inside = rooted.groupBy("key", "root").agg(F.count("*").alias("n"))
     several = saved(inside.groupBy("key").agg(F.count("*").alias("kinds"), F.max(F.struct("n", "root"))["root"].alias("top")).where("kinds > 1").select("key", "top"))
     return saved(rooted.join(several, "key"))
 
 
-def _across(mixed: DataFrame, classes: DataFrame, least: int) -> DataFrame:
-    """(u, v): classes of one bucket and different components that sizes and check bits allow; of each bucket's largest component none with each other."""
-    told = saved(mixed.join(classes.select("node", "n", "c0", "c1"), "node"))
-    a, b = told.where("root <> top").alias("a"), told.alias("b")
-    # two that are both outside the largest component meet once
-    once = (F.col("b.root") == F.col("b.top")) | (F.col("a.node") < F.col("b.node"))
-    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.root") != F.col("b.root")) & once & _may("a", "b", least))
-    return met.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
+def _in_common(one: list[np.ndarray], other: list[np.ndarray]) -> np.ndarray:
+    """How many elements each set of one has in common with each of other, by products of parts of their incidence matrices."""
+    out = np.zeros((len(one), len(other)), np.float32)
+    flat = [np.concatenate(x) for x in (one, other)]
+    both = np.intersect1d(np.unique(flat[0]), np.unique(flat[1]), assume_unique=True)
+    if not len(both):
+        return out
+    placed = []
+    for sets, x in zip((one, other), flat, strict=True):
+        at = np.searchsorted(both, x)
+        at[at == len(both)] = 0
+        held = both[at] == x
+        placed.append((np.repeat(np.arange(len(sets)), [len(s) for s in sets])[held], at[held], len(sets)))
+    for i in range(0, len(both), _COLUMNS):
+        parts = []
+        for row, col, n in placed:
+            own = (col >= i) & (col < i + _COLUMNS)
+            part = np.zeros((n, min(_COLUMNS, len(both) - i)), np.float32)
+            part[row[own], col[own] - i] = 1
+            parts.append(part)
+        out += parts[0] @ parts[1].T
+    return out
+
+
+def _similar(one: list[dict], other: list[dict], least: int, k: int) -> Iterator[tuple[int, int]]:
+    """Links between members of different components: for each member of one, one to every component of other that it is similar to."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    sets = [[shingles(unpack(r["text"]), k) for r in x] for x in ((one, other) if one is not other else (one,))]
+    common = _in_common(sets[0], sets[-1])
+    n, m = (np.array([len(s) for s in x]) for x in (sets[0], sets[-1]))
+    roots = np.array([r["root"] for r in other])
+    near = (100 * common >= least * (n[:, None] + m[None, :] - common)) & (np.array([r["root"] for r in one])[:, None] != roots[None, :])
+    for i in np.nonzero(near.any(axis=1))[0].tolist():
+        at = np.nonzero(near[i])[0]
+        for j in at[np.unique(roots[at], return_index=True)[1]].tolist():
+            yield one[i]["node"], other[j]["node"]
+
+
+def _across(docs: DataFrame, mixed: DataFrame, classes: DataFrame, least: int, k: int) -> DataFrame:
+    """u, v: links between components of a bucket, by full sets; of its largest component none with each other.
+
+    A bucket's classes are dealt to tiles of bounded size, and tiles are laid
+    beside each other; links come out, never pairs that are none.
+    """
+    told = mixed.join(classes.select("node", "n", "d", "h"), "node").withColumn("minor", F.col("root") != F.col("top"))
+    spread = lambda own: F.ceil(F.greatest(F.count_if(own) / TILE, F.sum(F.when(own, F.col("n")).otherwise(F.lit(0))) / TILE_SHINGLES)).cast("int")
+    tiles = saved(told.groupBy("key").agg(spread(F.col("minor")).alias("minors"), spread(~F.col("minor")).alias("tops")))
+    placed = told.join(tiles, "key").withColumn("tile", F.pmod(F.xxhash64("node"), F.when(F.col("minor"), F.col("minors")).otherwise(F.col("tops"))).cast("int"))
+    beside = lambda n, met: F.transform(F.sequence(F.lit(0), F.col(n) - 1), met)
+    pair = lambda x, y, all_minor: F.struct(x.cast("int").alias("a"), y.cast("int").alias("b"), F.lit(all_minor).alias("c"))
+    own = F.col("tile")
+    groups = F.when(F.col("minor"), F.concat(beside("tops", lambda j: pair(own, j, 0)), beside("minors", lambda i: pair(F.least(own, i), F.greatest(own, i), 1)))).otherwise(beside("minors", lambda i: pair(i, own, 0)))
+    rows = placed.select("key", "node", "root", "minor", "tile", F.explode(groups).alias("g")).select("key", "g.*", "node", "root", "minor", "tile")
+    wanted = saved(told.select("d", "h", "node").distinct())
+    texts = saved(_packed(docs, wanted, wanted.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST))
+    group = ["key", "a", "b", "c"]
+    dealt = rows.join(texts, "node").repartition(partitions(docs.sparkSession), *group).sortWithinPartitions(*group, "node")
+
+    def found(each: Iterator[dict]) -> Iterator[tuple]:
+        for (_, a, b, all_minor), members in groupby(each, key=lambda r: tuple(r[x] for x in group)):
+            held = [next(same) for _, same in groupby(members, key=lambda r: r["node"])]  # a repeated row gives its text again
+            if all_minor:
+                one = [r for r in held if r["tile"] == a]
+                other = one if a == b else [r for r in held if r["tile"] == b]
+            else:
+                one, other = [r for r in held if r["minor"]], [r for r in held if not r["minor"]]
+            if one and other:
+                yield from _similar(one, other, least, k)
+
+    return mapped(dealt, "u long, v long", found)
 
 
 def near_duplicates(docs: DataFrame, least: int = LEAST, k: int = SHINGLE) -> DataFrame:
@@ -234,7 +295,7 @@ def near_duplicates(docs: DataFrame, least: int = LEAST, k: int = SHINGLE) -> Da
         # numbers of classes are fixed once they are written
         classes = saved(grouped.select("s0", "s1", "first", "at.*", "n", "sig", "c0", "c1", F.monotonically_increasing_id().alias("node")))
         roots = linked(docs, classes, least, k)
-        placed = classes.join(roots.withColumnRenamed("u", "node"), "node", "left").select("s0", "s1", "first", F.coalesce("root", "node").alias("root"))
+        placed = classes.join(roots, "node").select("s0", "s1", "first", "root")
         tops = placed.groupBy("root").agg(F.min("first").alias("component_id"))
         named = saved(placed.join(tops, "root").select("s0", "s1", "component_id"), outlives=True)
     each = own.join(named, ["s0", "s1"]).select("doc_id", "n", "component_id").unionByName(prints.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
