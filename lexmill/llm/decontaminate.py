@@ -20,14 +20,15 @@ from pyspark.sql import functions as F
 
 from .common import saved, table
 
-#: Fixed masks of one span: ones are the hashed positions.
-MASKS = ("1111001011", "1101011101", "1011110111")
-SPAN = 10
+#: Fixed masks: ones are the hashed positions. However the unequal tokens of a good stretch of 9 to 25 tokens are placed, one of the masks
+#: meets equal tokens only, somewhere in it (a test tries all placings).
+MASKS = ("110111", "11100011", "1101000011", "11100000101", "10101010001")
+LEAST_SPAN, SPAN = min(map(len, MASKS)), max(map(len, MASKS))
 #: Least share of equal tokens in a stretch, and least equal tokens.
 LEAST_SHARE, LEAST_EQUAL = 0.75, 9
 #: Least aligned tokens in a stretch (or all of a shorter item). One of twice that or more can be halved, and a half has the share too, so lengths below suffice.
 LEAST_STRETCH = 13
-#: Items of fewer tokens than a mask, but this many, are looked for word for word.
+#: Items of fewer tokens than a stretch must have equal, but this many, are looked for word for word.
 LEAST_SHORT = 5
 #: Seeds that may be broadcast. Token places in a block, more where an item is longer.
 MOST_BROADCAST, BLOCK = 200_000, 512
@@ -48,7 +49,7 @@ def _blocks(df: DataFrame, carried: str, room: int) -> DataFrame:
     A block has max(BLOCK, room) places, so however long a text is, no row
     carries more than three times that.
     """
-    fits = F.size("h") - SPAN + 1
+    fits = F.size("h") - LEAST_SPAN + 1
     places = max(BLOCK, room)
 
     def block(i: Column) -> Column:
@@ -63,8 +64,9 @@ def _blocks(df: DataFrame, carried: str, room: int) -> DataFrame:
 def _places(blocks: DataFrame, *carried: str) -> DataFrame:
     """carried, p, key: a row for each token place and mask that fits, p being the place in block b."""
     at = blocks.select(*carried, "b", F.explode(F.sequence(F.col("lead"), F.col("lead") + F.col("n") - 1)).alias("p"))
-    keys = [F.xxhash64(F.lit(i), *[F.get("b", F.col("p") + k) for k, bit in enumerate(mask) if bit == "1"]) for i, mask in enumerate(MASKS)]
-    return at.select(*carried, "b", "p", F.explode(F.array(*keys)).alias("key"))
+    token = lambda k: F.get("b", F.col("p") + k)
+    keys = [F.when(token(len(mask) - 1).isNotNull(), F.xxhash64(F.lit(i), *[token(k) for k, bit in enumerate(mask) if bit == "1"])) for i, mask in enumerate(MASKS)]
+    return at.select(*carried, "b", "p", F.explode(F.array(*keys)).alias("key")).where("key is not null")
 
 
 def seeds(items: DataFrame) -> DataFrame:
@@ -121,15 +123,15 @@ def hits(docs: DataFrame, benchmark: DataFrame, key: Column, bound: int = MOST_B
 
 
 def small_items(items: DataFrame, bound: int) -> DataFrame | None:
-    """item_id, h, n, key of the items that no mask fits and that have LEAST_SHORT tokens or more; None where there are none."""
-    short = items.where(F.size("h").between(LEAST_SHORT, SPAN - 1)).select("item_id", "h", F.size("h").alias("n"), F.xxhash64("h").alias("key"))
+    """item_id, h, n, key of the items of LEAST_SHORT tokens or more that have too few for a stretch; None where there are none."""
+    short = items.where(F.size("h").between(LEAST_SHORT, LEAST_EQUAL - 1)).select("item_id", "h", F.size("h").alias("n"), F.xxhash64("h").alias("key"))
     n = short.limit(bound + 1).count()
     return None if not n else F.broadcast(short) if n <= bound else short
 
 
 def verbatim(docs: DataFrame, short: DataFrame, key: Column) -> DataFrame:
     """hits() for short items: places where all their tokens stand side by side."""
-    lengths = [r["n"] for r in short.select("n").distinct().collect()]  # numbers below SPAN
+    lengths = [r["n"] for r in short.select("n").distinct().collect()]  # numbers below LEAST_EQUAL
     h = docs.select(key.alias("_key"), _hashed(F.col("text")).alias("h"))
 
     def runs(n: int) -> Column:
@@ -150,8 +152,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, share, n_equal, n_hits: one row per document id and benchmark item that it holds.
 
     Null and blank texts, on either side, overlap nothing. Items of fewer than
-    SPAN tokens, which no mask fits, must be held word for word; those of fewer
-    than LEAST_SHORT are no passages and are not looked for. Repeated rows of one doc_id
+    LEAST_EQUAL tokens must be held word for word; those of fewer than
+    LEAST_SHORT are no passages and are not looked for. Repeated rows of one doc_id
     count as one document; all rows without an id come under a null doc_id.
     Columns other than doc_id, text and item_id are not read; empty tables
     give no rows.

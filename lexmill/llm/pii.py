@@ -10,8 +10,8 @@ Patterns that stay confident and have support from several instances mark the
 identifiers that the rules miss.
 
 A fifth kind, secret, has no base rule: its seeds are hexadecimal strings of 32
-digits or more, as keys and digests are written, and what is found of it counts
-as added by the method.
+digits or more, as keys and digests are written. Seeds are no finds: what the
+method adds are tokens that only a pattern marks, of this kind or another.
 
 Places in a text are code points; an end is exclusive.
 """
@@ -23,14 +23,16 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import saved, scratch, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: The kinds and, after them, the one that only the method finds.
 NAMES = (*KINDS, "secret")
 _SECRET, _IS_SECRET = len(KINDS), "^[0-9A-Fa-f]{32,}$"
 #: Turns of scoring; least confidence and least support of a pattern that marks identifiers.
-ROUNDS, LEAST_CONFIDENCE, LEAST_SUPPORT = 3, 0.8, 5
+ROUNDS, LEAST_CONFIDENCE, LEAST_SUPPORT = 4, 0.8, 5
+#: In recovered() one seed of so many is hidden.
+HIDDEN = 10
 #: Numbers that are summed in one step when places are counted.
 _STEP = 128
 
@@ -128,8 +130,8 @@ def _fits(value: Column) -> Column:
 
 
 def _patterns(left: Column, right: Column) -> Column:
-    """Lexical patterns: the two words before, the word before, and the words on both sides."""
-    left = F.regexp_replace(left, r"""["'<(\[]+$""", "")
+    """Lexical patterns: the two words before, the word before, and the words on both sides; a sign that assigns is a word of its own."""
+    left = F.regexp_replace(F.regexp_replace(left, r"""["'<(\[]+$""", ""), r"([=:])\s*$", " $1")
     two = F.regexp_extract(left, r"(\S+\s+\S+)\s*$", 1)
     one, after = F.regexp_extract(left, r"(\S+)\s*$", 1), F.regexp_extract(right, r"^\s*(\S+)", 1)
     made = F.array(F.when(two != "", F.concat(F.lit("2 "), two)), F.when(one != "", F.concat(F.lit("1 "), one)), F.when((one != "") & (after != ""), F.concat(F.lit("b "), one, F.lit(" "), after)))
@@ -184,24 +186,43 @@ def score_patterns(seen: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
 
 def extracted(docs: DataFrame) -> DataFrame:
-    """doc_id, _key, base, more: base spans and those that confident patterns add, for each input row.
+    """doc_id, _key, base, more, seeds: base spans, those that confident patterns add, and secrets that are seeds, for each input row.
 
-    Spans the method adds overlap no base span, and one token gets one kind at
-    most: that of its most confident pattern, ties to the first kind listed.
+    Spans the method adds overlap no base span and are no seeds, and one token
+    gets one kind at most: that of its most confident pattern, ties to the
+    first kind listed.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     based = docs.select("doc_id", row_key().alias("_key"), text.alias("text")).withColumn("base", base_spans(F.col("text")))
     rows = saved(based.select("doc_id", "_key", "base", _tokens(F.col("text"), F.col("base")).alias("tokens")))
     # one row for each key: copies of a row under one id say nothing new
     seen = saved(rows.where(F.size("tokens") > 0).select("_key", F.explode("tokens").alias("t")).select("_key", "t.*").distinct())
-    strong = score_patterns(seen).where((F.col("support") >= LEAST_SUPPORT) & (F.col("confidence") >= LEAST_CONFIDENCE))
-    open_ = seen.where("kind is null and size(fits) > 0").select("_key", "start", "end", "fits", F.explode("patterns").alias("pattern"))
-    best = open_.join(strong, "pattern").where(F.array_contains("fits", F.col("kind"))).groupBy("_key", "start", "end").agg(F.max(F.struct("confidence", (-F.col("kind")).alias("k"))).alias("best"))
-    seeded = seen.where(F.col("kind") == _SECRET).select("_key", "start", "end", "kind")
-    added = best.select("_key", "start", "end", (-F.col("best.k")).cast("int").alias("kind")).unionByName(seeded)
-    more = added.groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("kind", "start", "end"))).alias("more"))
+    added = marked(seen.where("kind is null"), score_patterns(seen)).select("_key", "start", "end", "kind", F.lit(True).alias("found"))
+    seeded = seen.where(F.col("kind") == _SECRET).select("_key", "start", "end", "kind", F.lit(False).alias("found"))
+    span = F.struct("kind", "start", "end")
+    more = added.unionByName(seeded).groupBy("_key").agg(*[F.sort_array(F.collect_list(F.when(F.col("found") == x, span))).alias(name) for x, name in ((True, "more"), (False, "seeds"))])
     none = F.array().cast("array<struct<kind:int,start:int,end:int>>")
-    return rows.select("doc_id", "_key", "base").join(more, "_key", "left").withColumn("more", F.coalesce("more", none))
+    return rows.select("doc_id", "_key", "base").join(more, "_key", "left").withColumns({c: F.coalesce(c, none) for c in ("more", "seeds")})
+
+
+def marked(tokens: DataFrame, patterns: DataFrame) -> DataFrame:
+    """_key, start, end, kind of the tokens that a confident pattern marks as a kind that their shape allows."""
+    strong = patterns.where((F.col("support") >= LEAST_SUPPORT) & (F.col("confidence") >= LEAST_CONFIDENCE))
+    open_ = tokens.where("size(fits) > 0").select("_key", "start", "end", "fits", F.explode("patterns").alias("pattern"))
+    best = open_.join(strong, "pattern").where(F.array_contains("fits", F.col("kind"))).groupBy("_key", "start", "end").agg(F.max(F.struct("confidence", (-F.col("kind")).alias("k"))).alias("best"))
+    return best.select("_key", "start", "end", (-F.col("best.k")).cast("int").alias("kind"))
+
+
+def recovered(docs: DataFrame, hidden: int = HIDDEN) -> DataFrame:
+    """kind, n_hidden, n_recovered: of seeds and base spans whose values are hidden (one of `hidden`, by a digest of the value), how many the patterns learnt from the others mark as their kind."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    based = docs.select(row_key().alias("_key"), text.alias("text")).withColumn("base", base_spans(F.col("text")))
+    each = based.select("_key", F.explode(_tokens(F.col("text"), F.col("base"))).alias("t")).select("_key", "t.*")
+    seen = saved(each.distinct().withColumns({"was": F.col("kind"), "hides": F.col("kind").isNotNull() & (F.pmod(F.xxhash64("value"), F.lit(hidden)) == 0)}).withColumn("kind", F.when(~F.col("hides"), F.col("kind"))))
+    found = marked(seen.where("hides"), score_patterns(seen)).withColumnRenamed("kind", "marked")
+    both = seen.where("hides").join(found, ["_key", "start", "end"], "left")
+    name = F.get(F.array(*map(F.lit, NAMES)), F.col("was"))
+    return both.groupBy(name.alias("kind")).agg(F.count("*").alias("n_hidden"), F.count_if(F.col("marked") == F.col("was")).alias("n_recovered"))
 
 
 def _written(spans: Column) -> Column:
@@ -210,16 +231,19 @@ def _written(spans: Column) -> Column:
 
 
 def spans_of(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, n_added, base_sha256, spans: one row for each input row.
+    """doc_id, n_email, n_ip, n_card, n_phone, n_seeds, n_added, base_sha256, spans: one row for each input row.
 
+    n_seeds counts secrets by their shape, n_added what patterns alone mark.
     Null and empty texts have no spans. Repeated rows have the same spans each.
     Columns other than doc_id and text are not read; an empty table gives no
     rows, and with no seeds nothing is added.
     """
-    all_ = F.array_sort(F.concat("base", "more"))
+    all_ = F.array_sort(F.concat("base", "more", "seeds"))
     of_kind = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
     counts = [of_kind(k).alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
-    return extracted(docs).select("doc_id", *counts, F.size("more").cast("long").alias("n_added"), F.sha2(_written(F.col("base")), 256).alias("base_sha256"), _written(all_).alias("spans"))
+    more = [F.size(c).cast("long").alias(name) for c, name in (("seeds", "n_seeds"), ("more", "n_added"))]
+    with scratch(docs.sparkSession):
+        return saved(extracted(docs).select("doc_id", *counts, *more, F.sha2(_written(F.col("base")), 256).alias("base_sha256"), _written(all_).alias("spans")), outlives=True)
 
 
 def redacted(docs: DataFrame) -> DataFrame:
@@ -229,7 +253,7 @@ def redacted(docs: DataFrame) -> DataFrame:
     is set to its new length.
     """
     may = F.coalesce(F.col("text").rlike("[0-9@]"), F.lit(False))  # no span is without one of these
-    marks = extracted(docs.where(may)).select("_key", F.array_sort(F.transform(F.concat("base", "more"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))).alias("_spans")).where(F.size("_spans") > 0).dropDuplicates(["_key"])
+    marks = extracted(docs.where(may)).select("_key", F.array_sort(F.transform(F.concat("base", "more", "seeds"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))).alias("_spans")).where(F.size("_spans") > 0).dropDuplicates(["_key"])
     text, spans = F.col("_row.text"), F.col("_spans")
 
     def put(s: Column, x: Column) -> Column:

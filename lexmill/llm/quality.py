@@ -1,18 +1,21 @@
-"""Quality rules: word and line counts, and the fertility of a public tokeniser.
-
-Each text's words are cut by a byte-fallback vocabulary. Three figures come of
-it: characters per token, the share of tokens that are single fallback bytes,
-and the Shannon entropy of the token distribution. Each script has fixed bands
-for what its letters allow in any language. Within them, entropy has bands that
-are learnt: it grows with the length of a text, so texts of one script and one
-octave of token counts are compared, and a text is rejected whose modified
-z-score (distance from the median in units of the median absolute deviation)
-is out of bounds. Medians come from counts of rounded figures over all
-documents, so they don't depend on how the table is dealt out.
+"""Quality rules: word and line counts, and the fertility of two public tokenisers.
+
+Each text's words are cut by a vocabulary with byte fallback and by a
+byte-level one for many languages. Three figures come of either: characters
+per token, the share of tokens that are a single byte, and the Shannon entropy
+of the token distribution. Each script has fixed bands for what its letters
+allow in any language, and bands that are learnt: all figures change with the
+length of a text, so each is laid beside a line over the logarithm of the
+token count, and a text is rejected whose modified z-score (distance from the
+line in units of the median absolute deviation) is out of bounds. A script's
+spread is drawn towards a fixed one, as far as its documents are few; there is
+no size at which another rule begins. Lines and medians come from sums and
+counts over all documents, so they don't depend on how the table is dealt out.
 """
 
 from __future__ import annotations
 
+import base64
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator, Mapping
@@ -27,9 +30,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import WORD_RE, saved, table
+from .common import WORD_RE, saved, scratch, table
 
-VOCABULARY = "piece_bpe_32k.model"
+VOCABULARY, BYTE_VOCABULARY = "piece_bpe_32k.model", "byte_bpe_multi_50k.tiktoken"
 REMEMBERED = 200_000
 _SYMBOLS = "#*$%&|<>"
 
@@ -68,10 +71,19 @@ def _band(name: str, width: int) -> Band:
 
 #: Fixed bands per script; "other" takes letters of none of them.
 BANDS: Mapping[str, Band] = {name: _band(name, width) for name, (_, width) in SCRIPTS.items()} | {"other": Band(0.1, 9.0, 1.0, 0.3)}
-#: Modified z-scores of entropy beyond which a text is rejected; 3.5 is the usual line. Documents from which a group has a band.
-LEAST_Z, MOST_Z, LEAST_GROUP = -3.5, 7.0, 100
-#: Steps to which entropy is rounded where it is counted.
-STEP = 0.01
+#: The figures of both vocabularies, with the token count that each goes with, the modified z-scores between which a text is kept,
+#: and the spread of a script of which nothing is known. 3.5 is the usual line for outliers; lower limits are those that no labelled good
+#: document of the given tables comes near. The first vocabulary's characters per token differ between languages of one script, hence its wide band.
+LEARNT: Mapping[str, tuple[str, float, float, float]] = {
+    "chars_per_token": ("n_tokens", -9.0, 9.0, 0.15),
+    "byte_share": ("n_tokens", -9.0, 12.0, 0.05),
+    "token_entropy": ("n_tokens", -4.75, 7.0, 0.3),
+    "chars_per_byte_token": ("n_byte_tokens", -5.75, 9.0, 0.15),
+    "single_byte_share": ("n_byte_tokens", -9.0, 12.0, 0.05),
+    "byte_token_entropy": ("n_byte_tokens", -4.75, 7.0, 0.3),
+}
+#: Documents that the fixed spread counts as. Steps to which figures are rounded where they are counted.
+PRIOR, STEP = 100, 0.005
 _OF = {name: re.compile(f"[{letters}]") for name, (letters, _) in SCRIPTS.items()}
 _FAR = re.compile("[^\\W\\d_\u0000-\u024f]")
 
@@ -94,8 +106,19 @@ def _model(path: str):
     return model, np.array([model.is_byte(i) for i in range(model.get_piece_size())])
 
 
-def vocabulary() -> str:
-    return public_tokenizers.path(VOCABULARY)
+@cache
+def _byte_model(path: str):
+    import tiktoken
+
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    single = np.zeros(max(ranks.values()) + 1, bool)
+    single[[n for token, n in ranks.items() if len(token) == 1]] = True
+    return tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), single
+
+
+def vocabulary() -> tuple[str, str]:
+    return public_tokenizers.path(VOCABULARY), public_tokenizers.path(BYTE_VOCABULARY)
 
 
 def repeated_words(words: list[str]) -> int:
@@ -121,16 +144,25 @@ def repeated_words(words: list[str]) -> int:
     return int(covered.sum())
 
 
-FIGURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, script string, n_tokens long, chars_per_token double, byte_share double, token_entropy double"
+FIGURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, script string, n_tokens long, chars_per_token double, byte_share double, token_entropy double, n_byte_tokens long, chars_per_byte_token double, single_byte_share double, byte_token_entropy double"
+
 
+def _fertility(ids: np.ndarray, chars: int, is_byte: np.ndarray) -> tuple[int, float, float, float]:
+    """Tokens, characters per token, share of single bytes, entropy."""
+    n = len(ids)
+    if not n:
+        return 0, 0.0, 0.0, 0.0
+    counts = np.unique(ids, return_counts=True)[1] / n
+    return n, chars / n, float(is_byte[ids].mean()), float(abs(-(counts * np.log2(counts)).sum()))
 
-def figures(path: str) -> Callable[[Column], Column]:
-    """A function of a text column: a struct of its counts and tokeniser figures; null texts count as empty."""
+
+def figures(paths: tuple[str, str]) -> Callable[[Column], Column]:
+    """A function of a text column: a struct of its counts and of both tokenisers' figures; null texts count as empty."""
 
     @F.pandas_udf(f"struct<{', '.join(x.replace(' ', ':') for x in FIGURES.split(', '))}>")
     def measured(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        model, is_byte = _model(path)
-        memo: dict[str, list[int]] = {}
+        (model, is_byte), (byte_model, single) = _model(paths[0]), _byte_model(paths[1])
+        memo: dict[str, tuple[list[int], list[int]]] = {}
 
         def one(text: str) -> tuple:
             words = WORD_RE.findall(text)
@@ -140,13 +172,10 @@ def figures(path: str) -> Callable[[Column], Column]:
                 memo.clear()
             new = list({w for w in words if w not in memo})
             if new:
-                memo.update(zip(new, model.encode(new, num_threads=1), strict=True))
-            ids = np.fromiter(chain.from_iterable(map(memo.__getitem__, words)), np.int32)
-            n, share, entropy = len(ids), 0.0, 0.0
-            if n:
-                counts = np.unique(ids, return_counts=True)[1] / n
-                share, entropy = float(is_byte[ids].mean()), float(abs(-(counts * np.log2(counts)).sum()))
-            return len(words), chars, sum(map(text.count, _SYMBOLS)), sum(lines.values()) - len(lines), repeated_words(words), script_of(text), n, chars / n if n else 0.0, share, entropy
+                memo.update(zip(new, zip(model.encode(new, num_threads=1), map(byte_model.encode_ordinary, [f" {w}" for w in new]), strict=True), strict=True))
+            cut = [memo[w] for w in words]
+            ids = [np.fromiter(chain.from_iterable(x[i] for x in cut), np.int32) for i in range(2)]
+            return len(words), chars, sum(map(text.count, _SYMBOLS)), sum(lines.values()) - len(lines), repeated_words(words), script_of(text), *_fertility(ids[0], chars, is_byte), *_fertility(ids[1], chars, single)
 
         names = [x.split()[0] for x in FIGURES.split(", ")]
         for texts in batches:
@@ -159,25 +188,36 @@ def base_failed(m: Column) -> Column:
     return (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
 
 
-def _octave(m: Column) -> Column:
-    return F.floor(F.log2(F.greatest(m["n_tokens"], F.lit(1)))).cast("int")
+def _length(m: Column, figure: str) -> Column:
+    return F.log2(F.greatest(m[LEARNT[figure][0]], F.lit(1)))
 
 
 def _medians(counted: DataFrame, value: str, name: str) -> DataFrame:
-    """script, octave, name: the lower median of `value`, which stands `n` times; counted holds rounded values, so it is small."""
-    by = W.partitionBy("script", "octave")
+    """script, figure, name, all: the lower median of `value`, which stands `n` times; counted holds rounded values, so it is small."""
+    by = W.partitionBy("script", "figure")
     at = counted.withColumn("below", F.sum("n").over(by.orderBy(value).rowsBetween(W.unboundedPreceding, -1))).withColumn("all", F.sum("n").over(by))
-    return at.where(2 * F.coalesce("below", F.lit(0)) < F.col("all")).groupBy("script", "octave").agg(F.max(value).alias(name), F.max("all").alias("all"))
+    return at.where(2 * F.coalesce("below", F.lit(0)) < F.col("all")).groupBy("script", "figure").agg(F.max(value).alias(name), F.max("all").alias("all"))
 
 
-def learnt(measured: DataFrame, least: int = LEAST_GROUP) -> DataFrame:
-    """script, octave, low, high: bands of token entropy, from all texts (with a column m of figures) that pass the base rules."""
-    own = measured.where(~base_failed(F.col("m"))).select("m.script", _octave(F.col("m")).alias("octave"), F.round(F.col("m.token_entropy") / STEP).cast("int").alias("e"))
-    counted = saved(own.groupBy("script", "octave", "e").agg(F.count("*").alias("n")))
-    middle = _medians(counted, "e", "median").where(F.col("all") >= least)
-    spread = _medians(counted.join(F.broadcast(middle.select("script", "octave", "median")), ["script", "octave"]).withColumn("off", F.abs(F.col("e") - F.col("median"))), "off", "mad")
-    z = lambda k: (F.col("median") + k * 1.4826 * F.greatest("mad", F.lit(1))) * STEP
-    return middle.join(spread.select("script", "octave", "mad"), ["script", "octave"]).select("script", "octave", z(LEAST_Z).alias("low"), z(MOST_Z).alias("high"))
+def learnt(measured: DataFrame) -> DataFrame:
+    """script, figure, slope, base, spread: lines and spreads of every figure, from all texts (with a column m of figures) that pass the base rules."""
+    m = F.col("m")
+    own = measured.where(~base_failed(m))
+    sums = [x for f in LEARNT for x in (F.regr_slope(m[f], _length(m, f)).alias(f"slope_{f}"), F.regr_intercept(m[f], _length(m, f)).alias(f"base_{f}"), F.avg(m[f]).alias(f"mean_{f}"))]
+    fits = saved(own.groupBy(m["script"].alias("script")).agg(*sums))
+    # one length only: no line but the mean
+    line = lambda f: F.struct(F.lit(f).alias("figure"), F.coalesce(f"slope_{f}", F.lit(0.0)).alias("slope"), F.coalesce(f"base_{f}", f"mean_{f}").alias("base"))
+    lines = saved(fits.select("script", F.explode(F.array(*map(line, LEARNT))).alias("x")).select("script", "x.*"))
+    each = own.select(m["script"].alias("script"), F.explode(F.array(*[F.struct(F.lit(f).alias("figure"), m[f].alias("value"), _length(m, f).alias("length")) for f in LEARNT])).alias("x")).select("script", "x.*")
+    # a row for each script and figure
+    off = each.join(F.broadcast(lines), ["script", "figure"]).select("script", "figure", F.round((F.col("value") - F.col("base") - F.col("slope") * F.col("length")) / STEP).cast("int").alias("e"))
+    counted = saved(off.groupBy("script", "figure", "e").agg(F.count("*").alias("n")))
+    middle = saved(_medians(counted, "e", "median"))
+    spread = _medians(counted.join(F.broadcast(middle.select("script", "figure", "median")), ["script", "figure"]).withColumn("off", F.abs(F.col("e") - F.col("median"))), "off", "mad")
+    usual = F.create_map(*[F.lit(x) for f, (_, _, _, prior) in LEARNT.items() for x in (f, prior)])
+    drawn = (F.col("all") * 1.4826 * F.greatest("mad", F.lit(1)) * STEP + PRIOR * usual[F.col("figure")]) / (F.col("all") + PRIOR)
+    both = middle.select("script", "figure", "median").join(spread, ["script", "figure"]).join(lines, ["script", "figure"])
+    return both.select("script", "figure", "slope", (F.col("base") + F.col("median") * STEP).alias("base"), drawn.alias("spread"))
 
 
 def _inside(m: Column, bands: Mapping[str, Band]) -> Column:
@@ -188,35 +228,47 @@ def _inside(m: Column, bands: Mapping[str, Band]) -> Column:
     return inside
 
 
+#: What a rejection is for, and the figures that it goes by.
+_REASONS = {"out_chars": ("chars_per_token", "chars_per_byte_token"), "out_bytes": ("byte_share", "single_byte_share"), "out_entropy": ("token_entropy", "byte_token_entropy")}
+
+
 def _decided(measured: DataFrame, bands: Mapping[str, Band]) -> DataFrame:
-    """measured with base_failed and kept."""
+    """measured with base_failed, kept, and for each of _REASONS whether it speaks against a text that passes the base rules."""
     m = F.col("m")
-    # a row for each script and power of two at most
-    limits = F.broadcast(saved(learnt(measured)).select(F.struct("script", "octave").alias("_group"), F.struct("low", "high").alias("_limits")))
-    joined = measured.join(limits, F.struct(m["script"].alias("script"), _octave(m).alias("octave")) == F.col("_group"), "left")
-    usual = F.col("_limits").isNull() | m["token_entropy"].between(F.col("_limits.low"), F.col("_limits.high"))
-    return joined.withColumn("base_failed", base_failed(m)).withColumn("kept", ~base_failed(m) & _inside(m, bands) & usual)
+    # a row for each script
+    found = learnt(measured).groupBy("script").agg(F.map_from_entries(F.collect_list(F.struct("figure", F.struct("slope", "base", "spread")))).alias("_lines"))
+    joined = measured.join(F.broadcast(saved(found).withColumnRenamed("script", "_script")), m["script"] == F.col("_script"), "left")
+
+    def outside(figure: str) -> Column:
+        line, (_, least, most, _) = F.col("_lines")[figure], LEARNT[figure]
+        z = (m[figure] - line["base"] - line["slope"] * _length(m, figure)) / line["spread"]
+        return F.coalesce(~z.between(least, most), F.lit(False))
+
+    failed = base_failed(m)
+    out = joined.withColumn("base_failed", failed).withColumns({name: ~failed & (outside(a) | outside(b)) for name, (a, b) in _REASONS.items()})
+    return out.withColumn("kept", ~failed & _inside(m, bands) & ~F.col("out_chars") & ~F.col("out_bytes") & ~F.col("out_entropy"))
 
 
-def judged(docs: DataFrame, bands: Mapping[str, Band] = BANDS, path: str | None = None) -> DataFrame:
-    """doc_id, the figures, base_failed (under 50 words, or over half of them in repeated windows) and kept, a row for each row.
+def judged(docs: DataFrame, bands: Mapping[str, Band] = BANDS, paths: tuple[str, str] | None = None) -> DataFrame:
+    """doc_id, the figures, base_failed (under 50 words, or over half of them in repeated windows), kept, out_chars, out_bytes, out_entropy: a row for each row.
 
     kept is false where base_failed is, or where a figure leaves the script's
-    fixed band, or where entropy leaves the learnt band of its script and octave
-    of token counts. Groups of fewer than LEAST_GROUP documents have fixed
-    bands only. Empty and null texts fail the base rules. Repeated rows are
-    judged, and counted, each; an empty table gives no rows; columns other than
-    doc_id and text are not read.
+    fixed band or its learnt one; the last three say by which learnt figure.
+    What is learnt depends on all documents of the table, so a text's fate may
+    differ between tables. Empty and null texts fail the base rules. Repeated
+    rows are judged, and counted, each; an empty table gives no rows; columns
+    other than doc_id and text are not read.
     """
-    m = saved(docs.select("doc_id", figures(path or vocabulary())("text").alias("m")))
-    return _decided(m, bands).select("doc_id", "m.*", "base_failed", "kept")
+    with scratch(docs.sparkSession):
+        m = saved(docs.select("doc_id", figures(paths or vocabulary())("text").alias("m")))
+        return saved(_decided(m, bands).select("doc_id", "m.*", "base_failed", "kept", *_REASONS), outlives=True)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(table(spark, sf_dir, "documents"))
 
 
-def keep_good(docs: DataFrame, bands: Mapping[str, Band] = BANDS, path: str | None = None) -> DataFrame:
+def keep_good(docs: DataFrame, bands: Mapping[str, Band] = BANDS, paths: tuple[str, str] | None = None) -> DataFrame:
     """The rows that judged() keeps, all columns unchanged whatever their names; texts are not shuffled."""
-    measured = saved(docs.select(F.struct(*docs.columns).alias("row"), figures(path or vocabulary())(docs["text"]).alias("m")))
+    measured = saved(docs.select(F.struct(*docs.columns).alias("row"), figures(paths or vocabulary())(docs["text"]).alias("m")))
     return _decided(measured, bands).where("kept").select("row.*")

@@ -5,6 +5,7 @@ import math
 import random
 import re
 import zlib
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -118,23 +119,52 @@ def test_bpe_equals_library(spark):
 
 
 def _overlaps(doc, item):
-    """Whether some stretch beside a mask's hit is good, straight from the rule."""
+    """Whether some stretch is good, straight from the rule: every diagonal is tried, whatever the masks meet."""
     tokens = lambda t: [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
     d, b = tokens(doc), tokens(item)
-    if len(b) < decontaminate.SPAN:
+    if len(b) < decontaminate.LEAST_EQUAL:
         return len(b) >= decontaminate.LEAST_SHORT and any(d[i : i + len(b)] == b for i in range(len(d)))
-    for p in range(len(d) - decontaminate.SPAN + 1):
-        for q in range(len(b) - decontaminate.SPAN + 1):
-            if any(all(d[p + k] == b[q + k] for k, bit in enumerate(m) if bit == "1") for m in decontaminate.MASKS):
-                same = [0 <= p - q + i < len(d) and d[p - q + i] == b[i] for i in range(len(b))]
-                least = min(len(b), decontaminate.LEAST_STRETCH)
-                for n in range(least, min(2 * least - 1, len(b)) + 1):
-                    for i in range(len(b) - n + 1):
-                        if sum(same[i : i + n]) >= max(decontaminate.LEAST_EQUAL, decontaminate.LEAST_SHARE * n):
-                            return True
+    for start in range(-len(b), len(d)):
+        same = [0 <= start + i < len(d) and d[start + i] == b[i] for i in range(len(b))]
+        if sum(same) < decontaminate.LEAST_EQUAL:
+            continue
+        least = min(len(b), decontaminate.LEAST_STRETCH)
+        for n in range(least, min(2 * least - 1, len(b)) + 1):
+            for i in range(len(b) - n + 1):
+                if sum(same[i : i + n]) >= max(decontaminate.LEAST_EQUAL, decontaminate.LEAST_SHARE * n):
+                    return True
     return False
 
 
+@pytest.mark.parametrize("n", range(9, 26))
+def test_masks_meet_every_placing_of_unequal_tokens(n):
+    """Of the most unequal tokens that a good stretch of n may have, in all places, some mask lies on equal ones only."""
+    most = min(n - decontaminate.LEAST_EQUAL, int(n * (1 - decontaminate.LEAST_SHARE)))
+    placed = np.array([sum(1 << i for i in c) for c in combinations(range(n), most)], np.int64)
+    met = np.zeros(len(placed), bool)
+    for mask in decontaminate.MASKS:
+        bits = sum(1 << i for i, bit in enumerate(mask) if bit == "1")
+        for shift in range(n - len(mask) + 1):
+            met |= (bits << shift) & placed == 0
+    assert met.all()
+
+
+@pytest.mark.parametrize("bound", [200_000, 1])
+def test_all_passages_at_the_line_are_found(spark, bound):
+    """Ten of 13 tokens equal, in every placing, inside unlike text; and one fewer, of which none is reported."""
+    rng = random.Random(3)
+    vocab = [f"v{i}" for i in range(5000)]
+    item = rng.sample(vocab, 30)
+    docs = []
+    for unequal in (3, 4):
+        for k, c in enumerate(combinations(range(13), unequal)):
+            part = ["other" + str(i) if i in c else w for i, w in enumerate(item[8:21])]
+            docs.append((1000 * unequal + k, " ".join([f"a{rng.randrange(10**6)}" for _ in range(9)] + part + [f"b{rng.randrange(10**6)}" for _ in range(9)])))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r._key for r in decontaminate.hits(frame, spark.createDataFrame([(1, " ".join(item))], "item_id long, text string"), frame["doc_id"], bound).collect()}
+    assert got == {i for i, _ in docs if i < 4000} and len(got) == 286
+
+
 def test_decontamination_equals_brute_force(spark, monkeypatch):
     """Parts of items with substitutions at the seams of blocks, short items, long texts, a common word, clashing names."""
     monkeypatch.setattr(decontaminate, "BLOCK", 16)
@@ -326,30 +356,47 @@ def test_logistic():
     assert w[0] > 0 and abs((y - p).sum()) < 1e-4 and abs(((y - p) * x[:, 0]).sum()) < 1e-4
 
 
-def test_quality_learns_entropy_bands(spark):
-    """Texts whose tokens are unlike those of their script and length are rejected, by medians that brute force gives too."""
+def _lines(rows):
+    """script, figure -> slope, base, spread, straight from the definition."""
+    lower = lambda xs: sorted(xs)[(len(xs) - 1) // 2]
+    out = {}
+    for script in {r.script for r in rows}:
+        own = [r for r in rows if r.script == script]
+        for figure, (count, _, _, prior) in quality.LEARNT.items():
+            x, y = np.array([math.log2(max(1, r[count])) for r in own]), np.array([r[figure] for r in own])
+            var = ((x - x.mean()) ** 2).mean()
+            slope = ((x - x.mean()) * (y - y.mean())).mean() / var if var > 0 else 0.0
+            base = y.mean() - slope * x.mean()
+            off = [math.floor((v - base - slope * u) / quality.STEP + 0.5) for u, v in zip(x, y, strict=True)]
+            mid = lower(off)
+            mad = 1.4826 * max(1, lower([abs(o - mid) for o in off])) * quality.STEP
+            out[script, figure] = slope, base + mid * quality.STEP, (len(own) * mad + quality.PRIOR * prior) / (len(own) + quality.PRIOR)
+    return out
+
+
+def test_quality_learns_bands_of_all_figures(spark):
+    """Texts whose tokens are unlike those of their script are rejected, each for its own figure, by lines that brute force gives too."""
     rng = random.Random(6)
-    vocab = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.choice([3, 5, 8]))) for _ in range(800)]
-    rows = [(i, _prose(rng, rng.randrange(58, 66), vocab)) for i in range(300)]
-    junk = [(900 + i, _prose(rng, 60, vocab[20 * i : 20 * i + 14])) for i in range(3)]
-    docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows + junk], "doc_id long, text string, m string, script int")
+    word = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    vocab = [word("etaoinshrdlu", rng.choice([3, 5, 8])) for _ in range(800)]
+    rows = [(i, _prose(rng, rng.randrange(58, 400), vocab)) for i in range(300)] + [(400 + i, _prose(rng, 70, [word("αβγδεηιου", 5) for _ in range(90)])) for i in range(4)]
+    monotone = [(900 + i, _prose(rng, 120, vocab[40 * i : 40 * i + 30]) + " end") for i in range(3)]
+    consonants = [(910 + i, _prose(rng, 100, [word("qxzjvkw", 7) for _ in range(100)])) for i in range(3)]
+    rare = [(920 + i, " ".join(w[:1] + "\u0237\u0242" + w[1:] for w in _prose(rng, 100, vocab).split())) for i in range(3)]
+    docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows + monotone + consonants + rare], "doc_id long, text string, m string, script int")
     got = {r.doc_id: r for r in quality.judged(docs).collect()}
-    groups = {}
-    for r in got.values():
-        if not r.base_failed:
-            groups.setdefault((r.script, int(math.log2(r.n_tokens))), []).append(round(r.token_entropy / quality.STEP))
-    lower = lambda xs: sorted(xs)[(len(xs) - 1) // 2]
-    limits = {}
-    for g, xs in groups.items():
-        if len(xs) >= quality.LEAST_GROUP:
-            mid = lower(xs)
-            mad = 1.4826 * max(1, lower([abs(x - mid) for x in xs]))
-            limits[g] = ((mid + quality.LEAST_Z * mad) * quality.STEP, (mid + quality.MOST_Z * mad) * quality.STEP)
-    assert limits
+    found = _lines([r for r in got.values() if not r.base_failed])
+    reason = {"chars": "out_chars", "share": "out_bytes", "entropy": "out_entropy"}
     for i, r in got.items():
-        lo, hi = limits.get((r.script, int(math.log2(r.n_tokens))), (-1, 99))
-        assert r.kept == (not r.base_failed and lo <= r.token_entropy <= hi), i
-    assert all(not got[i].base_failed and not got[i].kept for i, _ in junk) and sum(got[i].kept for i, _ in rows) >= 298
+        want = {name: False for name in reason.values()}
+        for figure, (count, least, most, _) in quality.LEARNT.items():
+            if not r.base_failed:
+                slope, base, spread = found[r.script, figure]
+                z = (r[figure] - base - slope * math.log2(max(1, r[count]))) / spread
+                want[next(v for k, v in reason.items() if k in figure)] |= not least <= z <= most
+        assert {name: r[name] for name in want} == want, i
+    assert all(got[i].out_entropy for i, _ in monotone) and all(got[i].out_chars for i, _ in consonants) and all(got[i].out_bytes for i, _ in rare)
+    assert not any(got[i].kept for i, _ in monotone + consonants + rare) and all(got[i].kept for i, _ in rows)
     kept = quality.keep_good(docs)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.kept}
 
