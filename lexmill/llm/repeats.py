@@ -7,9 +7,12 @@ tokens are a segment. Only anchors that are found twice or more matter; their
 distinct segments are dealt to shards by anchor, and a method of the caller's
 (automata, suffix arrays) decides inside a shard which windows repeat. Equal
 segments enter a shard once, with their number, so a passage that a third of
-all documents share is one entry; segments are equal if two independent 64-bit
-digests of them are. What the method finds for a segment then holds for every
-place where it stands.
+all documents share is one entry. What the method finds for a segment then
+holds for every place where it stands. Segments are equal if their bytes have
+one 128-bit BLAKE2 digest, for which no two different texts are known or can be
+made; the faster hashes of tokens and k-grams only say which task does what.
+
+A single text may have up to 2 ** 30 tokens.
 
 A common phrase among different words would be the anchor of very many
 distinct segments. So the commonest k-grams are counted first and come last in
@@ -39,7 +42,7 @@ from .common import partitions, saved, scratch
 #: Bytes of text that are hashed at once; bits for a place among their tokens; common k-grams that come last, at most.
 FLUSH, PLACE, COMMON = 1 << 21, 30, 10_000
 _NO_ID = -(1 << 63)
-_BASE, _OTHER = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+_BASE = 0x9E3779B97F4A7C15
 _BYTE = np.random.default_rng(2024).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -59,12 +62,12 @@ class _Powers:
         return self.held
 
 
-_FIRST, _SECOND = _Powers(_BASE), _Powers(_OTHER)
+_FIRST = _Powers(_BASE)
 
 
-def _sums(values: np.ndarray, powers: _Powers = _FIRST) -> np.ndarray:
-    """Running sums of values times powers, from 0; differences times a power of the inverse are digests of ranges."""
-    return np.concatenate((np.zeros(1, np.uint64), np.cumsum(values * powers.of(len(values) + 1)[0][: len(values)])))
+def _sums(values: np.ndarray) -> np.ndarray:
+    """Running sums of values times powers, from 0; differences times a power of the inverse are hashes of ranges."""
+    return np.concatenate((np.zeros(1, np.uint64), np.cumsum(values * _FIRST.of(len(values) + 1)[0][: len(values)])))
 
 
 def window_digests(values: np.ndarray, width: int) -> np.ndarray:
@@ -82,25 +85,32 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Tokens:
-    """Token hashes of several texts in a row; text i has tokens bounds[i] to bounds[i + 1]."""
+    """Token hashes of several texts in a row; text i has tokens bounds[i] to bounds[i + 1], token k is data[starts[k]:ends[k]]."""
 
     values: np.ndarray
     bounds: np.ndarray
+    data: bytes
+    starts: np.ndarray
+    ends: np.ndarray
 
 
 def byte_tokens(texts: list[bytes]) -> Tokens:
-    return Tokens(_BYTE[np.frombuffer(b"".join(texts), np.uint8)], np.cumsum([0, *map(len, texts)]))
+    data = b"".join(texts)
+    places = np.arange(len(data) + 1)
+    return Tokens(_BYTE[np.frombuffer(data, np.uint8)], np.cumsum([0, *map(len, texts)]), data, places[:-1], places[1:])
 
 
 def word_tokens(texts: list[bytes]) -> Tokens:
-    """Runs of bytes other than ASCII white space."""
-    flat = np.frombuffer(b" " + b" ".join(texts) + b" ", np.uint8)
+    """Runs of bytes other than ASCII white space; in data they are one space apart."""
+    texts = [b" ".join(t.split()) for t in texts]
+    data = b" " + b" ".join(texts) + b" "
+    flat = np.frombuffer(data, np.uint8)
     blank = _SPACE[flat]
     starts = np.nonzero(blank[:-1] & ~blank[1:])[0] + 1
     ends = np.nonzero(~blank[:-1] & blank[1:])[0] + 1
     sums, down = _sums(_BYTE[flat]), _FIRST.of(len(flat) + 1)[1]
     places = np.cumsum([1, *[len(t) + 1 for t in texts]])
-    return Tokens(_mix((sums[ends] - sums[starts]) * down[starts]), np.searchsorted(starts, places))
+    return Tokens(_mix((sums[ends] - sums[starts]) * down[starts]), np.searchsorted(starts, places), data, starts, ends)
 
 
 @dataclass(frozen=True)
@@ -132,15 +142,15 @@ class Windows:
         t = self.tokens(texts).values
         if len(t) < self.k:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        grams = self.grams(t)[0]
+        grams = self.grams(t)
         part = min(1.0, 12 / (self.width - self.k + 1))
         found, n = np.unique(grams[grams <= np.uint64(int(part * ((1 << 64) - 1025)))], return_counts=True)
         return found[n >= least].view(np.int64), n[n >= least]
 
-    def grams(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """k-gram hashes, and the running sums they come from."""
+    def grams(self, values: np.ndarray) -> np.ndarray:
+        """k-gram hashes."""
         sums, down = _sums(values), _FIRST.of(len(values) + 1)[1]
-        return _mix((sums[self.k :] - sums[: -self.k]) * down[: len(values) - self.k + 1]), sums
+        return _mix((sums[self.k :] - sums[: -self.k]) * down[: len(values) - self.k + 1])
 
     def runs(self, texts: list[bytes]) -> tuple[np.ndarray, ...]:
         """(text, at, n, rel, anchor, segment, check) of every run of windows with one anchor, which begins `rel` tokens after `at`."""
@@ -151,8 +161,7 @@ class Windows:
             return (none,) * 7
         if size >= 1 << PLACE:
             raise ValueError("a text has too many tokens")
-        grams, sums = self.grams(t.values)
-        down = _FIRST.of(size + 1)[1]
+        grams = self.grams(t.values)
         place = np.uint64((1 << PLACE) - 1)
         least = (self.order(grams) & ~place) | np.arange(len(grams), dtype=np.uint64)
         reach, wide = 1, self.width - self.k + 1
@@ -174,11 +183,11 @@ class Windows:
         at = np.nonzero(first)[0]
         n = np.nonzero(last)[0] - at + 1
         end = at + n + self.width - 1
-        segment = _mix((sums[end] - sums[at]) * down[at] + n.astype(np.uint64))
-        other = _sums(t.values, _SECOND)
-        check = _mix((other[end] - other[at]) * _SECOND.of(size + 1)[1][at])
+        data = memoryview(t.data)
+        named = b"".join([blake2b(data[a:b], digest_size=16).digest() for a, b in zip(t.starts[at].tolist(), t.ends[end - 1].tolist(), strict=True)])
+        segment, check = np.frombuffer(named, np.int64).reshape(-1, 2).T
         text = np.searchsorted(t.bounds, at, side="right") - 1
-        return text, at - t.bounds[text], n, anchor[at] - at, grams[anchor[at]].view(np.int64), segment.view(np.int64), check.view(np.int64)
+        return text, at - t.bounds[text], n, anchor[at] - at, grams[anchor[at]].view(np.int64), segment, check
 
 
 def doc_key() -> tuple[Column, Column]:
@@ -387,8 +396,10 @@ def covered(docs: DataFrame, windows: Windows, cut: Cut, method: Method, per_sha
         # written tables as the small sides of joins, so that adaptive execution can split a hot anchor
         often = saved(flat.groupBy("anchor").agg(F.count("*").alias("places")).where("places > 1").select("anchor"))
         live = saved(flat.join(often, "anchor"))
-        first = live.groupBy(*KEY).agg(F.count("*").alias("number"), F.min(F.struct("d", "h", "at", "n", "rel")).alias("at"))
-        distinct = saved(first.select(*KEY, "number", "at.*"))
+        # any place will do; by a digest, so that no document gives more than its share of segments
+        drawn = F.struct(F.xxhash64("d", "h", "segment").alias("draw"), "d", "h", "at", "n", "rel")
+        first = live.groupBy(*KEY).agg(F.count("*").alias("number"), F.min(drawn).alias("at"))
+        distinct = saved(first.select(*KEY, "number", "at.*").drop("draw"))
         kinds = saved(distinct.groupBy("anchor").agg(F.count("*").alias("kinds"), F.max("number").alias("n_most")).where("kinds > 1 or n_most > 1").select("anchor", "kinds"))
         segments = saved(_sliced(distinct.join(kinds, "anchor"), docs, cut, windows.width))
         found = saved(_repeated(segments, method, windows, cut, per_shard, most, sizes))

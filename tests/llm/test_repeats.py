@@ -102,3 +102,29 @@ def test_recurring_passages_are_located():
     other = b" ".join(b"x%d" % i for i in range(40))
     assert [x.tolist() for x in phrases.locate([(1, 6, words), (1, 6, other), (3, 6, b" ".join(b"y%d" % i for i in range(40)))])] == [[False] * 6, [False] * 6, [True] * 6]
     assert [x.tolist() for x in phrases.locate([(1, 6, words), (1, 6, words.replace(b"w39", b"z"))])] == [[True] * 5 + [False]] * 2
+
+
+def _morse(n, flip=False):
+    """The Thue-Morse word of n letters, on which polynomial hashes modulo a power of two agree with its complement whatever their base."""
+    return "".join("ab"[(i.bit_count() + flip) % 2] for i in range(n))
+
+
+@pytest.mark.parametrize("size", [64, 1024, 4096])
+def test_words_with_equal_polynomial_hashes_are_not_equal(spark, size):
+    words = [f"w{i}" for i in range(34)]
+    docs = spark.createDataFrame([(1, " ".join([*words, _morse(size)])), (2, " ".join([*words, _morse(size, True)]))], "doc_id long, text string")
+    assert [r.n_removed for r in phrases.without_repeats(docs).collect()] == [0, 0]
+    tokens = repeats.word_tokens([_morse(size).encode(), _morse(size, True).encode()])
+    assert size < 1024 or tokens.values[0] == tokens.values[1]  # routing may still take them for one
+
+
+def test_long_structured_words_equal_brute_force(spark):
+    rng = random.Random(5)
+    pool = [_morse(n, f) for n in (16, 512, 1024) for f in (False, True)] + ["ab" * 300, "ba" * 300, "x" * 999, "y"]
+    rows = [" ".join(rng.choice(pool) for _ in range(rng.choice([35, 36, 60]))) for _ in range(12)]
+    rows += [" ".join([*rows[0].split()[:34], _morse(1024, "b" in rows[0].split()[34][:1])]), rows[3]]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    for run, width, words in ((phrases.without_repeats, 35, True), (suffixes.without_repeats, 400, False)):
+        got = {r.doc_id: r for r in run(docs).collect()}
+        for i, (_, removed_, spans, left) in enumerate(brute(rows, width, words)):
+            assert (got[i].n_removed, got[i].kept_sha256) == (removed_, left) and (words or got[i].n_spans == spans)
