@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
 import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
+from contextvars import ContextVar
 from itertools import chain
+from typing import Any, NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,29 +37,59 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-#: Tables written by each scratch() that is open, innermost last.
-_open: list[list[str]] = []
+#: Paths written by each scratch() that is open around the caller, innermost last; every thread has its own.
+_open: ContextVar[tuple[list[Path], ...]] = ContextVar("scratch", default=())
+
+
+class Path(NamedTuple):
+    """A path in the shared folder, with what it takes to delete it."""
+
+    jvm: Any
+    conf: Any
+    name: str
+
+    def delete(self) -> None:
+        path = self.jvm.org.apache.hadoop.fs.Path(self.name)
+        path.getFileSystem(self.conf).delete(path, True)
+
+
+#: What was written outside any scratch(): results may read it as long as the process lives.
+_left: list[Path] = []
+
+
+@atexit.register
+def _leave() -> None:
+    for path in _left:
+        with suppress(Exception):  # the JVM may be gone
+            path.delete()
+
+
+def owned(spark: SparkSession, name: str, outlives: bool = False) -> str:
+    """The path `name`, which is deleted when the innermost scratch() ends, or the one around that if it `outlives` it; at the end of the process where there is none."""
+    open_ = _open.get()
+    (open_[-1 - outlives] if len(open_) > outlives else _left).append(Path(spark._jvm, spark._jsc.hadoopConfiguration(), name))
+    return name
 
 
 def saved(df: DataFrame, outlives: bool = False) -> DataFrame:
-    """The rows as a table in the shared folder; lineage ends there. It goes when the innermost scratch() ends, or the one around that if it `outlives` it."""
+    """The rows as a table in the shared folder, owned(); lineage ends there."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/lexmill-{uuid.uuid4().hex}"
+    path = owned(spark, f"{shared_dir(spark).rstrip('/')}/lexmill-{uuid.uuid4().hex}", outlives)
     df.write.parquet(path)
-    if len(_open) > outlives:
-        _open[-1 - outlives].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Deletes the tables saved inside once it ends; nothing lazy that reads them may be returned."""
-    _open.append([])
+    """Deletes what is saved inside once it ends; nothing lazy that reads it may be returned."""
+    own: list[Path] = []
+    token = _open.set((*_open.get(), own))
     try:
         yield
     finally:
-        for path in map(spark._jvm.org.apache.hadoop.fs.Path, _open.pop()):
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _open.reset(token)
+        for path in own:
+            path.delete()
 
 
 def partitions(spark: SparkSession) -> int:

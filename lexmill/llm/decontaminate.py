@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import saved, scratch, table
 
 #: Fixed masks: ones are the hashed positions. However the unequal tokens of a good stretch of 9 to 25 tokens are placed, one of the masks
 #: meets equal tokens only, somewhere in it (a test tries all placings).
@@ -158,13 +158,14 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Columns other than doc_id, text and item_id are not read; empty tables
     give no rows.
     """
-    found = hits(docs, benchmark, F.col("doc_id"))
-    return found.withColumnRenamed("_key", "doc_id")
+    with scratch(docs.sparkSession):
+        return saved(hits(docs, benchmark, F.col("doc_id")).withColumnRenamed("_key", "doc_id"), outlives=True)
 
 
 def without_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no benchmark item, all columns unchanged; rows without an id are judged by their own text."""
-    bad = hits(docs.select("doc_id", "text"), benchmark, _by_id()).select("_key").distinct()
+    with scratch(docs.sparkSession):
+        bad = saved(hits(docs.select("doc_id", "text"), benchmark, _by_id()).select("_key").distinct(), outlives=True)
     # the row travels as one column, so no name of its own can clash
     rows = docs.select(_by_id().alias("_key"), F.struct(*docs.columns).alias("_row"))
     return rows.join(bad, "_key", "left_anti").select("_row.*")

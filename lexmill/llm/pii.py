@@ -253,7 +253,10 @@ def redacted(docs: DataFrame) -> DataFrame:
     is set to its new length.
     """
     may = F.coalesce(F.col("text").rlike("[0-9@]"), F.lit(False))  # no span is without one of these
-    marks = extracted(docs.where(may)).select("_key", F.array_sort(F.transform(F.concat("base", "more", "seeds"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))).alias("_spans")).where(F.size("_spans") > 0).dropDuplicates(["_key"])
+    with scratch(docs.sparkSession):
+        all_ = F.transform(F.concat("base", "more", "seeds"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
+        marks = extracted(docs.where(may)).select("_key", F.array_sort(all_).alias("_spans")).where(F.size("_spans") > 0).dropDuplicates(["_key"])
+        marks = saved(marks, outlives=True)
     text, spans = F.col("_row.text"), F.col("_spans")
 
     def put(s: Column, x: Column) -> Column:

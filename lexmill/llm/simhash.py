@@ -147,11 +147,12 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, k: int = SHINGLE)
     unless its component has no other. Columns other than doc_id and text are
     not read. An empty table gives no rows.
     """
-    prints = saved(fingerprints(docs, k))
-    first = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = linked(first, distance).join(first, "fp")
-    tops = roots.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = roots.join(tops, "root").select("fp", "component_id")
+    with scratch(docs.sparkSession):
+        prints = saved(fingerprints(docs, k), outlives=True)
+        first = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
+        roots = linked(first, distance).join(first, "fp")
+        tops = roots.groupBy("root").agg(F.min("first").alias("component_id"))
+        named = saved(roots.join(tops, "root").select("fp", "component_id"), outlives=True)
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -167,9 +168,8 @@ def keep_one(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     the smallest values by row are kept (map columns: any row's).
     """
     who = [F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")]
-    prints = saved(mapped(docs.select("doc_id", "text", *who), "none boolean, id long, h long, fp long", lambda each: ((r["none"], r["id"], r["h"], fingerprint(r["text"])) for r in each)))
-    roots = linked(prints, distance)
-    kept = saved(prints.join(roots, "fp").groupBy("root").agg(F.min(F.struct("none", "id", "h")).alias("w")).select("w.*"))
+    with scratch(docs.sparkSession):
+        kept = saved(_kept(docs, who, distance), outlives=True)
     row = F.struct(*[docs[c] for c in docs.columns])
     ordered = all(not isinstance(f.dataType, (T.MapType, T.VariantType)) for f in docs.schema)
     own = docs.select(*who, row.alias("row")).join(kept, ["none", "id", "h"], "left_semi")
@@ -177,4 +177,11 @@ def keep_one(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return one.select("row.*")
 
 
+def _kept(docs: DataFrame, who: list[Column], distance: int) -> DataFrame:
+    """none, id, h of the first document of each component."""
+    prints = saved(mapped(docs.select("doc_id", "text", *who), "none boolean, id long, h long, fp long", lambda each: ((r["none"], r["id"], r["h"], fingerprint(r["text"])) for r in each)))
+    roots = linked(prints, distance)
+    return prints.join(roots, "fp").groupBy("root").agg(F.min(F.struct("none", "id", "h")).alias("w")).select("w.*")
+
+
 RESULT = T.StructType().add("doc_id", "long").add("fingerprint", "string").add("component_id", "long")

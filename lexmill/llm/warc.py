@@ -29,7 +29,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mapped, partitions, saved, scratch, shared_dir, table
+from .common import mapped, owned, partitions, saved, scratch, shared_dir, table
 
 #: Payloads shorter than this are never stored as revisits.
 LEAST_REVISIT = 100
@@ -241,6 +241,7 @@ def round_trip(pages: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:
     spark = pages.sparkSession
     folder = f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
     with scratch(spark):
+        owned(spark, folder, outlives=True)
         captures = saved(write_archives(pages.select("page_id", "url", "html"), folder))
         # one row for each index file, and there are as many as shuffle partitions at most
         shards = sorted((r.key, r.page_id, r.file) for r in saved(write_index(captures, folder, block_lines)).collect())
