@@ -23,3 +23,20 @@ LIST_ITEM = r"(?m)^\s*(?:\d+[.)]|[-*])\s+\S"
 # Elements whose content is not shown, and those that stand on lines of their own.
 HIDDEN = ("script", "style", "noscript", "template", "svg")
 BLOCKS = ("p", "div", "br", "li", "tr", "h1", "h2", "h3", "h4", "h5", "h6", "section", "article", "header", "footer", "pre", "blockquote", "table", "ul", "ol", "title")
+
+# Characters that are not seen: format characters (those that Unicode 14 and 15 added are named) and variation selectors.
+HIDDEN_CHARACTERS = r"\p{Cf}\x{0890}\x{0891}\x{13439}-\x{1343F}\x{FE00}-\x{FE0F}\x{E0100}-\x{E01EF}"
+# Shapes of text that instructs a model, by what they are called.
+INSTRUCTIONS = {
+    "asks to ignore instructions": r"(?is)\b(?:ignore|disregard|forget)\b.{0,40}\b(?:instructions|rules|prompt)",
+    "tries to change the role": r"(?i)\byou\s+are\s+now\b|\bnew\s+instructions\b",
+    "speaks as a role": r"(?im)^\s*(?:system|assistant|developer)\s*:",
+    "holds a chat control token": r"<\|[\w-]+\|>",
+}
+# What stands for a secret, and the digits of a digest that mark where a quote ends.
+MASK, END_MARK = "**********", 16
+# A reply that is one fenced block, and a citation: source/path:[p.page:]start[-end].
+FENCED = r"(?s)\A\s*```(?:json)?[ \t]*\n(.*?)\n?```\s*\z"
+CITATION = r"^([^/]+)/(.+?):(?:p\.(\d+):)?(\d+)(?:-(\d+))?$"
+# Characters of an expression and bits of a whole result, at most.
+MOST_EXPRESSION, MOST_BITS = 200, 4096

@@ -58,8 +58,8 @@ def chunked(docs: DataFrame, most_lines: int = 40, max_tokens: int = 256, count:
     return docs.select("doc_id", "text").mapInPandas(run, CHUNK)
 
 
-#: A header takes one part in so many of the budget at most.
-HEADER_SHARE = 4
+#: The share of the budget that a header takes at most.
+HEADER_SHARE = 0.25
 SECTION = "doc_id long, ordinal int, start_line int, end_line int, header string, body string, cut boolean"
 
 
@@ -74,12 +74,15 @@ class Block:
 
 
 def header_of(title: str, trail: Sequence[str], limit: int, count: Callable[[str], int]) -> str:
-    """The fullest of: title and trail, title and last heading, last heading, nothing, that has `limit` tokens or fewer; neighbours that are equal are named once."""
-    for parts in ([title, *trail], [title, *trail[-1:]], list(trail[-1:])):
-        said = " > ".join(k for k, _ in groupby(p for p in parts if p))
-        if count(said) <= limit:
-            return said
-    return ""
+    """Title and headings in a row, as many as `limit` tokens hold: headings between the title and the last go first, then the title, then all. Equal neighbours are named once."""
+    last = trail[-1:]
+    kept = ([title, *trail], [title, *last], [*last], [])
+
+    def said(parts: Sequence[str]) -> str:
+        full = [p for p in parts if p]
+        return " > ".join(p for p, before in zip(full, [None, *full], strict=False) if p != before)
+
+    return next(x for x in map(said, kept) if not x or count(x) <= limit)
 
 
 def outlined(lines: list[str], blocks: Sequence[Block], title: str, budget: int, count: Callable[[str], int]) -> Iterator[tuple[int, int, str, bool]]:
@@ -97,17 +100,22 @@ def outlined(lines: list[str], blocks: Sequence[Block], title: str, budget: int,
     def bare(start: int, end: int) -> list[int]:
         return [n for n in range(start, end + 1) if full[n - 1]]
 
+    size = lambda a, b: below[b] - below[a - 1]
+
+    def headed(block: Block) -> tuple[str, int]:
+        """A block's header and the tokens that are left beside it."""
+        head = header_of(title, block.trail, int(budget * HEADER_SHARE), count)
+        return head, budget - count(head)
+
     for _, unit in groupby(blocks, key=lambda b: b.unit):
         together = list(unit)
-        head = header_of(title, together[0].trail, budget // HEADER_SHARE, count)
+        head, room = headed(together[0])
         own = bare(together[0].start, together[-1].end)
-        if len(together) > 1 and own and below[own[-1]] - below[own[0] - 1] <= budget - count(head):
+        if len(together) > 1 and own and size(own[0], own[-1]) <= room:
             yield own[0], own[-1], head, False
             continue
         for block in together:
-            head = header_of(title, block.trail, budget // HEADER_SHARE, count)
-            room = budget - count(head)
-            size = lambda a, b: below[b] - below[a - 1]
+            head, room = headed(block)
             pieces: list[tuple[int, int]] = []
             for _, run in groupby(bare(block.start, block.end), key=lambda n, first=iter(range(1 << 60)): n - next(first)):
                 paragraph = list(run)

@@ -23,24 +23,30 @@ def hrefs(html: Column) -> Column:
 
 
 def resolved(links: DataFrame, documents: DataFrame) -> DataFrame:
-    """chunk, position, document: the best document for each link (source, chunk, position, kind, key, linker).
-
-    Documents are (source, document, path, kind). A note link with a path
-    means that note, else one whose path ends so; a bare one means a note of
-    that stem. A path link means that path; an import that module or a dotted
-    tail of one. Notes come first, then shorter paths, then paths in order. A
-    document is never its own target, and sources never mix. Each tier is an
-    equi-join on a tail of the path, so no tier compares all pairs.
+    """chunk, position, document, path: the best document for each link (source, chunk, position, kind, key, linker).
+
+    Documents are (source, document, path, kind). A wikilink or related link
+    with a folder in its key means the note of that path, else one below the
+    linker's folder whose path ends so, else any that does; a bare one a note
+    of that name below the linker's folder, else anywhere. A path link means
+    that path; an import that module, else one whose dotted name ends so. Of
+    several, notes come before other files (but for imports), then shorter
+    paths, then paths in order. A link whose best document is its own has
+    none; sources never mix. Every tail of a path is a key, so all is found by
+    equal joins and no two paths are compared.
     """
-    key = note_key(F.col("path"))
-    parts = F.split(key, "/")
-    tails = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.size(parts) - n + 1, n), "/"))
-    note = (F.col("kind") == "markdown").alias("note")
-    size = F.length("path").alias("size")
-    docs = documents.select("source", "document", F.col("path").alias("to"), note, size, key.alias("whole"), F.explode(tails).alias("key"))
-    l = links.select("source", "chunk", "position", "key", "linker", F.col("kind").alias("link"))  # noqa: E741
-    own = l.join(docs, ["source", "key"]).where("document <> linker")
-    exact = F.col("whole") == F.col("key")
-    fits = F.when(F.col("link") == "markdown", exact).otherwise(True)
-    order = W.partitionBy("chunk", "position").orderBy(F.desc(exact), F.desc("note"), "size", "to")
-    return own.where(fits).withColumn("r", F.row_number().over(order)).where("r = 1").select("chunk", "position", "document", F.col("to").alias("path"))
+    note, module = F.split(note_key(F.col("path")), "/"), F.split(F.regexp_replace("path", r"(/__init__)?\.py$", ""), "/")
+    tails = lambda parts, kind: F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.struct(F.lit(kind).alias("space"), F.array_join(F.slice(parts, F.size(parts) - n + 1, n), "/").alias("key"), (n == F.size(parts)).alias("whole")))
+    path = F.array(F.struct(F.lit("path").alias("space"), F.col("path").alias("key"), F.lit(True).alias("whole")))
+    keys = F.concat(tails(note, "note"), path, F.when(F.col("kind") == "python", tails(module, "module")).otherwise(F.slice(path, 1, 0)))
+    docs = documents.select("source", "document", F.col("path").alias("to"), (F.col("kind") == "markdown").alias("note"), F.explode(keys).alias("k")).select("source", "document", "to", "note", "k.*")
+    home = documents.select("source", F.col("document").alias("linker"), F.regexp_extract(note_key(F.col("path")), "^(.*/)?", 0).alias("folder"))
+    space = F.when(F.col("kind") == "markdown", "path").when(F.col("kind") == "import", "module").otherwise("note")
+    key = F.when(F.col("kind") == "import", F.replace("key", F.lit("."), F.lit("/"))).otherwise(F.col("key"))
+    asked = links.select("source", "chunk", "position", "linker", space.alias("space"), key.alias("key")).join(home, ["source", "linker"], "left")
+    own = asked.join(docs, ["source", "space", "key"])
+    exact = F.col("whole") & ((F.col("space") != "note") | F.col("key").contains("/"))
+    near = (F.col("space") == "note") & F.startswith(F.lower("to"), F.coalesce("folder", F.lit("")))
+    tier = F.when(exact, 0).when(near, 1).otherwise(2)
+    order = W.partitionBy("chunk", "position").orderBy(tier, F.desc(F.col("note") & (F.col("space") != "module")), F.length("to"), "to", "document")
+    return own.withColumn("r", F.row_number().over(order)).where("r = 1 and document <> linker").select("chunk", "position", "document", F.col("to").alias("path"))

@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..functions import fixed
 from ..functions import text as T
 from ..operators import catalogue, chunking, links
 from ..operators.search import index_pass as one_pass
 from ..sources import readers
+from .guarding import references_sql
 from .registry import query, table
 
 LINES = r"regexp_split_to_array(coalesce(text, ''), '\r\n|[\r\n]')"
@@ -39,17 +41,19 @@ def body_cuts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.length(T.body_cut(F.col("text"))).cast("long").alias("kept"))
 
 
-#: Rules that keep documents out, as SQL of their own: key formats, then values set to a name, quoted or bare.
-NAME = r"""(api_?key|secret|token|password|passwd)[a-z0-9_-]*["'']?[ \t]*[:=][ \t]*"""
-PLACE = r"""NOT (v[1] = '<' OR v[1:2] IN ('${', '{{', '%(') OR contains(lower(v), 'changeme') OR trim(lower(v), 'x*.-_') = '')"""
+def _quoted(pattern: str) -> str:
+    """A pattern as an SQL string; what looks ahead there is read along, which no match of these begins with."""
+    return "'" + pattern.replace("(?=", "(?:").replace("'", "''") + "'"
 
 
-@query(rf"""WITH v AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?i){NAME}("[^"\s]{{16,}}"|''[^''\s]{{16,}}'')', 2)) AS raw, true AS quoted FROM documents
-  UNION ALL SELECT doc_id, unnest(regexp_extract_all(text, '(?i){NAME}([^\s"''=<>()\[\]{{}},;#]{{16,}})([\s,;#]|$)', 2)), false FROM documents),
-named AS (SELECT doc_id, quoted, CASE WHEN quoted THEN raw[2:-2] ELSE raw END AS v FROM v)
-SELECT doc_id FROM named WHERE {PLACE} AND (quoted OR (regexp_matches(v, '[0-9]') AND regexp_matches(v, '[^0-9]') AND NOT regexp_matches(v, '[_.]')))
-UNION SELECT doc_id FROM documents WHERE regexp_matches(text, '-----BEGIN [A-Z ]*PRIVATE KEY-----') OR regexp_matches(text, '\bAKIA[0-9A-Z]{{16}}\b') OR regexp_matches(text, '\bgh[pousr]_[A-Za-z0-9]{{36}}')
-  OR regexp_matches(text, '\bsk-[A-Za-z0-9_-]{{20}}') OR regexp_matches(text, '[a-z][a-z0-9+.-]*://[^\s/:@]+:[^\s/@]+@')""")
+PLACE = f"""NOT ({' OR '.join(f"starts_with(lower(v), '{x}')" for x in fixed.PLACEHOLDER_STARTS)} OR contains(lower(v), 'changeme') OR trim(lower(v), 'x*.-_') = '')"""
+_ASSIGNED = _quoted("(?i)" + fixed.ASSIGNED)
+
+
+@query(rf"""WITH named AS (SELECT doc_id, unnest(list_concat(regexp_extract_all(text, {_ASSIGNED}, 1), regexp_extract_all(text, {_ASSIGNED}, 2))) AS v, true AS quoted FROM documents
+  UNION ALL SELECT doc_id, unnest(regexp_extract_all(text, {_ASSIGNED}, 3)), false FROM documents)
+SELECT doc_id FROM named WHERE v <> '' AND {PLACE} AND (quoted OR (regexp_matches(v, '[0-9]') AND regexp_matches(v, '[^0-9]') AND NOT regexp_matches(v, '[_.]')))
+UNION SELECT doc_id FROM documents WHERE regexp_matches(text, {_quoted(fixed.KNOWN_FORMATS)})""")
 def secret_filter(spark: SparkSession, d: str) -> DataFrame:
     """Documents that are held back because they look like they hold a secret."""
     return table(spark, d, "documents").where(T.holds_secret(F.col("text"))).select("doc_id")
@@ -132,18 +136,12 @@ def line_owners(spark: SparkSession, d: str) -> DataFrame:
     return own.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count_if(full & F.col("ordinal").isNotNull()).alias("owned"), F.count_if(F.col("x").startswith("## ") & F.col("ordinal").isNotNull()).alias("headings"))
 
 
-def _visible_sql() -> str:
-    out = r"regexp_replace(coalesce(html, ''), '<!--.*?(-->|\z)', '', 'gs')"
-    for name in ("script", "style", "noscript", "template", "svg"):
-        out = rf"regexp_replace({out}, '<{name}(\s[^>]*)?>.*?(</{name}\s*>|\z)', '', 'gis')"
-    out = rf"regexp_replace({out}, '</?(p|div|br|li|tr|h[1-6]|section|article|header|footer|pre|blockquote|table|ul|ol|title)([\s/][^>]*)?>', chr(10), 'gi')"
-    out = rf"regexp_replace({out}, '<[/!?]?[A-Za-z][^>]*>', '', 'g')"
-    for name, character in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "''"), ("#39", "''"), ("nbsp", " "), ("amp", "&")):
-        out = f"replace({out}, '&{name};', '{character}')"
-    return out
-
-
-@query(rf"""SELECT page_id, array_to_string(list_filter(list_transform(string_split({_visible_sql()}, chr(10)), lambda x: trim(regexp_replace(x, '[\s\v\x{{A0}}]+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS text FROM pages""")
+# another way than the engine's: pieces between angle brackets in order, with the number of hidden elements that are open at each
+@query(rf"""WITH cut AS (SELECT page_id, unnest(string_split('>' || regexp_replace(coalesce(html, ''), '<!--.*?-->', '', 'gs'), '<')) AS x, generate_subscripts(string_split('>' || regexp_replace(coalesce(html, ''), '<!--.*?-->', '', 'gs'), '<'), 1) AS i FROM pages),
+tag AS (SELECT *, lower(regexp_extract(x, '^/?([A-Za-z][A-Za-z0-9]*)', 1)) AS name, starts_with(x, '/') AS ends, x[instr(x, '>') + 1:] AS said FROM cut),
+deep AS (SELECT *, sum(CASE WHEN name NOT IN {fixed.HIDDEN} THEN 0 WHEN ends THEN -1 ELSE 1 END) OVER (PARTITION BY page_id ORDER BY i) AS depth FROM tag),
+whole AS (SELECT page_id, string_agg(CASE WHEN name IN {fixed.BLOCKS} THEN chr(10) ELSE '' END || CASE WHEN depth = 0 THEN said ELSE '' END, '' ORDER BY i) AS t FROM deep GROUP BY page_id)
+SELECT page_id, array_to_string(list_filter(list_transform(string_split({references_sql("t")}, chr(10)), lambda x: trim(regexp_replace(x, '[\s\v\x{{A0}}]+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS text FROM whole""")
 def visible_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", T.visible(F.col("html")).alias("text"))
 
@@ -156,16 +154,22 @@ def page_links(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(r"""WITH docs AS (SELECT regexp_extract(url, '^[a-z]+://[^/]*\.([a-z]+)/', 1) AS source, page_id AS document, regexp_replace(regexp_replace(url, '^[a-z]+://[^/]*/', ''), '[?#].*$', '') AS path FROM pages),
-keyed AS (SELECT *, string_split(lower(path), '/') AS parts FROM docs),
-tails AS (SELECT source, document, path, lower(path) AS whole, unnest(list_transform(range(1, len(parts) + 1), lambda n: array_to_string(parts[len(parts) - n + 1:], '/'))) AS key FROM keyed),
-asked AS (SELECT source, document AS chunk, 0 AS position, parts[len(parts)] AS key, document AS linker FROM keyed)
-SELECT chunk, position, document, path FROM (SELECT chunk, position, t.document, t.path, row_number() OVER (PARTITION BY chunk, position ORDER BY (t.whole = t.key) DESC, length(t.path), t.path, t.document) AS r
-  FROM asked a JOIN tails t ON a.source = t.source AND a.key = t.key WHERE t.document <> a.linker) WHERE r = 1""")
+d AS (SELECT *, lower(path) AS whole, regexp_extract(lower(path), '^(.*/)?') AS folder, regexp_extract(lower(path), '([^/]*)$', 1) AS name FROM docs),
+asked AS (SELECT h.source, h.document AS chunk, h.folder, 0 AS position, t.name AS key FROM d h JOIN d t ON t.document = h.document + 1
+  UNION ALL SELECT h.source, h.document, h.folder, 1, regexp_extract(t.whole, '([^/]*/[^/]*)$', 1) FROM d h JOIN d t ON t.document = h.document + 1 WHERE contains(t.whole, '/')),
+met AS (SELECT chunk, position, coalesce(
+    (SELECT t.document FROM d t WHERE t.source = a.source AND position = 1 AND t.whole = a.key ORDER BY length(t.path), t.path, t.document LIMIT 1),
+    (SELECT t.document FROM d t WHERE t.source = a.source AND (t.whole = a.key AND position = 0 OR ends_with(t.whole, '/' || a.key)) AND starts_with(t.whole, a.folder) ORDER BY length(t.path), t.path, t.document LIMIT 1),
+    (SELECT t.document FROM d t WHERE t.source = a.source AND (t.whole = a.key AND position = 0 OR ends_with(t.whole, '/' || a.key)) ORDER BY length(t.path), t.path, t.document LIMIT 1)) AS document FROM asked a)
+SELECT chunk, position, document, path FROM met JOIN docs USING (document) WHERE chunk <> document""")
 def resolved_links(spark: SparkSession, d: str) -> DataFrame:
-    """Each page links by the last part of its own path; pages of one top-level domain are a source."""
+    """Each page links by the last part, and by the last two, of the path of the page after it; pages of one top-level domain are a source."""
     path = F.regexp_replace(F.regexp_replace("url", r"^[a-z]+://[^/]*/", ""), r"[?#].*$", "")
     docs = table(spark, d, "pages").select(F.regexp_extract("url", r"^[a-z]+://[^/]*\.([a-z]+)/", 1).alias("source"), F.col("page_id").alias("document"), path.alias("path"), F.lit("page").alias("kind"))
-    asked = docs.select("source", F.col("document").alias("chunk"), F.lit(0).alias("position"), F.element_at(F.split(F.lower("path"), "/"), -1).alias("key"), F.col("document").alias("linker"), F.lit("wikilink").alias("kind"))
+    after = docs.select((F.col("document") - 1).alias("document"), F.split(F.lower("path"), "/").alias("parts"))
+    tail = lambda n: F.struct(F.lit(n - 1).alias("position"), F.array_join(F.slice("parts", -n, n), "/").alias("key"))
+    keys = F.explode(F.when(F.size("parts") > 1, F.array(tail(1), tail(2))).otherwise(F.array(tail(1))))
+    asked = docs.join(after, "document").select("source", F.col("document").alias("chunk"), F.col("document").alias("linker"), F.lit("wikilink").alias("kind"), keys.alias("k")).select("source", "chunk", "linker", "kind", "k.*")
     return links.resolved(asked, docs)
 
 

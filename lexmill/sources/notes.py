@@ -4,54 +4,25 @@ from __future__ import annotations
 
 import ast
 import codecs
+import io
 import json
-import posixpath
-import re
 import sys
 from collections.abc import Iterator
-from urllib.parse import unquote
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.chunking import Block
+from . import markdown
 
-#: In a table cell the bar before a link's label is escaped.
-_WIKI = re.compile(r"\[\[([^\[\]|#\\]+)(?:#([^\[\]|\\]*))?(?:\\?\|[^\[\]]*)?\]\]")
-_INLINE = re.compile(r"(?<!!)\[[^\[\]]*\]\(\s*<?([^()\s<>]+)>?[^()]*\)")
-_CODE = re.compile(r"`[^`\n]*`")
-_SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*:")
 LINK = "path string, line int, kind string, target string, anchor string"
 
 
-def _prose(text: str) -> Iterator[tuple[int, str]]:
-    """Lines outside fences and front matter, code spans blanked."""
-    fence, front = "", text.startswith("---\n")
-    for n, line in enumerate(text.split("\n"), 1):
-        bare = line.strip()
-        if front:
-            front = n == 1 or bare != "---"
-        elif fence:
-            fence = "" if bare.startswith(fence) else fence
-        elif bare[:3] in ("```", "~~~"):
-            fence = bare[:3]
-        else:
-            yield n, _CODE.sub("", line)
-
-
 def markdown_links(path: str, text: str) -> Iterator[tuple[int, str, str, str | None]]:
-    """(line, kind, target, anchor): wikilinks, and relative links resolved against the file's folder; what climbs above the root is no link."""
-    for n, line in _prose(text):
-        for m in _WIKI.finditer(line):
-            yield n, "wikilink", re.sub(r"\.md$", "", m[1].strip().lower()), m[2]
-        for m in _INLINE.finditer(line):
-            target, _, anchor = m[1].partition("#")
-            if not target or _SCHEME.match(target) or target.startswith("/"):
-                continue
-            whole = posixpath.normpath(posixpath.join(posixpath.dirname(path), unquote(target)))
-            if not whole.startswith(".."):
-                yield n, "markdown", whole, anchor or None
+    """(line, kind, target, anchor): wikilinks, those of related notes in front matter, and relative links resolved against the file's folder."""
+    yield from markdown.read(path, text).links
 
 
 def python_imports(path: str, text: str) -> Iterator[tuple[int, str, str, str | None]]:
@@ -132,63 +103,90 @@ def links(files: DataFrame) -> DataFrame:
 class EventParser:
     """Server-sent events (kind, data) from text or UTF-8 bytes that come in any pieces; an unfinished tail is dropped, an event over the cap fails.
 
-    A byte order mark at the start is skipped. last_id is the last id without a
-    NUL that was sent, retry the last whole number of milliseconds, else None.
+    The fields of an event are gathered by name and read when a blank line ends
+    it. A byte order mark at the start is skipped. last_id is the last id
+    without a NUL that was sent, retry the last whole number of milliseconds,
+    else None. A carriage return at the end of a piece is a line end once more
+    comes, or at close().
     """
 
     def __init__(self, most: int = 8 * 1024**2):
-        self.most, self.rest, self.data, self.kind, self.after_cr = most, "", [], None, False
-        self.last_id, self.retry, self.begun = "", None, False
-        self.decoder = codecs.getincrementaldecoder("utf-8")("replace")
+        self.most = most
+        self.last_id, self.retry = "", None
+        self._text = codecs.getincrementaldecoder("utf-8")("replace")
+        self._ends = io.IncrementalNewlineDecoder(None, translate=True)
+        self._tail: list[str] = []
+        self._fields: dict[str, list[str]] = {}
+        self._begun, self._size = False, 0
 
     def feed(self, piece: str | bytes) -> Iterator[tuple[str, str]]:
-        if isinstance(piece, bytes):
-            piece = self.decoder.decode(piece)
-        if piece and not self.begun:
-            self.begun, piece = True, piece.removeprefix("\ufeff")
-        if self.after_cr and piece.startswith("\n"):
-            piece = piece[1:]
-        if piece:
-            self.after_cr = piece.endswith("\r")
-        lines = re.split(r"\r\n|\r|\n", self.rest + piece)
-        self.rest = lines.pop()
-        for line in lines:
-            if not line:
-                if self.data:
-                    yield self.kind or "message", "\n".join(self.data)
-                self.data, self.kind = [], None
-                continue
-            name, _, value = line.partition(":")
-            value = value.removeprefix(" ")
-            if name == "data":
-                self.data.append(value)
-            elif name == "event":
-                self.kind = value
-            elif name == "id" and "\0" not in value:
-                self.last_id = value
-            elif name == "retry" and value.isascii() and value.isdigit():
-                self.retry = int(value)
-        if len(self.rest) + sum(map(len, self.data)) > self.most:
+        yield from self._read(self._ends.decode(self._text.decode(piece) if isinstance(piece, bytes) else piece))
+
+    def close(self) -> Iterator[tuple[str, str]]:
+        yield from self._read(self._ends.decode("", final=True))
+
+    def _read(self, text: str) -> Iterator[tuple[str, str]]:
+        if text and not self._begun:
+            self._begun, text = True, text.removeprefix("\ufeff")
+        self._tail.append(text)
+        self._size += len(text)
+        if "\n" in text:
+            *lines, rest = "".join(self._tail).split("\n")
+            self._tail = [rest]
+            for line in lines:
+                if line:
+                    self._gather(line)
+                elif self._fields:
+                    yield from self._event()
+            self._size = len(rest) + sum(map(len, self._fields.get("data", ())))
+        if self._size > self.most:
             raise ValueError("an event is too large")
 
+    def _gather(self, line: str) -> None:
+        name, _, value = line.partition(":")
+        if name:
+            self._fields.setdefault(name, []).append(value.removeprefix(" "))
+        if name == "id":
+            self.last_id = next((x for x in reversed(self._fields["id"]) if "\0" not in x), self.last_id)
+        if name == "retry":
+            self.retry = next((int(x) for x in reversed(self._fields["retry"]) if x.isascii() and x.isdigit()), self.retry)
+
+    def _event(self) -> Iterator[tuple[str, str]]:
+        fields, self._fields = self._fields, {}
+        if "data" in fields:
+            yield fields.get("event", [""])[-1] or "message", "\n".join(fields["data"])
+
+
+_ANSWER = "stream string, text string, finish string, total_tokens long, tool_calls array<struct<index:int,id:string,name:string,arguments:string>>"
+
 
 def answers(chunks: DataFrame) -> DataFrame:
-    """stream, text, finish, total_tokens from pieces (stream, at, piece) of streamed answers: deltas joined in order; the last finish and usage count.
+    """stream, text, finish, total_tokens, tool_calls from pieces (stream, at, piece) of streamed answers: deltas joined in order; the last finish and usage count.
 
-    A stream's pieces are one answer, so they are folded in one group.
+    Fragments of a tool call have its index: the first id and name are its own,
+    arguments are joined. A stream's pieces are one answer, so they are folded
+    in one group.
     """
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        parser, text, finish, used = EventParser(), "", None, None
-        for piece in rows.sort_values("at")["piece"]:
-            for _, data in parser.feed(piece):
-                if data == "[DONE]":
-                    continue
-                x = json.loads(data)
-                for choice in x.get("choices", []):
-                    text += choice.get("delta", {}).get("content") or ""
-                    finish = choice.get("finish_reason") or finish
-                used = (x.get("usage") or {}).get("total_tokens", used)
-        return pd.DataFrame({"stream": [rows["stream"].iloc[0]], "text": [text], "finish": [finish], "total_tokens": pd.array([used], dtype="Int64")})
-
-    return chunks.groupBy("stream").applyInPandas(fold, "stream string, text string, finish string, total_tokens long")
+        parser, text, finish, used = EventParser(), [], None, None
+        calls: dict[int, dict] = {}
+        pieces = rows.sort_values("at")["piece"]
+        for _, data in chain(chain.from_iterable(map(parser.feed, pieces)), parser.close()):
+            if data == "[DONE]":
+                continue
+            x = json.loads(data)
+            for choice in x.get("choices", []):
+                delta = choice.get("delta", {})
+                text.append(delta.get("content") or "")
+                finish = choice.get("finish_reason") or finish
+                for part in delta.get("tool_calls") or []:
+                    call = calls.setdefault(part.get("index", 0), {"index": part.get("index", 0), "id": None, "name": None, "arguments": ""})
+                    said = part.get("function") or {}
+                    call["id"], call["name"] = call["id"] or part.get("id"), call["name"] or said.get("name")
+                    call["arguments"] += said.get("arguments") or ""
+            used = (x.get("usage") or {}).get("total_tokens", used)
+        own = [calls[i] for i in sorted(calls)]
+        return pd.DataFrame({"stream": [rows["stream"].iloc[0]], "text": ["".join(text)], "finish": [finish], "total_tokens": pd.array([used], dtype="Int64"), "tool_calls": [own]})
+
+    return chunks.groupBy("stream").applyInPandas(fold, _ANSWER)

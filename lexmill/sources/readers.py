@@ -2,23 +2,20 @@
 
 from __future__ import annotations
 
-import re
+import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import LINE_END, secret_name
-from ..operators.chunking import Block
+from .markdown import outline
 
 #: Endings of files that are read, with the kind of reader.
 KINDS = {"md": "markdown", "py": "python", "txt": "text", "pdf": "pdf"}
 MAX_FILE_BYTES = 2 * 1024**2
-LINES = re.compile(LINE_END)
-_FENCE = re.compile(r" {0,3}(`{3,}|~{3,})(.*)$")
-_HEADING = re.compile(r"(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$")
 
 
 def folder(spark: SparkSession, root: str, excluded: tuple[str, ...] = ()) -> DataFrame:
@@ -103,41 +100,6 @@ def parsed_documents(files: DataFrame, kind: str, parse) -> DataFrame:
     return files.where((F.col("kind") == kind) & F.col("text").isNotNull()).select("path", "text").mapInPandas(run, "path string, ordinal int, start_line int, end_line int, header string")
 
 
-def outline(text: str) -> list[Block]:
-    """Sections of a Markdown text as blocks, each a unit, with the trail of headings over it.
-
-    Front matter belongs to no section's headings; a fence of backticks or
-    tildes ends at one as long or longer of the same kind with nothing behind
-    it. A heading with no text under it goes to the section that follows.
-    """
-    starts: list[tuple[int, tuple[str, ...]]] = [(1, ())]
-    trail: list[tuple[int, str]] = []
-    fence = ""
-    lines = LINES.split(text)
-    closing = next((n for n, x in enumerate(lines[1:], 2) if x.strip() == "---"), 0) if lines[0].strip() == "---" else 0
-    filled = [bool(x.strip()) for x in lines]
-    for n, line in enumerate(lines, 1):
-        if n <= closing:
-            continue
-        mark = _FENCE.match(line)
-        if fence:
-            if mark and mark[1].startswith(fence) and not mark[2].strip():
-                fence = ""
-        elif mark and not (mark[1][0] == "`" and "`" in mark[2]):
-            fence = mark[1]
-        elif heading := _HEADING.match(line):
-            level = len(heading[1])
-            trail = [x for x in trail if x[0] < level] + [(level, (heading[2] or "").strip())]
-            begin, over = starts[-1]
-            # nothing under the last heading: this section begins with it
-            alone = not any(filled[max(begin, 1) : n - 1]) and (bool(over) or not filled[begin - 1])
-            if alone:
-                starts.pop()
-            starts.append((begin if alone else n, tuple(h for _, h in trail)))
-    ends = [s for s, _ in starts[1:]] + [len(lines) + 1]
-    return [Block(s, e - 1, over, n) for n, ((s, over), e) in enumerate(zip(starts, ends, strict=True)) if s < e]
-
-
 def sections(text: str) -> Iterator[tuple[int, int, str]]:
     """outline() as (first line, last line, heading trail)."""
     for b in outline(text):
@@ -158,6 +120,43 @@ def strict_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return rows.where(F.when(F.array_contains(whole, True), F.raise_error(F.concat(F.lit("a field is missing: "), F.to_json(F.struct("*")))).cast("boolean")).otherwise(True))
 
 
+_PASSAGES = "id string, question string, answer string, passages array<string>"
+
+
+def answers(spark: SparkSession, path: str) -> DataFrame:
+    """id, question, answer, passages, passages_sha256 of answered questions, one row for each id; passages are digested as a JSON list, so where one ends counts."""
+    rows = _unrepeated(strict_rows(spark, path, _PASSAGES), "id")
+    return rows.withColumn("passages_sha256", F.sha2(_ascii_json(F.col("passages")), 256))
+
+
+def verdicts(spark: SparkSession, path: str) -> DataFrame:
+    """question, answer, passages_sha256, supported, claims of judged answers, one row for each of the first three."""
+    rows = strict_rows(spark, path, "question string, answer string, passages_sha256 string, supported boolean, claims array<string>")
+    odd = F.when(~F.col("passages_sha256").rlike("^[0-9a-f]{64}$"), F.raise_error("a digest is no SHA-256").cast("boolean")).otherwise(True)
+    return _unrepeated(rows.where(odd), "question", "answer", "passages_sha256")
+
+
+def calibration(spark: SparkSession, path: str) -> DataFrame:
+    """id, origin (natural or perturbed), question, answer, passages, supported of answers with a person's label."""
+    rows = strict_rows(spark, path, f"{_PASSAGES}, origin string, supported boolean")
+    odd = F.when(~F.col("origin").isin("natural", "perturbed"), F.raise_error(F.concat(F.lit("not an origin: "), "origin")).cast("boolean")).otherwise(True)
+    return _unrepeated(rows.where(odd), "id").select("id", "origin", "question", "answer", "passages", "supported")
+
+
+def _unrepeated(rows: DataFrame, *key: str) -> DataFrame:
+    """rows, unless some key comes twice."""
+    twice = rows.groupBy(*key).count().where("count > 1").limit(1).collect()
+    if twice:
+        raise ValueError(f"given twice: {[twice[0][k] for k in key]}")
+    return rows
+
+
+@F.pandas_udf(T.StringType())
+def _ascii_json(lists: pd.Series) -> pd.Series:
+    """Arrays of texts as JSON, in ASCII and with a space after each comma."""
+    return lists.map(lambda x: json.dumps(list(x)), na_action="ignore")
+
+
 def expansions(spark: SparkSession, path: str, questions: DataFrame) -> DataFrame:
     """id, question, rewrites (array), passage: one row for each question (id, question), whose text it must repeat."""
     rows = strict_rows(spark, path, "id string, question string, rewrites array<string>, passage string")

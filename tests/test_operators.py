@@ -95,11 +95,25 @@ def test_catalogue_diff(spark):
     assert {r.outcome for r in catalogue.diff(new.limit(0), old, "path", ["size", "sha"]).collect()} == {"kept"}
 
 
-def test_link_resolution_prefers_exact_notes_and_short_paths(spark):
-    docs = spark.createDataFrame([("s", 1, "a/Plan.md", "markdown"), ("s", 2, "b/c/Plan.md", "markdown"), ("s", 3, "plan", "text"), ("t", 4, "plan.md", "markdown")], "source string, document long, path string, kind string")
-    asked = spark.createDataFrame([("s", 10, 0, "wikilink", "plan", 9), ("s", 10, 1, "wikilink", "c/plan", 9), ("s", 10, 2, "markdown", "a/plan", 1), ("s", 10, 3, "wikilink", "none", 9)], "source string, chunk long, position int, kind string, key string, linker long")
-    got = {r.position: r.document for r in links.resolved(asked, docs).collect()}
-    assert got == {0: 3, 1: 2}
+def test_link_resolution_by_tiers(spark):
+    """Worked out by hand: paths, the linker's folder, notes, short paths; a best document that is the linker is no link."""
+    docs = [
+        (1, "a/Plan.md", "markdown"), (2, "b/c/Plan.md", "markdown"), (3, "plan", "text"), (5, "b/Home.md", "markdown"), (6, "b/deep/er/Plan.md", "markdown"), (7, "index.md", "markdown"),
+        (8, "pkg/core/io.py", "python"), (9, "io.py", "python"), (10, "pkg/__init__.py", "python"), (11, "b/Plan.txt", "text"), (12, "x/b/c/Plan.md", "markdown"),
+    ]
+    docs = spark.createDataFrame([("s", *d) for d in docs] + [("t", 4, "plan.md", "markdown")], "source string, document long, path string, kind string")
+    asked = [
+        ("wikilink", "plan", 7, 1),  # anywhere: a note before another file, then the shorter path
+        ("wikilink", "plan", 5, 2),  # below b/ first, there the shorter
+        ("related", "c/plan", 7, 2),  # ends so, shorter
+        ("wikilink", "b/c/plan", 12, 2),  # that very path before one below the linker's folder
+        ("wikilink", "plan", 1, None),  # the best is the linker itself
+        ("markdown", "a/plan", 7, None), ("markdown", "a/Plan.md", 7, 1), ("wikilink", "none", 7, None),
+        ("import", "io", 10, 9), ("import", "core.io", 10, 8), ("import", "pkg", 8, 10), ("wikilink", "plan", 99, 1),
+    ]
+    rows = spark.createDataFrame([("s", 10, i, k, key, linker) for i, (k, key, linker, _) in enumerate(asked)], "source string, chunk long, position int, kind string, key string, linker long")
+    got = {r.position: r.document for r in links.resolved(rows, docs).collect()}
+    assert got == {i: want for i, (*_, want) in enumerate(asked) if want is not None}
 
 
 def test_fact_learning_and_merging(spark):
@@ -320,7 +334,7 @@ def test_dates(spark):
 
 def test_outlines_and_sections():
     text = "---\ntitle: x\n# no\n---\nintro\n\n# A\n\n## B\nbody\n~~~~\n# no\n~~~\n~~~~\n## C ##\n#hash\n### D"
-    assert list(readers.sections(text)) == [(1, 6, ""), (7, 14, "A > B"), (15, 16, "A > C"), (17, 17, "A > C > D")]
+    assert list(readers.sections(text)) == [(1, 4, ""), (5, 6, ""), (7, 14, "A > B"), (15, 17, "A > C")]
     lines = text.split("\n")
     for budget in (1, 4, 9, 100):
         got = list(chunking.outlined(lines, readers.outline(text), "A", budget, chunking.count_words))

@@ -1,5 +1,6 @@
 """Stemming against SQLite, variants, whole searches, indexing passes, notes and event streams."""
 
+import json
 import random
 import sqlite3
 import string
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import stemming
 from lexmill.operators import search
-from lexmill.sources import notes
+from lexmill.sources import markdown, notes
 
 
 def test_stems_equal_sqlite(spark):
@@ -108,6 +109,31 @@ def test_events_do_not_depend_on_the_pieces(cuts):
     assert got == list(notes.EventParser().feed(STREAM)) and [k for k, _ in got] == ["x", "message", "message"]
 
 
+def test_tool_calls_joined_by_index(spark):
+    part = lambda **x: 'data: {"choices": [{"delta": {"tool_calls": [' + json.dumps(x) + "]}}]}\n\n"
+    text = part(index=1, id="b", function={"name": "g", "arguments": "{"}) + part(index=0, id="a", function={"name": "f"}) + part(index=1, id="z", function={"name": "h", "arguments": "}"}) + part(index=0, function={"arguments": '{"k": 1}'})
+    out = notes.answers(spark.createDataFrame([("s", i, text[i * 40 : i * 40 + 40]) for i in range(20)], "stream string, at int, piece string")).first()
+    assert [(c["index"], c.id, c.name, c.arguments) for c in out.tool_calls] == [(0, "a", "f", '{"k": 1}'), (1, "b", "g", "{}")]
+
+
+def test_carriage_returns_end_lines():
+    parser = notes.EventParser()
+    got = [e for c in "data: a\r\rdata: b\r\n\r\ndata: c\n\r" for e in parser.feed(c)]
+    assert got + list(parser.close()) == [("message", "a"), ("message", "b"), ("message", "c")]
+    with pytest.raises(ValueError):
+        list(notes.EventParser(10).feed("data: much too long"))
+
+
+def test_markdown_notes():
+    text = '---\ntitle: "The Plan"\nrelated:\n  - "[[Other]]"\nseen: "[[Third]]"\n...\nbefore [a](x.md)\n   ## Indented ##\n\n# Top\nsaid ![[p.png]] ![[Note]] [b](<../up file.md> "t") [c](https://x) [d](e(1).md#f%20g)\n    # code\n#none\n~~~\n# in code [[no]]\n```\n~~~\n### Last'
+    note = markdown.read("n/plan.md", text)
+    assert note.title == "The Plan"
+    assert [(b.start, b.end, b.trail) for b in note.blocks] == [(1, 6, ()), (7, 7, ()), (8, 18, ("Top",))]
+    assert note.links == [(4, "related", "other", None), (5, "wikilink", "third", None), (7, "markdown", "n/x.md", None), (11, "wikilink", "note", None), (11, "markdown", "up file.md", None), (11, "markdown", "n/e(1).md", "f g")]
+    assert markdown.read("n/plan.md", "---\nno key\n---\n# One `[[x]]`").title == "One `[[x]]`" and markdown.read("n/plan.md", "").title == "plan"
+    assert [markdown.heading(x) for x in ("# a #", "####### a", "#", "## #", "#a", "    # a", "# a#")] == [(1, "a"), None, (1, ""), (2, "#"), None, None, (1, "a#")]
+
+
 def test_answers(spark):
     rows = [("s", i, STREAM[a:b]) for i, (a, b) in enumerate([(0, 30), (30, 31), (31, len(STREAM))])]
     out = notes.answers(spark.createDataFrame(rows, "stream string, at int, piece string")).first()
