@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from ..functions.text import token_distance
+from .common import settled, small
 
 
 def _per_group(rows: DataFrame, by: str, aggregates: Iterable[Column]) -> DataFrame:
@@ -67,19 +68,62 @@ def spread(value: str) -> list[Column]:
     return [F.round(F.min(value), 2).alias("least"), F.round(F.median(value), 2).alias("median"), F.round(F.max(value), 2).alias("most")]
 
 
+#: Parts to which a range of values is cut in a round of selection.
+_PARTS = 256
+
+
+def _same(keys: list[str]) -> Column:
+    """Whether two sides agree in all keys, nulls included; those of the right side end with an underscore."""
+    return reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"{k}_")) for k in keys), F.lit(True))
+
+
+def order_statistics(rows: DataFrame, by: list[str], value: str, places: DataFrame) -> DataFrame:
+    """by, place, found: the place-th smallest value of each group (places from 1; null values do not count).
+
+    Exact, and no group is sorted or held by one task: the range in which a
+    place lies is cut to parts, values are counted by part, and the part that
+    holds the place is the next range, until its values are equal. A round is
+    one count over the rows still in range; 256 parts shrink a range so fast
+    that a few rounds do.
+    """
+    own = rows.where(F.col(value).isNotNull()).select(*[F.col(c).alias(f"_{c}") for c in by], F.col(value).cast("double").alias("_v"))
+    keys = [f"_{c}" for c in by]
+    ranges = own.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    named = places.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("place").alias("_place"))
+    open_ = settled(named.join(ranges.withColumnsRenamed({k: f"{k}_" for k in keys}), _same(keys)).where("_place between 1 and _n").select(*keys, "_place", F.col("_place").alias("_left"), "_lo", "_hi"))
+    done = open_.where("_lo = _hi")
+    open_ = open_.where("_lo < _hi")
+    while open_.take(1):
+        asked = small(open_.withColumnsRenamed({k: f"{k}_" for k in keys}))
+        part = F.least(F.lit(_PARTS - 1), F.floor((F.col("_v") - F.col("_lo")) / ((F.col("_hi") - F.col("_lo")) / _PARTS))).cast("int")
+        within = own.join(asked, _same(keys)).where("_v between _lo and _hi")
+        counted = within.groupBy(*keys, "_place", "_left", part.alias("_part")).agg(F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        # at most _PARTS rows for each place
+        parts = counted.groupBy(*keys, "_place", "_left").agg(F.sort_array(F.collect_list(F.struct("_part", "_n", "_lo", "_hi"))).alias("_parts"))
+        empty = F.struct(F.col("_left").cast("long").alias("left"), F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"))
+
+        def step(s: Column, x: Column) -> Column:
+            here = s["lo"].isNull() & (s["left"] <= x["_n"])
+            return F.when(s["lo"].isNotNull(), s).when(here, F.struct(s["left"].alias("left"), x["_lo"].alias("lo"), x["_hi"].alias("hi"))).otherwise(F.struct((s["left"] - x["_n"]).alias("left"), s["lo"].alias("lo"), s["hi"].alias("hi")))
+
+        now = settled(parts.select(*keys, "_place", F.aggregate("_parts", empty, step).alias("s")).select(*keys, "_place", F.col("s.left").alias("_left"), F.col("s.lo").alias("_lo"), F.col("s.hi").alias("_hi")))
+        done, open_ = done.unionByName(now.where("_lo = _hi")), now.where("_lo < _hi")
+    return done.select(*[F.col(k).alias(c) for k, c in zip(keys, by, strict=True)], F.col("_place").alias("place"), F.col("_lo").alias("found"))
+
+
 def exclusive_quantile(rows: DataFrame, by: list[str], value: str, part: int, parts: int) -> DataFrame:
     """by, n, quantile: the cut point part / parts of values taken as a sample of more (places count from 1 of n + 1); null for fewer than two.
 
-    Values are numbered once by group; only the two about the cut are kept.
+    The two values about the cut are selected, not sorted.
     """
-    own = rows.where(F.col(value).isNotNull())
-    sizes = own.groupBy(*by).agg(F.count("*").alias("n"))
-    placed = own.withColumn("place", F.row_number().over(W.partitionBy(*by).orderBy(value))).join(F.broadcast(sizes) if not by else sizes, by or None)
-    low = F.greatest(F.lit(1), F.least(F.floor(part * (F.col("n") + 1) / parts), F.col("n") - 1))
-    delta = part * (F.col("n") + 1) - low * parts
-    near = placed.withColumn("low", low).withColumn("delta", delta).where(F.col("place").between(F.col("low"), F.col("low") + 1))
-    weighed = F.sum(F.col(value) * F.when(F.col("place") == F.col("low"), parts - F.col("delta")).otherwise(F.col("delta"))) / parts
-    return near.groupBy(*by, "n").agg(F.when(F.col("n") > 1, weighed).alias("quantile"))
+    sizes = settled(rows.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count("*").alias("n")))
+    low = F.greatest(F.lit(1), F.least(F.floor(part * (F.col("n") + 1) / parts), F.col("n") - 1)).cast("long")
+    cut = sizes.withColumn("low", low).withColumn("delta", part * (F.col("n") + 1) - low * parts)
+    found = order_statistics(rows, by, value, cut.where("n > 1").select(*by, F.explode(F.array("low", F.col("low") + 1)).alias("place")))
+    both = found.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("place", "found"))).alias("_about"))
+    joined = cut.join(both.withColumnsRenamed({c: f"{c}_" for c in by}), _same(by), "left")
+    weighed = (F.col("_about")[0]["found"] * (parts - F.col("delta")) + F.col("_about")[1]["found"] * F.col("delta")) / parts
+    return joined.select(*by, "n", F.when(F.col("n") > 1, weighed).alias("quantile"))
 
 
 def error_rates(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.text import terms
-from . import catalogue, chunking, ranking, vectors
+from . import catalogue, chunking, ranking, vectors, wordindex
 from .common import settled
 
 CANDIDATES, WORD_WEIGHT, MAX_HOPS = 50, 0.2, 2
@@ -84,7 +84,7 @@ def scores(corpus: Corpus, queries: DataFrame, variant: Variant, count: int = CA
     """query_id, doc_id, score before any judge. queries: query_id, text, and embedding unless the side is words."""
     words = meaning = None
     if variant.side != "meaning":
-        words = settled(ranking.best(ranking.bm25(corpus.docs, queries), count).select("query_id", "doc_id", "score"))
+        words = settled(wordindex.best(corpus.docs, queries, count).select("query_id", "doc_id", "score"))
     if variant.side != "words":
         if corpus.vectors is None:
             raise ValueError("meaning needs vectors")
@@ -170,7 +170,7 @@ def recall(turns: DataFrame, queries: DataFrame, limit: int, since: Column | Non
 
 
 def _fused_recall(turns: DataFrame, inside: DataFrame, asked: DataFrame, held: DataFrame, limit: int, at_least: float) -> DataFrame:
-    words = settled(ranking.best(ranking.bm25(turns, asked, inside), CANDIDATES).select("query_id", "doc_id", "score"))
+    words = settled(wordindex.best(turns, asked, CANDIDATES, within=inside).select("query_id", "doc_id", "score"))
     may = held.join(inside.select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
     near = vectors.nearest(may, asked, CANDIDATES).select("query_id", F.col("vec_id").alias("doc_id"), F.col("cosine").alias("score"))
     hit = words.join(may.withColumnRenamed("vec_id", "doc_id"), "doc_id").join(asked.select("query_id", F.col("embedding").alias("_q")), "query_id")

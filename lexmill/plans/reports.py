@@ -207,7 +207,7 @@ def rendered_passages(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {search.BM25} SELECT query_id, rank, doc_id, score FROM (SELECT query_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id DESC) AS rank FROM scores) WHERE rank <= 10")
 def bm25_newest(spark: SparkSession, d: str) -> DataFrame:
     """Word search where ties go to the newest, that is the largest id."""
-    return ranking.best(search.words(spark, d), search.LIMIT, newest=True)
+    return search.words(spark, d, search.LIMIT, newest=True)
 
 
 @query(f"WITH {search.COSINES} SELECT query_id, vec_id, cosine, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS place FROM cosines) WHERE place <= 5")
@@ -243,13 +243,13 @@ def recall_fused(spark: SparkSession, d: str) -> DataFrame:
 SELECT query_id, place, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place FROM m WHERE NOT confined) WHERE place <= 3""")
 def surfaced_turns(spark: SparkSession, d: str) -> DataFrame:
     """The first three hits of each question that do not confine the reader."""
-    top = ranking.best(search.words(spark, d), search.DEPTH).join(table(spark, d, "documents").select("doc_id", "source"), "doc_id")
+    top = search.words(spark, d, search.DEPTH).join(table(spark, d, "documents").select("doc_id", "source"), "doc_id")
     return ranking.surfaced(top, F.col("source").isin("src0", "src1", "src2"), 3, keep=False).select("query_id", "place", "doc_id")
 
 
 @query(f"""WITH {search.BM25}, {search.first('scores', search.LIMIT, 'words')} SELECT query_id, count(*) FILTER (source NOT IN ('src0', 'src1', 'src2')) AS shown, count(*) FILTER (source IN ('src0', 'src1', 'src2')) AS withheld FROM words JOIN documents USING (doc_id) GROUP BY ALL""")
 def withheld_counts(spark: SparkSession, d: str) -> DataFrame:
-    top = ranking.best(search.words(spark, d), search.LIMIT).join(table(spark, d, "documents").select("doc_id", "source"), "doc_id")
+    top = search.words(spark, d, search.LIMIT).join(table(spark, d, "documents").select("doc_id", "source"), "doc_id")
     return ranking.withheld_after(top, F.col("source").isin("src0", "src1", "src2"), search.LIMIT)
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stemming import stems_of
 from ..functions.text import terms
-from ..operators import evaluation, ranking, vectors
+from ..operators import cells, evaluation, ranking, vectors, wordindex
 from ..operators import search as searching
 from ..operators.common import settled, small
 from .registry import query, table
@@ -45,8 +45,8 @@ def _questions(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
-def words(spark: SparkSession, d: str) -> DataFrame:
-    return ranking.bm25(table(spark, d, "documents"), _questions(spark, d))
+def words(spark: SparkSession, d: str, limit: int, newest: bool = False) -> DataFrame:
+    return wordindex.best(table(spark, d, "documents"), _questions(spark, d), limit, newest=newest)
 
 
 @query(f"SELECT term, count(DISTINCT doc_id) AS n_docs, count(*) AS n FROM (SELECT doc_id, unnest({WORDS}) AS term FROM documents) GROUP BY ALL")
@@ -57,13 +57,13 @@ def postings_df(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {BM25}, {first('scores', LIMIT)} SELECT * FROM ranked")
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    return ranking.best(words(spark, d), LIMIT)
+    return words(spark, d, LIMIT)
 
 
 @query(f"WITH {BM25}, kept AS (SELECT * FROM scores WHERE doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en')), {first('kept', LIMIT)} SELECT * FROM ranked")
 def bm25_within(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    return ranking.best(ranking.bm25(docs, _questions(spark, d), docs.where("lang = 'en'")), LIMIT)
+    return wordindex.best(docs, _questions(spark, d), LIMIT, within=docs.where("lang = 'en'"))
 
 
 @query(f"""WITH q AS (SELECT DISTINCT query_id, term FROM (SELECT item_id AS query_id, unnest({WORDS}) AS term FROM benchmark)),
@@ -87,7 +87,23 @@ def match_any(spark: SparkSession, d: str) -> DataFrame:
 d AS (SELECT doc_id, ' ' || array_to_string({WORDS}, ' ') || ' ' AS d FROM documents)
 SELECT query_id, doc_id, CAST((length(d) - length(replace(d, q, ' '))) // (length(q) - 1) AS BIGINT) AS n FROM q JOIN d ON contains(d, q)""")
 def phrase_hits(spark: SparkSession, d: str) -> DataFrame:
-    return ranking.phrase(table(spark, d, "documents"), _questions(spark, d))
+    """By places counted inside each row."""
+    return wordindex.phrase(table(spark, d, "documents"), _questions(spark, d))
+
+
+@query(f"""WITH a AS (SELECT item_id, {WORDS} AS w FROM benchmark), asked AS (SELECT item_id AS query_id, w[1] || ' ' || w[2] AS two, w[3] AS one FROM a WHERE len(w) > 2),
+d AS (SELECT doc_id, ' ' || array_to_string({WORDS}, '  ') || ' ' AS d, len({WORDS}) AS len FROM documents), stats AS (SELECT count(*) AS n_docs, avg(len) AS avg_len FROM d),
+units AS (SELECT query_id, two AS unit, ' ' || replace(two, ' ', '  ') || ' ' AS pad FROM asked UNION ALL SELECT query_id, one, ' ' || one || ' ' FROM asked),
+tf AS (SELECT query_id, unit, doc_id, len, (length(d) - length(replace(d, pad, ''))) / length(pad) AS f FROM units JOIN d ON contains(d, pad)),
+df AS (SELECT unit, count(DISTINCT doc_id) AS n FROM tf GROUP BY ALL),
+scores AS (SELECT query_id, doc_id, sum(CASE WHEN ln((n_docs - n + 0.5) / (n + 0.5)) <= 0 THEN 1e-6 ELSE ln((n_docs - n + 0.5) / (n + 0.5)) END * (f * 2.2) / (f + 1.2 * (0.25 + 0.75 * len / avg_len))) AS score
+  FROM tf JOIN df USING (unit), stats GROUP BY ALL), {first('scores', LIMIT)} SELECT * FROM ranked""")
+def bm25_phrases(spark: SparkSession, d: str) -> DataFrame:
+    """The first two words of each item joined by an underscore, so that they must stand together, and the third; from a positional index."""
+    docs = table(spark, d, "documents")
+    w = F.slice(terms(F.col("text")), 1, 3)
+    asked = _questions(spark, d).select("query_id", F.when(F.size(w) == 3, F.concat(F.get(w, F.lit(0)), F.lit("_"), F.get(w, F.lit(1)), F.lit(" "), F.get(w, F.lit(2)))).alias("text"))
+    return wordindex.best(docs, asked, LIMIT, phrases=True, index=wordindex.positional(docs))
 
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -108,6 +124,22 @@ def nearest_k_with_ties(spark: SparkSession, d: str) -> DataFrame:
     return vectors.nearest(_vectors(spark, d), _chosen(spark, d), 10, others_only=True)
 
 
+# the exact neighbours in SQL; how near the cells come to them is told by recall, and how much they read by a share of all
+@query(f"WITH {COSINES} SELECT count(DISTINCT query_id) AS n_queries, true AS recall_95, true AS scans_less FROM cosines")
+def nearest_by_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Whether learnt cells find 95 % of the ten nearest and hold a query against fewer than all vectors.
+
+    The given vectors are nearly random (a neighbour's cosine is about 0.3), so three quarters of the cells must be
+    looked into; clustered ones need a twentieth (tests/test_operators.py).
+    """
+    v, asked = _vectors(spark, d), _chosen(spark, d)
+    centres = cells.learnt(v)
+    found = settled(cells.nearest(cells.assigned(v, centres), centres, asked, 10, probes=max(cells.PROBES, round(0.75 * len(centres))), others_only=True))
+    told = cells.recall(found, vectors.nearest(v, asked, 10, others_only=True)).join(found.groupBy("query_id").agg(F.max("scanned").alias("scanned")), "query_id", "left")
+    share = F.avg("scanned") / F.lit(v.count())
+    return told.agg(F.count("*").alias("n_queries"), (F.sum("hits") >= 0.95 * F.sum("wanted")).alias("recall_95"), (share < 0.85).alias("scans_less"))
+
+
 @query(f"WITH {COSINES} SELECT query_id, vec_id, cosine FROM cosines WHERE cosine >= 0.3")
 def close_pairs(spark: SparkSession, d: str) -> DataFrame:
     return vectors.close_pairs(_vectors(spark, d), _chosen(spark, d), 0.3)
@@ -121,7 +153,7 @@ def _meaning(spark: SparkSession, d: str) -> DataFrame:
 
 def _fused(spark: SparkSession, d: str) -> DataFrame:
     """Top words and top meaning together, with the cosine of every word hit."""
-    top = settled(ranking.best(words(spark, d), DEPTH).select("query_id", "doc_id", "score"))
+    top = settled(words(spark, d, DEPTH).select("query_id", "doc_id", "score"))
     v = _vectors(spark, d)
     q = v.join(_questions(spark, d), F.col("vec_id") == F.col("query_id")).select("query_id", F.col("embedding").alias("qv"))
     hit = top.join(v.withColumnRenamed("vec_id", "doc_id"), "doc_id").join(small(q), "query_id").select("query_id", "doc_id", F.round(vectors.dot(F.col("qv"), F.col("embedding")), vectors.DIGITS).alias("score"))
@@ -150,13 +182,13 @@ merged AS (SELECT query_id, doc_id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM
 @query(f"WITH {RRF}, {first('merged', LIMIT)} SELECT * FROM ranked")
 def rrf_merge(spark: SparkSession, d: str) -> DataFrame:
     meaning = ranking.best(_meaning(spark, d).drop("rank"), 1 << 30)
-    return ranking.best(ranking.merged_reciprocal([ranking.best(words(spark, d), DEPTH), meaning]), LIMIT)
+    return ranking.best(ranking.merged_reciprocal([words(spark, d, DEPTH), meaning]), LIMIT)
 
 
 @query(f"""WITH {BM25}, {first('scores', DEPTH, 'words')}, {MEANING},
 merged AS (SELECT query_id, doc_id, max(score) AS score FROM (SELECT query_id, doc_id, score FROM words UNION ALL SELECT query_id, doc_id, score FROM meaning) GROUP BY ALL), {first('merged', LIMIT)} SELECT * FROM ranked""")
 def best_merge(spark: SparkSession, d: str) -> DataFrame:
-    return ranking.best(ranking.merged_best([ranking.best(words(spark, d), DEPTH), _meaning(spark, d)]), LIMIT)
+    return ranking.best(ranking.merged_best([words(spark, d, DEPTH), _meaning(spark, d)]), LIMIT)
 
 
 @query(f"""WITH {BM25}, {first('scores', DEPTH, 'words')},
@@ -171,7 +203,7 @@ def link_hops(spark: SparkSession, d: str) -> DataFrame:
 
     docs = table(spark, d, "documents")
     links = docs.select("doc_id", F.lead("doc_id").over(W.partitionBy("source").orderBy("doc_id")).alias("to")).where("to is not null")
-    return ranking.best(ranking.hopped(ranking.best(words(spark, d), DEPTH), links, 1, 0.3), LIMIT)
+    return ranking.best(ranking.hopped(words(spark, d, DEPTH), links, 1, 0.3), LIMIT)
 
 
 @query(f"""WITH {BM25}, {first('scores', 20, 'words')},
@@ -179,7 +211,7 @@ judged AS (SELECT w.*, CASE WHEN rank <= 10 THEN len(list_filter({WORDS}, lambda
 SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY rank > 10, CASE WHEN rank <= 10 THEN -judged END, rank) AS new_rank, rank, score, CAST(judged AS DOUBLE) AS judged FROM judged""")
 def reranked(spark: SparkSession, d: str) -> DataFrame:
     """The first ten by a toy judge: how often a passage says `the`."""
-    top = settled(ranking.best(words(spark, d), 20))
+    top = settled(words(spark, d, 20))
     judge = top.where("rank <= 10").select("query_id", "doc_id").join(table(spark, d, "documents"), "doc_id").select("query_id", "doc_id", F.size(F.filter(terms(F.col("text")), lambda t: t == "the")).cast("double").alias("judged"))
     return ranking.reranked(top, judge, 10)
 
@@ -188,14 +220,14 @@ def reranked(spark: SparkSession, d: str) -> DataFrame:
 c AS (SELECT *, CAST(sum(CASE WHEN private AND rank <= {LIMIT} THEN 1 ELSE 0 END) OVER (PARTITION BY query_id) AS BIGINT) AS withheld FROM m)
 SELECT query_id, place, doc_id, score, withheld FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place FROM c WHERE NOT private) WHERE place <= {LIMIT}""")
 def private_withheld(spark: SparkSession, d: str) -> DataFrame:
-    top = ranking.best(words(spark, d), DEPTH).join(table(spark, d, "documents").select("doc_id", "source"), "doc_id")
+    top = words(spark, d, DEPTH).join(table(spark, d, "documents").select("doc_id", "source"), "doc_id")
     return ranking.shown(top, F.coalesce(F.col("source").isin("src0", "src1", "src2"), F.lit(False)), LIMIT)
 
 
 def measured(spark: SparkSession, d: str, found: DataFrame) -> DataFrame:
     """evaluation.rank_scores of a ranking of documents; gold are those that hold an item's words as a phrase."""
     one = (F.lit(None).cast("int").alias("page"), F.lit(1).alias("start"), F.lit(1).alias("end"))
-    gold = ranking.phrase(table(spark, d, "documents"), _questions(spark, d)).select("query_id", F.col("doc_id").alias("gold_id"), F.col("doc_id").cast("string").alias("path"), *one)
+    gold = wordindex.phrase(table(spark, d, "documents"), _questions(spark, d)).select("query_id", F.col("doc_id").alias("gold_id"), F.col("doc_id").cast("string").alias("path"), *one)
     ranked = found.select("query_id", "rank", F.col("doc_id").cast("string").alias("path"), *one)
     return evaluation.rank_scores(evaluation.hits(ranked, gold), gold)
 
@@ -213,7 +245,7 @@ SELECT query_id, golds, round(coalesce(n1, 0) / golds, 6) AS recall_at_1, round(
   round(coalesce(1.0 / f, 0), 6) AS reciprocal_rank, round(coalesce(gain, 0) / list_sum(list_transform(range(1, least(10, golds) + 1), lambda i: 1.0 / log2(i + 1.0))), 6) AS ndcg FROM golds LEFT JOIN per USING (query_id)""")
 def rank_scores(spark: SparkSession, d: str) -> DataFrame:
     """Recall, reciprocal rank and nDCG of word search, a document being one line of its own path."""
-    out = measured(spark, d, ranking.best(words(spark, d), LIMIT))
+    out = measured(spark, d, words(spark, d, LIMIT))
     return out.select("query_id", "golds", *[F.round(c, 6).alias(c) for c in out.columns[2:]])
 
 
@@ -285,11 +317,11 @@ def forget_about(spark: SparkSession, d: str) -> DataFrame:
 def bootstrap_delta(spark: SparkSession, d: str) -> DataFrame:
     """Resampled differences of reciprocal rank between fused and word search."""
     one = (F.lit(None).cast("int").alias("page"), F.lit(1).alias("start"), F.lit(1).alias("end"))
-    gold = ranking.phrase(table(spark, d, "documents"), _questions(spark, d)).select("query_id", F.col("doc_id").alias("gold_id"), F.col("doc_id").cast("string").alias("path"), *one)
+    gold = wordindex.phrase(table(spark, d, "documents"), _questions(spark, d)).select("query_id", F.col("doc_id").alias("gold_id"), F.col("doc_id").cast("string").alias("path"), *one)
 
     def reciprocal(found: DataFrame, name: str) -> DataFrame:
         ranked = found.select("query_id", "rank", F.col("doc_id").cast("string").alias("path"), *one)
         return evaluation.rank_scores(evaluation.hits(ranked, gold), gold).select("query_id", F.col("reciprocal_rank").alias(name))
 
-    a, b = reciprocal(ranking.best(_fused(spark, d), LIMIT), "a"), reciprocal(ranking.best(words(spark, d), LIMIT), "b")
+    a, b = reciprocal(ranking.best(_fused(spark, d), LIMIT), "a"), reciprocal(words(spark, d, LIMIT), "b")
     return evaluation.bootstrap(a.join(b, "query_id"), 2000)
