@@ -113,10 +113,11 @@ def learn(facts: DataFrame, line: float = 0.90, nearest: int = 2) -> DataFrame:
     return told.select("owner", "fact_id", "kept", passed("like"), passed("cosine"))
 
 
-def merge_repeats(pairs: DataFrame, apart: DataFrame) -> DataFrame:
+def merge_repeats(pairs: DataFrame, apart: DataFrame, since: DataFrame | None = None) -> DataFrame:
     """owner, older, newer, cosine: pairs (owner, one, other, cosine, same) merged greedily, closest first, each fact once in a pass.
 
-    Pairs in `apart` (one, other) were judged different before and are skipped.
+    The older of a pair has the earlier time in `since` (fact, since), then the
+    smaller id; by ids alone where no times are given. Pairs in `apart` (one, other) were judged different before and are skipped.
     A pair that comes first for both of its facts is merged whatever the others
     do, so all such pairs merge in one round, which gives the greedy result.
     """
@@ -132,7 +133,13 @@ def merge_repeats(pairs: DataFrame, apart: DataFrame) -> DataFrame:
         for end in ("one", "other"):
             left = left.join(used.withColumnRenamed("fact", end), ["owner", end], "left_anti")
         left = settled(left.select("owner", "one", "other", "cosine", "turn"))
-    return left.select("owner", F.col("one").alias("older"), F.col("other").alias("newer"), "cosine") if done is None else done
+    merged = left.select("owner", F.col("one").alias("older"), F.col("other").alias("newer"), "cosine") if done is None else done
+    if since is None:
+        return merged
+    for end in ("older", "newer"):
+        merged = merged.join(since.select(F.col("fact").alias(end), F.struct("since", "fact").alias(f"_{end}")), end, "left")
+    swap = F.coalesce(F.col("_newer") < F.col("_older"), F.lit(False))
+    return merged.select("owner", F.when(swap, F.col("newer")).otherwise(F.col("older")).alias("older"), F.when(swap, F.col("older")).otherwise(F.col("newer")).alias("newer"), "cosine")
 
 
 def to_learn(queue: DataFrame, attempts: DataFrame, most: int = 3) -> DataFrame:

@@ -115,11 +115,13 @@ def phrase(docs: DataFrame, queries: DataFrame) -> DataFrame:
     The first term's places are the candidates; the terms after them are compared in place.
     """
     q = queries.select("query_id", terms(F.col("text")).alias("q")).where(F.size("q") > 0)
-    q = q.select("query_id", "q", F.get("q", F.lit(0)).alias("term"), F.size("q").alias("n"))
-    d = docs.select("doc_id", terms(F.col("text")).alias("d"))
-    at = d.select("doc_id", "d", F.posexplode("d").alias("at", "term"))
-    same = F.slice("d", F.col("at") + 1, F.col("n")) == F.col("q")
-    return at.join(small(q), "term").where(same).groupBy("query_id", "doc_id").agg(F.count("*").alias("n"))
+    q = small(q.select("query_id", "q", F.get("q", F.lit(0)).alias("term"), F.size("q").alias("n")))
+    d = settled(docs.select("doc_id", terms(F.col("text")).alias("d")))
+    # narrow rows first: a document's terms come back once for each query whose first term it has
+    at = d.select("doc_id", F.posexplode("d").alias("at", "term")).join(q.select("query_id", "term"), "term").groupBy("doc_id", "query_id").agg(F.collect_list("at").alias("at"))
+    met = at.join(d, "doc_id").join(q, "query_id")
+    n = F.size(F.filter("at", lambda i: F.slice("d", i + 1, F.col("n")) == F.col("q"))).cast("long")
+    return met.select("query_id", "doc_id", n.alias("n")).where("n > 0")
 
 
 def word_scale(n_docs: Column) -> Column:

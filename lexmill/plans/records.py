@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions import text as T
 from ..operators import evaluation, memory, usage
-from ..streaming import stateful, windows
+from ..streaming import idle, pairing, stateful, windows
 from .registry import query, table
 
 DAY = "DATE '2024-01-15'"
@@ -217,6 +217,24 @@ def known_rates(spark: SparkSession, d: str) -> DataFrame:
     return both.groupBy("source").agg(F.count("*").alias("n"), F.round(evaluation.known_rate(F.col("toxic")), 6).alias("toxic_rate"))
 
 
+@query("""WITH e AS (SELECT DISTINCT user_id, date_trunc('milliseconds', ts) AS ts FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+n AS (SELECT user_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS next FROM e)
+SELECT user_id, ts AS since, ts + INTERVAL 1 DAY AS due FROM n WHERE next IS NULL OR next > ts + INTERVAL 1 DAY""")
+def idle_gaps(spark: SparkSession, d: str) -> DataFrame:
+    """When users were quiet for a day; on a stream the same is told by timers."""
+    return idle.idle_gaps(table(spark, d, "events"), 86_400)
+
+
+@query("""WITH a AS (SELECT DISTINCT user_id, ts AS began_at FROM events WHERE event_type = 'signup'), b AS (SELECT DISTINCT user_id, ts AS ended_at FROM events WHERE event_type = 'purchase'),
+m AS (SELECT a.user_id, began_at, ended_at FROM a JOIN b ON a.user_id = b.user_id AND ended_at >= began_at AND ended_at <= began_at + INTERVAL 12 HOUR)
+SELECT user_id, began_at, ended_at, 'done' AS state FROM m UNION ALL SELECT user_id, began_at, NULL, 'running' FROM a ANTI JOIN m USING (user_id, began_at) UNION ALL SELECT user_id, NULL, ended_at, 'unknown start' FROM b ANTI JOIN m USING (user_id, ended_at)""")
+def paired_within(spark: SparkSession, d: str) -> DataFrame:
+    """Sign-ups with purchases up to twelve hours later, and both that have none."""
+    e = table(spark, d, "events")
+    side = lambda kind, at: e.where(F.col("event_type") == kind).select("user_id", F.col("ts").alias(at))
+    return pairing.paired(side("signup", "began_at"), side("purchase", "ended_at"), ["user_id"], "12 hours")
+
+
 def _shows(pattern: str, text: str = "text") -> str:
     """SQL that tells whether a fixed pattern is met; DuckDB's patterns can't look ahead, so the one word that a pattern excludes goes from the text."""
     return f"""CAST(regexp_matches({text}, '(?im){pattern.replace("(?!" + _SKIPPED + ")", "").replace("'", "''")}') AS INT)"""

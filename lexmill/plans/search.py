@@ -293,6 +293,16 @@ def search_variant(spark: SparkSession, d: str) -> DataFrame:
     return searching.find(corpus, asked, searching.Variant.parse("fused+hop1x0.3+rerank:shared-terms@10"), LIMIT, private=False, judges={"shared-terms": judge})
 
 
+@query(f"""WITH {BM25}, {first('scores', DEPTH, 'words')},
+merged AS (SELECT query_id, doc_id, max(score) AS score FROM (SELECT query_id, doc_id, score FROM words UNION ALL SELECT b.item_id, w.doc_id, w.score FROM words w JOIN benchmark b ON w.query_id = b.item_id + 1) GROUP BY ALL), {first('merged', LIMIT)}
+SELECT query_id, rank AS place, doc_id, score, 0::BIGINT AS withheld FROM ranked""")
+def deep_search(spark: SparkSession, d: str) -> DataFrame:
+    """Word search in which each item's rewriting, the item after it, is searched too, and the best score counts."""
+    asked = _questions(spark, d)
+    also = asked.join(asked.select((F.col("query_id") - 1).alias("query_id"), F.lit(1).alias("n"), F.col("text").alias("said")), "query_id").select("query_id", "n", F.col("said").alias("text"))
+    return searching.find(searching.Corpus(table(spark, d, "documents").select("doc_id", "text")), asked, searching.Variant.parse("words"), LIMIT, also=also)
+
+
 @query(f"""WITH turns AS (SELECT conv_id * 1000 + turn AS doc_id, conv_id AS said_at, text FROM conversations WHERE turn > 0), asked AS (SELECT conv_id AS item_id, text FROM conversations WHERE turn = 0 AND conv_id % 50 = 0), {bm25_sql("turns", "asked")},
 placed AS (SELECT query_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, said_at DESC, doc_id DESC) AS rank FROM scores JOIN turns USING (doc_id)),
 newest AS (SELECT doc_id, row_number() OVER (ORDER BY said_at DESC, doc_id DESC) AS rank FROM turns)

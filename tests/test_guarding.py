@@ -5,10 +5,11 @@ import random
 import re
 import unicodedata
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexmill.functions import fixed, guarding, replies
+from lexmill.functions import embedding, fixed, guarding, replies
 from lexmill.functions import text as T
 
 UNSEEN = {c for c in map(chr, (*range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0), 0xAD, 0x200B, 0x200D, 0x202E, 0xFEFF, 0xE0041)) if unicodedata.category(c) in ("Cf", "Mn")}
@@ -120,3 +121,32 @@ def test_character_references(spark):
     pages = {"<p>caf&eacute; &#8217;&#x41; &lt;b&gt; &amp;amp; &unknown; &nbsp; x</p>": "café ’A <b> &amp; &unknown; x", "a&#10;b": "a\nb", "<script>&eacute;</script>z": "z"}
     got = spark.createDataFrame([(k,) for k in pages], "h string").select("h", T.visible(F.col("h")).alias("v")).collect()
     assert {r.h: r.v for r in got} == pages
+
+
+def test_folding_of_all_scripts(spark):
+    words = {"Straße": "strasse", "ΤΕΛΟΣ": "τελοσ", "Ёлка": "елка", "Ångström": "angstrom", "हिन्दी": None, "ſ": None, "ÇA": "ca", "ᏸ": "ᏸ".casefold(), None: ""}
+    got = {r.w: r.f for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", T.folded(F.col("w")).alias("f")).collect()}
+    assert all(got[w] == f for w, f in words.items() if f is not None)
+    assert got["हिन्दी"] == "".join(c for c in unicodedata.normalize("NFD", "हिन्दी") if not unicodedata.combining(c))
+    fold = ["ẞ", "ΣΑΣ", "İ", "ﬁ", "plain"]
+    assert [r.f for r in spark.createDataFrame([(w,) for w in fold], "w string").select(T.casefolded(F.col("w")).alias("f")).collect()] == [w.casefold() for w in fold]
+
+
+def test_embedding_keeps_order_and_pads_little(spark):
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("abc") for _ in range(rng.choice([1, 5, 60, 200]))) for _ in range(300)]
+    table = np.random.default_rng(0).normal(size=(128, 8))
+    cut = lambda t: [ord(c) for c in t]
+    model = lambda ids, mask: table[ids]
+    want = np.array([table[cut(t)].mean(axis=0) for t in texts])
+    want /= np.linalg.norm(want, axis=1, keepdims=True)
+    vectors, padding = embedding.batched([cut(t) for t in texts], model)
+    assert np.allclose(vectors, want)
+    unsorted = sum(max(map(len, texts[i : i + 32])) * len(texts[i : i + 32]) - sum(map(len, texts[i : i + 32])) for i in range(0, 300, 32))
+    assert padding < 0.2 * unsorted
+    rows = spark.createDataFrame([*enumerate(texts), (999, None)], "k long, text string")
+    for how, alone in (("mean", False), ("first", True)):
+        got = {r.k: r.embedding for r in embedding.embedded(rows, "k", lambda: (cut, model), how, alone=alone).collect()}
+        first = table[[ord(t[0]) for t in texts]]
+        assert got.keys() == set(range(300)) and np.allclose([got[i] for i in range(300)], want if how == "mean" else first / np.linalg.norm(first, axis=1, keepdims=True), atol=1e-6)
+    assert embedding.batched([], model)[1] == 0

@@ -123,6 +123,8 @@ def test_fact_learning_and_merging(spark):
     pairs = spark.createDataFrame([(1, 1, 2, 0.95, True), (1, 2, 3, 0.9, True), (1, 3, 4, 0.85, True), (1, 5, 6, 0.99, True)], "owner long, one long, other long, cosine double, same boolean")
     apart = spark.createDataFrame([(5, 6)], "one long, other long")
     assert sorted((r.older, r.newer) for r in memory.merge_repeats(pairs, apart).collect()) == [(1, 2), (3, 4)]
+    since = spark.createDataFrame([(1, 20), (2, 10), (3, 5), (4, 5)], "fact long, since int")
+    assert sorted((r.older, r.newer) for r in memory.merge_repeats(pairs, apart, since).collect()) == [(2, 1), (3, 4)]
 
 
 def test_usage_is_additive(spark):
