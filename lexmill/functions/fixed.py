@@ -40,3 +40,7 @@ FENCED = r"(?s)\A\s*```(?:json)?[ \t]*\n(.*?)\n?```\s*\z"
 CITATION = r"^([^/]+)/(.+?):(?:p\.(\d+):)?(\d+)(?:-(\d+))?$"
 # Characters of an expression and bits of a whole result, at most.
 MOST_EXPRESSION, MOST_BITS = 200, 4096
+
+# Weights of a letter that takes 0, 1 or 2 sounds before anything is learnt, and the log score of a pair that was never counted.
+SOUND_WEIGHTS = (0.1, 1.0, 0.05)
+UNSEEN = -20.0
