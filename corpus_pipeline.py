@@ -18,9 +18,11 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the word counts and the tokeniser's bands.
+    """Documents that pass the word counts and the tokenisers' bands.
 
     Null, empty and short texts go. Repeated rows are judged, and kept, each.
+    Bands are learnt from all documents, so what becomes of one may depend on
+    which others are in the table.
     """
     return quality.keep_good(docs)
 
