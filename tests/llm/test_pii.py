@@ -122,8 +122,8 @@ def test_patterns_recover_hidden_identifiers(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, _key string, _spans array<int>")
     counts = {r.doc_id: (r.n_seeds, r.n_added) for r in pii.spans_of(docs).collect()}
     assert all(counts[i] == ((1, 0) if i % 2 else (0, 1)) for i in range(80))
-    told = {r.kind: (r.n_hidden, r.n_recovered) for r in pii.recovered(docs, 4).collect()}
-    assert told["secret"][0] == told["secret"][1] > 3
+    told = {r.kind: (r.n_hidden, r.n_recovered) for r in pii.recovered(docs).collect()}
+    assert told["secret"][0] == told["secret"][1] > 0
     got = {(r.doc_id, s) for r in pii.spans_of(docs).collect() for s in r.spans.split(",") if s}
     assert hidden <= got and all(i < 500 for i, _ in got) and len(got) == 80
     out = {r.doc_id: r for r in pii.redacted(docs).collect()}
