@@ -1,5 +1,6 @@
 """Stemming against SQLite, variants, whole searches, indexing passes, notes and event streams."""
 
+import hashlib
 import json
 import random
 import sqlite3
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import stemming
 from lexmill.operators import search
-from lexmill.sources import markdown, notes
+from lexmill.sources import markdown, notes, readers
 
 
 def test_stems_equal_sqlite(spark):
@@ -154,3 +155,20 @@ def test_python_outline_and_cell_links():
     assert got == [(1, 2, ()), (3, 6, ("C",)), (7, 9, ("C", "f")), (10, 11, ("C", "g")), (12, 12, ()), (13, 13, ("h",)), (14, 14, ())]
     assert len({b.unit for b in notes.python_outline(text)[1:4]}) == 1 and notes.python_outline("def (") == [notes.Block(1, 1)]
     assert [x[2:] for x in notes.markdown_links("a.md", "| [[Note\\|label]] | [[Other#part\\|x]] |")] == [("note", None), ("other", "part")]
+
+
+def test_readers_of_answers_verdicts_and_calibration(spark, tmp_path):
+    write = lambda name, rows: (tmp_path / name).write_text("\n".join(json.dumps(r) for r in rows)) and str(tmp_path / name)
+    given = {"id": "q1", "question": "why", "answer": "so", "passages": ["é", 'a "b"\n']}
+    got = readers.answers(spark, write("a.jsonl", [given, given | {"id": "q2", "passages": []}])).collect()
+    want = {r["id"]: hashlib.sha256(json.dumps(r["passages"]).encode()).hexdigest() for r in (given, {"id": "q2", "passages": []})}
+    assert {r.id: r.passages_sha256 for r in got} == want
+    with pytest.raises(ValueError, match="given twice"):
+        readers.answers(spark, write("b.jsonl", [given, given]))
+    verdict = {"question": "why", "answer": "so", "passages_sha256": want["q1"], "supported": True, "claims": ["x"]}
+    assert readers.verdicts(spark, write("c.jsonl", [verdict, verdict | {"answer": "no"}])).count() == 2
+    label = given | {"origin": "natural", "supported": False}
+    assert readers.calibration(spark, write("d.jsonl", [label])).first().origin == "natural"
+    for read, rows in ((readers.verdicts, [verdict | {"passages_sha256": "12"}]), (readers.calibration, [label | {"origin": "made up"}]), (readers.calibration, [given | {"origin": "natural"}])):
+        with pytest.raises(Exception):  # noqa: B017
+            read(spark, write("e.jsonl", rows)).collect()
