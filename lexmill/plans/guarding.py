@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from html.entities import name2codepoint
+from html.entities import html5, name2codepoint
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -103,8 +103,11 @@ def calculations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def references_sql(text: str) -> str:
-    """SQL that resolves the named references of HTML 4 and decimal ones: the text between references, and each by a table."""
+    """SQL that resolves the named references of HTML 4, the decimal apostrophe and those of HTML that browsers read without a semicolon, longest first: the text between references, and each by a table."""
     names = [n for n in name2codepoint if n != "quot"]
     table_ = f"map([{', '.join(repr('&' + n + ';') for n in names)}, '&quot;', '&apos;', '&#39;'], [{', '.join(f'chr({name2codepoint[n]})' for n in names)}, chr(34), chr(39), chr(39)])"
-    mark = "'&#?[A-Za-z0-9]+;'"
-    return f"""list_reduce(list_concat([''], list_transform(list_zip(regexp_split_to_array({text}, {mark}), regexp_extract_all({text}, {mark})), lambda p: coalesce(p[1], '') || coalesce({table_}[p[2]], p[2], ''))), lambda a, b: a || b)"""
+    open_ = [n for n in html5 if not n.endswith(";")]
+    bare = f"map([{', '.join(map(repr, open_))}], [{', '.join(f'chr({ord(html5[n])})' for n in open_)}])"
+    mark = r"'&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)'"
+    begun = f"list_filter(list_transform(range(least(length(p[2]), {max(map(len, open_)) + 2}), 2, -1), lambda n: {bare}[p[2][2:n]] || p[2][n + 1:]), lambda x: x IS NOT NULL)[1]"
+    return f"""list_reduce(list_concat([''], list_transform(list_zip(regexp_split_to_array({text}, {mark}), regexp_extract_all({text}, {mark})), lambda p: coalesce(p[1], '') || coalesce({table_}[p[2]], {begun}, p[2], ''))), lambda a, b: a || b)"""
