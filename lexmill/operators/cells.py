@@ -112,6 +112,27 @@ def nearest(index: DataFrame, centres: np.ndarray, queries: DataFrame, k: int, p
     return ranked.join(scanned, "query_id").select("query_id", "vec_id", "cosine", "rank", "scanned")
 
 
+def needed(index: DataFrame, centres: np.ndarray, queries: DataFrame, exact: DataFrame, share: float) -> int:
+    """The fewest cells that each query must look into for this share of the exact nearest (query_id, vec_id) to be found."""
+
+    def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                near = vectors._matrix(b["embedding"]) @ centres.T
+                own = near[np.arange(len(b)), b["cell"].to_numpy()]
+                yield pd.DataFrame({"place": (near >= own[:, None]).sum(axis=1)})
+
+    wanted = exact.select("query_id", "vec_id").join(index.select("vec_id", "cell"), "vec_id").join(queries.select("query_id", "embedding"), "query_id")
+    # at most a row for each cell
+    counts = sorted((r["place"], r["n"]) for r in wanted.select("cell", "embedding").mapInPandas(places, "place int").groupBy("place").agg(F.count("*").alias("n")).collect())
+    total, held = sum(n for _, n in counts), 0
+    for place, n in counts:
+        held += n
+        if held >= share * total:
+            return place
+    return 1
+
+
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
     """query_id, hits, wanted: how many of each query's exact nearest (query_id, vec_id) are among the found."""
     both = exact.select("query_id", "vec_id").join(found.select("query_id", "vec_id", F.lit(1).alias("hit")), ["query_id", "vec_id"], "left")
