@@ -8,11 +8,14 @@ from dataclasses import dataclass
 from itertools import accumulate, groupby
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _LINE_END = re.compile(r"\r\n|[\r\n]")
 FRAME = 2
+#: Texts that are Python objects at a time, however many a batch has.
+AT_ONCE = 128
 CHUNK = "doc_id long, ordinal int, start_line int, end_line int, body string, cut boolean"
 
 
@@ -47,15 +50,18 @@ def chunked(docs: DataFrame, most_lines: int = 40, max_tokens: int = 256, count:
     if max_tokens <= FRAME or most_lines < 1:
         raise ValueError("no room for text")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for doc_id, text in zip(b["doc_id"], b["text"], strict=True):
-                lines = _LINE_END.split(text or "")
-                rows += [(doc_id, n, a + 1, e, "\n".join(lines[a:e]), cut) for n, (a, e, cut) in enumerate(windows(lines, most_lines, max_tokens - FRAME, count))]
-            yield pd.DataFrame(rows, columns=["doc_id", "ordinal", "start_line", "end_line", "body", "cut"])
+    arrow = pa.schema([("doc_id", pa.int64()), ("ordinal", pa.int32()), ("start_line", pa.int32()), ("end_line", pa.int32()), ("body", pa.string()), ("cut", pa.bool_())])
 
-    return docs.select("doc_id", "text").mapInPandas(run, CHUNK)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, AT_ONCE):
+                rows = []
+                for doc_id, text in zip(*(c.to_pylist() for c in b.slice(i, AT_ONCE).columns), strict=True):
+                    lines = _LINE_END.split(text or "")
+                    rows += [(doc_id, n, a + 1, e, "\n".join(lines[a:e]), cut) for n, (a, e, cut) in enumerate(windows(lines, most_lines, max_tokens - FRAME, count))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * len(arrow), arrow.types, strict=True)], schema=arrow)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, CHUNK)
 
 
 #: The share of the budget that a header takes at most.

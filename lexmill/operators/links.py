@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 
 def note_key(path: Column) -> Column:
@@ -44,9 +45,16 @@ def resolved(links: DataFrame, documents: DataFrame) -> DataFrame:
     space = F.when(F.col("kind") == "markdown", "path").when(F.col("kind") == "import", "module").otherwise("note")
     key = F.when(F.col("kind") == "import", F.replace("key", F.lit("."), F.lit("/"))).otherwise(F.col("key"))
     asked = links.select("source", "chunk", "position", "linker", space.alias("space"), key.alias("key")).join(home, ["source", "linker"], "left")
-    own = asked.join(docs, ["source", "space", "key"])
-    exact = F.col("whole") & ((F.col("space") != "note") | F.col("key").contains("/"))
-    near = (F.col("space") == "note") & F.startswith(F.lower("to"), F.coalesce("folder", F.lit("")))
-    tier = F.when(exact, 0).when(near, 1).otherwise(2)
-    order = W.partitionBy("chunk", "position").orderBy(tier, F.desc(F.col("note") & (F.col("space") != "module")), F.length("to"), "to", "document")
-    return own.withColumn("r", F.row_number().over(order)).where("r = 1 and document <> linker").select("chunk", "position", "document", F.col("to").alias("path"))
+    exact = (F.col("space") != "note") | F.col("key").contains("/")
+    # per key only what may be the best leaves a task: of whole paths, of each folder above a document, and of all; a key that all documents share is one row then
+    better = F.min(F.struct((~(F.col("note") & (F.col("space") != "module"))).alias("other"), F.length("to").alias("size"), "to", "document")).alias("best")
+    above = F.filter(F.transform(F.sequence(F.lit(0), F.length("to")), lambda n: F.left(F.lower("to"), n)), lambda x: (x == "") | x.endswith("/"))
+    whole = docs.where(F.col("whole") & exact).withColumn("tier", F.lit(0)).withColumn("folder", F.lit(""))
+    near = docs.where("space = 'note'").withColumn("tier", F.lit(1)).withColumn("folder", F.explode(above))
+    every = docs.withColumn("tier", F.lit(2)).withColumn("folder", F.lit(""))
+    by = ["source", "space", "key", "tier", "folder"]
+    firsts = reduce(DataFrame.unionByName, (x.select(*by, "note", "to", "document") for x in (whole, near, every))).groupBy(*by).agg(better)
+    tiers = F.array(F.struct(F.lit(0).alias("tier"), F.lit("").alias("folder")), F.struct(F.lit(1).alias("tier"), F.coalesce("folder", F.lit("")).alias("folder")), F.struct(F.lit(2).alias("tier"), F.lit("").alias("folder")))
+    wanted = asked.select("source", "space", "key", "chunk", "position", "linker", F.explode(tiers).alias("t")).select("source", "space", "key", "chunk", "position", "linker", "t.*")
+    found = wanted.join(firsts, by).groupBy("chunk", "position").agg(F.min(F.struct("tier", "best", "linker")).alias("x"))
+    return found.where("x.best.document <> x.linker").select("chunk", "position", F.col("x.best.document").alias("document"), F.col("x.best.to").alias("path"))
