@@ -33,7 +33,10 @@ from pyspark.sql.window import Window as W
 from .common import WORD_RE, saved, scratch, table
 
 VOCABULARY, BYTE_VOCABULARY = "piece_bpe_32k.model", "byte_bpe_multi_50k.tiktoken"
-REMEMBERED = 200_000
+#: Words that a task remembers; when there are so many, it starts anew.
+REMEMBERED = 400_000
+#: Texts whose new words are encoded together.
+AT_ONCE = 32
 _SYMBOLS = "#*$%&|<>"
 
 
@@ -112,9 +115,9 @@ def _byte_model(path: str):
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    single = np.zeros(max(ranks.values()) + 1, bool)
-    single[[n for token, n in ranks.items() if len(token) == 1]] = True
-    return tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), single
+    size = np.zeros(max(ranks.values()) + 1, np.int64)
+    size[list(ranks.values())] = list(map(len, ranks))
+    return tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), size
 
 
 def vocabulary() -> tuple[str, str]:
@@ -123,22 +126,27 @@ def vocabulary() -> tuple[str, str]:
 
 def repeated_words(words: list[str]) -> int:
     """Words in 3-word windows that are found twice or more, first ones included."""
-    n = len(words) - 2
+    number: dict[str, int] = {}
+    return _repeated(np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words)))
+
+
+def _repeated(numbers: np.ndarray) -> int:
+    """repeated_words() of words given as numbers, equal ones of equal words."""
+    n = len(numbers) - 2
     if n < 2:
         return 0
-    number: dict[str, int] = {}
-    ids = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words))
-    # exact numbers of windows: in one step while the cube of the distinct words fits 63 bits, else in two
-    size = len(number)
+    # exact numbers of windows: in one step while the cube of the words' numbers fits 63 bits, else in two
+    size = int(numbers.max()) + 1
     if size < 1 << 20:
-        keys = (ids[:-2] * size + ids[1:-1]) * size + ids[2:]
+        keys = (numbers[:-2] * size + numbers[1:-1]) * size + numbers[2:]
     else:
-        keys = np.unique(ids[:-2] * size + ids[1:-1], return_inverse=True)[1] * size + ids[2:]
+        keys = np.unique(numbers[:-2] * size + numbers[1:-1], return_inverse=True)[1] * size + numbers[2:]
+    ordered = np.sort(keys)
+    if not (ordered[1:] == ordered[:-1]).any():
+        return 0
     _, windows, counts = np.unique(keys, return_inverse=True, return_counts=True)
     often = counts[windows] > 1
-    if not often.any():
-        return 0
-    covered = np.zeros(len(words), bool)
+    covered = np.zeros(len(numbers), bool)
     for k in range(3):
         covered[k : k + n] |= often
     return int(covered.sum())
@@ -152,34 +160,94 @@ def _fertility(ids: np.ndarray, chars: int, is_byte: np.ndarray) -> tuple[int, f
     n = len(ids)
     if not n:
         return 0, 0.0, 0.0, 0.0
-    counts = np.unique(ids, return_counts=True)[1] / n
+    ordered = np.sort(ids)
+    counts = np.diff(np.flatnonzero(ordered[1:] != ordered[:-1]), prepend=-1, append=n - 1) / n
     return n, chars / n, float(is_byte[ids].mean()), float(abs(-(counts * np.log2(counts)).sum()))
 
 
+class _Lists:
+    """Lists of token ids one after another in an array that grows; each has a number, by order."""
+
+    def __init__(self):
+        self.flat, self.ends, self.n = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64), 0
+
+    def extend(self, flat: np.ndarray, sizes: np.ndarray) -> None:
+        begin, n = self.ends[self.n], self.n + len(sizes)
+        if begin + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(len(self.flat) + len(flat), np.int32)])
+        if n >= len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros(len(self.ends) + len(sizes), np.int64)])
+        self.flat[begin : begin + len(flat)] = flat
+        self.ends[self.n + 1 : n + 1] = begin + np.cumsum(sizes)
+        self.n = n
+
+    def joined(self, numbers: np.ndarray) -> np.ndarray:
+        """The lists of these numbers as one."""
+        begin = self.ends[numbers]
+        sizes = self.ends[numbers + 1] - begin
+        return self.flat[np.repeat(begin - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())]
+
+
+class _Words:
+    """Words that a task has met, with their tokens by both vocabularies."""
+
+    def __init__(self, paths: tuple[str, str]):
+        (self.model, self.is_byte), (self.byte_model, self.size) = _model(paths[0]), _byte_model(paths[1])
+        self.single = self.size == 1
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.pieces, self.bytes = _Lists(), _Lists()
+
+    def meet(self, texts: list[list[str]]) -> None:
+        """Encodes the words of these texts that are new."""
+        if len(self.number) > REMEMBERED:
+            self.forget()
+        if new := set().union(*texts).difference(self.number):
+            # a space begins a piece of the pre-tokenizer where words hold no white space of their own, so such words are cut at once
+            plain, other = [], []
+            for w in new:
+                (plain if w.isascii() or w.split() == [w] else other).append(w)
+            self.number.update(zip(plain + other, range(len(self.number), len(self.number) + len(new)), strict=True))
+            self._add(self.pieces, self.model.encode(plain + other, num_threads=1))
+            spaced = [f" {w}" for w in plain]
+            ids = np.array(self.byte_model.encode_ordinary("".join(spaced)), np.int32)
+            ends = np.cumsum([len(w) if w.isascii() else len(w.encode()) for w in spaced])
+            self.bytes.extend(ids, np.diff(np.searchsorted(np.cumsum(self.size[ids]), ends) + 1, prepend=0))
+            self._add(self.bytes, [self.byte_model.encode_ordinary(f" {w}") for w in other])
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        """The numbers of words that were met."""
+        return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+
+    @staticmethod
+    def _add(lists: _Lists, new: list[list[int]]) -> None:
+        sizes = np.fromiter(map(len, new), np.int64, len(new))
+        lists.extend(np.fromiter(chain.from_iterable(new), np.int32, sizes.sum()), sizes)
+
+
 def figures(paths: tuple[str, str]) -> Callable[[Column], Column]:
     """A function of a text column: a struct of its counts and of both tokenisers' figures; null texts count as empty."""
 
     @F.pandas_udf(f"struct<{', '.join(x.replace(' ', ':') for x in FIGURES.split(', '))}>")
     def measured(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        (model, is_byte), (byte_model, single) = _model(paths[0]), _byte_model(paths[1])
-        memo: dict[str, tuple[list[int], list[int]]] = {}
+        met = _Words(paths)
 
-        def one(text: str) -> tuple:
-            words = WORD_RE.findall(text)
+        def one(text: str, words: list[str]) -> tuple:
             lines = Counter(x for x in text.split("\n") if x.strip(" \t\n\r\x0b\x0c"))
-            chars = sum(map(len, words))
-            if len(memo) > REMEMBERED:
-                memo.clear()
-            new = list({w for w in words if w not in memo})
-            if new:
-                memo.update(zip(new, zip(model.encode(new, num_threads=1), map(byte_model.encode_ordinary, [f" {w}" for w in new]), strict=True), strict=True))
-            cut = [memo[w] for w in words]
-            ids = [np.fromiter(chain.from_iterable(x[i] for x in cut), np.int32) for i in range(2)]
-            return len(words), chars, sum(map(text.count, _SYMBOLS)), sum(lines.values()) - len(lines), repeated_words(words), script_of(text), *_fertility(ids[0], chars, is_byte), *_fertility(ids[1], chars, single)
+            chars, numbers = sum(map(len, words)), met.numbers(words)
+            return len(words), chars, sum(map(text.count, _SYMBOLS)), sum(lines.values()) - len(lines), _repeated(numbers), script_of(text), *_fertility(met.pieces.joined(numbers), chars, met.is_byte), *_fertility(met.bytes.joined(numbers), chars, met.single)
 
         names = [x.split()[0] for x in FIGURES.split(", ")]
         for texts in batches:
-            yield pd.DataFrame([one(t or "") for t in texts], columns=names)
+            rows = []
+            for i in range(0, len(texts), AT_ONCE):
+                some = [t or "" for t in texts[i : i + AT_ONCE]]
+                words = list(map(WORD_RE.findall, some))
+                met.meet(words)
+                rows += map(one, some, words)
+            yield pd.DataFrame(rows, columns=names)
 
     return measured
 

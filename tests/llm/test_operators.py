@@ -406,6 +406,25 @@ def test_scripts(text, script):
     assert quality.script_of(text) == script and quality.BANDS[script].most_chars > 1
 
 
+def test_tokens_of_words_met_together_equal_those_of_words_alone(monkeypatch):
+    rng = random.Random(8)
+    parts = ["it's", "'S", "\u00a0", "\u2003x", "a\u0085b", "\x1c", "Straße", "漢字", "🙂", "12", "--", "'re", "x" * 300, "\u200b", "don't", "l'été"]
+    texts = [["".join(rng.choices(parts, k=rng.randrange(1, 4))) for _ in range(rng.randrange(40))] for _ in range(60)]
+    met = quality._Words(quality.vocabulary())
+    calls = []
+    for i in range(0, len(texts), 20):
+        if i == 40:
+            monkeypatch.setattr(quality, "REMEMBERED", 10)  # starts anew
+        met.meet(texts[i : i + 20])
+        calls.append(len(met.number))
+        for words in texts[i : i + 20]:
+            at = met.numbers(words)
+            assert met.pieces.joined(at).tolist() == [x for w in words for x in met.model.encode(w)]
+            assert met.bytes.joined(at).tolist() == [x for w in words for x in met.byte_model.encode_ordinary(f" {w}")]
+            assert quality._repeated(at) == quality.repeated_words(words)
+    assert calls[0] < calls[1] > calls[2] and met.pieces.n == met.bytes.n == len(met.number)
+
+
 def test_quality_of_a_very_long_text(spark):
     rng = random.Random(7)
     vocab = ["".join(rng.choice("etaoinshrdlu") for _ in range(6)) for _ in range(3000)]
